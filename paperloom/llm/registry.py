@@ -7,6 +7,7 @@ import importlib
 #: Query name, module and function; a module has its SQL in ORACLE where there is any.
 QUERIES = {
     "op1_decontaminate": "q_decontaminate",
+    "op4_simhash": "q_simhash",
 }
 
 
