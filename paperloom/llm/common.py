@@ -70,3 +70,27 @@ def list_array(lengths, values: pa.Array) -> pa.ListArray:
     ends = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def groups(batches, key: str):
+    """Tables of consecutive rows with one value of ``key``, from batches sorted by it."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        starts, stops = [0, *cuts.tolist()], [*cuts.tolist(), len(keys)]
+        if held and held[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(starts, stops):
+            if b < len(keys):
+                yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+                held = []
+            else:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -8,6 +8,8 @@ import importlib
 QUERIES = {
     "op1_decontaminate": "q_decontaminate",
     "op4_simhash": "q_simhash",
+    "op9_embedding_dups": "q_embedding",
+    "op2_langid": "q_langid",
 }
 
 
