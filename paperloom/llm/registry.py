@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": "q_simhash",
     "op9_embedding_dups": "q_embedding",
     "op2_langid": "q_langid",
+    "op3_lm_score": "q_lm",
 }
 
 
