@@ -43,15 +43,17 @@ def test_shards_share_every_link():
     base = [rng.getrandbits(64) for _ in range(400)]
     points = list({x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for x in base for _ in range(6)})
     x = np.array(points, np.uint64)
-    tree = S.plant(x[:800], len(x) / 800, 200, 3)
-    shards = [set(own.tolist()) for _, own in S.route(tree, x, 3)]
-    assert len(shards) > 4
+    shards = []
+    for half in S.HALVES:
+        tree = S.plant(x[:800] & half, len(x) / 800, 200, 1)
+        shards += [set(own.tolist()) for _, own in S.route(tree, x & half, 1)]
+    assert len(shards) > 8
     near = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
-    for a, b in near[near[:, 0] < near[:, 1]].tolist():
+    near = [(a, b) for a, b in near.tolist() if a < b]
+    for a, b in near:
         assert any(a in s and b in s for s in shards)
-    want = {frozenset(p) for p in near[near[:, 0] < near[:, 1]].tolist()}
-    got = S.shard_links(x, 3, cell=64)
-    assert {frozenset(p) for p in got} <= want
+    got = [p for half in S.HALVES for p in S.shard_links(x, 3, half, cell=64)]
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in near}
 
     def classes(links):
         up = list(range(len(x)))
@@ -69,7 +71,7 @@ def test_shards_share_every_link():
             out.append(i)
         return out
 
-    assert classes(got) == classes(map(tuple, want))
+    assert classes(got) == classes(near)
 
 
 def test_groups_match_brute_force(spark, monkeypatch):
