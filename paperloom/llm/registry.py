@@ -11,6 +11,7 @@ QUERIES = {
     "op9_embedding_dups": "q_embedding",
     "op2_langid": "q_langid",
     "op3_lm_score": "q_lm",
+    "op10_line_dedup": "q_lines",
 }
 
 
