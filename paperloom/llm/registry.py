@@ -12,6 +12,7 @@ QUERIES = {
     "op2_langid": "q_langid",
     "op3_lm_score": "q_lm",
     "op10_line_dedup": "q_lines",
+    "op5_repeats": "q_substrings",
 }
 
 
