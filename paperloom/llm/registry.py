@@ -13,6 +13,7 @@ QUERIES = {
     "op3_lm_score": "q_lm",
     "op10_line_dedup": "q_lines",
     "op5_repeats": "q_substrings",
+    "op8_token_counts": "q_token_counts",
 }
 
 
