@@ -115,10 +115,16 @@ def train(pairs: np.ndarray, size: int = SIZE, noise: int = 25, steps: int = 200
     p = {"r": rng.normal(0, 0.1, (n, size)), "c": np.eye(size) + rng.normal(0, 0.01, (size, size)), "b": np.log(unigram)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    real, both = np.empty_like(joint), joint + drawn
     for step in range(1, steps + 1):
         said = p["r"] @ p["c"]
-        real = 1 / (1 + np.exp(-np.clip(said @ p["r"].T + p["b"] - log_noise, -30, 30)))
-        g = joint * (1 - real) - drawn * real  # of the objective by each score
+        np.matmul(said, p["r"].T, out=real)
+        real += p["b"] - log_noise
+        np.clip(real, -30, 30, out=real)
+        np.exp(np.negative(real, out=real), out=real)
+        real += 1
+        np.divide(both, real, out=real)  # the chance that a cell's pair is a real one, times how often it is met
+        g = np.subtract(joint, real, out=real)  # of the objective by each score
         back = g @ p["r"]
         grad = {"r": g.T @ said + back @ p["c"].T, "c": p["r"].T @ back, "b": g.sum(axis=0)}
         grad["r"] -= decay / total * p["r"]
@@ -133,17 +139,40 @@ def train(pairs: np.ndarray, size: int = SIZE, noise: int = 25, steps: int = 200
 
 def table(p: dict) -> np.ndarray:
     """log10 probability of each symbol after each symbol; every row's probabilities sum to one."""
-    scores = (p["r"] @ p["c"] @ p["r"].T + p["b"]).astype(np.float64)
-    top = scores.max(axis=1, keepdims=True)
-    return (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)
+    out = (p["r"] @ p["c"] @ p["r"].T + p["b"]).astype(np.float64)
+    for at in range(0, len(out), 256):
+        rows = out[at : at + 256]
+        rows -= rows.max(axis=1, keepdims=True)
+        rows -= np.log(np.exp(rows).sum(axis=1, keepdims=True))
+    out /= np.log(10)
+    return out
+
+
+def _most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of the highest counts, ``most`` at most, in descending order, and their counts.
+
+    Where the cut is, is told by the numbers of words in narrow bands of the count, so tasks send
+    nothing but what is kept.
+    """
+    band = F.floor(F.log2("c") * 64)
+    sizes = sorted(((r["band"], r["n"]) for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 4096 bands at most
+    room, least = most, None
+    for at, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        least = at
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    got = counts.filter(band >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return [bytes(w) for w in got["word"]], got["c"].to_numpy(np.int64)
 
 
 def learn(docs: DataFrame, text: str = "text", n_words: int = WORDS, n_kinds: int = KINDS, n_known: int = KNOWN, held_most: int = HELD) -> dict:
     """The model from all rows of ``docs``. ``counts`` is the stored table of word counts."""
     counts = stored(count_words(docs, text, held_most), "words")
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    often = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(n_known).collect()  # a fixed number of words
-    known, c = [bytes(r["word"]) for r in often], np.array([r["c"] for r in often], np.int64)
+    known, c = _most_frequent(counts.filter(F.length("word") > 0), n_known)
     words = known[:n_words]
     rest = counts.filter(F.length("word") > 0)
     if words:
