@@ -14,6 +14,7 @@ QUERIES = {
     "op10_line_dedup": "q_lines",
     "op5_repeats": "q_substrings",
     "op8_token_counts": "q_token_counts",
+    "op6_sentencepiece": "q_segment",
 }
 
 
