@@ -15,6 +15,7 @@ QUERIES = {
     "op5_repeats": "q_substrings",
     "op8_token_counts": "q_token_counts",
     "op6_sentencepiece": "q_segment",
+    "op7_surrogates": "q_private",
 }
 
 
