@@ -97,9 +97,10 @@ def count_pairs(docs: DataFrame, text: str, words: list[bytes], kinds: int) -> n
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
 
-    got = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # size * size rows at most
+    got = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
     out = np.zeros(size * size, np.int64)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    for part in got.to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
     return out.reshape(size, size)
 
 
@@ -164,8 +165,8 @@ def _most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarra
         least = at
     if least is None:
         return [], np.zeros(0, np.int64)
-    got = counts.filter(band >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return [bytes(w) for w in got["word"]], got["c"].to_numpy(np.int64)
+    got = counts.filter(band >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    return got.column("word").to_pylist(), got.column("c").to_numpy()
 
 
 def learn(docs: DataFrame, text: str = "text", n_words: int = WORDS, n_kinds: int = KINDS, n_known: int = KNOWN, held_most: int = HELD) -> dict:
