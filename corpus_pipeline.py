@@ -1,10 +1,78 @@
-"""The training-text pipeline: stages over ``documents``, each written and read again by the next."""
+"""The training-text pipeline over ``documents``: each stage reads what the one before wrote.
+
+Languages are identified and what can't be told goes; repeated lines are cut; of near-duplicate
+documents one stays; contaminated documents go; what remains is tokenised. All stages but the last
+return the columns of ``documents``, with ``n_chars`` brought up to date where the text changed.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm.common import id_mod, stored
+from paperloom.llm.decontaminate import decontaminate
+from paperloom.llm.langid import UNKNOWN, identify, train
+from paperloom.llm.lines import dedup_lines
+from paperloom.llm.segment import encode
+from paperloom.llm.simhash import near_duplicates
+from paperloom.session import table
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Below this probability a prediction doesn't count.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told, by a model learned from the labelled ones."""
+    model = train(docs, "doc_id", "text", "lang", F.lit(True), id_mod("doc_id", 4) == 3)
+    found = identify(docs, model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that others have; a document may end up empty."""
+    found = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id; rows without an id stay."""
+    groups = stored(near_duplicates(docs), "groups")
+    goes = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(goes.hint("shuffle_hash"), "doc_id", "left_anti")
+    rows = groups.filter("doc_id = component_id").select("doc_id")
+    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows; else no shuffle is needed
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return kept.select(docs.columns)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document and two sampled segmentations."""
+    return encode(docs.select("doc_id", "text"), MODEL, samples=2).select("doc_id", "ids", "decodes", "samples")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", distinct_lines),
+    ("simhash_dedup", one_of_each_group),
+    ("decontaminate", clean_of_benchmark),
+    ("sentencepiece", tokens),
+]
+
+#: SQL has neither the learned model nor the hashes of the stages; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
