@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import list_array, slices, stored, text_bytes
+from paperloom.llm.common import dropped, list_array, slices, stored
 from paperloom.llm.suffix_array import suffix_array
 
 LENGTH, ANCHOR, STEP, CROWD, CHUNK = 400, 128, 16, 20_000, 1 << 20
@@ -193,13 +193,14 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     found = stored(rows.mapInArrow(anchors, f"id {kind}, th long, h long, s1 long, s2 long, at long, i long, j long, n long"), "anchors")
     often = found.filter("n > 0").groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").select("h")
     runs_ = stored(found.filter("n > 0").join(often, "h", "left_semi"), "runs")
+    sure = stored(found.filter("n = 0").select("id", "th", "i", "j"), "sure-runs")
+    dropped(found)
     distinct = runs_.groupBy("h", "s1", "s2").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "at", "i", "j")).alias("run"))
     distinct = stored(distinct, "distinct-runs")
     mixed = distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
     asked = distinct.join(mixed, "h", "left_semi").select("run.*", (F.col("n") == 1).alias("open"))
     asked = asked.groupBy("id", "th").agg(F.collect_list(F.struct("at", "i", "j", "open")).alias("asked"))  # the runs of one text
-
-    cut = rows.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.th") == F.col("a.th"))).select("d.id", "d.th", "d.text", "a.asked")
+    cut = rows.alias("d").join(asked.hint("shuffle_hash").alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.th") == F.col("a.th"))).select("d.id", "d.th", "d.text", "a.asked")
 
     def split(batches):
         for batch in batches:
@@ -230,9 +231,11 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             shown = repeated_windows([((r["c1"], r["c2"]), r["before"], r["after"], r["j"] - r["i"] + 1) for r in held], step)
             cols = ([], [], [], [])
             for r, windows in zip(held, shown):
-                if r["open"]:
-                    for w in windows:
-                        for c, v in zip(cols, (r["id"], r["th"], r["i"] + w, r["i"] + w)):
+                if r["open"] and windows:
+                    at = np.sort(windows)
+                    cuts = np.flatnonzero(np.diff(at) > 1)
+                    for first, last in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, -1)].tolist()):
+                        for c, v in zip(cols, (r["id"], r["th"], r["i"] + first, r["i"] + last)):
                             c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "th", "i", "j"])
 
@@ -259,9 +262,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     by_count = window.filter("open").join(seen, ["c1", "c2", "x", "y"], "left_semi").select("id", "th", F.col("w").alias("i"), F.col("w").alias("j"))
 
     whole = runs_.join(distinct.filter("n > 1").select("h", "s1", "s2"), ["h", "s1", "s2"], "left_semi").select("id", "th", "i", "j")
-    gone = whole.unionByName(found.filter("n = 0").select("id", "th", "i", "j")).unionByName(by_array).unionByName(by_count)
+    gone = whole.unionByName(sure).unionByName(by_array).unionByName(by_count)
     per_row = gone.groupBy("id", "th").agg(F.collect_list(F.struct("i", "j")).alias("gone"))  # the windows of one text
-    todo = rows.alias("d").join(per_row.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left").select("d.id", "d.text", "g.gone")
+    todo = rows.alias("d").join(per_row.hint("shuffle_hash").alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left").select("d.id", "d.text", "g.gone")
 
     def finish(batches):
         for batch in batches:
