@@ -3,9 +3,259 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
+from paperloom.functions import sections as S
+from paperloom.functions import text as X
+from paperloom.operators import context as C
+from paperloom.operators import evaluate as E
+from paperloom.operators import pages as P
+from paperloom.operators import search as R
+from paperloom.operators.models import nfkc
+from paperloom.params import DEFAULT
+from paperloom.plans import corpus as D
+from paperloom.plans import sql
+from paperloom.session import table
+from paperloom.sources import readers
+from paperloom.streaming import latency
+
+
+def route_pages(spark, d):
+    return P.route(D.pages(spark, d)).select("id", "route")
+
+
+def route_stats(spark, d):
+    return P.route_stats(P.cap_images(P.route(D.pages(spark, d)), 20))
+
+
+def image_cap_overflow(spark, d):
+    return P.cap_images(P.route(D.pages(spark, d)), 20).select("id", "route")
+
+
+def chunk_text(spark, d):
+    return P.chunks(P.cap_images(P.route(D.pages(spark, d)), 20), D.captions(spark, d))
+
+
+def doc_prefix(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.selectExpr("doc_id", f"CASE WHEN doc_id % 3 = 0 THEN {D.FILING_ID} ELSE {D.PAGE_ID} END AS page_id", "substring(text, 1, 40) AS document", "CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS section_title")
+    manifest = docs.filter("doc_id % 6 = 0").selectExpr("lpad(cast(doc_id as string), 14, '0') AS rcept_no", "concat('Report ', doc_id % 10, ' (2023.12)') AS report_nm")
+    return P.lexical_text(P.with_prefix(rows, manifest)).select("doc_id", "page_id", "prefix", "lexical_text")
+
+
+def page_no_content(spark, d):
+    return D.records(spark, d).select("id", S.no_content(F.col("document"), F.col("route")).alias("no_content"))
+
+
+def section_title(spark, d):
+    return D.records(spark, d).select("id", S.section_title(F.col("document")).alias("section_title"))
+
+
+def section_map(spark, d):
+    return P.section_map(D.records(spark, d))
+
+
+def section_stats(spark, d):
+    rows = D.records(spark, d)
+    return P.section_stats(rows, P.section_map(rows))
+
+
+def term_frequencies(spark, d):
+    return R.term_frequencies(D.documents(spark, d))
+
+
+def document_frequencies(spark, d):
+    return R.document_frequencies(R.term_frequencies(D.documents(spark, d)))
+
+
+def bm25_weights(spark, d):
+    return R.postings(D.documents(spark, d)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def bm25_topk(spark, d):
+    return R.lexical_top(D.documents(spark, d), D.queries(spark, d), DEFAULT.top_k)
+
+
+def vector_topk(spark, d):
+    all_ = table(spark, d, "embeddings")
+    asked = all_.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vec"))
+    return R.dense_top(all_, asked, DEFAULT.top_k)
+
+
+def hybrid_rrf(spark, d):
+    return R.search(D.documents(spark, d), D.vectors(spark, d), D.queries(spark, d), "doc_id")
+
+
+def hybrid_filtered_two_phase(spark, d):
+    barred = D.documents(spark, d).filter("doc_id % 3 = 0").select("doc_id")
+    return R.search(D.documents(spark, d), D.vectors(spark, d), D.queries(spark, d), "doc_id", D.FILTERED, barred)
+
+
+def _reranked(spark, d):
+    found = hybrid_rrf(spark, d).drop("score").join(D.queries(spark, d).select("qid", "query"), "qid").join(D.documents(spark, d), "doc_id")
+    return R.rerank(found, "doc_id")
+
+
+def rerank_topn(spark, d):
+    return _reranked(spark, d)
+
+
+def _page_ids(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{D.PAGE_ID} AS page_id")
+
+
+def neighbor_expand(spark, d):
+    ranked = _reranked(spark, d).join(_page_ids(spark, d), "doc_id")
+    kept = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d)).select("page_id")
+    return R.add_neighbor(ranked, P.section_map(D.records(spark, d)), kept)
+
+
+def context_pack(spark, d):
+    chunks = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d)).select("page_id", F.col("text_for_embedding").alias("text"), "source_file", "image_path")
+    ranked = _reranked(spark, d).join(_page_ids(spark, d), "doc_id").join(chunks, "page_id").select("qid", "rank", "text", "source_file", "image_path")
+    packed = C.pack(ranked, C.choose_images(ranked))
+    return packed.select("qid", "context", F.array_join("sources", ",").alias("sources"), "budget_left")
+
+
+def strip_abstention(spark, d):
+    said = f"CASE WHEN turn % 4 = 0 THEN concat(text, ' {X.ABSTAIN}.') WHEN turn % 4 = 1 THEN concat(text, chr(10), '{X.ABSTAIN}') WHEN turn % 4 = 2 THEN '{X.ABSTAIN}.' ELSE text END"
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", f"{said} AS answer")
+    return rows.select("conv_id", "turn", "role", X.without_abstention(F.col("answer")).alias("answer"))
+
+
+def degenerate_output(spark, d):
+    said = "CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN concat(repeat('a', 40), 'bcd') WHEN turn % 4 = 2 THEN substring(text, 1, 7) ELSE substring(text, 1, 300) END"
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", f"{said} AS answer")
+    return rows.select("conv_id", "turn", "role", X.degenerate(F.col("answer")).alias("degenerate"))
+
+
+def _gold_ranks(spark, d, ranked):
+    asked = D.gold(spark, d).filter("gold IS NOT NULL").selectExpr("qid", "gold", "concat('t', qid % 3) AS type", "concat('d', qid % 4) AS domain")
+    return E.gold_ranks(asked, ranked, "doc_id")
+
+
+def ir_metrics_by_group(spark, d):
+    return E.metrics_by_group(_gold_ranks(spark, d, bm25_topk(spark, d)), "type", "domain")
+
+
+def _systems(spark, d):
+    docs, asked = D.documents(spark, d), D.queries(spark, d)
+    dense = R.dense_top(D.vectors(spark, d), asked, DEFAULT.top_k, "doc_id")
+    lexical = R.lexical_top(docs, asked, DEFAULT.top_k)
+    fused = R.fuse(dense, lexical, "doc_id", DEFAULT.top_k)
+    return R.union([x.select("qid", F.lit(n).alias("system"), "doc_id", "rank", "score") for n, x in (("dense", dense), ("hybrid", fused), ("lexical", lexical))])
+
+
+def judge_pool(spark, d):
+    pooled = E.pool(_systems(spark, d), "doc_id")
+    ranks = F.array_join(F.transform(F.map_entries("ranks"), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",")
+    return pooled.select("qid", "doc_id", "first_system", ranks.alias("ranks"))
+
+
+def grade_upsert(spark, d):
+    pooled = E.pool(_systems(spark, d), "doc_id")
+    old = D.grades(spark, d, pooled).filter("doc_id % 2 = 0")
+    return E.merge_grades(old, pooled, "doc_id").select("qid", "doc_id", F.coalesce("grade", F.lit(-1)).alias("grade"))
+
+
+def _judged(spark, d):
+    ranked = _systems(spark, d)
+    asked = D.gold(spark, d).selectExpr("qid", "concat('c', qid % 2) AS corpus", "concat('t', qid % 3) AS type", "gold", "gold IS NOT NULL AS expect_answer")
+    return ranked, D.grades(spark, d, E.pool(ranked, "doc_id")), asked
+
+
+def judge_metrics(spark, d):
+    return E.judge_metrics(*_judged(spark, d), "doc_id")
+
+
+def no_answer_fp(spark, d):
+    return E.false_positives(*_judged(spark, d), "doc_id")
+
+
+def win_loss_tie(spark, d):
+    return E.win_loss(_gold_ranks(spark, d, hybrid_rrf(spark, d)), _gold_ranks(spark, d, bm25_topk(spark, d)))
+
+
+def abstain_signals(spark, d):
+    ranked, grades, _ = _judged(spark, d)
+    rows = ranked.filter("system = 'lexical'").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    out = E.abstain_signals(rows, grades, "doc_id", "source")
+    text = lambda c, n: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast(n), F.lit("-"))), ",")
+    return out.select("qid", "top_page", "top_score", F.coalesce("top_grade", F.lit(-1)).alias("top_grade"), "margin", "n_documents", text("grades", "string").alias("grades"))
+
+
+def latency_percentiles(spark, d):
+    return E.latency_summary(table(spark, d, "events"), "value", "event_type")
+
+
+def latency_windows(spark, d):
+    return latency.windowed(table(spark, d, "events"))
+
+
+def sparse_page_stats(spark, d):
+    return P.sparse_stats(D.pages(spark, d))
+
+
+def stratified_sample(spark, d):
+    return E.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 5, 20260917)
+
+
+def resume_worklist(spark, d):
+    return E.not_done(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+def dedupe_latest(spark, d):
+    log = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return E.latest(log, "user_id", "at", "event_type")
+
+
+def stop_phrase_filter(spark, d):
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 3 = 0 THEN concat('이 표 ', text) WHEN turn % 3 = 1 THEN '  ' ELSE text END AS query")
+    return E.usable_queries(rows, readers.STOP_PHRASES).select("conv_id", "turn", F.length("query").alias("n_chars"))
+
+
+def new_filings(spark, d):
+    listed = table(spark, d, "pages").selectExpr("cast(page_id % 50 as string) AS rcept_no", "CASE WHEN page_id % 4 = 0 THEN 'other' ELSE 'annual report' END AS report_nm", "concat('f', page_id, CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '.xls' END) AS name", "concat('https://x.example/a?rcp=', page_id % 50, '&dcm_no=', page_id) AS url")
+    known = listed.filter("name LIKE 'f1%'")
+    return readers.new_filings(listed, known, "annual", 3)
+
+
+def ocr_lookup(spark, d):
+    asked = D.captions(spark, d).select(F.col("page_id").alias("id"))
+    text = X.strip(F.coalesce(F.nullif("ocr", F.lit("")), "text", F.lit("")))
+    return D.pages(spark, d).join(asked, "id", "left_semi").select("id", text.alias("text"))
+
+
+def table_merge(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", "substring(text, 1, 50) AS raw", "CASE WHEN doc_id % 2 = 0 THEN '| a | b |' ELSE '' END AS tables")
+    return rows.select("doc_id", X.with_tables(F.col("raw"), F.col("tables")).alias("text"), X.first_line(F.col("raw")).alias("first_line"))
+
+
+def text_budget(spark, d):
+    return spark.range(4).select(F.col("id").alias("images"), C.text_budget(F.col("id").cast("int")).alias("budget"))
+
+
+def nfkc_context(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("ＡＢＣ１２３ ﬁ "), "text").alias("text"))
+    return rows.select("doc_id", nfkc("text").alias("text"))
+
+
+QUERIES = [
+    route_pages, route_stats, image_cap_overflow, chunk_text, doc_prefix, page_no_content, section_title, section_map, section_stats, term_frequencies, document_frequencies,
+    bm25_weights, bm25_topk, vector_topk, hybrid_rrf, hybrid_filtered_two_phase, rerank_topn, neighbor_expand, context_pack, strip_abstention, degenerate_output, ir_metrics_by_group,
+    judge_pool, grade_upsert, judge_metrics, no_answer_fp, win_loss_tie, abstain_signals, latency_percentiles, latency_windows, sparse_page_stats, stratified_sample, resume_worklist,
+    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context,
+]
+
+
 def queries() -> dict:
-    return {}
+    def widened(f):
+        return lambda spark, sf_dir: D.wide(f(spark, sf_dir))
+
+    return {f.__name__: widened(f) for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracles()
 
 
-def oracle_sql() -> dict:
-    return {}

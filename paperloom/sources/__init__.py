@@ -1 +1 @@
-"""Sources of the page-retrieval engine."""
+"""Readers and writers of page corpora, logs and reports."""
