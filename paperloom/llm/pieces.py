@@ -14,6 +14,7 @@ import re
 import numpy as np
 
 SPACE = "▁"
+HASH_BASE, HASH_MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Line breaks, words with the spaces before them, and other runs of spaces.
 UNITS = re.compile("\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
 
@@ -48,6 +49,59 @@ class Vocabulary:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.pool = np.frombuffer(b"".join(raw), np.uint8)
 
+        self._index()
+
+    def _index(self) -> None:
+        """A hash table of all endings of pieces, for looking up many strings at once."""
+        self.bits = max(16, (8 * len(self.endings)).bit_length())
+        mask = (1 << self.bits) - 1
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        hashes, pieces = [], []
+        for x in self.endings:
+            h = 0
+            for c in x:
+                h = (h * HASH_BASE + ord(c) + 1) & 2**64 - 1
+            at = h * HASH_MIX % 2**64 >> 64 - self.bits
+            while self.slots[at] >= 0:
+                at = at + 1 & mask
+            self.slots[at] = len(hashes)
+            hashes.append(h)
+            pieces.append(self.ids.get(x, -1))
+        if len(set(hashes)) < len(hashes):
+            raise ValueError("two endings of pieces have one hash")
+        self.hashes, self.piece_of = np.array(hashes, np.uint64), np.array(pieces, np.int64)
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the ending of each hash; -1 for none."""
+        at = (hashes * np.uint64(HASH_MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[at].astype(np.int64)
+        miss = np.flatnonzero((found >= 0) & (self.hashes[found] != hashes))
+        while len(miss):
+            at[miss] = (at[miss] + 1) & ((1 << self.bits) - 1)
+            found[miss] = self.slots[at[miss]]
+            miss = miss[(found[miss] >= 0) & (self.hashes[found[miss]] != hashes[miss])]
+        return found
+
+    def edges(self, codes: np.ndarray, place: np.ndarray):
+        """For each piece that ends at any of ``codes``: where, its length and its id, by ascending length.
+
+        ``place`` is each character's place in its unit; no piece crosses a unit's start.
+        """
+        at, h, power = np.arange(len(codes)), np.zeros(len(codes), np.uint64), np.uint64(1)
+        wide = codes.astype(np.uint64) + np.uint64(1)
+        for n in range(1, self.longest + 1):
+            fits = place[at] >= n - 1
+            at, h = at[fits], h[fits] + wide[at[fits] - (n - 1)] * power
+            found = self.look_up(h)
+            known = found >= 0
+            at, h, found = at[known], h[known], found[known]
+            if not len(at):
+                return
+            piece = self.piece_of[found]
+            real = piece >= 0
+            yield at[real], n, piece[real]
+            power = np.uint64(int(power) * HASH_BASE & 2**64 - 1)
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
 

@@ -22,6 +22,7 @@ the new names are replaced.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from paperloom.llm.common import list_array, slices
 from paperloom.llm.pieces import SPACE, Vocabulary, units, vocabulary
 
 #: Lattice places (characters of distinct units) that a worker keeps for the next rows.
-KEPT_PLACES = 600_000
+KEPT_PLACES = 1_200_000
 
 
 def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
@@ -57,93 +58,109 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.last: list[int] = []  # the place of a unit's last character
-        self.best: list[list[int]] = []
         self.chars = 0
+        self.last = np.zeros(0, np.int64)  # the place of each unit's last character
+        self.sizes = np.zeros(0, np.int64)
         self.edge_from = np.zeros(1, np.int64)
-        self.back, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.log_p, self.upto = np.zeros(0), np.zeros(0)
-        self.bytes_of: list[list[int]] = []  # pieces of a character that has none of its own
+        self.back, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.log_p, self.upto = np.zeros(0), np.zeros(0, np.float32)
+        self.best, self.best_from = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # Characters of several bytes that have no piece: their bytes' pieces, numbered on from the vocabulary.
         self.byte_number: dict[str, int] = {}
-        self.flat = None
+        self.byte_pieces, self.byte_from = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, texts: list[list[str]]) -> None:
         if self.chars > KEPT_PLACES:
             self.clear()
-        new = list(dict.fromkeys(u for t in texts for u in t if u not in self.number))
+        number = self.number
+        new = list({u for t in texts for u in t if u not in number})
         if not new:
             return
-        self.best += self.vocab.encode_units(new)
-        first_place, counts, back, piece, score = self.chars, [], [], [], []
-        ids, endings, longest = self.vocab.ids, self.vocab.endings, self.vocab.longest
-        weight, by_byte = (self.alpha * self.vocab.weights).tolist(), self.alpha * float(self.vocab.weights[self.vocab.bytes[0]])
-        starts = []
-        for unit in new:
-            self.number[unit] = len(self.number)
-            text = unit.replace(" ", SPACE)
-            starts.append(self.chars - first_place)
-            for end in range(1, len(text) + 1):
-                n = len(piece)
-                for start in range(end - 1, max(-1, end - longest - 1), -1):
-                    x = text[start:end]
-                    if x not in endings:
-                        break
-                    if (i := ids.get(x)) is not None:
-                        back.append(end - start)
-                        piece.append(i)
-                        score.append(weight[i])
-                c = text[end - 1]
-                if c not in ids:
-                    if c not in self.byte_number:
-                        self.byte_number[c] = len(self.bytes_of)
-                        self.bytes_of.append(self.vocab.fallback(c))
-                    back.append(1)
-                    piece.append(len(weight) + self.byte_number[c])
-                    score.append(by_byte * len(self.bytes_of[self.byte_number[c]]))
-                counts.append(len(piece) - n)
-            self.chars += len(text)
-            self.last.append(self.chars - 1)
-        self._sum_up(np.array(starts), np.array(counts), np.array(back), np.array(piece), np.array(score), first_place)
-
-    def _sum_up(self, starts, counts, back, piece, score, first_place) -> None:
-        """Forward sums over the new units, all their k-th places at once, and edge probabilities."""
+        number.update(zip(new, range(len(number), len(number) + len(new))))
+        encoded = self.vocab.encode_units(new)
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.best = np.concatenate((self.best, np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))))
+        self.best_from = np.concatenate((self.best_from, self.best_from[-1] + np.cumsum(counts)))
+
+        text = "".join(new).replace(" ", SPACE)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        parts = list(self.vocab.edges(codes, place))
+        alone = np.ones(len(codes), bool)
+        for at, n, _ in parts:
+            if n == 1:
+                alone[at] = False
+        alone = np.flatnonzero(alone)
+        weights = self.alpha * self.vocab.weights
+        counts = np.bincount(np.concatenate([alone, *(at for at, _, _ in parts)]), minlength=len(codes))
         edge_from = np.concatenate(([0], np.cumsum(counts)))
-        lengths = np.diff(np.append(starts, len(counts)))
-        forward, log_p, upto = np.zeros(len(counts)), np.empty(len(piece)), np.empty(len(piece))
+        filled, total = edge_from[:-1].copy(), int(edge_from[-1])
+        back, piece, score = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        if len(alone):
+            by_code = {c: self._bytes(chr(c)) for c in np.unique(codes[alone]).tolist()}
+            found = [by_code[c] for c in codes[alone].tolist()]
+            own = filled[alone]
+            back[own], piece[own], score[own] = 1, [p for p, _ in found], [w for _, w in found]
+            filled[alone] += 1
+        for at, n, ids in parts:
+            own = filled[at]
+            back[own], piece[own], score[own] = n, ids, weights[ids]
+            filled[at] += 1
+        self.last = np.concatenate((self.last, self.chars + starts + lengths - 1))
+        self.sizes = np.concatenate((self.sizes, lengths))
+        self._sum_up(starts, lengths, edge_from, back, piece, score)
+        self.chars += len(codes)
+
+    def _bytes(self, char: str) -> tuple[int, float]:
+        """The piece, real or numbered on, and the weight of a character that has none of its own."""
+        ids = self.vocab.fallback(char)
+        weight = self.alpha * float(self.vocab.weights[ids].sum())
+        if len(ids) == 1:
+            return ids[0], weight
+        if char not in self.byte_number:
+            self.byte_number[char] = len(self.byte_number)
+            self.byte_pieces = np.concatenate((self.byte_pieces, ids))
+            self.byte_from = np.append(self.byte_from, len(self.byte_pieces))
+        return len(self.vocab.weights) + self.byte_number[char], weight
+
+    def _sum_up(self, starts, lengths, edge_from, back, piece, score) -> None:
+        """Forward sums over the new units, all their k-th places at once, and edge probabilities."""
+        counts = np.diff(edge_from)
+        forward, log_p, upto = np.zeros(len(counts)), np.empty(len(piece)), np.empty(len(piece), np.float32)
         order = np.argsort(-lengths, kind="stable")
-        alive = len(order)
+        alive, ordered, begins = len(order), lengths[order], starts[order]
         for k in range(int(lengths.max(initial=0))):
-            while alive and lengths[order[alive - 1]] <= k:
-                alive -= 1
-            places = starts[order[:alive]] + k
+            alive = int(np.searchsorted(-ordered, -k, side="left"))
+            places = begins[:alive] + k
             n = counts[places]
-            heads = np.concatenate(([0], np.cumsum(n)[:-1]))
-            edges = np.repeat(edge_from[places] - heads, n) + np.arange(n.sum())
-            before = np.repeat(places, n) - back[edges]
-            whole = score[edges] + np.where(back[edges] > k, 0.0, forward[before])
+            heads = np.cumsum(n) - n
+            of = np.repeat(np.arange(alive), n)
+            edges = np.arange(len(of)) + (edge_from[places] - heads)[of]
+            steps = back[edges]
+            whole = score[edges] + np.where(steps > k, 0.0, forward[places[of] - steps])
             top = np.maximum.reduceat(whole, heads)
-            mass = np.exp(whole - np.repeat(top, n))
-            sums = np.cumsum(mass)
-            base = np.repeat(sums[heads] - mass[heads], n)
+            mass = np.exp(whole - top[of])
             total = np.add.reduceat(mass, heads)
-            forward[places] = top + np.log(total)
-            log_p[edges] = whole - np.repeat(forward[places], n)
-            upto[edges] = np.minimum((sums - base) / np.repeat(total, n), 1.0)
-        upto[edge_from[1:] - 1] = 1.0
+            forward[places] = ends = top + np.log(total)
+            log_p[edges] = whole - ends[of]
+            share, sums, some, j = mass / total[of], np.zeros(len(n)), np.arange(len(n)), 0
+            while len(some):  # the j-th edge of each place; no sum depends on other places
+                sums[some] += share[heads[some] + j]
+                upto[edges[heads[some] + j]] = sums[some]
+                j += 1
+                some = some[n[some] > j]
+        upto[edge_from[1:] - 1] = 2.0  # more than any random number
         self.edge_from = np.concatenate((self.edge_from, self.edge_from[-1] + edge_from[1:]))
         self.back, self.piece = np.concatenate((self.back, back)), np.concatenate((self.piece, piece))
         self.log_p = np.concatenate((self.log_p, log_p))
-        self.upto = np.concatenate((self.upto, upto + np.repeat(np.arange(first_place, first_place + len(counts)), counts)))
-        self.flat = None
+        self.upto = np.concatenate((self.upto, upto))
 
     def best_ids(self, numbers: np.ndarray) -> np.ndarray:
-        if self.flat is None:
-            n = np.fromiter(map(len, self.best), np.int64, len(self.best))
-            self.flat = np.fromiter((i for x in self.best for i in x), np.int32, int(n.sum())), np.cumsum(n) - n, n
-        pool, starts, n = self.flat
-        n, starts = n[numbers], starts[numbers]
-        ends = np.cumsum(n)
-        return pool[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        starts = self.best_from[numbers]
+        n = self.best_from[numbers + 1] - starts
+        return self.best[spread(starts, n)]
 
     def walk(self, place: np.ndarray, left: np.ndarray, key: np.ndarray, draw: int, seat: np.ndarray):
         """Paths from each place to its unit's start: (walk, edge) pairs in the order of choice.
@@ -152,30 +169,50 @@ class Lattices:
         """
         who, edges = [], []
         now = np.flatnonzero(left > 0)
-        place, left = place.copy(), left.copy()
+        place, left, key, seat = place[now], left[now], key[now], seat[now].astype(np.int64) << 20
         while len(now):
-            p = place[now]
-            u = uniform(key[now], draw, (seat[now] << 20) + left[now])
-            e = np.minimum(np.searchsorted(self.upto, p + u, side="left"), self.edge_from[p + 1] - 1)
-            e = np.maximum(e, self.edge_from[p])
+            u = uniform(key, draw, seat + left)
+            e = self.edge_from[place]
+            on = np.flatnonzero(self.upto[e] < u)
+            while len(on):
+                e[on] += 1
+                on = on[self.upto[e[on]] < u[on]]
             who.append(now)
             edges.append(e)
-            place[now] -= self.back[e]
-            left[now] -= self.back[e]
-            now = now[left[now] > 0]
+            back = self.back[e]
+            left = left - back
+            more = np.flatnonzero(left > 0)
+            now, left, place, key, seat = now[more], left[more], (place - back)[more], key[more], seat[more]
         if not who:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         who, edges = np.concatenate(who), np.concatenate(edges)
         order = np.argsort(who, kind="stable")
         return who[order], edges[order]
 
+    def piece_lengths(self, pieces: np.ndarray) -> np.ndarray:
+        """Of how many pieces each one stands for."""
+        size = len(self.vocab.weights)
+        n, odd = np.ones(len(pieces), np.int64), np.flatnonzero(pieces >= size)
+        which = pieces[odd] - size
+        n[odd] = self.byte_from[which + 1] - self.byte_from[which]
+        return n
+
     def expand(self, pieces: np.ndarray) -> np.ndarray:
-        """Pieces with each character that has none replaced by its bytes' pieces."""
+        """Pieces, with each that is numbered on replaced by its bytes' pieces."""
         size = len(self.vocab.weights)
-        odd = pieces >= size
-        if not odd.any():
+        odd = np.flatnonzero(pieces >= size)
+        if not len(odd):
             return pieces
-        return np.array([i for p in pieces.tolist() for i in (self.bytes_of[p - size] if p >= size else (p,))], np.int64)
+        n, which = self.piece_lengths(pieces), pieces[odd] - size
+        out = np.repeat(pieces.astype(np.int64), n)
+        out[spread((np.cumsum(n) - n)[odd], n[odd])] = self.byte_pieces[spread(self.byte_from[which], n[odd])]
+        return out
+
+
+def spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``n`` of each."""
+    ends = np.cumsum(n)
+    return np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def truncated(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
@@ -191,80 +228,114 @@ def log_inclusion(log_p: float, next_value: float) -> float:
     return 0.0 if x > 4 else float(x) if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-class Search:
-    """The k segmentations of highest perturbed value of one text."""
-
-    def __init__(self, lattices: Lattices, numbers: np.ndarray, key: int):
-        self.l, self.numbers, self.key = lattices, numbers, np.uint64(key)
-        self.last = np.array(lattices.last, np.int64)[numbers] if len(numbers) else np.zeros(0, np.int64)
-
-    def run(self, first: tuple[np.ndarray, np.ndarray], lengths: np.ndarray, k: int) -> list[dict]:
-        """``first``: the unit and the edge of each choice of the first path."""
-        l, draw, keyed = self.l, 0, lambda n: np.full(n, self.key, np.uint64)  # noqa: E741, E731
-        value = float(-np.log(-np.log(uniform(keyed(1), 10_000, np.zeros(1, np.int64))))[0])
-        paths, found = [], []
-        unit, edge, barred = *first, {}
-        queue = []  # (highest value, its path, values of the sets where paths leave it, choices barred there)
-        while True:
-            steps = l.log_p[edge]
-            before = np.concatenate(([0.0], np.cumsum(steps)))
-            found.append({"unit": unit, "edge": edge, "log_p": float(before[-1]), "value": value})
-            # What differs from the path first at choice i, besides what is barred there.
-            free = -np.expm1(np.minimum(steps, 0.0))
-            for i, others in barred.items():
-                free[i] = max(0.0, 1.0 - float(np.exp(l.log_p[[edge[i], *others]]).sum()))
-            place = self._places(unit, edge, lengths)
-            single = l.edge_from[place + 1] - l.edge_from[place] == 1
-            free[single] = 0.0
-            for i, others in barred.items():
-                if l.edge_from[place[i] + 1] - l.edge_from[place[i]] <= 1 + len(others):
-                    free[i] = 0.0
-            start = min(barred, default=0)  # before the choice where it left its parent all sets are the parent's
-            with np.errstate(divide="ignore"):
-                location = before[:-1] + np.log(free)
-            location[:start] = -np.inf
-            values = truncated(location, value, uniform(keyed(len(edge)), 20_000 + draw, np.arange(len(edge))))
-            paths.append((unit, edge, place))
-            queue.append((values, barred))
-            tops = [float(v.max(initial=-np.inf)) for v, _ in queue]
-            best = int(np.argmax(tops))
-            if len(found) == k or tops[best] == -np.inf:
-                return self._done(found, tops[best])
-            value = tops[best]
-            values, known = queue[best]
+def draw_samples(lattices: Lattices, numbers: list[np.ndarray], lengths: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[dict]]:
+    """The ``k`` segmentations of highest perturbed value of each text, all texts a round at once.
+
+    ``numbers`` and ``lengths`` are those of each text's units.
+    """
+    l = lattices  # noqa: E741
+    rows = [r for r, n in enumerate(numbers) if len(n)] if k else []
+    found: list[list[dict]] = [[] for _ in numbers]
+    if not rows:
+        return found
+    last = {r: l.last[numbers[r]] for r in rows}
+    one = keys[rows]
+    value = dict(zip(rows, (-np.log(-np.log(uniform(one, 10_000, np.zeros(len(one), np.int64))))).tolist()))
+    sizes = np.array([len(numbers[r]) for r in rows])
+    who, edges = l.walk(np.concatenate([last[r] for r in rows]), np.concatenate([lengths[r] for r in rows]), np.repeat(one, sizes), 0, np.concatenate([np.arange(n) for n in sizes]))
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(who, np.concatenate(([0], ends)))
+    now = {r: (who[a:b] - (e - n), edges[a:b], {}) for r, a, b, e, n in zip(rows, cuts[:-1], cuts[1:], ends, sizes)}
+    paths: dict[int, list] = {r: [] for r in rows}
+    for draw in range(k):
+        opened = _open(l, now, last, lengths, keys, value, draw)
+        wanted, following = [], {}
+        for r, (unit, edge, barred) in now.items():
+            place, values, log_p, ids = opened[r]
+            found[r].append({"ids": ids, "log_p": log_p, "value": value[r]})
+            paths[r].append((unit, edge, place, values, barred, float(values.max())))
+            best = max(paths[r], key=lambda p: p[5])
+            if draw == k - 1 or best[5] == -np.inf:
+                for f in found[r]:
+                    f["log_inclusion"] = 0.0 if best[5] == -np.inf else log_inclusion(f["log_p"], best[5])
+                continue
+            # The set of the highest value: paths that share the first i choices of ``best`` and not the next.
+            value[r] = best[5]
+            unit, edge, place, values, known, _ = best
             i = int(values.argmax())
             values[i] = -np.inf
-            draw += 1
-            unit, edge, barred = self._leave(*paths[best], i, [int(paths[best][1][i]), *known.get(i, [])], lengths, draw)
-
-    def _places(self, unit, edge, lengths):
-        """The place at which each choice was made: the unit's last, less what the choices before took."""
-        gone = np.concatenate(([0], np.cumsum(self.l.back[edge])))[:-1]
-        base = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        return self.last[unit] - (gone - base[unit])
-
-    def _leave(self, unit, edge, place, i, barred, lengths, draw):
-        """A path of the set that shares the first i choices and takes none of ``barred`` then."""
-        l = self.l  # noqa: E741
-        p, u = int(place[i]), int(unit[i])
-        options = [e for e in range(int(l.edge_from[p]), int(l.edge_from[p + 1])) if e not in barred]
-        weights = np.exp(l.log_p[options])
-        at = float(uniform(np.full(1, self.key, np.uint64), 30_000 + draw, np.zeros(1, np.int64))[0]) * weights.sum()
-        chosen = options[min(int(np.searchsorted(np.cumsum(weights), at)), len(options) - 1)]
-        rest = np.arange(u, len(self.numbers))
-        places, left = self.last[rest].copy(), lengths[rest].copy()
-        done = int(self.last[u]) - p + int(l.back[chosen])
-        places[0] -= done
-        left[0] -= done
-        who, more = l.walk(places, left, np.full(len(rest), self.key, np.uint64), 40_000 + draw, rest)
-        return np.concatenate((unit[:i], [u], who + u)), np.concatenate((edge[:i], [chosen], more)), {i: barred}
-
-    def _done(self, found, next_value):
-        for f in found:
-            backwards = np.lexsort((-np.arange(len(f["edge"])), f["unit"]))
-            f["ids"] = self.l.expand(self.l.piece[f["edge"][backwards]])
-            f["log_inclusion"] = 0.0 if next_value == -np.inf else log_inclusion(f["log_p"], next_value)
-        return found
+            at = next(n for n, p in enumerate(paths[r]) if p is best)
+            paths[r][at] = (*best[:5], float(values.max()))
+            out = [int(edge[i]), *known.get(i, [])]
+            p, u = int(place[i]), int(unit[i])
+            options = [e for e in range(int(l.edge_from[p]), int(l.edge_from[p + 1])) if e not in out]
+            weights = np.cumsum(np.exp(l.log_p[options]))
+            x = float(uniform(keys[r : r + 1], 30_000 + draw, np.zeros(1, np.int64))[0]) * weights[-1]
+            chosen = options[min(int(np.searchsorted(weights, x)), len(options) - 1)]
+            places, left = last[r][u:].copy(), lengths[r][u:].copy()
+            done = int(last[r][u]) - p + int(l.back[chosen])
+            places[0] -= done
+            left[0] -= done
+            wanted.append((r, places, left, u))
+            following[r] = (unit[:i], edge[:i], u, chosen, {i: out})
+        if not wanted:
+            break
+        sizes = np.array([len(w[1]) for w in wanted])
+        seats = np.concatenate([np.arange(w[3], w[3] + n) for w, n in zip(wanted, sizes)])
+        who, edges = l.walk(np.concatenate([w[1] for w in wanted]), np.concatenate([w[2] for w in wanted]), np.repeat(keys[[w[0] for w in wanted]], sizes), 40_000 + draw, seats)
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(who, np.concatenate(([0], ends)))
+        now = {}
+        for (r, _, _, _), a, b, e, n in zip(wanted, cuts[:-1], cuts[1:], ends, sizes):
+            unit, edge, u, chosen, barred = following[r]
+            now[r] = (np.concatenate((unit, [u], who[a:b] - (e - n) + u)), np.concatenate((edge, [chosen], edges[a:b])), barred)
+    return found
+
+
+def _open(l: Lattices, now: dict, last: dict, lengths: list, keys: np.ndarray, value: dict, draw: int) -> dict:  # noqa: E741
+    """For the path of each row: the places of its choices, the values of the sets that leave it at each
+    choice (less what is barred there), its log-probability and its piece ids."""
+    rows = list(now)
+    n = np.array([len(now[r][1]) for r in rows])
+    ends = np.cumsum(n)
+    begins = ends - n
+    unit, edge = np.concatenate([now[r][0] for r in rows]), np.concatenate([now[r][1] for r in rows])
+    of = np.repeat(np.arange(len(rows)), n)
+    steps, back = l.log_p[edge], l.back[edge].astype(np.int64)
+    gone, sums = np.cumsum(back), np.empty(len(steps))
+    for a, b in zip(begins.tolist(), ends.tolist()):  # no sum depends on other rows
+        np.cumsum(steps[a:b], out=sums[a:b])
+    before = np.concatenate(([0.0], sums[:-1]))
+    before[begins] = 0.0
+    taken = gone - back - (gone - back)[begins][of]
+    # Where the units begin in the flat list: choices come unit by unit.
+    base = np.concatenate([np.concatenate(([0], np.cumsum(lengths[r])))[:-1][now[r][0]] for r in rows])
+    place = np.concatenate([last[r][now[r][0]] for r in rows]) - (taken - base)
+    free = -np.expm1(np.minimum(steps, 0.0))
+    width = l.edge_from[place + 1] - l.edge_from[place]
+    free[width == 1] = 0.0
+    for r, a in zip(rows, begins.tolist()):
+        for i, others in now[r][2].items():
+            at = a + i
+            rest = width[at] - 1 - len(others)
+            free[at] = max(0.0, 1.0 - float(np.exp(l.log_p[[edge[at], *others]]).sum())) if rest > 0 else 0.0
+    with np.errstate(divide="ignore"):
+        location = before + np.log(free)
+    for r, a in zip(rows, begins.tolist()):
+        if now[r][2]:  # before the choice where it left its parent all sets are the parent's
+            location[a : a + min(now[r][2])] = -np.inf
+    bound = np.array([value[r] for r in rows])[of]
+    values = truncated(location, bound, uniform(keys[rows][of], 20_000 + draw, np.arange(len(edge)) - begins[of]))
+    # Within a unit pieces were chosen from its end.
+    turn = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (of[1:] != of[:-1]))))
+    size = np.diff(np.append(turn, len(unit)))
+    back_to_front = np.repeat(2 * turn + size - 1, size) - np.arange(len(unit))
+    pieces = l.piece[edge[back_to_front]].astype(np.int64)
+    long = l.piece_lengths(pieces)
+    ids, id_ends = l.expand(pieces), np.cumsum(long)[ends - 1]
+    id_begins = np.concatenate(([0], id_ends[:-1]))
+    totals = sums[ends - 1]
+    return {r: (place[a:b], values[a:b], float(t), ids[c:d]) for r, a, b, t, c, d in zip(rows, begins, ends, totals, id_begins, id_ends)}
 
 
 def row_keys(column: pa.Array, seed: int) -> np.ndarray:
@@ -299,26 +370,13 @@ def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "te
                 cut = [units(t) for t in texts]
                 lattices.learn(cut)
                 numbers = [np.fromiter(map(lattices.number.__getitem__, c), np.int64, len(c)) for c in cut]
-                counts = np.array([len(c) for c in cut])
-                lengths = np.array([len(u) for c in cut for u in c], np.int64)
-                seats = np.concatenate([np.arange(n) for n in counts]) if len(counts) else np.zeros(0, np.int64)
-                flat = np.concatenate(numbers) if len(numbers) else np.zeros(0, np.int64)
-                ends = np.cumsum(counts)
-                last = np.array(lattices.last, np.int64)[flat]
-                who, edges = lattices.walk(last, lengths, np.repeat(keys, counts), 0, seats) if samples else (np.zeros(0, np.int64),) * 2
-                cuts = np.searchsorted(who, np.concatenate(([0], ends)))
-                best, right, drawn, drawn_counts = [], [], [], []
+                lengths = [lattices.sizes[n] for n in numbers]
+                got = draw_samples(lattices, numbers, lengths, keys, samples)
+                best, right, drawn, drawn_counts = [], [], [x for g in got for x in g], [len(g) for g in got]
                 for k, t in enumerate(texts):
                     ids = lattices.best_ids(numbers[k])
                     best.append(ids)
                     right.append(lattices.vocab.decode(ids) == (t or "").replace(SPACE, " ").encode())
-                    got = []
-                    if samples and counts[k]:
-                        at = ends[k] - counts[k]
-                        own = slice(cuts[k], cuts[k + 1])
-                        got = Search(lattices, numbers[k], keys[k]).run((who[own] - at, edges[own]), lengths[at : ends[k]], samples)
-                    drawn += got
-                    drawn_counts.append(len(got))
                 whole = lambda xs: pa.array(np.concatenate(xs).astype(np.int32) if xs else np.zeros(0, np.int32))
                 each = list_array([len(s["ids"]) for s in drawn], whole([s["ids"] for s in drawn]))
                 fields = [each, *(pa.array([s[x] for s in drawn], pa.float64()) for x in ("log_p", "value", "log_inclusion"))]

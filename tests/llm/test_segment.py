@@ -43,9 +43,7 @@ def draw(text, vocab, key, k):
     lattices.learn([cut])
     numbers = np.array([lattices.number[u] for u in cut])
     lengths = np.array([len(u) for u in cut])
-    keys = np.full(len(cut), key, np.uint64)
-    first = lattices.walk(np.array(lattices.last)[numbers], lengths, keys, 0, np.arange(len(cut)))
-    return S.Search(lattices, numbers, key).run(first, lengths, k)
+    return S.draw_samples(lattices, [numbers], [lengths], np.array([key], np.uint64), k)[0]
 
 
 def test_samples_follow_the_distribution(vocab):
