@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed(rows: DataFrame, time: str = "ts", key: str = "event_type", length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and means for each window and key; the same plan for a batch and for a stream."""
-    timed = rows.withWatermark(time, late) if rows.isStreaming else rows
+    timed = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if rows.isStreaming else rows
     out = timed.groupBy(F.window(time, length), key).agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("largest"))
     return out.select(F.col("window.start").alias("window_start"), key, "n", "mean", "largest")
 
