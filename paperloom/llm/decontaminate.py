@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import LOWER, list_array, slices, text_bytes, with_row
+from paperloom.llm.common import LOWER, list_array, slices, stored, text_bytes, with_row
 
 #: Separators (all ASCII but digits and letters) become spaces; A-Z become a-z. Lengths stay.
 NORMAL = bytes(
@@ -53,16 +53,16 @@ def build(items: list[tuple[str, bytes | None]], size: int) -> tuple:
     return automaton if windows else None, list(windows.values())
 
 
-def scan(text: bytes | None, automaton, windows: list) -> tuple[int, np.ndarray, set, np.ndarray]:
-    """Number of words, numbers of the hit words, items hit, byte spans of the hit runs."""
+def scan(text: bytes | None, automaton, windows: list) -> tuple[int, np.ndarray, set]:
+    """Number of words, numbers of the hit words, items hit."""
     words = item_words(text)
     none = np.empty(0, np.int64)
     if automaton is None or not words:
-        return len(words), none, set(), none.reshape(0, 2)
+        return len(words), none, set()
     line = " " + b" ".join(words).decode("latin-1") + " "
     found = list(automaton.iter(line))
     if not found:
-        return len(words), none, set(), none.reshape(0, 2)
+        return len(words), none, set()
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     stops = np.cumsum(lengths + 1)  # where the space after each word is
     ends = np.searchsorted(stops, np.array([at for at, _ in found])) + 1
@@ -70,13 +70,27 @@ def scan(text: bytes | None, automaton, windows: list) -> tuple[int, np.ndarray,
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, ends - sizes, 1)
     np.add.at(change, ends, -1)
-    covered = np.cumsum(change[:-1]) > 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
-    runs = edges.reshape(-1, 2)
-    spaced = np.frombuffer(text.translate(NORMAL), np.uint8) != 0x20  # where the words are in the text itself
+    return len(words), np.flatnonzero(np.cumsum(change[:-1]) > 0), set().union(*(windows[k][1] for _, k in found))
+
+
+def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
+    """Character spans, in the text as it is, of the runs of the words numbered ``hit``."""
+    if not len(hit):
+        return []
+    cuts = np.flatnonzero(np.diff(hit) > 1)
+    first, last = hit[np.append(0, cuts + 1)], hit[np.append(cuts, -1)]
+    spaced = np.frombuffer(text.translate(NORMAL), np.uint8) != 0x20  # as long as the text
     turns = np.flatnonzero(np.diff(np.concatenate(([0], spaced, [0]))))
-    spans = np.stack((turns[0::2][runs[:, 0]], turns[1::2][runs[:, 1] - 1]), axis=1)
-    return len(words), np.flatnonzero(covered), set().union(*(windows[k][1] for _, k in found)), spans
+    out = []
+    for a, b in zip(turns[0::2][first].tolist(), turns[1::2][last].tolist()):
+        start = len(text[:a].decode("utf-8", "replace"))
+        out.append((start, start + len(text[a:b].decode("utf-8", "replace"))))
+    return out
+
+
+def _span_array(spans: list[list[tuple[int, int]]]) -> pa.ListArray:
+    pairs = np.array([p for s in spans for p in s], np.int32).reshape(-1, 2)
+    return list_array([len(s) for s in spans], pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"]))
 
 
 def _scanner(shared, size: int, key: str, text_at: str, schema: pa.Schema):
@@ -87,25 +101,16 @@ def _scanner(shared, size: int, key: str, text_at: str, schema: pa.Schema):
         automaton, windows = _automata[key]
         for batch in batches:
             for part in slices(batch):
-                n_words, hit, items, spans, counts = [], [], [], [], [[], [], []]
+                n_words, hit, items, n_items, spans = [], [], [], [], []
                 for text in text_bytes(part.column(text_at)):
-                    n, at, ids, runs = scan(text, automaton, windows)
+                    n, at, ids = scan(text, automaton, windows)
                     n_words.append(n)
                     hit.append(at)
                     items.extend(sorted(ids))
-                    for a, b in runs:
-                        start = len(text[:a].decode("utf-8", "replace"))
-                        spans.append((start, start + len(text[a:b].decode("utf-8", "replace"))))
-                    for out, x in zip(counts, (at, ids, runs)):
-                        out.append(len(x))
-                pairs = np.array(spans, np.int32).reshape(-1, 2)
-                cut = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"])
-                new = [
-                    pa.array(n_words, pa.int64()),
-                    list_array(counts[0], pa.array(np.concatenate(hit or [[]]).astype(np.int32))),
-                    list_array(counts[1], pa.array(items, pa.string())),
-                    list_array(counts[2], cut),
-                ]
+                    n_items.append(len(ids))
+                    spans.append(original_spans(text, at))
+                words = np.concatenate(hit).astype(np.int32) if hit else np.empty(0, np.int32)
+                new = [pa.array(n_words, pa.int64()), list_array([len(x) for x in hit], pa.array(words)), list_array(n_items, pa.array(items, pa.string())), _span_array(spans)]
                 kept = [part.column(x) for x in schema.names[: -len(new)]]
                 yield pa.RecordBatch.from_arrays(kept + new, names=schema.names)
 
@@ -151,17 +156,25 @@ def decontaminate(
     if blocks == 1:
         out = hits(base, 0)
     else:
-        base = with_row(base)
+        base = stored(with_row(base), "rows")  # each block reads the same keys, whatever its splits
         few = base.select("_row", text)
         each = [hits(few, b).drop(text) for b in range(blocks)]
         joined = each[0]
         for more in each[1:]:
             joined = joined.unionByName(more)
         flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  one list for each block
-        merged = joined.groupBy("_row").agg(
-            F.max("n_words").alias("n_words"), flat("hit_words").alias("hit_words"), flat("item_ids").alias("item_ids"), flat("spans").alias("spans")
-        )
-        out = base.join(merged, "_row").drop("_row")
+        merged = joined.groupBy("_row").agg(F.max("n_words").alias("n_words"), flat("hit_words").alias("hit_words"), flat("item_ids").alias("item_ids"))
+        both = base.join(merged, "_row").drop("_row")
+        schema = T.StructType(both.schema.fields + T._parse_datatype_string("spans array<struct<start:int,end:int>>").fields)
+        names = to_arrow_schema(schema).names
+
+        def locate(batches):
+            for batch in batches:
+                for part in slices(batch):
+                    hit = [np.array(x, np.int64) for x in part.column("hit_words").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns, _span_array([original_spans(t, h) for t, h in zip(text_bytes(part.column(text)), hit)])], names=names)
+
+        out = both.mapInArrow(locate, schema)
     out = out.withColumns({"n_hit": F.size("hit_words").cast("long"), "n_items": F.size("item_ids").cast("long")})
     rule = (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
     return out.withColumn("contaminated", rule).drop("hit_words")
