@@ -1,8 +1,8 @@
 """Vocabulary, units and unigram weights of a SentencePiece model with byte fallback.
 
-The model's text is the input with each space as U+2581 and one more in front. No piece of it may
-hold U+2581 after another character, or a line break; so neither encoding nor any segmentation
-crosses the borders of the units that ``UNITS`` finds, and each distinct unit is worked out once.
+The model's text is the input with each space as U+2581 and one more in front. It is cut into units
+where no piece of the vocabulary reaches across (which is checked for each model), so neither the
+encoding nor any segmentation does, and each distinct unit is worked out once.
 The model's scores are ranks, not probabilities: a piece of rank r weighs 1 / (r + 10), Zipf's
 law, and a byte of the fallback weighs as much as the last rank.
 """
@@ -10,13 +10,14 @@ law, and a byte of the fallback weighs as much as the last rank.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 SPACE = "▁"
 HASH_BASE, HASH_MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Line breaks, words with the spaces before them, and other runs of spaces.
-UNITS = re.compile("\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
+UNITS = re.compile("\\n|[ ▁]*[^ ▁\\n]+|[ ▁]+")
 
 
 class Vocabulary:
@@ -32,8 +33,9 @@ class Vocabulary:
             raise ValueError("the model has no byte fallback")
         plain = [i for i in range(size) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         self.ids = {p.id_to_piece(i): i for i in plain}
-        if any("\n" in x or SPACE in x.lstrip(SPACE) for x in self.ids):
+        if any("\n" in x or len(UNITS.findall(x)) > 1 for x in self.ids):
             raise ValueError("a piece crosses the borders of units")
+        self.line_break = self.bytes[10]
         self.weights = np.full(size, -np.log(size + 10.0))
         for i in plain:
             self.weights[i] = -np.log(10.0 - p.get_score(i))
@@ -105,9 +107,24 @@ class Vocabulary:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """The model's own encoding of each unit, as it is after a line break."""
-        return [ids[2:] for ids in self.processor.encode(["\n" + u for u in units], num_threads=1)]
+    def units(self, text: str | None) -> list[str]:
+        return UNITS.findall(" " + text) if text else []
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of the model's own encoding of all units, and how many each has.
+
+        Units are encoded many at a time with a line break before each, which no piece crosses.
+        """
+        lines = ["\n" + "\n".join(u if u != "\n" else "" for u in units[at : at + 500]) for at in range(0, len(units), 500)]
+        ids = np.fromiter(chain.from_iterable(x[1:] for x in self.processor.encode(lines, num_threads=1)), np.int32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        counts = np.diff(np.append(breaks, len(ids))) - 1
+        for k in (k for k, u in enumerate(units) if u == "\n"):  # the break itself is the unit
+            ids = np.insert(ids, int(counts[:k].sum()) + k + 1, self.line_break)
+            counts[k] = 1
+        keep = np.ones(len(ids), bool)
+        keep[np.cumsum(counts + 1) - counts - 1] = False
+        return ids[keep], counts
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes, without the space that the model puts in front."""
@@ -130,7 +147,3 @@ def vocabulary(shared) -> Vocabulary:
         _loaded.clear()
         _loaded[key] = Vocabulary(shared.value)
     return _loaded[key]
-
-
-def units(text: str | None) -> list[str]:
-    return UNITS.findall(" " + text) if text else []

@@ -22,18 +22,18 @@ the new names are replaced.
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paperloom.llm.common import list_array, slices
-from paperloom.llm.pieces import SPACE, Vocabulary, units, vocabulary
+from paperloom.llm.common import list_array
+from paperloom.llm.pieces import SPACE, Vocabulary, vocabulary
 
 #: Lattice places (characters of distinct units) that a worker keeps for the next rows.
-KEPT_PLACES = 1_200_000
+KEPT_PLACES = 3_000_000
 
 
 def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
@@ -45,6 +45,19 @@ def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class Numbers(dict):
+    """Consecutive numbers of units; ``new`` has those numbered lately."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Lattices:
     """Lattices of distinct units. A place is the end of one of a unit's characters.
 
@@ -57,7 +70,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.chars = 0
         self.last = np.zeros(0, np.int64)  # the place of each unit's last character
         self.sizes = np.zeros(0, np.int64)
@@ -69,17 +82,21 @@ class Lattices:
         self.byte_number: dict[str, int] = {}
         self.byte_pieces, self.byte_from = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the units of each text; new ones are added, all at once."""
         if self.chars > KEPT_PLACES:
             self.clear()
-        number = self.number
-        new = list({u for t in texts for u in t if u not in number})
-        if not new:
-            return
-        number.update(zip(new, range(len(number), len(number) + len(new))))
-        encoded = self.vocab.encode_units(new)
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.best = np.concatenate((self.best, np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))))
+        look_up = self.number.__getitem__
+        numbers = [np.fromiter(map(look_up, t), np.int64, len(t)) for t in texts]
+        new = self.number.new
+        if new:
+            self._add(new)
+            new.clear()
+        return numbers
+
+    def _add(self, new: list[str]) -> None:
+        best, counts = self.vocab.encode_units(new)
+        self.best = np.concatenate((self.best, best))
         self.best_from = np.concatenate((self.best_from, self.best_from[-1] + np.cumsum(counts)))
 
         text = "".join(new).replace(" ", SPACE)
@@ -228,7 +245,11 @@ def log_inclusion(log_p: float, next_value: float) -> float:
     return 0.0 if x > 4 else float(x) if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-def draw_samples(lattices: Lattices, numbers: list[np.ndarray], lengths: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[dict]]:
+#: Choices of a path at which the sets that leave it are told apart at once; the rest is one set.
+FRONT = 32
+
+
+def draw_samples(lattices: Lattices, numbers: list[np.ndarray], lengths: list[np.ndarray], keys: np.ndarray, k: int, front: int = FRONT) -> list[list[dict]]:
     """The ``k`` segmentations of highest perturbed value of each text, all texts a round at once.
 
     ``numbers`` and ``lengths`` are those of each text's units.
@@ -246,28 +267,21 @@ def draw_samples(lattices: Lattices, numbers: list[np.ndarray], lengths: list[np
     ends = np.cumsum(sizes)
     cuts = np.searchsorted(who, np.concatenate(([0], ends)))
     now = {r: (who[a:b] - (e - n), edges[a:b], {}) for r, a, b, e, n in zip(rows, cuts[:-1], cuts[1:], ends, sizes)}
-    paths: dict[int, list] = {r: [] for r in rows}
+    paths: dict[int, list[Path]] = {r: [] for r in rows}
     for draw in range(k):
-        opened = _open(l, now, last, lengths, keys, value, draw)
+        ids = _pieces(l, now)
         wanted, following = [], {}
-        for r, (unit, edge, barred) in now.items():
-            place, values, log_p, ids = opened[r]
-            found[r].append({"ids": ids, "log_p": log_p, "value": value[r]})
-            paths[r].append((unit, edge, place, values, barred, float(values.max())))
-            best = max(paths[r], key=lambda p: p[5])
-            if draw == k - 1 or best[5] == -np.inf:
+        for r, path in _opened(l, now, last, keys, value, draw, front).items():
+            found[r].append({"ids": ids[r], "log_p": path.log_p, "value": value[r]})
+            paths[r].append(path)
+            best = max(paths[r], key=lambda p: p.top)
+            if draw == k - 1 or best.top == -np.inf:
                 for f in found[r]:
-                    f["log_inclusion"] = 0.0 if best[5] == -np.inf else log_inclusion(f["log_p"], best[5])
+                    f["log_inclusion"] = 0.0 if best.top == -np.inf else log_inclusion(f["log_p"], best.top)
                 continue
             # The set of the highest value: paths that share the first i choices of ``best`` and not the next.
-            value[r] = best[5]
-            unit, edge, place, values, known, _ = best
-            i = int(values.argmax())
-            values[i] = -np.inf
-            at = next(n for n, p in enumerate(paths[r]) if p is best)
-            paths[r][at] = (*best[:5], float(values.max()))
-            out = [int(edge[i]), *known.get(i, [])]
-            p, u = int(place[i]), int(unit[i])
+            value[r] = best.top
+            i, p, u, out = best.leave()
             options = [e for e in range(int(l.edge_from[p]), int(l.edge_from[p + 1])) if e not in out]
             weights = np.cumsum(np.exp(l.log_p[options]))
             x = float(uniform(keys[r : r + 1], 30_000 + draw, np.zeros(1, np.int64))[0]) * weights[-1]
@@ -277,7 +291,7 @@ def draw_samples(lattices: Lattices, numbers: list[np.ndarray], lengths: list[np
             places[0] -= done
             left[0] -= done
             wanted.append((r, places, left, u))
-            following[r] = (unit[:i], edge[:i], u, chosen, {i: out})
+            following[r] = (best.unit[:i], best.edge[:i], u, chosen, {i: out})
         if not wanted:
             break
         sizes = np.array([len(w[1]) for w in wanted])
@@ -292,50 +306,127 @@ def draw_samples(lattices: Lattices, numbers: list[np.ndarray], lengths: list[np
     return found
 
 
-def _open(l: Lattices, now: dict, last: dict, lengths: list, keys: np.ndarray, value: dict, draw: int) -> dict:  # noqa: E741
-    """For the path of each row: the places of its choices, the values of the sets that leave it at each
-    choice (less what is barred there), its log-probability and its piece ids."""
+class Path:
+    """A path of the search and the sets of paths that leave it.
+
+    ``values[j]`` is the highest perturbed value among the paths that share the first
+    ``start + j`` choices and not the next (nor what is barred there); ``rest`` is that of all paths
+    that share ``start + len(values)`` choices, but this one. The mass of ``rest`` is nearly always tiny.
+    """
+
+    def __init__(self, l, last, unit, edge, barred, key, draw, start, log_p, values, rest):  # noqa: E741
+        self.l, self.last, self.unit, self.edge, self.barred, self.key, self.draw = l, last, unit, edge, barred, key, draw
+        self.start, self.log_p, self.values, self.rest = start, log_p, values, rest
+        self._rank()
+
+    def _rank(self) -> None:
+        self.top = max(float(self.values.max(initial=-np.inf)), self.rest)
+
+    def _locations(self, start: int, n: int) -> tuple[np.ndarray, float]:
+        """Log masses of the sets that leave at ``n`` choices from ``start`` on, where none is barred, and of sharing all those."""
+        l = self.l  # noqa: E741
+        edge = self.edge[start : start + n]
+        steps = l.log_p[edge]
+        shared = float(np.add.reduce(l.log_p[self.edge[:start]])) if start else 0.0
+        before = shared + np.concatenate(([0.0], np.cumsum(steps)))
+        free = -np.expm1(np.minimum(steps, 0.0))
+        free[steps == 0.0] = 0.0
+        with np.errstate(divide="ignore"):
+            return before[:-1] + np.log(free), float(before[-1])
+
+    def leave(self) -> tuple[int, int, int, list[int]]:
+        """Take the set of the highest value: its choice, place and unit, and the edges barred there."""
+        if self.rest == self.top:  # tell apart what was one set; the set that has its value is drawn by mass
+            start = self.start + len(self.values)
+            location, _ = self._locations(start, len(self.edge) - start)
+            mass = np.cumsum(np.exp(location - location.max()))
+            x = float(uniform(self.key, 60_000 + self.draw, np.array([start]))[0]) * mass[-1]
+            first = min(int(np.searchsorted(mass, x)), len(mass) - 1)
+            more = truncated(location, self.rest, uniform(self.key, 70_000 + self.draw, np.arange(len(location))))
+            more[first] = self.rest
+            self.values, self.rest = np.concatenate((self.values, more)), -np.inf
+        j = int(self.values.argmax())
+        self.values[j] = -np.inf
+        self._rank()
+        i = self.start + j
+        return i, _place(self.l, self.last, self.unit, self.edge, i), int(self.unit[i]), [int(self.edge[i]), *self.barred.get(i, [])]
+
+
+def _opened(l: Lattices, now: dict, last: dict, keys: np.ndarray, value: dict, draw: int, front: int) -> dict[int, Path]:  # noqa: E741
+    """The path of each row with the highest values of the sets that leave it, for all rows at once."""
+    rows = list(now)
+    n = np.array([len(now[r][1]) for r in rows])
+    begins = np.cumsum(n) - n
+    edge = np.concatenate([now[r][1] for r in rows])
+    steps = l.log_p[edge]
+    log_p = np.add.reduceat(steps, begins)
+    # Before the choice where a path left its parent all sets are the parent's.
+    start = np.array([min(now[r][2], default=0) for r in rows])
+    shared = np.array([float(np.add.reduce(steps[a : a + s])) if s else 0.0 for a, s in zip(begins.tolist(), start.tolist())])
+    place = start[:, None] + np.arange(front)
+    inside = place < n[:, None]
+    first = np.where(inside, steps[np.minimum(begins[:, None] + place, len(steps) - 1)], 0.0)
+    before = np.concatenate((np.zeros((len(rows), 1)), np.cumsum(first, axis=1)), axis=1) + shared[:, None]
+    free = np.where(inside & (first < 0), -np.expm1(first), 0.0)
+    for k, r in enumerate(rows):
+        if now[r][2]:
+            free[k, 0] = _unbarred(l, last[r], *now[r])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        location = before[:, :-1] + np.log(free)
+        left = np.where(log_p < before[:, -1], before[:, -1] + np.log1p(-np.exp(np.minimum(log_p - before[:, -1], -1e-300))), -np.inf)
+    bound = np.array([value[r] for r in rows])
+    one = keys[rows]
+    values = truncated(location, bound[:, None], uniform(one[:, None], 20_000 + draw, place))
+    rest = np.where(n > start + front, truncated(left, bound, uniform(one, 50_000 + draw, np.zeros(len(rows), np.int64))), -np.inf)
+    size = np.minimum(front, n - start)
+    return {r: Path(l, last[r], *now[r], one[k : k + 1], draw, int(start[k]), float(log_p[k]), values[k, : size[k]].copy(), float(rest[k])) for k, r in enumerate(rows)}
+
+
+def _place(l: Lattices, last: np.ndarray, unit: np.ndarray, edge: np.ndarray, i: int) -> int:  # noqa: E741
+    """The place at which choice i was made: the unit's last, less what the choices before took of it."""
+    p, j = int(last[unit[i]]), i - 1
+    while j >= 0 and unit[j] == unit[i]:
+        p -= int(l.back[edge[j]])
+        j -= 1
+    return p
+
+
+def _unbarred(l: Lattices, last: np.ndarray, unit: np.ndarray, edge: np.ndarray, barred: dict) -> float:  # noqa: E741
+    """The probability of the choices that neither a path nor what is barred with it takes, at the first barred choice."""
+    i = min(barred)
+    p = _place(l, last, unit, edge, i)
+    if int(l.edge_from[p + 1] - l.edge_from[p]) <= 1 + len(barred[i]):
+        return 0.0
+    return max(0.0, 1.0 - float(np.exp(l.log_p[[edge[i], *barred[i]]]).sum()))
+
+
+def _pieces(l: Lattices, now: dict) -> dict[int, np.ndarray]:  # noqa: E741
+    """The piece ids of each row's path in the order of the text."""
     rows = list(now)
     n = np.array([len(now[r][1]) for r in rows])
-    ends = np.cumsum(n)
-    begins = ends - n
     unit, edge = np.concatenate([now[r][0] for r in rows]), np.concatenate([now[r][1] for r in rows])
-    of = np.repeat(np.arange(len(rows)), n)
-    steps, back = l.log_p[edge], l.back[edge].astype(np.int64)
-    gone, sums = np.cumsum(back), np.empty(len(steps))
-    for a, b in zip(begins.tolist(), ends.tolist()):  # no sum depends on other rows
-        np.cumsum(steps[a:b], out=sums[a:b])
-    before = np.concatenate(([0.0], sums[:-1]))
-    before[begins] = 0.0
-    taken = gone - back - (gone - back)[begins][of]
-    # Where the units begin in the flat list: choices come unit by unit.
-    base = np.concatenate([np.concatenate(([0], np.cumsum(lengths[r])))[:-1][now[r][0]] for r in rows])
-    place = np.concatenate([last[r][now[r][0]] for r in rows]) - (taken - base)
-    free = -np.expm1(np.minimum(steps, 0.0))
-    width = l.edge_from[place + 1] - l.edge_from[place]
-    free[width == 1] = 0.0
-    for r, a in zip(rows, begins.tolist()):
-        for i, others in now[r][2].items():
-            at = a + i
-            rest = width[at] - 1 - len(others)
-            free[at] = max(0.0, 1.0 - float(np.exp(l.log_p[[edge[at], *others]]).sum())) if rest > 0 else 0.0
-    with np.errstate(divide="ignore"):
-        location = before + np.log(free)
-    for r, a in zip(rows, begins.tolist()):
-        if now[r][2]:  # before the choice where it left its parent all sets are the parent's
-            location[a : a + min(now[r][2])] = -np.inf
-    bound = np.array([value[r] for r in rows])[of]
-    values = truncated(location, bound, uniform(keys[rows][of], 20_000 + draw, np.arange(len(edge)) - begins[of]))
-    # Within a unit pieces were chosen from its end.
-    turn = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (of[1:] != of[:-1]))))
+    turn = np.concatenate(([True], unit[1:] != unit[:-1]))
+    turn[(np.cumsum(n) - n)[1:]] = True
+    turn = np.flatnonzero(turn)
     size = np.diff(np.append(turn, len(unit)))
-    back_to_front = np.repeat(2 * turn + size - 1, size) - np.arange(len(unit))
+    back_to_front = np.repeat(2 * turn + size - 1, size) - np.arange(len(unit))  # within a unit pieces were chosen from its end
     pieces = l.piece[edge[back_to_front]].astype(np.int64)
-    long = l.piece_lengths(pieces)
-    ids, id_ends = l.expand(pieces), np.cumsum(long)[ends - 1]
-    id_begins = np.concatenate(([0], id_ends[:-1]))
-    totals = sums[ends - 1]
-    return {r: (place[a:b], values[a:b], float(t), ids[c:d]) for r, a, b, t, c, d in zip(rows, begins, ends, totals, id_begins, id_ends)}
+    ends = np.cumsum(l.piece_lengths(pieces))[np.cumsum(n) - 1]
+    ids = l.expand(pieces)
+    return {r: ids[a:b] for r, a, b in zip(rows, np.concatenate(([0], ends[:-1])), ends)}
+
+
+def by_size(batch: pa.RecordBatch, text: str, rows: int = 256, size: int = 600_000):
+    """``batch`` in parts of ``rows`` at most, and of ``size`` bytes of text unless a row alone has more."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    start, total = 0, 0
+    for at, n in enumerate(lengths):
+        if at > start and (total + n > size or at - start == rows):
+            yield batch.slice(start, at - start)
+            start, total = at, 0
+        total += n
+    if start < len(lengths):
+        yield batch.slice(start)
 
 
 def row_keys(column: pa.Array, seed: int) -> np.ndarray:
@@ -365,11 +456,9 @@ def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "te
     def run(batches):
         lattices = Lattices(vocabulary(shared), alpha)
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in by_size(batch, text):
                 texts, keys = part.column(text).to_pylist(), row_keys(part.column(id), seed)
-                cut = [units(t) for t in texts]
-                lattices.learn(cut)
-                numbers = [np.fromiter(map(lattices.number.__getitem__, c), np.int64, len(c)) for c in cut]
+                numbers = lattices.learn([lattices.vocab.units(t) for t in texts])
                 lengths = [lattices.sizes[n] for n in numbers]
                 got = draw_samples(lattices, numbers, lengths, keys, samples)
                 best, right, drawn, drawn_counts = [], [], [x for g in got for x in g], [len(g) for g in got]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from paperloom.llm.common import slices
-from paperloom.llm.pieces import SPACE, Vocabulary, units, vocabulary
+from paperloom.llm.pieces import SPACE, Vocabulary, vocabulary
 
 KEPT = 300_000
 
@@ -85,11 +85,12 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     names = to_arrow_schema(schema).names
 
     def run(batches):
-        counts = Counts(vocabulary(shared))
+        vocab = vocabulary(shared)
+        counts = Counts(vocab)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(text).to_pylist()
-                cut = [units(t) for t in texts]
+                cut = [vocab.units(t) for t in texts]
                 counts.learn(cut)
                 found = [pa.array([len(u) for u in cut], pa.int64()), pa.array([sum(map(counts.__getitem__, u)) for u in cut], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *found], names=names)

@@ -37,21 +37,21 @@ def every_path(text, vocab):
     return {p: float(np.exp(w - total)) for p, w in found}
 
 
-def draw(text, vocab, key, k):
+def draw(text, vocab, key, k, front=S.FRONT):
     lattices = S.Lattices(vocab)
-    cut = P.units(text)
-    lattices.learn([cut])
-    numbers = np.array([lattices.number[u] for u in cut])
+    cut = vocab.units(text)
+    (numbers,) = lattices.learn([cut])
     lengths = np.array([len(u) for u in cut])
-    return S.draw_samples(lattices, [numbers], [lengths], np.array([key], np.uint64), k)[0]
+    return S.draw_samples(lattices, [numbers], [lengths], np.array([key], np.uint64), k, front)[0]
 
 
-def test_samples_follow_the_distribution(vocab):
+@pytest.mark.parametrize("front", [1, 2, 32])
+def test_samples_follow_the_distribution(vocab, front):
     true = every_path("the\nend", vocab)
     n, top = 4000, Counter()
     second, given = Counter(), Counter()
     for key in range(n):
-        got = draw("the\nend", vocab, np.uint64(key * 7919 + 1), 2)
+        got = draw("the\nend", vocab, np.uint64(key * 7919 + 1), 2, front)
         a, b = (tuple(g["ids"].tolist()) for g in got)
         assert a != b and a in true and b in true
         assert got[0]["value"] >= got[1]["value"]
@@ -64,10 +64,11 @@ def test_samples_follow_the_distribution(vocab):
         assert second[path] / n == pytest.approx(q, abs=4 * np.sqrt(q * (1 - q) / n) + 1e-3)
 
 
-def test_all_segmentations_without_replacement(vocab):
+@pytest.mark.parametrize("front", [1, 3, 32])
+def test_all_segmentations_without_replacement(vocab, front):
     for text in ("ab", "a b", "中é", "the", "🙂"):
         true = every_path(text, vocab)
-        got = draw(text, vocab, np.uint64(5), len(true) + 3)
+        got = draw(text, vocab, np.uint64(5), len(true) + 3, front)
         assert {tuple(g["ids"].tolist()) for g in got} == set(true) and len(got) == len(true)
         assert all(g["log_inclusion"] == 0 for g in got)
         values = [g["value"] for g in got]
@@ -78,7 +79,7 @@ def test_inclusion_is_calibrated(vocab):
     """Weights by inclusion estimate the total probability, one, without bias."""
     estimates = []
     for key in range(1500):
-        got = draw("hello", vocab, np.uint64(key * 104729 + 3), 4)
+        got = draw("hello", vocab, np.uint64(key * 104729 + 3), 4, 2)
         estimates.append(sum(np.exp(g["log_p"] - g["log_inclusion"]) for g in got))
     assert np.mean(estimates) == pytest.approx(1, abs=5 * np.std(estimates) / np.sqrt(1500))
 

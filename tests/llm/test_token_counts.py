@@ -41,7 +41,7 @@ def plain(text, vocab):
 @given(st.text(st.sampled_from("ab eté\n 中▁🙂\t"), max_size=40))
 def test_matches_plain_programming(text):
     v = _vocab()
-    cut = P.units(text)
+    cut = v.units(text)
     counts = C.Counts(v)
     counts.learn([cut])
     assert sum(counts[u] for u in cut) == plain(text, v)
