@@ -112,48 +112,58 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id"
     return top(union([search(b) for b in blocks(queries)]), k, id).select("qid", id, "score", "rank")
 
 
+def _ranks(dense: DataFrame, lexical: DataFrame | None, id: str, barred: DataFrame | None) -> DataFrame:
+    """``qid, id, dense_rank, lexical_rank`` of pages that aren't barred, for queries with dense results."""
+    parts = [dense.select("qid", id, F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("lexical_rank"))]
+    if lexical is not None:
+        parts.append(lexical.select("qid", id, F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("lexical_rank")))
+    ranks = union(parts).groupBy("qid", id).agg(F.min("dense_rank").alias("dense_rank"), F.min("lexical_rank").alias("lexical_rank"))
+    ranks = ranks.withColumn("_known", F.max(F.col("dense_rank").isNotNull()).over(Window.partitionBy("qid"))).filter("_known").drop("_known")
+    return ranks if barred is None else ranks.join(barred.select(id).distinct(), id, "left_anti")
+
+
+def _fused(dense_rank, lexical_rank, id: str, p: Params):
+    """The score of a page and its window order within a query."""
+    part = lambda c: F.coalesce(1.0 / (p.rrf_k + c), F.lit(0.0))
+    score = F.round(part(dense_rank) + part(lexical_rank), 9)
+    return score, Window.partitionBy("qid").orderBy(F.desc(score), dense_rank.asc_nulls_last(), lexical_rank.asc_nulls_last(), id)
+
+
 def fuse(dense: DataFrame, lexical: DataFrame | None, id: str, k: int, p: Params = DEFAULT, barred: DataFrame | None = None) -> DataFrame:
     """Reciprocal-rank fusion: ``qid, id, score, rank``.
 
     ``barred`` (a column ``id``) are pages left out; they keep their places, so ranks don't close up.
     A query without dense results has none. Ties go to the better dense rank, then the lexical one.
     """
-    parts = [dense.select("qid", id, F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("lexical_rank"))]
-    if lexical is not None:
-        known = dense.select("qid").distinct()
-        parts.append(lexical.join(known, "qid", "left_semi").select("qid", id, F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("lexical_rank")))
-    both = union(parts)
-    if barred is not None:
-        both = both.join(barred.select(id).distinct(), id, "left_anti")
-    ranks = both.groupBy("qid", id).agg(F.min("dense_rank").alias("dense_rank"), F.min("lexical_rank").alias("lexical_rank"))
-    part = lambda c: F.coalesce(1.0 / (p.rrf_k + F.col(c)), F.lit(0.0))
-    score = part("dense_rank") + part("lexical_rank")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"), id)
-    out = ranks.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order))
-    return out.filter(F.col("rank") <= k).select("qid", id, "score", "rank")
+    ranks = _ranks(dense, lexical, id, barred)
+    score, order = _fused(F.col("dense_rank"), F.col("lexical_rank"), id, p)
+    out = ranks.select("qid", id, score.alias("score"), F.row_number().over(order).alias("rank"))
+    return out.filter(F.col("rank") <= k)
 
 
 def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id: str, p: Params = DEFAULT, barred: DataFrame | None = None, vector_id: str | None = None) -> DataFrame:
-    """Hybrid search. With ``barred`` and ``p.filter_no_content``, queries left short are widened.
+    """Hybrid search: ``qid, id, score, rank``. ``queries``: qid, query, query_vec.
 
-    ``queries``: qid, query, query_vec. The wider result of a query counts only if it is longer.
+    With ``barred`` and ``p.filter_no_content``, a query that the first ``top_k`` of both lists leave
+    short is answered from lists ``overfetch`` times as long, if that gives more. Both answers come
+    from one pass: the longer lists hold the shorter ones.
     """
-    vid = vector_id or id
-
-    def pool(some: DataFrame, fetch: int, limit: int) -> DataFrame:
-        dense = dense_top(vectors, some, fetch, vid).withColumnRenamed(vid, id)
-        lexical = lexical_top(docs, some, fetch, id, p=p) if p.hybrid else None
-        return fuse(dense, lexical, id, limit, p, barred if p.filter_no_content else None)
-
-    first = pool(queries, p.top_k, 2 * p.top_k)
-    if barred is None or not p.filter_no_content:
-        return first.filter(F.col("rank") <= p.top_k)
-    wide = p.top_k * p.overfetch
-    sizes = first.groupBy("qid").agg(F.count("*").alias("found"))
-    short = queries.join(sizes, "qid", "left").filter(F.coalesce("found", F.lit(0)) < p.top_k)
-    second = pool(short.drop("found"), wide, 2 * wide)
-    longer = second.groupBy("qid").agg(F.count("*").alias("found2")).join(sizes, "qid", "left").filter(F.col("found2") > F.coalesce("found", F.lit(0))).select("qid")
-    return first.join(longer, "qid", "left_anti").unionByName(second.join(longer, "qid", "left_semi")).filter(F.col("rank") <= p.top_k)
+    vid, filtered = vector_id or id, barred is not None and p.filter_no_content
+    fetch = p.top_k * (p.overfetch if filtered else 1)
+    dense = dense_top(vectors, queries, fetch, vid).withColumnRenamed(vid, id)
+    lexical = lexical_top(docs, queries, fetch, id, p=p) if p.hybrid else None
+    if not filtered:
+        return fuse(dense, lexical, id, p.top_k, p)
+    ranks = _ranks(dense, lexical, id, barred)
+    first = lambda c: F.when(F.col(c) <= p.top_k, F.col(c))
+    per = Window.partitionBy("qid")
+    near = first("dense_rank").isNotNull() | first("lexical_rank").isNotNull()
+    counted = ranks.withColumns({"_near": F.count_if(near).over(per), "_wide": F.count("*").over(per), "_dense": first("dense_rank"), "_lexical": first("lexical_rank")})
+    widen = (F.col("_near") < p.top_k) & (F.col("_wide") > F.col("_near"))
+    chosen = counted.withColumns({"dense_rank": F.when(widen, F.col("dense_rank")).otherwise(F.col("_dense")), "lexical_rank": F.when(widen, F.col("lexical_rank")).otherwise(F.col("_lexical"))})
+    chosen = chosen.filter("dense_rank IS NOT NULL OR lexical_rank IS NOT NULL")
+    score, order = _fused(F.col("dense_rank"), F.col("lexical_rank"), id, p)
+    return chosen.select("qid", id, score.alias("score"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= p.top_k)
 
 
 def overlap_score(query: str, text: str):
