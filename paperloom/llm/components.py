@@ -65,8 +65,9 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has two bigint columns ``a`` and ``b``. Null ends and self-links don't count;
     repeated links and either direction are fine; an empty table gives an empty result.
     """
-    pairs = links.select("a", "b").filter("a <> b")
+    pairs = stored(links.select("a", "b").filter("a <> b"), "pairs")  # so that no task runs the links' Python beside this one
     now = stored(pairs.mapInArrow(_forests, "a long, b long").distinct(), "links")
+    dropped(pairs)
 
     def sign(df: DataFrame):
         return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()

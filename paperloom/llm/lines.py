@@ -5,7 +5,7 @@ Lines of equal normal form are one distinct line. Distinct lines of at least ``F
 also link if their SimHashes (words weighted by their length) differ in at most ``radius`` bits and
 the edit similarity of their normal forms (one less the distance by the longer length) is at least
 ``similarity``. Of each connected group of lines one occurrence stays: the first by document id,
-row and place. All others are cut from their documents.
+text hash and place. All others are cut from their documents.
 
 Of ``m`` blocks of the hash, ``m - radius`` agree if at most ``radius`` bits differ; each choice of
 so many blocks is one key. ``m`` follows the number of distinct lines, so that a key's value stays
@@ -13,8 +13,8 @@ rare. A semi-join first finds the lines that have any partner by hash; texts are
 only, and partners are verified within each key's value, as a spanning forest.
 
 Defined cases: lines without words are never cut; a null text stays null and has no lines; a text
-whose lines are all cut is the empty text; rows with a null id come last in the order; repeated
-rows are copies like any other; further columns pass through.
+whose lines are all cut is the empty text; rows with a null id come last in the order; rows
+of equal id and text are one document, and stay or go alike; further columns pass through.
 """
 
 from __future__ import annotations
@@ -28,53 +28,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import groups, list_array, slices, stored, text_bytes, with_row
+from paperloom.llm.common import groups, list_array, slices, stored, text_bytes
 from paperloom.llm.components import components, spanning
 from paperloom.llm.decontaminate import NORMAL
 
-FUZZY_WORDS, RADIUS, SIMILARITY, CACHED, RARE = 5, 3, 0.8, 150_000, 64
+#: Lines to fetch that may be sent to all tasks (about 50 bytes each); if there are more, texts and they are shuffled.
+SENT = 200_000
+FUZZY_WORDS, RADIUS, SIMILARITY, CACHED, RARE = 5, 3, 0.8, 100_000, 64
+
+
+class Numbers(dict):
+    """Consecutive numbers of words; ``new`` has the words numbered lately."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class Signs:
-    """Weighted signs of the hash bits of words, kept for the words met lately."""
+    """Weighted signs of the hash bits of words, kept for the words met lately.
+
+    Sums of fewer than 2^18 of them are exact in single precision.
+    """
 
     def __init__(self):
         self.clear()
 
     def clear(self):
-        self.numbers: dict[bytes, int] = {}
-        self.table = np.zeros((1024, 64), np.int16)
+        self.numbers, self.table = Numbers(), np.zeros((1024, 64), np.float32)
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the table."""
         if len(self.numbers) > CACHED:
             self.clear()
-        known = self.numbers
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        start = len(self.numbers)
+        rows = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        new, end = self.numbers.new, len(self.numbers)
         if new:
-            start, end = len(known), len(known) + len(new)
-            known.update(zip(new, range(start, end)))
             while len(self.table) < end:
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-            weights = np.minimum(np.fromiter(map(len, new), np.int64, len(new)), 64).astype(np.int16)
+            bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+            weights = np.minimum(np.fromiter(map(len, new), np.int64, len(new)), 64).astype(np.float32)
             self.table[start:end] = (2 * bits - 1) * weights[:, None]
-        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+            new.clear()
+        return rows
 
 
 def simhashes(lines: list[list[bytes]], signs: Signs) -> np.ndarray:
     """One 64-bit hash for each list of words; zero for an empty one."""
-    out, lengths = np.zeros(len(lines), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
-    some = np.flatnonzero(lengths)
-    at = 0
-    while at < len(some):  # so many lines at once that the signs of their words stay small
-        stop = at + max(1, int(np.searchsorted(np.cumsum(lengths[some[at:]]), 60_000)))
-        part = some[at:stop]
-        starts = np.concatenate(([0], np.cumsum(lengths[part])[:-1]))
-        sums = np.add.reduceat(signs.of([w for i in part for w in lines[i]]), starts, axis=0, dtype=np.int64)
-        out[part] = np.packbits(sums > 0, axis=1).view(np.uint64).ravel().byteswap()
+    sums, at = np.zeros((len(lines), 64)), 0
+    ones = np.ones(1 << 17, np.float32)
+    while at < len(lines):
+        stop, words = at, []
+        while stop < len(lines) and len(words) < 60_000:  # so many lines at once that their words fit the table
+            words += lines[stop]
+            stop += 1
+        rows, start = signs.of(words), 0
+        for k in range(at, stop):
+            end = start + len(lines[k])
+            for i in range(start, end, 1 << 17):
+                own = rows[i : min(end, i + (1 << 17))]
+                sums[k] += ones[: len(own)] @ signs.table[own]
+            start = end
         at = stop
-    return out
+    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel().byteswap()
 
 
 def distance(a: str, b: str) -> int:
@@ -107,10 +130,15 @@ def distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str, least: float) -> bool:
+    """Whether the edit similarity is at least ``least``."""
     longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longer + 1e-9:
+    most = (1 - least) * longer + 1e-9
+    if abs(len(a) - len(b)) > most:
         return False
-    return distance(a, b) <= (1 - least) * longer + 1e-9
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:
+        return True  # word by word, it takes few enough edits
+    return distance(a, b) <= most
 
 
 def masks(count: int, radius: int = RADIUS) -> list[int]:
@@ -127,64 +155,75 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def marked(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with a row key and, for each line, two hash halves, SimHash and number of words."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    rows = with_row(docs)
-    added = T._parse_datatype_string("_h1 array<long>, _h2 array<long>, _sim array<long>, _words array<int>")
-    schema = T.StructType(rows.schema.fields + added.fields)
-    names = to_arrow_schema(schema).names
+def marked(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The key of each text (id and a hash) and, for each line, two hash halves, SimHash and number of words."""
+    kind = docs.schema[id].dataType.simpleString()
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
     def run(batches):
         signs = Signs()
         for batch in batches:
             for part in slices(batch, 128):
-                lines = [[] if x is None else [y.translate(NORMAL).split() for y in x.split(b"\n")] for x in text_bytes(part.column(text))]
+                lines = [[] if x is None else [y.translate(NORMAL).split() for y in x.split(b"\n")] for x in text_bytes(part.column("text"))]
                 flat = [y for x in lines for y in x]
                 whole = b"".join(xxhash.xxh3_128_digest(b" ".join(y)) for y in flat)
                 halves = np.frombuffer(whole, np.int64).reshape(-1, 2)
                 counts = list(map(len, lines))
                 cols = (halves[:, 0].copy(), halves[:, 1].copy(), simhashes(flat, signs).view(np.int64), np.fromiter(map(len, flat), np.int32, len(flat)))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(list_array(counts, pa.array(c)) for c in cols)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *(list_array(counts, pa.array(c)) for c in cols)], names=["id", "th", "h1", "h2", "sim", "words"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"id {kind}, th long, h1 array<long>, h2 array<long>, sim array<long>, words array<int>")
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with its repeated lines cut, and ``n_lines``, ``n_cut`` and ``cut_lines`` (their places, from 0)."""
-    base = stored(marked(docs.drop("n_lines", "n_cut", "cut_lines"), text), "marked")
-    each = F.posexplode(F.arrays_zip("_h1", "_h2", "_sim", "_words")).alias("line", "z")
-    lines = base.select(F.col(id).alias("id"), "_row", each).filter("z._words > 0").select("id", "_row", "line", "z._h1", "z._h2", "z._sim", "z._words")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row", "line")
-    same = lines.groupBy("_h1", "_h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("_sim").alias("sim"), F.max("_words").alias("words"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    docs = docs.drop("n_lines", "n_cut", "cut_lines")
+    base = stored(marked(docs, id, text), "marked")
+    each = F.posexplode(F.arrays_zip("h1", "h2", "sim", "words")).alias("line", "z")
+    lines = base.select("id", "th", each).filter("z.words > 0").select("id", "th", "line", "z.h1", "z.h2", "z.sim", "z.words")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "line")
+    same = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("sim").alias("sim"), F.max("words").alias("words"))
     distinct = stored(same.withColumn("d", F.monotonically_increasing_id()), "lines")
 
     bits = masks(distinct.count(), radius)
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(bits)))).alias("k")
-    keyed = distinct.filter(F.col("words") >= FUZZY_WORDS).select("d", "sim", keys).select("d", "sim", "k.t", "k.v")
+    # A key is a hash of a choice of blocks and their bits; its last bits number the choice.
+    key = lambda t, m: F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(t))
+    keyed = distinct.filter(F.col("words") >= FUZZY_WORDS).select("d", "sim", F.explode(F.array(*(key(t, m) for t, m in enumerate(bits)))).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.d") != F.col("b.d")) & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= radius)
-    hinted = stored(a.join(b, near, "left_semi").select("d", "sim", "t", "v"), "hinted")
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.d") != F.col("b.d")) & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= radius)
+    hinted = stored(a.join(b, near, "left_semi").select("d", "sim", "key"), "hinted")
 
+    texts_of = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).alias("x")
     wanted = hinted.select("d").distinct().join(distinct.select("d", "first"), "d")
-    asked = wanted.groupBy(F.col("first._row").alias("_row")).agg(F.collect_list(F.struct("d", "first.line")).alias("asked"))  # lines of one text
-    texts = asked.join(base.select("_row", text), "_row").select(F.split(text, "\n", -1).alias("all"), F.explode("asked").alias("q"))
-    texts = texts.select("q.d", F.element_at("all", F.col("q.line") + 1).alias("line"))
-    buckets = hinted.join(texts, "d").withColumn("key", F.xxhash64("t", "v"))
+    wanted = stored(wanted.select("d", "first.id", "first.th", "first.line"), "wanted")
+    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("d", "line")).alias("asked"))  # lines of one text
+    asked = F.broadcast(asked) if wanted.count() <= SENT else asked.hint("shuffle_hash")
+    met = texts_of.join(asked.alias("q"), F.col("x.id").eqNullSafe(F.col("q.id")) & (F.col("x.th") == F.col("q.th")))
+    cut_up = met.select(F.split("text", "\n", -1).alias("all"), F.explode("asked").alias("q"))
+    texts = cut_up.select("q.d", F.element_at("all", F.col("q.line") + 1).alias("line")).dropDuplicates(["d"])  # repeated rows have one key
+    buckets = hinted.join(texts, "d")
+    masks_of = np.array(bits, np.uint64)
 
     def verify(batches):
         for table in groups(batches, "key"):
             if table.num_rows < 2:
                 continue
-            ids, sims = table.column("d").to_numpy(), table.column("sim").to_numpy().view(np.uint64)
+            ids, sims, number = table.column("d").to_numpy(), table.column("sim").to_numpy().view(np.uint64), table.column("key").to_numpy() & 63
             forms = [b" ".join(x.as_py().encode().translate(NORMAL).split()).decode() for x in table.column("line")]
 
             def near(i, j):
                 hit = np.bitwise_count(sims[i][:, None] ^ sims[j][None, :]) <= radius
                 for col in np.flatnonzero(hit.any(axis=0)):
-                    rows = np.flatnonzero(hit[:, col])
-                    good = next((r for r in rows if similar(forms[i[r]], forms[j[col]], similarity)), None)
+                    good = None
+                    for r in np.flatnonzero(hit[:, col]):
+                        a, b = i[r], j[col]
+                        shared = ((sims[a] ^ sims[b]) & masks_of) == 0
+                        # A pair is looked at in the first of its keys only.
+                        if shared.argmax() == number[a] == number[b] and similar(forms[a], forms[b], similarity):
+                            good = r
+                            break
                     hit[:, col] = False
                     if good is not None:
                         hit[good, col] = True
@@ -199,12 +238,28 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     of = nodes.join(distinct.select(F.col("d").alias("node"), "first"), "node")
     chosen = of.groupBy("component").agg(F.min("first").alias("group_first"))
     linked = of.join(chosen, "component").select(F.col("node").alias("d"), "group_first")
-    stays = distinct.join(linked, "d", "left").filter("n > 1 OR group_first IS NOT NULL").select("_h1", "_h2", F.coalesce("group_first", "first").alias("stay"))
-    cut = lines.join(stays, ["_h1", "_h2"]).filter("stay._row <> _row OR stay.line <> line")
-    cuts = cut.groupBy("_row").agg(F.sort_array(F.collect_list("line")).alias("cut_lines"))  # places in one text
-    out = base.join(cuts, "_row", "left").withColumn("cut_lines", F.coalesce("cut_lines", F.array().cast("array<int>")))
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_words")).cast("long"), "n_cut": F.size("cut_lines").cast("long")})
-    parts, kept = F.split(text, "\n", -1), F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), "cut_lines")
-    rest = F.transform(kept, lambda i: F.element_at("_parts", i + 1))
-    out = out.withColumn("_parts", F.when(F.col("n_cut") > 0, parts)).withColumn(text, F.when(F.col("n_cut") > 0, F.array_join(rest, "\n")).otherwise(F.col(text)))
-    return out.select(*docs.drop("n_lines", "n_cut", "cut_lines").columns, "n_lines", "n_cut", "cut_lines")
+    stays = distinct.join(linked, "d", "left").filter("n > 1 OR group_first IS NOT NULL").select("h1", "h2", F.coalesce("group_first", "first").alias("stay"))
+    cut = lines.join(stays, ["h1", "h2"]).filter("NOT (stay.id <=> id AND stay.th = th AND stay.line = line)")
+    cuts = cut.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("cut_lines"))  # places in one text
+    of_row = F.col(f"o.{id}").eqNullSafe(F.col("c.id")) & (F.xxhash64(f"o.{text}") == F.col("c.th"))
+    out = docs.alias("o").join(cuts.hint("shuffle_hash").alias("c"), of_row, "left").select("o.*", F.coalesce("c.cut_lines", F.array().cast("array<int>")).alias("cut_lines"))
+    schema = T.StructType(docs.schema.fields + T._parse_datatype_string("n_lines long, n_cut long, cut_lines array<int>").fields)
+    names, at = to_arrow_schema(schema).names, docs.columns.index(text)
+
+    def finish(batches):
+        for batch in batches:
+            for part in slices(batch):
+                new, n_lines, n_cut = [], [], []
+                for x, cut in zip(text_bytes(part.column(text)), part.column("cut_lines").to_pylist()):
+                    n_lines.append(0 if x is None else x.count(b"\n") + 1)
+                    n_cut.append(len(cut))
+                    if cut:
+                        gone = set(cut)
+                        x = b"\n".join(y for k, y in enumerate(x.split(b"\n")) if k not in gone)
+                    new.append(x)
+                columns = list(part.columns)
+                columns[at] = pa.array(new, pa.binary()).cast(pa.string())
+                columns[-1:] = [pa.array(n_lines, pa.int64()), pa.array(n_cut, pa.int64()), columns[-1]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return out.mapInArrow(finish, schema)

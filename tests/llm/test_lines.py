@@ -43,13 +43,13 @@ def test_simhashes():
     assert L.simhashes(lines, L.Signs()).tolist() == [plain_simhash(x) for x in lines]
 
 
-def brute(docs):
-    """Cut lines by row, straight from the rules."""
+def brute(docs, hashes):
+    """Cut lines by document, straight from the rules."""
     spots = []
-    for row, (d, t) in enumerate(docs):
+    for d, t in set(docs):
         for k, line in enumerate([] if t is None else t.split("\n")):
             if normal(line):
-                spots.append(((d is None, d or 0, row, k), normal(line)))
+                spots.append(((d is None, d or 0, hashes[t], k), normal(line)))
     forms = sorted({tuple(f) for _, f in spots})
     number = {f: i for i, f in enumerate(forms)}
     group = list(range(len(forms)))
@@ -72,11 +72,13 @@ def brute(docs):
     cut = {}
     for place, f in spots:
         if first[root(number[tuple(f)])] != place:
-            cut.setdefault(place[2], []).append(place[3])
-    return cut
+            cut.setdefault(place[:3], []).append(place[3])
+    return {k: sorted(v) for k, v in cut.items()}
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_matches_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(L, "SENT", sent)
     rng = random.Random(2)
     words = ["w%da%d" % (i, i * i) for i in range(200)] + ["é" * 3, "ß"]
     lines = [" ".join(rng.choices(words, k=rng.choice([2, 6, 30, 60]))) for _ in range(30)]
@@ -95,12 +97,14 @@ def test_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_cut int").coalesce(1)
     out = L.dedup_lines(df.withColumnRenamed("n_cut", "at")).collect()
     assert len(out) == len(docs)
-    want = brute(docs)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    want = brute(docs, hashes)
     assert sum(len(v) for v in want.values()) > 60
     linked = L.simhashes([normal(x) for x in lines[:1]], L.Signs())
     assert len(linked) == 1
     for r in out:
-        cut, text = want.get(r["at"], []), docs[r["at"]][1]
+        d, text = docs[r["at"]]
+        cut = want.get((d is None, d or 0, hashes[text]), [])
         assert r.cut_lines == cut and r.n_cut == len(cut)
         assert r.n_lines == (0 if text is None else len(text.split("\n")))
         assert r.text == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut))
