@@ -115,7 +115,7 @@ class Vocabulary:
 
         Units are encoded many at a time with a line break before each, which no piece crosses.
         """
-        lines = ["\n" + "\n".join(u if u != "\n" else "" for u in units[at : at + 500]) for at in range(0, len(units), 500)]
+        lines = ["\n" + "\n".join(u if u != "\n" else "" for u in units[at : at + 50]) for at in range(0, len(units), 50)]
         ids = np.fromiter(chain.from_iterable(x[1:] for x in self.processor.encode(lines, num_threads=1)), np.int32)
         breaks = np.flatnonzero(ids == self.line_break)
         counts = np.diff(np.append(breaks, len(ids))) - 1

@@ -153,16 +153,19 @@ class Lattices:
             places = begins[:alive] + k
             n = counts[places]
             heads = np.cumsum(n) - n
-            of = np.repeat(np.arange(alive), n)
-            edges = np.arange(len(of)) + (edge_from[places] - heads)[of]
+            edges = np.arange(int(n.sum())) + np.repeat(edge_from[places] - heads, n)
             steps = back[edges]
-            whole = score[edges] + np.where(steps > k, 0.0, forward[places[of] - steps])
+            whole = score[edges]
+            if k:
+                inner = forward[np.maximum(np.repeat(places, n) - steps, 0)]
+                inner[steps > k] = 0.0
+                whole += inner
             top = np.maximum.reduceat(whole, heads)
-            mass = np.exp(whole - top[of])
+            mass = np.exp(whole - np.repeat(top, n))
             total = np.add.reduceat(mass, heads)
             forward[places] = ends = top + np.log(total)
-            log_p[edges] = whole - ends[of]
-            share, sums, some, j = mass / total[of], np.zeros(len(n)), np.arange(len(n)), 0
+            log_p[edges] = whole - np.repeat(ends, n)
+            share, sums, some, j = mass / np.repeat(total, n), np.zeros(len(n)), np.arange(len(n)), 0
             while len(some):  # the j-th edge of each place; no sum depends on other places
                 sums[some] += share[heads[some] + j]
                 upto[edges[heads[some] + j]] = sums[some]
