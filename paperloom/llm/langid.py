@@ -49,12 +49,16 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     codes = np.concatenate((np.array([32], np.uint32), codes, np.array([32], np.uint32)))
     spaces = codes == 32
     codes = codes[~(spaces & np.concatenate(([False], spaces[:-1])))]
-    one = codes * np.uint32(2654435761)
-    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(2246822519) + one[1:]
-    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(3266489917) + one[2:]
-    all_grams = np.concatenate((one[codes != 32], two + np.uint32(0x9E3779B1), three + np.uint32(0x85EBCA77)))
-    mixed = (all_grams ^ (all_grams >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    counts = np.bincount(mixed >> np.uint32(32 - BUCKET_BITS), minlength=BUCKETS)
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(codes) - 1, 1 << 20):  # n-grams by where they start, so that long texts need little memory
+        part = codes[at : at + (1 << 20) + 2]
+        one = part * np.uint32(2654435761)
+        two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(2246822519) + one[1:]
+        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(3266489917) + one[2:]
+        starts = min(1 << 20, len(codes) - at)
+        grams = np.concatenate((one[:starts][part[:starts] != 32], two[:starts] + np.uint32(0x9E3779B1), three[:starts] + np.uint32(0x85EBCA77)))
+        mixed = (grams ^ (grams >> np.uint32(16))) * np.uint32(0x7FEB352D)
+        counts += np.bincount(mixed >> np.uint32(32 - BUCKET_BITS), minlength=BUCKETS)
     own = np.flatnonzero(counts)
     return own.astype(np.int32), counts[own].astype(np.float32)
 

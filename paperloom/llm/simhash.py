@@ -49,12 +49,12 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         return digest(line, SEED)
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0] + [e + 1 for e in ends[: len(words) - shingle]]
-    hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    count, ones = len(starts), np.zeros(64, np.int64)
+    for at in range(0, count, 1 << 16):  # so many shingles at once that long texts need little memory
+        part = zip(starts[at : at + (1 << 16)], ends[at + shingle - 1 : at + shingle - 1 + (1 << 16)])
+        hashes = np.fromiter([digest(line[a:b], SEED) for a, b in part], np.uint64)
+        ones += np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
 def signed(x: int) -> int:

@@ -17,6 +17,12 @@ def test_features_ignore_case_digits_and_spacing():
         assert not len(L.features(x)[0])
 
 
+def test_long_texts_count_all_ngrams():
+    text = "ein haus " * 130_000  # more than a chunk
+    own, counts = L.features(text.encode())
+    assert counts.sum() == 7 * 130_000 + (9 * 130_000) + (9 * 130_000 - 1)
+
+
 def test_penalties_make_weights_sparse():
     learner = L.FollowTheLeader(2, l1=0.02)
     strong = L.FollowTheLeader(2, l1=5.0)
