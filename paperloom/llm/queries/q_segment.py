@@ -18,4 +18,4 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path, samples=2))
+    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path, samples=2, kept=3_000_000))

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from paperloom.llm.common import list_array
 from paperloom.llm.pieces import SPACE, Vocabulary, vocabulary
 
-#: Lattice places (characters of distinct units) that a worker keeps for the next rows.
-KEPT_PLACES = 3_000_000
+#: Lattice places (characters of distinct units) that a worker keeps for the next rows, about 90 bytes each.
+KEPT_PLACES = 1_000_000
 
 
 def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
@@ -58,6 +58,26 @@ class Numbers(dict):
         return n
 
 
+class Pool:
+    """An array that grows at its end; room that isn't used yet takes no memory."""
+
+    def __init__(self, kind, room: int, first=()):
+        self.all = np.empty(max(room, len(first)), kind)
+        self.all[: len(first)] = first
+        self.n = len(first)
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.all):
+            self.all = np.concatenate((self.all[: self.n], np.empty(2 * end - self.n, self.all.dtype)))
+        self.all[self.n : end] = values
+        self.n = end
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.all[: self.n]
+
+
 class Lattices:
     """Lattices of distinct units. A place is the end of one of a unit's characters.
 
@@ -65,26 +85,31 @@ class Lattices:
     how many characters each goes back, its pieces, and its probability given that place.
     """
 
-    def __init__(self, vocab: Vocabulary, alpha: float = 1.0):
-        self.vocab, self.alpha = vocab, alpha
+    def __init__(self, vocab: Vocabulary, alpha: float = 1.0, kept: int = KEPT_PLACES):
+        self.vocab, self.alpha, self.kept = vocab, alpha, kept
         self.clear()
 
     def clear(self) -> None:
         self.number = Numbers()
         self.chars = 0
-        self.last = np.zeros(0, np.int64)  # the place of each unit's last character
-        self.sizes = np.zeros(0, np.int64)
-        self.edge_from = np.zeros(1, np.int64)
-        self.back, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.log_p, self.upto = np.zeros(0), np.zeros(0, np.float32)
-        self.best, self.best_from = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        room = self.kept + (1 << 20)
+        self._last, self._sizes = Pool(np.int64, room // 4), Pool(np.int32, room // 4)  # of each unit: its last place, its characters
+        self._edge_from = Pool(np.int64, room, [0])
+        self._back, self._piece = Pool(np.int8, 4 * room), Pool(np.int32, 4 * room)
+        self._log_p, self._upto = Pool(np.float64, 4 * room), Pool(np.float32, 4 * room)
+        self._best, self._best_from = Pool(np.int32, room), Pool(np.int64, room // 4, [0])
+        self._look()
         # Characters of several bytes that have no piece: their bytes' pieces, numbered on from the vocabulary.
         self.byte_number: dict[str, int] = {}
         self.byte_pieces, self.byte_from = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _look(self) -> None:
+        self.last, self.sizes, self.edge_from, self.back = self._last.now, self._sizes.now, self._edge_from.now, self._back.now
+        self.piece, self.log_p, self.upto, self.best, self.best_from = self._piece.now, self._log_p.now, self._upto.now, self._best.now, self._best_from.now
+
     def learn(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The numbers of the units of each text; new ones are added, all at once."""
-        if self.chars > KEPT_PLACES:
+        if self.chars > self.kept:
             self.clear()
         look_up = self.number.__getitem__
         numbers = [np.fromiter(map(look_up, t), np.int64, len(t)) for t in texts]
@@ -96,8 +121,8 @@ class Lattices:
 
     def _add(self, new: list[str]) -> None:
         best, counts = self.vocab.encode_units(new)
-        self.best = np.concatenate((self.best, best))
-        self.best_from = np.concatenate((self.best_from, self.best_from[-1] + np.cumsum(counts)))
+        self._best.add(best)
+        self._best_from.add(self._best_from.now[-1] + np.cumsum(counts))
 
         text = "".join(new).replace(" ", SPACE)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -125,10 +150,11 @@ class Lattices:
             own = filled[at]
             back[own], piece[own], score[own] = n, ids, weights[ids]
             filled[at] += 1
-        self.last = np.concatenate((self.last, self.chars + starts + lengths - 1))
-        self.sizes = np.concatenate((self.sizes, lengths))
+        self._last.add(self.chars + starts + lengths - 1)
+        self._sizes.add(lengths)
         self._sum_up(starts, lengths, edge_from, back, piece, score)
         self.chars += len(codes)
+        self._look()
 
     def _bytes(self, char: str) -> tuple[int, float]:
         """The piece, real or numbered on, and the weight of a character that has none of its own."""
@@ -172,10 +198,9 @@ class Lattices:
                 j += 1
                 some = some[n[some] > j]
         upto[edge_from[1:] - 1] = 2.0  # more than any random number
-        self.edge_from = np.concatenate((self.edge_from, self.edge_from[-1] + edge_from[1:]))
-        self.back, self.piece = np.concatenate((self.back, back)), np.concatenate((self.piece, piece))
-        self.log_p = np.concatenate((self.log_p, log_p))
-        self.upto = np.concatenate((self.upto, upto))
+        self._edge_from.add(self._edge_from.now[-1] + edge_from[1:])
+        for pool, values in ((self._back, back), (self._piece, piece), (self._log_p, log_p), (self._upto, upto)):
+            pool.add(values)
 
     def best_ids(self, numbers: np.ndarray) -> np.ndarray:
         starts = self.best_from[numbers]
@@ -419,7 +444,7 @@ def _pieces(l: Lattices, now: dict) -> dict[int, np.ndarray]:  # noqa: E741
     return {r: ids[a:b] for r, a, b in zip(rows, np.concatenate(([0], ends[:-1])), ends)}
 
 
-def by_size(batch: pa.RecordBatch, text: str, rows: int = 256, size: int = 600_000):
+def by_size(batch: pa.RecordBatch, text: str, rows: int = 256, size: int = 400_000):
     """``batch`` in parts of ``rows`` at most, and of ``size`` bytes of text unless a row alone has more."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
     start, total = 0, 0
@@ -442,11 +467,12 @@ def row_keys(column: pa.Array, seed: int) -> np.ndarray:
 SAMPLE = "struct<ids:array<int>,log_prob:double,value:double,log_inclusion:double>"
 
 
-def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 1.0, seed: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", samples: int = 2, alpha: float = 1.0, seed: int = 1, kept: int = KEPT_PLACES) -> DataFrame:
     """``docs`` with ``ids`` (the model's encoding), ``decodes`` and ``samples``.
 
     ``decodes`` tells whether ``ids`` decode to the text's bytes. Samples come in descending order
-    of their perturbed ``value``; ``alpha`` sharpens (above one) or flattens the weights.
+    of their perturbed ``value``; ``alpha`` sharpens (above one) or flattens the weights. ``kept``
+    trades a worker's memory for time, and changes no result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -457,7 +483,7 @@ def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "te
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        lattices = Lattices(vocabulary(shared), alpha)
+        lattices = Lattices(vocabulary(shared), alpha, kept)
         for batch in batches:
             for part in by_size(batch, text):
                 texts, keys = part.column(text).to_pylist(), row_keys(part.column(id), seed)
