@@ -20,7 +20,7 @@ from paperloom.session import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Below this probability a prediction doesn't count.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
