@@ -17,6 +17,7 @@ columns don't matter.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,14 @@ def tables_for(count: int, threshold: float, recall: float = RECALL) -> tuple[in
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
+@lru_cache(maxsize=4)
+def planes(size: int, bits: int, tables: int) -> np.ndarray:
+    return np.random.default_rng([SEED, size]).standard_normal((size, tables * bits))
+
+
 def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """One integer for each row and table."""
-    planes = np.random.default_rng([SEED, x.shape[1]]).standard_normal((x.shape[1], tables * bits))
-    signs = (x @ planes >= 0).reshape(len(x), tables, bits)
+    signs = (x @ planes(x.shape[1], bits, tables) >= 0).reshape(len(x), tables, bits)
     return signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -56,7 +61,7 @@ def compare(x, ids, weight, side, number, threshold, bits, tables):
     ``side`` tells the blocks of a large bucket apart; with two of them only pairs across count.
     """
     norm = np.sqrt((x * x).sum(axis=1))
-    sigs, everyone = signatures(x, bits, tables), np.arange(len(x))
+    sigs, everyone = None, np.arange(len(x))
     across = side.min() != side.max()
 
     def near(i, j):
@@ -70,6 +75,8 @@ def compare(x, ids, weight, side, number, threshold, bits, tables):
         hit[np.arange(len(own)), own] = False
         i, j = np.nonzero(hit)
         some[own[hit.any(axis=1)]] = True
+        if sigs is None and len(i):
+            sigs = signatures(x, bits, tables)
         for cut in range(0, len(i), 1 << 17):
             p, q = own[i[cut : cut + (1 << 17)]], j[cut : cut + (1 << 17)]
             first = (sigs[p] == sigs[q]).argmax(axis=1) == number
