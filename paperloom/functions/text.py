@@ -41,7 +41,9 @@ def tokens(column: str) -> Column:
     split = f"flatten(transform({parts}, t -> CASE WHEN length(t) > 2 AND {stem} <> '' THEN array(t, {stem}) ELSE array(t) END))"
     unit = f"r RLIKE '^[0-9]+[{HANGUL}]+$'"
     whole = f"flatten(transform({runs}, r -> CASE WHEN {unit} THEN array(r, regexp_extract(r, '^([0-9]+)', 1)) ELSE {split} END))"
-    return F.coalesce(F.expr(whole), F.array().cast("array<string>"))
+    # Without Hangul there is nothing to look into, so one call does.
+    plain = f"regexp_extract_all(lower({column}), '([0-9]+|[a-z]+)', 1)"
+    return F.coalesce(F.expr(f"CASE WHEN {column} RLIKE '[{HANGUL}]' THEN {whole} ELSE {plain} END"), F.array().cast("array<string>"))
 
 
 def lines(c: Column) -> Column:
