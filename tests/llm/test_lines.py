@@ -130,3 +130,24 @@ def test_keys_catch_every_radius(count):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bands_find_pairs_beyond_the_radius(spark):
+    rng = random.Random(5)
+    words = ["w%da%d" % (i, i * i) for i in range(3000)]
+    docs, pairs = [], 150
+    for k in range(pairs):
+        line = rng.choices(words, k=rng.choice([8, 10, 15, 30]))
+        near = list(line)
+        near[rng.randrange(len(near))] = rng.choice(words)
+        docs += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
+    alike = [k for k in range(pairs) if plain_distance(*(t for _, t in docs[2 * k : 2 * k + 2])) <= 0.2 * max(len(t) for _, t in docs[2 * k : 2 * k + 2])]
+    sims = L.simhashes([normal(t) for _, t in docs], L.Signs()).tolist()
+    far = [k for k in alike if (sims[2 * k] ^ sims[2 * k + 1]).bit_count() > 3]
+    assert len(far) > 100
+    df = spark.createDataFrame([*docs, (10**6, None), (10**6 + 1, "\n*\n")], "doc_id long, text string")
+    out = {r.doc_id: r for r in L.dedup_lines(df, bands=L.BANDS).collect()}
+    assert len(out) == len(docs) + 2
+    cut = {d // 2 for d, r in out.items() if r.n_cut}
+    assert cut <= set(alike) and all(out[2 * k].n_cut == 0 for k in range(pairs))
+    assert len(cut & set(far)) >= 0.9 * len(far)
