@@ -2,7 +2,8 @@
 
 Detected: e-mail addresses, phone numbers, payment-card and other long numbers, IPv4 addresses,
 social-security numbers, IBANs, access keys, quoted tokens, passwords, and names after a title or
-with a known given name. A surrogate keeps what makes the mention what it is: separators, case,
+with a known given name. Hangul has no case: there a name is a given name with a surname before it
+(with or without a space, particles may follow) or after it. A surrogate keeps what makes the mention what it is: separators, case,
 country code, issuer digit and check digit of a card, private or public range of an address, top
 domain, and a name's gender and script.
 
@@ -47,10 +48,16 @@ TITLES = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "",
 }
 #: Letter classes within which the letters of a surname change places.
-CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789"]
-_CLASS_OF = {c: (k, x.index(c)) for x in CLASSES for k, c in [(x, c) for c in x]}
+CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789", "".join(map(chr, range(0xAC00, 0xD7A4)))]
+_CLASS_OF = {c: (x, k) for x in CLASSES for k, c in enumerate(x)}
 
 _GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
+#: Hangul surnames; these alone mark a name next to a given name.
+SURNAMES = [*"김이박최정강조윤장임한오서신권황안송류유전홍고문양손배백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용", "남궁", "황보", "제갈", "사공", "선우", "서문", "독고"]
+_SURNAME_BEFORE = re.compile(rf"(?<!\w)(?:{'|'.join(SURNAMES)}) *$")
+_SURNAME_AFTER = re.compile(rf" +(?:{'|'.join(SURNAMES)})(?!\w)")
+_PARTICLE = re.compile(r"(?:은|는|이|가|을|를|의|와|과|도|만|에게|한테|께서|께|에게서|이다|입니다|씨|님|씨가|씨는|씨의|씨를|님이|님은|님의|님을)?(?!\w)")
+_HANGUL = re.compile("[가-힣]")
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _NUMBERS = re.compile(
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -261,6 +268,15 @@ class Surrogates:
 
     def _name(self, x: str, gender: str):
         parts = x.split()
+        joined = _joined(x)
+        if joined:  # a Hangul surname and a given name in one word
+            parts = list(joined)
+        elif len(parts) == 2 and _HANGUL.match(x) and parts[1] in _GENDER and parts[0] not in _GENDER:
+            joined = parts
+        if joined:
+            value, new = self._name(f"{parts[1]} {parts[0]}", gender)
+            given, surname = new.split()
+            return value, surname + x[len(parts[0]) : len(x) - len(parts[1])] + given
         first = parts[0].title() if parts[0].title() in _GENDER else None
         out, value = [], []
         for p in parts:
@@ -274,7 +290,7 @@ class Surrogates:
                 new = low
                 while True:  # a surname never turns into a given name
                     new = self.keyed.letters("surname", new)
-                    if new.title() not in _GENDER or low.title() in _GENDER or new == low:
+                    if (new.title() not in _GENDER and not _joined(new)) or low.title() in _GENDER or new == low:
                         break
                 new = new.title()
             value.append(title)
@@ -283,6 +299,13 @@ class Surrogates:
         return " ".join(value), "".join(g + o for g, o in zip(gaps, [*out, ""]))
 
 
+def _joined(word: str) -> tuple[str, str] | None:
+    """Surname and given name of a Hangul word that is both."""
+    if _HANGUL.match(word) and word[-2:] in _GENDER and word[:-2] in SURNAMES:
+        return word[:-2], word[-2:]
+    return None
+
+
 def _triggers():
     """An automaton for what starts the rarer kinds."""
     found = ahocorasick.Automaton()
@@ -317,10 +340,22 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         m = _TITLED.match(text, start)
         if m and (not start or not text[start - 1].isalnum()):
             words = [w for w in re.finditer(_WORD, m["name"]) if w[0][:1].isupper()]
-            if m["name"][:1].isupper():
+            if _HANGUL.match(m["name"]):
+                first, second = (re.findall(_WORD, m["name"]) + [""])[:2]
+                end = m.end("name") if first in SURNAMES and second in _GENDER or first in _GENDER and second in SURNAMES else m.start("name") + len(first)
+                out.append((m.start("name"), end, "name", TITLES[m["title"]]))
+            elif m["name"][:1].isupper():
                 end = m.start("name") + (words[1].end() if len(words) > 1 else words[0].end())
                 out.append((m.start("name"), end, "name", TITLES[m["title"]]))
     for start, end in kinds.get("named", ()):
+        if _HANGUL.match(text, start):
+            before, after = _SURNAME_BEFORE.search(text[max(0, start - 8) : start]), _SURNAME_AFTER.match(text, end)
+            if before and _PARTICLE.match(text, end):
+                out.append((start - len(before[0]), end, "name", _GENDER[text[start:end]][1]))
+                continue
+            if after and not (start and text[start - 1].isalnum()):
+                out.append((start, after.end(), "name", _GENDER[text[start:end]][1]))
+                continue
         if (start and (text[start - 1].isalnum() or text[start - 1] in "'’-")) or (end < len(text) and text[end].isalnum()):
             continue
         m = _NAMED.match(text, start)

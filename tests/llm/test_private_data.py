@@ -108,3 +108,15 @@ def test_odd_rows(spark):
     assert sorted(len(r.entities) for r in by) == [0, 0, 1, 1, 1, 20000]
     assert len({r.text for r in by if len(r.entities) == 1}) == 1
     assert D.surrogate_text(spark.createDataFrame([], "doc_id long, text string"), b"k").count() == 0
+
+
+def test_hangul_names(s):
+    text = "어제 김민수는 왔다. 김 민수, 민수 김 그리고 남궁지영 씨. 지영 학교에 갔다. 민수기 Dr. 박서연 왔다"
+    assert [text[a:b] for a, b, _, _ in D.find(text)] == ["김민수", "김 민수", "민수 김", "남궁지영", "박서연"]
+    new, found, same = D.replace(text, s)
+    assert same == 0 and not any(n in new for n in ("김민수", "김 민수", "민수 김", "남궁지영", "박서연"))
+    joined, spaced, turned = (f[3] for f in found[:3])
+    assert joined == spaced.replace(" ", "") and turned == " ".join(spaced.split()[::-1])
+    assert joined[-2:] in D.GIVEN["hangul", "m"] and "지영 학교에 갔다. 민수기" in new
+    surnames = {s.of("name", f"민수 {x}")[1] for x in D.SURNAMES}
+    assert len(surnames) == len(D.SURNAMES) and all(D._HANGUL.match(x.split()[1]) for x in surnames)
