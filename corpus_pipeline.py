@@ -39,13 +39,18 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id; rows without an id stay."""
-    groups = stored(near_duplicates(docs), "groups")
-    goes = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(goes.hint("shuffle_hash"), "doc_id", "left_anti")
-    rows = groups.filter("doc_id = component_id").select("doc_id")
-    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows; else no shuffle is needed
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    """Of each group of near-duplicates the document of the smallest id; rows without an id stay.
+
+    A document is an id and a hash of its text, so different texts of one id are decided apart.
+    """
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_hash")).alias("row")
+    groups = stored(near_duplicates(keyed.select(row, "text"), "row"), "groups")
+    goes = groups.filter("row <> component_id").select("row.doc_id", "row._hash").distinct()
+    kept = keyed.join(goes.hint("shuffle_hash"), ["doc_id", "_hash"], "left_anti")
+    rows = groups.filter("row = component_id").select("row")
+    if rows.groupBy("row").count().filter("count > 1").limit(1).count():  # repeated rows; else no shuffle is needed
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_hash"]).unionByName(kept.filter("doc_id IS NULL"))
     return kept.select(docs.columns)
 
 

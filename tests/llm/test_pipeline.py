@@ -77,6 +77,13 @@ def test_repeated_rows_leave_one(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_reused_ids_are_decided_by_text(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "quite other words than these"), (3, "one more text of its own"), (3, "and a second one under the same number"), (None, "a b c d")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.one_of_each_group(spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in got)) == sorted((d or 0, t) for d, t in rows if (d, t) != rows[1])
+
+
 @pytest.mark.parametrize("module", [langid, segment])
 def test_docstrings_state_the_cases(module):
     assert "Defined cases" in module.__doc__
