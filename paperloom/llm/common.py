@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
+#: Whether Spark deletes the shuffle files of a query at its end, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
@@ -28,7 +31,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -57,10 +65,21 @@ def text_bytes(column: pa.Array) -> list:
     return column.cast(kind).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512):
-    """``batch`` in parts of few rows, so that lists made from texts stay small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20):
+    """``batch`` in parts of ``rows`` at most, and of ``size`` bytes of text unless a row alone has more."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(total), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(max(int(np.searchsorted(ends, before + size, "right")), start + 1), start + rows)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def list_array(lengths, values: pa.Array) -> pa.ListArray:

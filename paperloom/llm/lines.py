@@ -9,17 +9,25 @@ text hash and place. All others are cut from their documents.
 
 Of ``m`` blocks of the hash, ``m - radius`` agree if at most ``radius`` bits differ; each choice of
 so many blocks is one key. ``m`` follows the number of distinct lines, so that a key's value stays
-rare. A semi-join first finds the lines that have any partner by hash; texts are fetched for those
-only, and partners are verified within each key's value, as a spanning forest.
+rare.
 
 Three bits are few: one changed word of ten flips about nine. With ``bands``, lines also link that
-differ in up to ``WIDE`` bits, if the edit similarity is high enough. Such pairs are found by further
+differ in up to ``WIDE`` bits (short lines: ``WIDER``), if the edit similarity is high enough. Such pairs are found by further
 keys, one a band, each of the ``ROWS`` words of a line that come first in as many orders by hash
 (MinHash): of two lines that share most words, some band agrees.
 
+Keys travel without texts first. A task reads its keys in order and passes on the lines that have a
+partner by hash and length; texts are fetched for those only. Pairs are then verified many at once,
+and none whose lines are known to be connected. Buckets of more than ``HASHES`` lines (keys) or
+``TEXTS`` lines (texts) are dealt into blocks, and every pair of blocks is a group of its own, so no
+task holds a whole bucket. Pairs of different text blocks come last and without the lines that the
+links within blocks have already brought together, so near copies in great number don't meet in pairs.
+
 Defined cases: lines without words are never cut; a null text stays null and has no lines; a text
 whose lines are all cut is the empty text; rows with a null id come last in the order; rows
-of equal id and text are one document, and stay or go alike; further columns pass through.
+of equal id and text are one document, and stay or go alike; further columns pass through, but
+columns of the new names are replaced; an empty table gives an empty one. Very long texts are read in
+pieces of about a megabyte; a line is held whole, with about 20 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -28,147 +36,27 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import groups, list_array, slices, stored, text_bytes
-from paperloom.llm.components import components, spanning
+from paperloom.llm.common import dropped, list_array, slices, stored, text_bytes
+from paperloom.llm.components import Forest, components
 from paperloom.llm.decontaminate import NORMAL
+from paperloom.llm.edit import Form, told, within
+from paperloom.llm.words import pieces, sketches
 
-#: Lines to fetch that may be sent to all tasks (about 50 bytes each); if there are more, texts and they are shuffled.
-SENT = 200_000
-FUZZY_WORDS, RADIUS, SIMILARITY, CACHED, RARE = 5, 3, 0.8, 100_000, 64
+FUZZY_WORDS, RADIUS, SIMILARITY, RARE = 5, 3, 0.8, 64
 #: With so many bands, at least 0.9 of the pairs of the edit similarity are found (measured in README.md).
-BANDS, ROWS, WIDE = 8, 4, 20
-
-
-class Numbers(dict):
-    """Consecutive numbers of words; ``new`` has the words numbered lately."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
-class Signs:
-    """Weighted signs of the hash bits of words, kept for the words met lately.
-
-    Sums of fewer than 2^18 of them are exact in single precision.
-    """
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.numbers, self.table, self.hashes = Numbers(), np.zeros((1024, 64), np.float32), np.zeros(1024, np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Rows of the table."""
-        if len(self.numbers) > CACHED:
-            self.clear()
-        start = len(self.numbers)
-        rows = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        new, end = self.numbers.new, len(self.numbers)
-        if new:
-            while len(self.table) < end:
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-            weights = np.minimum(np.fromiter(map(len, new), np.int64, len(new)), 64).astype(np.float32)
-            self.hashes[start:end] = hashes
-            self.table[start:end] = (2 * bits - 1) * weights[:, None]
-            new.clear()
-        return rows
-
-
-def simhashes(lines: list[list[bytes]], signs: Signs) -> np.ndarray:
-    """One 64-bit hash for each list of words; zero for an empty one."""
-    sums, at = np.zeros((len(lines), 64)), 0
-    ones = np.ones(1 << 17, np.float32)
-    while at < len(lines):
-        stop, words = at, []
-        while stop < len(lines) and len(words) < 60_000:  # so many lines at once that their words fit the table
-            words += lines[stop]
-            stop += 1
-        rows, start = signs.of(words), 0
-        for k in range(at, stop):
-            end = start + len(lines[k])
-            for i in range(start, end, 1 << 17):
-                own = rows[i : min(end, i + (1 << 17))]
-                sums[k] += ones[: len(own)] @ signs.table[own]
-            start = end
-        at = stop
-    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel().byteswap()
-
-
-def minhashes(lines: list[list[bytes]], signs: Signs, bands: int) -> np.ndarray:
-    """A column a band: a hash of the words of each line that are the first in ``ROWS`` orders; zero for an empty line."""
-    out, at = np.zeros((len(lines), bands), np.int32), 0
-    orders = np.array([xxhash.xxh64_intdigest(b"%d" % k) | 1 for k in range(bands * ROWS + ROWS)], np.uint64)
-    mix = orders[bands * ROWS :]
-    full = np.array([k for k, line in enumerate(lines) if line], np.int64)
-    while at < len(full):
-        stop, words, starts = at, [], []
-        while stop < len(full) and len(words) < 60_000:
-            starts.append(len(words))
-            words += lines[full[stop]]
-            stop += 1
-        rows = signs.of(words)
-        hashes = signs.hashes[rows]
-        for k in range(bands):
-            least = [np.minimum.reduceat(hashes * orders[k * ROWS + j], starts) * mix[j] for j in range(ROWS)]
-            out[full[at:stop], k] = (np.sum(least, axis=0, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        at = stop
-    return out
-
-
-def distance(a: str, b: str) -> int:
-    """Edit distance, bit-parallel over the shorter string after equal ends are cut off."""
-    if len(a) > len(b):
-        a, b = b, a
-    start = 0
-    while start < len(a) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < len(a) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a:
-        return len(b)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for c in b:
-        eq = places.get(c, 0)
-        upright = eq | down
-        level = ((((eq & up) + up) ^ up) | eq) & full
-        right, left = down | (full & ~(level | up)), up & level
-        score += bool(right & last) - bool(left & last)
-        right, left = (right << 1 | 1) & full, (left << 1) & full
-        up, down = left | (full & ~(upright | right)), right & upright
-    return score
-
-
-def similar(a: str, b: str, least: float) -> bool:
-    """Whether the edit similarity is at least ``least``."""
-    longer = max(len(a), len(b))
-    most = (1 - least) * longer + 1e-9
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:
-        return True  # word by word, it takes few enough edits
-    return distance(a, b) <= most
+BANDS, ROWS = 10, 4
+#: Bits that may differ in a band: in lines of SHORT characters or more, and in shorter ones, where each word weighs more.
+WIDE, WIDER, SHORT = 17, 25, 100
+#: Lines of one key that meet at once: by their hashes, and by their texts.
+HASHES, TEXTS = 4096, 512
+#: Distances that are taken before it is looked up again which pairs still need one.
+DISTANCES = 2048
+#: Lengths are told apart by the power of 1.05 that they reach; the last bits of a line's number.
+CLASS_BITS, CLASS_STEP = 8, 1.05
 
 
 def masks(count: int, radius: int = RADIUS) -> list[int]:
@@ -186,24 +74,82 @@ def _signed(x: int) -> int:
 
 
 def marked(docs: DataFrame, id: str, text: str, bands: int = 0) -> DataFrame:
-    """The key of each text (id and a hash) and, for each line, two hash halves, SimHash, number of words and bands."""
+    """The key of each text (id and a hash) and, for each line, what ``sketches`` has of it, bands as bytes."""
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
     def run(batches):
-        signs = Signs()
         for batch in batches:
-            for part in slices(batch, 128):
-                lines = [[] if x is None else [y.translate(NORMAL).split() for y in x.split(b"\n")] for x in text_bytes(part.column("text"))]
-                flat = [y for x in lines for y in x]
-                whole = b"".join(xxhash.xxh3_128_digest(b" ".join(y)) for y in flat)
-                halves = np.frombuffer(whole, np.int64).reshape(-1, 2)
-                counts = list(map(len, lines))
-                cols = (halves[:, 0].copy(), halves[:, 1].copy(), simhashes(flat, signs).view(np.int64), np.fromiter(map(len, flat), np.int32, len(flat)), *minhashes(flat, signs, bands).T.copy())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *(list_array(counts, pa.array(c)) for c in cols)], names=["id", "th", "h1", "h2", "sim", "words", *names])
-
-    names = [f"b{k}" for k in range(bands)]
-    return rows.mapInArrow(run, f"id {kind}, th long, h1 array<long>, h2 array<long>, sim array<long>, words array<int>" + "".join(f", {n} array<int>" for n in names))
+            for part in slices(batch, 4096):
+                texts = text_bytes(part.column("text"))
+                counts = [0 if x is None else x.count(b"\n") + 1 for x in texts]
+                found = [sketches(p, bands, ROWS) for p in pieces(texts)]
+                flat = lambda name, kind: pa.array(np.concatenate([x[name] for x in found]).view(kind) if found else np.empty(0, kind))
+                cols = [flat("h1", np.int64), flat("h2", np.int64), flat("sim", np.int64), flat("words", np.int32), flat("chars", np.int32)]
+                if bands:
+                    keys = b"".join(x["bands"].tobytes() for x in found)
+                    cols.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * bands), sum(counts), [None, pa.py_buffer(keys)]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *(list_array(counts, c) for c in cols)], names=["id", "th", *LINE, *(["bands"] if bands else [])])
+
+    return rows.mapInArrow(run, f"id {kind}, th long, h1 array<long>, h2 array<long>, sim array<long>, words array<int>, chars array<int>" + (", bands array<binary>" if bands else ""))
+
+
+LINE = ["h1", "h2", "sim", "words", "chars"]
+
+
+def _meets(d: np.ndarray, sims: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the lines ``i`` and ``j`` are two that hashes and lengths allow to link; ``most`` has no bound (64) for bands."""
+    a, b = d[i] & ((1 << CLASS_BITS) - 1), d[j] & ((1 << CLASS_BITS) - 1)
+    wide = np.where(np.minimum(a, b) < int(np.log(SHORT) / np.log(CLASS_STEP)), WIDER, WIDE)
+    far = np.bitwise_count((sims[i] ^ sims[j]).view(np.uint64))
+    return (d[i] != d[j]) & (far <= np.minimum(wide, most[i])) & (np.abs(a - b) <= np.ceil(np.log(1 / SIMILARITY) / np.log(CLASS_STEP)))
+
+
+def _shifts(key: np.ndarray):
+    """Index pairs of equal ``key`` (sorted), those of neighbours first: with those, all pairs of each group."""
+    i = np.flatnonzero(key[:-1] == key[1:])
+    shift = 1
+    while len(i):
+        yield i, i + shift
+        shift += 1
+        i = i[i + shift < len(key)]
+        i = i[key[i] == key[i + shift]]
+
+
+def _runs(batches, names: list[str], rows: int):
+    """Tables of whole groups (equal in the columns ``names``), of few more than ``rows`` rows unless a group alone has more."""
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        change = np.zeros(table.num_rows - 1, bool)
+        for name in names:
+            x = table.column(name).to_numpy()
+            change |= x[1:] != x[:-1]
+        cuts = np.flatnonzero(change)
+        if len(cuts):
+            at = int(cuts[-1]) + 1
+            yield table.slice(0, at)
+            table = table.slice(at)
+        held, count = table.to_batches(), table.num_rows
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame, size: int, crossed: bool) -> DataFrame:
+    """``rows`` of keys with more than ``size`` lines, in blocks: a copy for each pair (x, y) of blocks that has the row's block."""
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    own = rows.join(many, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("d", "key"), F.col("blocks")).cast("int"))
+    if not crossed:
+        return own.withColumns({"x": F.col("own"), "y": F.col("own")})
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, bands: int = 0) -> DataFrame:
@@ -212,67 +158,132 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
 
     docs = docs.drop("n_lines", "n_cut", "cut_lines")
     base = stored(marked(docs, id, text, bands), "marked")
-    by_line = ["h1", "h2", "sim", "words", *(f"b{k}" for k in range(bands))]
+    by_line = [*LINE, *(["bands"] if bands else [])]
     each = F.posexplode(F.arrays_zip(*by_line)).alias("line", "z")
     lines = base.select("id", "th", each).filter("z.words > 0").select("id", "th", "line", *(f"z.{n}" for n in by_line))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "line")
-    same = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), *(F.max(n).alias(n) for n in by_line[2:]))
-    distinct = stored(same.withColumn("d", F.monotonically_increasing_id()), "lines")
+    same = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), *(F.first(n).alias(n) for n in by_line[2:]))
+    length = F.floor(F.log(F.col("chars").cast("double")) / F.lit(np.log(CLASS_STEP))).cast("long")
+    number = F.shiftleft(F.monotonically_increasing_id(), CLASS_BITS) + F.least(length, F.lit((1 << CLASS_BITS) - 1))
+    distinct = stored(same.withColumn("d", number), "lines")
 
     bits = masks(distinct.count(), radius)
-    # A key is a hash of a choice of blocks and their bits; its last bits number the choice.
-    key = lambda t, m: F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(t))
-    band = lambda t, n: F.xxhash64(F.lit(t), F.col(n)).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(t))
-    assert len(bits) + bands <= 64
-    keys = [key(t, m) for t, m in enumerate(bits)] + [band(len(bits) + t, n) for t, n in enumerate(by_line[4:])]
+    # A key is a hash of a choice of blocks and their bits, or of a band; its last bits number the choice.
+    key = lambda t, c: F.xxhash64(F.lit(t), c).bitwiseAND(F.lit(~127)).bitwiseOR(F.lit(t))
+    assert len(bits) + bands <= 128
+    keys = [key(t, F.col("sim").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(bits)] + [key(len(bits) + t, F.substring("bands", 4 * t + 1, 4)) for t in range(bands)]
     keyed = distinct.filter(F.col("words") >= FUZZY_WORDS).select("d", "sim", F.explode(F.array(*keys)).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    most = F.when(F.col("a.key").bitwiseAND(F.lit(63)) < len(bits), radius).otherwise(max(radius, WIDE))
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.d") != F.col("b.d")) & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= most)
-    hinted = stored(a.join(b, near, "left_semi").select("d", "sim", "key"), "hinted")
+    bounds = np.array([radius] * len(bits) + [64] * (128 - len(bits)))
+
+    def hint(batches):
+        """Lines with a partner; those of keys with more than HASHES lines are marked and left to blocks."""
+        for table in _runs(batches, ["key"], 100_000):
+            key, d, sims = (table.column(n).to_numpy() for n in ("key", "d", "sim"))
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(starts, len(key)))
+            crowd = np.repeat(sizes > HASHES, sizes)
+            meet = np.zeros(len(key), bool)
+            few = np.flatnonzero(~crowd & np.repeat(sizes > 1, sizes))
+            k, n, s, most = key[few], d[few], sims[few], bounds[key[few] & 127]
+            for i, j in _shifts(k):
+                hit = _meets(n, s, i, j, most)
+                meet[few[i[hit]]] = meet[few[j[hit]]] = True
+            out = np.flatnonzero(meet | crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(d[out]), pa.array(sims[out]), pa.array(crowd[out])], names=["key", "d", "sim", "crowd"])
+
+    def hint_blocks(batches):
+        for table in _runs(batches, ["key", "x", "y"], 2 * HASHES):
+            key, x, y, own, d, sims = (table.column(n).to_numpy() for n in ("key", "x", "y", "own", "d", "sim"))
+            group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+            meet, most = np.zeros(len(key), bool), bounds[key & 127]
+            for i, j in _shifts(group):
+                hit = _meets(d, sims, i, j, most) & ((own[i] != own[j]) | (x[i] == y[i]))
+                meet[i[hit]] = meet[j[hit]] = True
+            out = np.flatnonzero(meet)
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(d[out]), pa.array(sims[out])], names=["key", "d", "sim"])
+
+    met = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(hint, "key long, d long, sim long, crowd boolean"), "met")
+    hinted = met.filter("NOT crowd").drop("crowd")
+    if met.filter("crowd").limit(1).count():
+        crowds = _dealt(met.filter("crowd").drop("crowd"), HASHES, True)
+        by_block = crowds.select("key", "x", "y", "own", "d", "sim").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        hinted = stored(hinted.unionByName(by_block.mapInArrow(hint_blocks, "key long, d long, sim long").distinct()), "hinted")
 
     texts_of = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).alias("x")
-    wanted = hinted.select("d").distinct().join(distinct.select("d", "first"), "d")
-    wanted = stored(wanted.select("d", "first.id", "first.th", "first.line"), "wanted")
-    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("d", "line")).alias("asked"))  # lines of one text
-    asked = F.broadcast(asked) if wanted.count() <= SENT else asked.hint("shuffle_hash")
-    met = texts_of.join(asked.alias("q"), F.col("x.id").eqNullSafe(F.col("q.id")) & (F.col("x.th") == F.col("q.th")))
-    cut_up = met.select(F.split("text", "\n", -1).alias("all"), F.explode("asked").alias("q"))
-    texts = cut_up.select("q.d", F.element_at("all", F.col("q.line") + 1).alias("line")).dropDuplicates(["d"])  # repeated rows have one key
-    buckets = hinted.join(texts, "d")
-    masks_of = np.array(bits, np.uint64)
+    known = F.col("bands") if bands else F.lit(b"").alias("bands")
+    wanted = hinted.select("d").distinct().join(distinct.select("d", "first", known), "d")
+    wanted = wanted.select("d", "first.id", "first.th", "first.line", "bands")
+    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("d", "line", "bands")).alias("asked"))  # lines of one text
+    met_texts = texts_of.join(asked.hint("shuffle_hash").alias("q"), F.col("x.id").eqNullSafe(F.col("q.id")) & (F.col("x.th") == F.col("q.th")))
+    cut_up = met_texts.select(F.split("text", "\n", -1).alias("all"), F.explode("asked").alias("q"))
+    texts = cut_up.select("q.d", "q.bands", F.element_at("all", F.col("q.line") + 1).alias("line")).dropDuplicates(["d"])  # repeated rows have one key
+    texts = stored(texts, "texts")
+
+    blocks_of = np.array(bits, np.uint64)
 
     def verify(batches):
-        for table in groups(batches, "key"):
-            if table.num_rows < 2:
-                continue
-            ids, sims, number = table.column("d").to_numpy(), table.column("sim").to_numpy().view(np.uint64), table.column("key").to_numpy() & 63
-            forms = [b" ".join(x.as_py().encode().translate(NORMAL).split()).decode() for x in table.column("line")]
-
-            in_band = number[0] >= len(bits)
-            most = max(radius, WIDE) if in_band else radius
-
-            def near(i, j):
-                hit = np.bitwise_count(sims[i][:, None] ^ sims[j][None, :]) <= most
-                for col in np.flatnonzero(hit.any(axis=0)):
-                    good = None
-                    for r in np.flatnonzero(hit[:, col]):
-                        a, b = i[r], j[col]
-                        shared = ((sims[a] ^ sims[b]) & masks_of) == 0
-                        # Of the keys of SimHash bits, a pair is looked at in the first only.
-                        if (in_band or shared.argmax() == number[a]) and similar(forms[a], forms[b], similarity):
-                            good = r
-                            break
-                    hit[:, col] = False
-                    if good is not None:
-                        hit[good, col] = True
-                return hit
-
-            pairs = np.array(spanning(len(ids), near), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
-
-    links = buckets.select("key", "d", "sim", "line").repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+        """A spanning forest of the links of each group (key and two blocks; of different ones, pairs across only).
+
+        Of the keys that a pair shares and that allow it, the first one's group looks at it.
+        """
+        for table in _runs(batches, ["key", "x", "y"], 20_000):
+            key, x, y, own, d, sims, group_of = (table.column(n).to_numpy() for n in ("key", "x", "y", "own", "d", "sim", "c"))
+            sims, number = sims.view(np.uint64), key & 127
+            least = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.uint32).reshape(len(d), bands)
+            forms = [Form(b" ".join(t.as_py().encode().translate(NORMAL).split()).decode()) for t in table.column("line")]
+            group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+            nodes, node = np.unique(group_of, return_inverse=True)
+            up, most, links, open_pairs = np.arange(len(nodes)), bounds[number], [], []
+
+            def join(i, j):
+                """Links of the pairs, as far as they bring something together."""
+                nonlocal up
+                forest = Forest()
+                for a, b in zip(i, j):
+                    if forest.join(int(up[node[a]]), int(up[node[b]])):
+                        links.append((d[a], d[b]))
+                if forest.up:
+                    move = np.arange(len(nodes))
+                    for a in list(forest.up):
+                        move[a] = forest.root(a)
+                    up = move[up]
+
+            for i, j in _shifts(group):
+                hit = _meets(d, sims, i, j, most) & ((own[i] != own[j]) | (x[i] == y[i])) & (up[node[i]] != up[node[j]])
+                i, j = i[hit], j[hit]
+                differ = sims[i] ^ sims[j]
+                by_bits = ((differ[:, None] & blocks_of) == 0) & (np.bitwise_count(differ) <= radius)[:, None]
+                shared = np.concatenate((by_bits, least[i] == least[j]), axis=1)
+                here = shared[np.arange(len(i)), number[i]] & (shared.argmax(axis=1) == number[i])
+                pairs = list(zip(i[here].tolist(), j[here].tolist()))
+                known = [told(forms[a], forms[b], similarity) for a, b in pairs]
+                open_pairs += [p for p, good in zip(pairs, known) if good is None]
+                join([a for (a, _), good in zip(pairs, known) if good], [b for (_, b), good in zip(pairs, known) if good])
+            # Only now the pairs that need their distance, for by now others have brought most of them together.
+            while open_pairs:
+                left = np.array(open_pairs)
+                left = left[up[node[left[:, 0]]] != up[node[left[:, 1]]]]
+                now, open_pairs = left[:DISTANCES].tolist(), left[DISTANCES:].tolist()
+                good = within([(forms[a], forms[b]) for a, b in now], similarity)
+                join([p[0] for p, g in zip(now, good) if g], [p[1] for p, g in zip(now, good) if g])
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+
+    columns = ["key", "x", "y", "own", "d", "sim", "c", "line", "bands"]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # for its time, not its bytes
+    check = lambda rows: rows.join(texts, "d").select(*columns).repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(verify, "a long, b long")
+    many = hinted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TEXTS)
+    alone = hinted.join(many, "key", "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})
+    inside = alone.unionByName(_dealt(hinted, TEXTS, False).select("key", "d", "sim", "x", "y", "own")).withColumn("c", F.col("d"))
+    links = stored(check(inside), "links-within")
     joined = components(links)
+    if many.limit(1).count():
+        # Lines of a crowded key that are in different components, one and all; those that are together need no look.
+        named = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "d")
+        rest = hinted.join(many.select("key"), "key", "left_semi").join(named, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+        several = rest.groupBy("key").agg((F.min("c") != F.max("c")).alias("open")).filter("open").select("key")
+        across = _dealt(rest.join(several, "key", "left_semi"), TEXTS, True).filter("x <> y")
+        joined = components(links.unionByName(check(across)))
     nodes = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
     of = nodes.join(distinct.select(F.col("d").alias("node"), "first"), "node")
     chosen = of.groupBy("component").agg(F.min("first").alias("group_first"))

@@ -5,7 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from paperloom.llm import edit, words
 from paperloom.llm import lines as L
+from paperloom.llm.words import sketches
 
 
 def plain_distance(a, b):
@@ -20,7 +22,62 @@ def plain_distance(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.text("abé ", max_size=30), st.text("abé ", max_size=30))
 def test_distance(a, b):
-    assert L.distance(a, b) == plain_distance(a, b)
+    assert edit.distance(a, b) == plain_distance(a, b)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abé ", max_size=30), st.text("abé ", max_size=30)), max_size=60))
+def test_similar(pairs):
+    want = [plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert edit.similar([(edit.Form(a), edit.Form(b)) for a, b in pairs], 0.8).tolist() == want
+
+
+def test_similar_over_many_words_of_bits():
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choices("abcdé ", k=rng.choice([3, 63, 64, 65, 130, 200])))
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 3)):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "ab"])
+        pairs.append((a, "z" + "".join(b) + "y"))
+    want = [plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert 50 < sum(want) < 350
+    assert edit.similar([(edit.Form(a), edit.Form(b)) for a, b in pairs], 0.8).tolist() == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aB1é \n,", max_size=60)), max_size=8), st.integers(1, 40))
+def test_sketches_in_pieces(texts, size):
+    import xxhash
+
+    raw = [None if t is None else t.encode() for t in texts]
+    found = [sketches(p, 2) for p in words.pieces(raw, size)]
+    lines = [normal(line) for t in texts if t is not None for line in t.split("\n")]
+    got = {k: [v for x in found for v in x[k].tolist()] for k in ("words", "chars", "sim", "h1", "h2")}
+    assert got["words"] == [len(x) for x in lines] and got["sim"] == [plain_simhash(x) for x in lines]
+    assert got["chars"] == [len(b" ".join(x).decode()) for x in lines]
+    halves = [np.frombuffer(xxhash.xxh3_128_digest(b" ".join(x)), np.int64).tolist() if x else [0, 0] for x in lines]
+    assert [list(p) for p in zip(got["h1"], got["h2"])] == halves
+
+
+def test_word_hashes():
+    import xxhash
+
+    rng = random.Random(8)
+    found = ["".join(rng.choices("abcdefgé1", k=k)) for k in range(1, 90)]
+    data, starts, sizes = b"", [], []
+    for w in found:
+        starts.append(len(data))
+        sizes.append(len(w.encode()))
+        data += w.encode() + b" "
+    got = words.xxh64(data + b"\0" * 8, np.array(starts), np.array(sizes))
+    assert got.tolist() == [xxhash.xxh64_intdigest(w) for w in found]
+
+
+def test_long_lines_in_segments():
+    line = [b"w%d" % (k * k) for k in range(5000)]
+    assert simhashes([line, [b"x"], line[:1001]]) == [plain_simhash(x) for x in (line, [b"x"], line[:1001])]
 
 
 def normal(line):
@@ -38,9 +95,13 @@ def plain_simhash(words):
     return sum(1 << b for b in range(64) if total[b] > 0)
 
 
+def simhashes(lines):
+    return sketches(b"".join(b" ".join(x) + b"\n" for x in lines))["sim"].tolist()
+
+
 def test_simhashes():
     lines = [normal(x) for x in ("One two, three!", "", "é 12 one", "word " * 300)]
-    assert L.simhashes(lines, L.Signs()).tolist() == [plain_simhash(x) for x in lines]
+    assert simhashes(lines) == [plain_simhash(x) for x in lines]
 
 
 def brute(docs, hashes):
@@ -76,9 +137,10 @@ def brute(docs, hashes):
     return {k: sorted(v) for k, v in cut.items()}
 
 
-@pytest.mark.parametrize("sent", [0, 1000])
-def test_matches_brute_force(spark, monkeypatch, sent):
-    monkeypatch.setattr(L, "SENT", sent)
+@pytest.mark.parametrize("hashes_at_once, texts_at_once", [(4096, 512), (3, 2), (2, 512)])
+def test_matches_brute_force(spark, monkeypatch, hashes_at_once, texts_at_once):
+    monkeypatch.setattr(L, "HASHES", hashes_at_once)
+    monkeypatch.setattr(L, "TEXTS", texts_at_once)
     rng = random.Random(2)
     words = ["w%da%d" % (i, i * i) for i in range(200)] + ["é" * 3, "ß"]
     lines = [" ".join(rng.choices(words, k=rng.choice([2, 6, 30, 60]))) for _ in range(30)]
@@ -100,8 +162,6 @@ def test_matches_brute_force(spark, monkeypatch, sent):
     hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
     want = brute(docs, hashes)
     assert sum(len(v) for v in want.values()) > 60
-    linked = L.simhashes([normal(x) for x in lines[:1]], L.Signs())
-    assert len(linked) == 1
     for r in out:
         d, text = docs[r["at"]]
         cut = want.get((d is None, d or 0, hashes[text]), [])
@@ -142,7 +202,7 @@ def test_bands_find_pairs_beyond_the_radius(spark):
         near[rng.randrange(len(near))] = rng.choice(words)
         docs += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
     alike = [k for k in range(pairs) if plain_distance(*(t for _, t in docs[2 * k : 2 * k + 2])) <= 0.2 * max(len(t) for _, t in docs[2 * k : 2 * k + 2])]
-    sims = L.simhashes([normal(t) for _, t in docs], L.Signs()).tolist()
+    sims = simhashes([normal(t) for _, t in docs])
     far = [k for k in alike if (sims[2 * k] ^ sims[2 * k + 1]).bit_count() > 3]
     assert len(far) > 100
     df = spark.createDataFrame([*docs, (10**6, None), (10**6 + 1, "\n*\n")], "doc_id long, text string")
@@ -151,3 +211,30 @@ def test_bands_find_pairs_beyond_the_radius(spark):
     cut = {d // 2 for d, r in out.items() if r.n_cut}
     assert cut <= set(alike) and all(out[2 * k].n_cut == 0 for k in range(pairs))
     assert len(cut & set(far)) >= 0.9 * len(far)
+
+
+@pytest.mark.parametrize("length", [6, 8, 12, 20, 40, 80])
+def test_recall_by_length(spark, length):
+    """Of unequal lines with one to three changed words and an edit similarity of 0.8, at least 0.9 link."""
+    rng = random.Random(length)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 10))) for _ in range(4000)]
+    docs, alike = [], []
+    for k in range(200):
+        line = rng.choices(vocabulary, k=length)
+        near = list(line)
+        for _ in range(1 + rng.randrange(max(1, min(3, length // 12 + 1)))):
+            near[rng.randrange(len(near))] = rng.choice(vocabulary)
+        a, b = " ".join(line), " ".join(near)
+        docs += [(2 * k, a), (2 * k + 1, b)]
+        if a != b and plain_distance(a, b) <= 0.2 * max(len(a), len(b)):
+            alike.append(k)
+    out = {r.doc_id: r.n_cut for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), bands=L.BANDS).collect()}
+    assert len(alike) > 80
+    assert sum(out[2 * k + 1] for k in alike) >= 0.9 * len(alike)
+
+
+def test_columns_of_the_working_tables_pass_through(spark):
+    names = ["key", "d", "th", "line", "x", "y", "c", "n_lines", "cut_lines"]
+    df = spark.createDataFrame([(1, "one two three four five six", *names), (2, "one two three four five six", *names)], ["doc_id", "text", *names])
+    out = {r.doc_id: r for r in L.dedup_lines(df, bands=L.BANDS).collect()}
+    assert out[1].text and out[2].text == "" and all(out[1][n] == n for n in names[:-2]) and out[2].n_lines == 1 and out[2].cut_lines == [0]
