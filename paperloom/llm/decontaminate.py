@@ -7,7 +7,8 @@ scanned once. Hits map back to words and to character offsets of the original te
 
 Defined cases: a null text has no words; an empty items table leaves all rows clean; an item
 with a null id counts as the item with the empty id; repeated items count once; further columns
-of the input pass through; repeated rows each keep their own result.
+of the input pass through; repeated rows each keep their own result. A very long text is held
+whole with its list of words, as one row of its own part.
 
 The items travel to the executors. Their size is measured first: beyond ``block_bytes`` they are
 dealt into blocks by a hash of the id, each block is scanned on its own and the hits are merged
@@ -156,15 +157,18 @@ def decontaminate(
     if blocks == 1:
         out = hits(base, 0)
     else:
-        base = stored(with_row(base), "rows")  # each block reads the same keys, whatever its splits
-        few = base.select("_row", text)
+        row = "_row"
+        while row in base.columns:
+            row += "_"
+        base = stored(with_row(base, row), "rows")  # each block reads the same keys, whatever its splits
+        few = base.select(row, text)
         each = [hits(few, b).drop(text) for b in range(blocks)]
         joined = each[0]
         for more in each[1:]:
             joined = joined.unionByName(more)
         flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  one list for each block
-        merged = joined.groupBy("_row").agg(F.max("n_words").alias("n_words"), flat("hit_words").alias("hit_words"), flat("item_ids").alias("item_ids"))
-        both = base.join(merged, "_row").drop("_row")
+        merged = joined.groupBy(row).agg(F.max("n_words").alias("n_words"), flat("hit_words").alias("hit_words"), flat("item_ids").alias("item_ids"))
+        both = base.join(merged, row).drop(row)
         schema = T.StructType(both.schema.fields + T._parse_datatype_string("spans array<struct<start:int,end:int>>").fields)
         names = to_arrow_schema(schema).names
 

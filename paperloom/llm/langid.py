@@ -5,19 +5,20 @@ characters are hashed into ``BUCKETS``. The weights are learned by follow-the-re
 with an elastic net (both penalties at once), one example at a time, and a temperature is then
 fitted on labelled rows that the weights have not seen.
 
-The model is fitted on a bounded sample of labelled rows (``sample`` rows at most, dealt evenly
-over the labels by a hash of the id); predictions cover every row and its whole text.
+The model is fitted on a bounded sample of labelled rows (``sample`` distinct rows at most, dealt
+evenly over the labels by a hash of id and text, one a label at least); predictions cover every row
+and its whole text. Long texts are read in chunks of a million characters.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is every row
 if there is no labelled row; rows with a null label or a null id teach nothing; repeated rows
-each get their prediction; columns named as the new ones are replaced, all others pass through.
+teach once and each get their prediction; of equally likely labels the first in order is predicted; columns named as the new ones are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,22 +151,21 @@ def predict(text: bytes | None, model: dict) -> tuple[str, float]:
 
 
 def train(docs: DataFrame, id: str, text: str, label: str, teach: Column, calibrate: Column, sample: int = 3000) -> dict:
-    """Fit on at most ``sample`` of the rows for which ``teach`` holds, evenly over the labels."""
-    known = docs.filter(teach & F.col(label).isNotNull() & F.col(id).isNotNull())
-    sizes = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one row a label
+    """Fit on at most ``sample`` of the distinct rows for which ``teach`` holds, evenly over the labels, one a label at least."""
+    draw = F.xxhash64(F.col(id).cast("string"), F.col(text)).alias("draw")
+    held = F.coalesce(calibrate, F.lit(False)).alias("calibrate")
+    known = docs.filter(teach & F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(label).cast("string").alias("label"), draw, held, F.col(text).alias("text"))
+    sizes = known.groupBy("label").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).collect()  # one row a label
     if not sizes:
         return {"labels": []}
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(label) == name, F.lit(sample / len(sizes) / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(1 << 30))
-    drawn = known.filter(draw / F.lit(float(1 << 30)) < share)
-    # The order makes the bound strict; only so many ids and no texts meet here.
-    picked = drawn.select(id, draw.alias("_draw")).orderBy("_draw", id).limit(sample)
-    last = picked.agg(F.max(F.struct("_draw", F.col(id).cast("string").alias("i"))).alias("m")).first()["m"]
-    if last is None:
-        return {"labels": []}
-    chosen = drawn.filter(draw <= last["_draw"]).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.coalesce(calibrate, F.lit(False)).alias("calibrate"))
+    each, below = max(1, sample // len(sizes)), F.lit(None).cast("long")
+    for r in sizes:  # about four times the rows that are needed, and the first one for sure
+        bound = max(r["least"], -(1 << 63) + int(min(1.0, 4 * each / max(1, r["n"])) * ((1 << 64) - 1)))
+        below = F.when(F.col("label") == r["label"], F.lit(min(bound, (1 << 63) - 1)).cast("long")).otherwise(below)
+    drawn = known.filter(F.col("draw") <= below).select("label", "draw").distinct()
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw"))).filter(F.col("rank") <= each).drop("rank")
+    # At most `each` keys a label go to all tasks; of equal rows one is taken.
+    chosen = known.join(F.broadcast(ranked), ["label", "draw"]).dropDuplicates(["label", "draw"]).select("text", "label", "calibrate")
 
     def gather(batches):
         for batch in batches:

@@ -1,9 +1,9 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and format.
 
-Detected: e-mail addresses, phone numbers, payment-card and other long numbers, IPv4 addresses,
-social-security numbers, IBANs, access keys, quoted tokens, passwords, and names after a title or
-with a known given name. Hangul has no case: there a name is a given name with a surname before it
-(with or without a space, particles may follow) or after it. A surrogate keeps what makes the mention what it is: separators, case,
+Detected: e-mail addresses, phone numbers, payment-card and other long numbers, IPv4 and IPv6
+addresses, social-security numbers, IBANs, access keys, quoted tokens, passwords, and names after a
+title, after "name:" or "name is", or with a known given name. Hangul has no case: there a name is a
+given name with a surname before it (with or without a space, particles may follow) or after it. A surrogate keeps what makes the mention what it is: separators, case,
 country code, issuer digit and check digit of a card, private or public range of an address, top
 domain, and a name's gender and script.
 
@@ -11,20 +11,27 @@ Surrogates come from a keyed permutation of all values of a form: F(x) = P'(P(x)
 a Feistel network over mixed radices (HMAC-SHA256 as its round function) and P' its inverse. So
 one value always gets one surrogate, in all texts and whatever its case or spacing (coreference),
 two values of a form never share one, and no value is its own. Values that a form excludes are
-passed over by applying F again, which keeps it a permutation. No table of entities is needed,
-nothing is shuffled, and adding rows changes no earlier result. Each text is checked nevertheless:
-``n_collisions`` counts its values whose surrogate is another value's, and is zero.
+passed over by applying F again, which keeps it a permutation. Names go a word at a time, whatever
+its role: known given names within those of their gender and script, Hangul surnames within
+Hangul surnames, any other word to words that are neither. So "John Thomas" and "Mr Thomas" agree.
+No table of entities is needed, nothing is shuffled, and adding rows changes no earlier result. Each
+text is checked nevertheless: a value whose surrogate another value of the text has takes the next
+free one, and ``n_collisions`` counts such values (none are known).
 
 Defined cases: a null text stays null and has no entities; an overlap belongs to the mention that
 starts first, then to the longer one; repeated rows get equal results; columns of the new names
-are replaced.
+are replaced; an empty table gives an empty one. A very long text is held whole, as a part of its own.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import ipaddress
+import itertools
 import re
+import unicodedata
 
 import ahocorasick
 import pyarrow as pa
@@ -35,8 +42,8 @@ from paperloom.llm.common import slices
 
 #: Given names by script and gender. Surrogates for them come from the same list.
 GIVEN = {
-    ("latin", "f"): "Mary Anna Emma Julia Laura Sophie Claire Alice Helen Ingrid Monika Sabine Petra Carmen Lucia Isabel Elena Teresa Camille Juliette Amelie Charlotte Emily Grace Olivia Nora Ruth Susan Karen Linda".split(),
-    ("latin", "m"): "James John Peter Paul Thomas Michael David Daniel Martin Stefan Jürgen Klaus Wolfgang Hans Pierre Jacques Louis Antoine Carlos Miguel Javier Pablo Diego Andrew George Henry William Robert Oliver Simon".split(),
+    ("latin", "f"): "Mary Anna Emma Julia Laura Sophie Claire Alice Helen Ingrid Monika Sabine Petra Carmen Lucia Isabel Elena Teresa Camille Juliette Amelie Charlotte Emily Grace Olivia Nora Ruth Susan Karen Linda Priya Anjali Fatima Aisha Yuki Sakura Mei Leila Zahra Chiara Giulia Agnieszka Katarzyna".split(),
+    ("latin", "m"): "James John Peter Paul Thomas Michael David Daniel Martin Stefan Jürgen Klaus Wolfgang Hans Pierre Jacques Louis Antoine Carlos Miguel Javier Pablo Diego Andrew George Henry William Robert Oliver Simon Raj Arjun Wei Hiroshi Kenji Mohammed Ahmed Omar Ali Giovanni Luca Piotr Łukasz Tomasz".split(),
     ("cyrillic", "f"): "Анна Мария Ольга Елена Ирина Наталья Татьяна Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Михаил Андрей Николай Павел Виктор Олег".split(),
     ("hangul", "f"): "지영 수진 미경 은주 혜진 유진 민지 서연".split(),
@@ -47,23 +54,48 @@ TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "",
 }
-#: Letter classes within which the letters of a surname change places.
-CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789", "".join(map(chr, range(0xAC00, 0xD7A4)))]
+#: Letter classes within which the letters of a word change places; other letters do so within their block of 128.
+CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñ", "ßðþ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789", "".join(map(chr, range(0xAC00, 0xD7A4)))]
 _CLASS_OF = {c: (x, k) for x in CLASSES for k, c in enumerate(x)}
 
+
+def low(text: str) -> str:
+    """In lower case, a character for each; a final sigma is one as any other."""
+    return "".join(c.lower()[0] for c in text).replace("ς", "σ")
+
+
+def up(text: str) -> str:
+    """In upper case where that is one character for each."""
+    return "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
+
+
+@functools.cache
+def _spot(c: str) -> tuple[str, int] | None:
+    """The class of a letter (lower case or without case) or digit, and its place there."""
+    if c in _CLASS_OF or not c.isalpha():
+        return _CLASS_OF.get(c)
+    kind, start = unicodedata.category(c), ord(c) & ~127
+    same = [x for x in map(chr, range(start, start + 128)) if x not in _CLASS_OF and unicodedata.category(x) == kind and low(x) == x and low(up(x)) == x]
+    return ("".join(same), same.index(c)) if c in same and len(same) > 1 else None
+
+
 _GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
+_GIVEN = {low(name): (kind, k) for kind, names in GIVEN.items() for k, name in enumerate(names)}
 #: Hangul surnames; these alone mark a name next to a given name.
 SURNAMES = [*"김이박최정강조윤장임한오서신권황안송류유전홍고문양손배백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용", "남궁", "황보", "제갈", "사공", "선우", "서문", "독고"]
+_SURNAME = {x: ([y for y in SURNAMES if len(y) == len(x)], [y for y in SURNAMES if len(y) == len(x)].index(x)) for x in SURNAMES}
 _SURNAME_BEFORE = re.compile(rf"(?<!\w)(?:{'|'.join(SURNAMES)}) *$")
 _SURNAME_AFTER = re.compile(rf" +(?:{'|'.join(SURNAMES)})(?!\w)")
 _PARTICLE = re.compile(r"(?:은|는|이|가|을|를|의|와|과|도|만|에게|한테|께서|께|에게서|이다|입니다|씨|님|씨가|씨는|씨의|씨를|님이|님은|님의|님을)?(?!\w)")
 _HANGUL = re.compile("[가-힣]")
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _NUMBERS = re.compile(
-    r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
+    r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d.-])(?<!\d )\d{3} \d{2} \d{4}(?![\d-])(?! \d))"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d))"
     r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
+    r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"
+    r"|(?<![\d.-])(?<!\d )(?:\d{3} \d{3} \d{4}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4})(?![\d-])(?! \d))"
+    r"|(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]))"
     r"|(?P<card>(?<![\d.])\d(?:[ -]?\d){11,18}(?!\d))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 )
@@ -72,6 +104,7 @@ _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])|(?<
 _KEY_ANY_CASE = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", re.I)
 _SECRET = re.compile(r"""(?:token|secret|api[_-]?key|passw(?:or)?d|pwd)["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[A-Za-z0-9+/_.~-]{6,}[A-Za-z0-9])""", re.I)
 _TITLED = re.compile(rf"\b(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? +(?P<name>{_WORD}(?: +{_WORD})?)")
+_LABELLED = re.compile(rf" *(?P<name>{_WORD}(?: +{_WORD}){{1,2}})")
 _NAMED = re.compile(rf"(?P<name>{_WORD}(?: +{_WORD})?)")
 
 
@@ -128,7 +161,7 @@ class Keyed:
 
     def letters(self, form: str, text: str) -> str:
         """Letters and digits of ``text`` (lower case) within their classes; others stay."""
-        spots = [_CLASS_OF.get(c) for c in text]
+        spots = [_spot(c) for c in text]
         values, radices = [s[1] for s in spots if s], [len(s[0]) for s in spots if s]
         new = iter(self.permuted(form + "|" + "".join(s[0][0] if s else c for s, c in zip(spots, text)), values, radices))
         return "".join(s[0][next(new)] if s else c for s, c in zip(spots, text))
@@ -149,10 +182,10 @@ def luhn(digits: str) -> str:
 def cased(like: str, text: str) -> str:
     """``text`` in the case of ``like``."""
     if like.isupper() and len(like) > 1:
-        return text.upper()
+        return up(text)
     if like.islower():
-        return text.lower()
-    return "".join(t.upper() if i < len(like) and like[i].isupper() else t for i, t in enumerate(text))
+        return low(text)
+    return "".join(up(t) if i < len(like) and like[i].isupper() else t for i, t in enumerate(text))
 
 
 def filled(like: str, symbols: str) -> str:
@@ -198,8 +231,10 @@ class Surrogates:
         digits = "".join(c for c in x if c.isdigit())
         code = len(re.match(r"\+?(\d*)", x)[1]) if x[0] == "+" else 0
         code = code if code <= 3 else 1
+        trunk = x[0] != "+" and digits[0] == "0"  # that zero stays
+        code = 1 if trunk else code
         rest = digits[code:]
-        national = len(rest) == 10 and code <= 1  # area and exchange don't start with 0 or 1
+        national = len(rest) == 10 and code <= 1 and not trunk  # area and exchange don't start with 0 or 1
         low = [2 if national and i in (0, 3) and rest[i] >= "2" else 0 for i in range(len(rest))]
         radices = [10 - k for k in low]
         form = f"phone|{digits[:code] or '1' if national else digits[:code]}|{low}"
@@ -220,7 +255,7 @@ class Surrogates:
         return digits, filled(x, new)
 
     def _ssn(self, x: str):
-        digits = x.replace("-", "")
+        digits = "".join(c for c in x if c.isdigit())
         return digits, filled(x, self.keyed.digits("ssn", digits))
 
     def _ip(self, x: str):
@@ -232,6 +267,14 @@ class Surrogates:
                 break
         return ".".join(map(str, ip)), ".".join(map(str, new))
 
+    def _ip6(self, x: str):
+        """The first group, which tells the kind of network, stays."""
+        value = ipaddress.IPv6Address(x)
+        groups = value.exploded.split(":")
+        new = self.keyed.permuted(f"ip6|{groups[0]}", [int(g, 16) for g in groups[1:]], [1 << 16] * 7)
+        new = ipaddress.IPv6Address(":".join([groups[0], *(f"{g:x}" for g in new)]))
+        return value.exploded, cased(x, new.exploded if len(x) == 39 else new.compressed)
+
     def _iban(self, x: str):
         value = x.replace(" ", "")
         country, body = value[:2], value[4:]
@@ -266,37 +309,32 @@ class Surrogates:
                 return value, cased(x, self.keyed.alphabet("hex", value, "0123456789abcdef"))
         return x, self._mixed("secret", x)
 
+    def _word(self, word: str) -> str:
+        """The surrogate of a word of a name, in lower case."""
+        if word in _GIVEN:
+            kind, at = _GIVEN[word]
+            names = GIVEN[kind]
+            return low(names[self.keyed.permuted(f"given|{kind}", [0, at], [1, len(names)])[1]])
+        if word in _SURNAME:
+            same, at = _SURNAME[word]
+            return same[self.keyed.permuted(f"hangul|{len(word)}", [0, at], [1, len(same)])[1]]
+        both = _joined(word)
+        if both:
+            return self._word(both[0]) + self._word(both[1])
+        new = word
+        while True:  # within the words that are none of these
+            new = self.keyed.letters("surname", new)
+            if new == word or not (new in _GIVEN or new in _SURNAME or _joined(new)):
+                return new
+
     def _name(self, x: str, gender: str):
-        parts = x.split()
-        joined = _joined(x)
-        if joined:  # a Hangul surname and a given name in one word
-            parts = list(joined)
-        elif len(parts) == 2 and _HANGUL.match(x) and parts[1] in _GENDER and parts[0] not in _GENDER:
-            joined = parts
-        if joined:
-            value, new = self._name(f"{parts[1]} {parts[0]}", gender)
-            given, surname = new.split()
-            return value, surname + x[len(parts[0]) : len(x) - len(parts[1])] + given
-        first = parts[0].title() if parts[0].title() in _GENDER else None
-        out, value = [], []
-        for p in parts:
-            title = p.title()
-            if p is parts[0] and first:
-                kind = _GENDER[first]
-                names = GIVEN[kind]
-                new = names[self.keyed.permuted(f"given|{kind}", [0, names.index(first)], [1, len(names)])[1]]
-            else:
-                low = p.lower()
-                new = low
-                while True:  # a surname never turns into a given name
-                    new = self.keyed.letters("surname", new)
-                    if (new.title() not in _GENDER and not _joined(new)) or low.title() in _GENDER or new == low:
-                        break
-                new = new.title()
-            value.append(title)
-            out.append(cased(p, new))
-        gaps = re.split(_WORD, x)
-        return " ".join(value), "".join(g + o for g, o in zip(gaps, [*out, ""]))
+        parts, gaps = re.findall(_WORD, x), re.split(_WORD, x)
+        out = [cased(p, self._word(low(p))) for p in parts]
+        if any(_joined(p) for p in parts) or len(parts) == 2 and _HANGUL.match(x) and parts[1] in _GENDER and parts[0] not in _GENDER:
+            value = " ".join([y for p in reversed(parts) for y in reversed(_joined(p) or (p,))])  # given name first
+        else:
+            value = " ".join(low(p) for p in parts)
+        return value, "".join(g + o for g, o in zip(gaps, [*out, ""]))
 
 
 def _joined(word: str) -> tuple[str, str] | None:
@@ -309,12 +347,20 @@ def _joined(word: str) -> tuple[str, str] | None:
 def _triggers():
     """An automaton for what starts the rarer kinds."""
     found = ahocorasick.Automaton()
-    for word, kind in [("@", "email"), *((w, "secret") for w in ("token", "secret", "api", "passw", "pwd", "Token", "Secret", "Api", "API", "Passw", "PASSW", "TOKEN", "SECRET", "PWD")), *((w, "key") for w in ("AKIA", "ASIA", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")), *((t, "titled") for t in TITLES), *((n, "named") for n in _GENDER)]:
+    for word, kind in [("@", "email"), *((w, "secret") for w in ("token", "secret", "api", "passw", "pwd", "Token", "Secret", "Api", "API", "Passw", "PASSW", "TOKEN", "SECRET", "PWD")), *((w, "key") for w in ("AKIA", "ASIA", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")), ("name is", "labelled"), ("ame:", "labelled"), *((t, "titled") for t in TITLES), *((x, "named") for n in _GENDER for x in {n, up(n)})]:
         found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
+def _is_address(x: str) -> bool:
+    """Whether ``x`` is an IPv6 address that stands for some host, and not two names with colons between them."""
+    try:
+        return len(x) > 5 and any(c.isdigit() for c in x) and int(ipaddress.IPv6Address(x)) > 1
+    except ValueError:
+        return False
+
+
 _HAS_DIGIT = re.compile("[0-9]")
 _automaton = None
 
@@ -335,7 +381,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "key" in kinds:
         out += [(*m.span(), "key", "") for p in (_KEY, _KEY_ANY_CASE) for m in p.finditer(text)]
     if _HAS_DIGIT.search(text):
-        out += [(*m.span(), m.lastgroup, "") for m in _NUMBERS.finditer(text)]
+        out += [(*m.span(), m.lastgroup, "") for m in _NUMBERS.finditer(text) if m.lastgroup != "ip6" or _is_address(m[0])]
+    for _, end in kinds.get("labelled", ()):
+        m = _LABELLED.match(text, end)
+        if m:
+            capital = list(itertools.takewhile(lambda w: w[0][:1].isupper(), re.finditer(_WORD, m["name"])))
+            if len(capital) > 1:
+                out.append((m.start("name"), m.start("name") + capital[-1].end(), "name", ""))
     for start, _ in kinds.get("titled", ()):
         m = _TITLED.match(text, start)
         if m and (not start or not text[start - 1].isalnum()):
@@ -361,7 +413,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         m = _NAMED.match(text, start)
         words = m["name"].split()
         if len(words) > 1 and words[1][:1].isupper():  # a given name alone isn't taken for a person
-            out.append((start, m.end("name"), "name", _GENDER[text[start:end]][1]))
+            out.append((start, m.end("name"), "name", _GIVEN[low(text[start:end])][0][1]))
     out.sort(key=lambda s: (s[0], -s[1]))
     kept, last = [], 0
     for s in out:
@@ -377,8 +429,11 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, int
     spans = []
     for start, end, kind, gender in found:
         value, new = surrogates.of(kind, text[start:end], gender)
-        canonical = surrogates.of(kind, new, gender)[0]
-        same += taken.setdefault((kind, canonical), value) != value
+        canonical, met = surrogates.of(kind, new, gender)[0], False
+        while taken.setdefault((kind, canonical), value) != value:
+            new, met = surrogates.of(kind, new, gender)[1], True
+            canonical = surrogates.of(kind, new, gender)[0]
+        same += met
         parts += [text[last:start], new]
         last = end
         spans.append((start, end, kind, new))

@@ -80,3 +80,11 @@ def test_empty_tables(spark):
     r = D.decontaminate(docs, items).first()
     assert (r.n_words, r.n_hit, r.contaminated, r.spans) == (2, 0, False, [])
     assert D.decontaminate(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 3])
+def test_columns_pass_through_with_any_number_of_blocks(spark, block_bytes):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 5)], "doc_id long, text string, _row string, n_hit long")
+    items = spark.createDataFrame([("x", "a b"), ("y", "c"), ("z", "q")], "item_id string, text string")
+    got = D.decontaminate(docs, items, size=4, block_bytes=block_bytes).collect()[0]
+    assert got["_row"] == "mine" and got.n_hit == 3 and got.item_ids == ["x", "y"]

@@ -88,3 +88,18 @@ def test_sample_is_bounded(spark):
     finally:
         L.fit = real
     assert 20 < len(seen[0]) <= 60 and {r[0] for r in seen[0]} == {"de", "en"}
+
+
+def test_repeated_rows_keep_bound_and_labels(spark):
+    rows = [(7, "das ist ein haus", "de")] * 2000 + [(7, f"this is house {i}", "en") for i in range(300)] + [(8, "una casa", "es")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    real = L.fit
+    try:
+        L.fit = lambda rows: seen.append(rows) or real(rows)
+        model = L.train(df, "doc_id", "text", "lang", F.lit(True), F.lit(False), sample=60)
+    finally:
+        L.fit = real
+    labels = [r[0] for r in seen[0]]
+    assert len(labels) <= 60 and labels.count("de") == 1 and labels.count("es") == 1 and labels.count("en") == 20
+    assert model["labels"] == ["de", "en", "es"]

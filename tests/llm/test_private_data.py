@@ -1,4 +1,6 @@
+import ipaddress
 import itertools
+import random
 import re
 
 import pytest
@@ -120,3 +122,47 @@ def test_hangul_names(s):
     assert joined[-2:] in D.GIVEN["hangul", "m"] and "지영 학교에 갔다. 민수기" in new
     surnames = {s.of("name", f"민수 {x}")[1] for x in D.SURNAMES}
     assert len(surnames) == len(D.SURNAMES) and all(D._HANGUL.match(x.split()[1]) for x in surnames)
+
+
+def test_words_of_names_are_permuted(s):
+    """Given names as surnames, and surnames that look like them, stay distinct."""
+    rng = random.Random(4)
+    surnames = sorted({"".join(rng.choices("aeio", k=1) + rng.choices("bdnz", k=2) + rng.choices("aeu", k=1)).title() for _ in range(400)} | {"Anna", "Emma", "Thomas", "Ammo", "Edzu"})
+    got = {s.of("name", f"John {x}")[1] for x in surnames}
+    assert len(got) == len(surnames) and not got & {f"John {x}" for x in surnames}
+    new, found, same = D.replace("John Thomas left. Mr Thomas is back, and JOHN THOMAS too. John Anna, John Edzu.", s)
+    whole, title, loud = (f[3] for f in found[:3])
+    assert same == 0 and title == whole.split()[1] and loud == whole.upper() and found[3][3] != found[4][3]
+
+
+@pytest.mark.parametrize("name", ["Ødegård", "Łukaszewski", "Ёлкина", "Παπαδόπουλος", "Ğökçe", "İbrahim", "Straße", "ﬀord", "Əliyev", "山田", "たなか"])
+def test_no_letter_of_a_name_is_kept(s, name):
+    value, new = s.of("name", name)
+    assert len(new) == len(name) and new != name
+    changed = sum(a != b for a, b in zip(new.lower(), name.lower()))
+    assert changed >= len(name) - 3  # a permutation may map a letter onto itself, but none is left out
+    assert all(D._spot(c) for c in D.low(name) if c != "ﬀ")
+
+
+def test_more_finds():
+    text = "Priya Sharma and Wei Chen: 415 555 0134, 020 7946 0958, 078 05 1120, 2001:db8::ff00:42:8329 or FE80:0:0:0:202:B3FF:FE1E:8329. My name is Zorin Kvant. Name: Ada Byron King. std::a::b 12::x"
+    assert [(k, text[a:b]) for a, b, k, _ in D.find(text)] == [
+        ("name", "Priya Sharma"), ("name", "Wei Chen"), ("phone", "415 555 0134"), ("phone", "020 7946 0958"), ("ssn", "078 05 1120"), ("ip6", "2001:db8::ff00:42:8329"),
+        ("ip6", "FE80:0:0:0:202:B3FF:FE1E:8329"), ("name", "Zorin Kvant"), ("name", "Ada Byron King"),
+    ]
+
+
+def test_addresses_and_numbers_keep_their_kind(s):
+    a, b = s.of("ip6", "2001:db8::ff00:42:8329"), s.of("ip6", "2001:0db8:0000:0000:0000:ff00:0042:8329")
+    assert a[0] == b[0] and ipaddress.ip_address(a[1]) == ipaddress.ip_address(b[1]) and a[1].startswith("2001:") and len(b[1]) == 39
+    got = {s.of("ip6", f"fe80::{k:x}")[1] for k in range(2, 500)}
+    assert len(got) == 498 and all(ipaddress.ip_address(x).is_link_local for x in got)
+    assert s.of("phone", "020 7946 0958")[1][0] == "0" and re.fullmatch(r"\d{3} \d{4} \d{4}", s.of("phone", "020 7946 0958")[1])
+    assert s.of("ssn", "078 05 1120")[0] == s.of("ssn", "078-05-1120")[0]
+
+
+def test_a_collision_takes_the_next_surrogate(s, monkeypatch):
+    real = D.Surrogates.of
+    monkeypatch.setattr(D.Surrogates, "of", lambda self, kind, x, gender="": real(self, kind, x if x != "b@one.org" else "a@one.org", gender) if x != "b@one.org" else ("b@one.org", real(self, kind, "a@one.org")[1]))
+    new, found, same = D.replace("a@one.org b@one.org", s)
+    assert same == 1 and found[0][3] != found[1][3]

@@ -63,7 +63,9 @@ def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
     want = {d: (hashlib.sha256(k).hexdigest(), len(s)) for d, (k, s) in zip(docs.doc_id, brute(docs.text.tolist(), 400))}
-    got = {r.doc_id: (r.kept_sha256, r.n_spans) for r in q_substrings.query(spark, sf).collect()}
+    rows = q_substrings.query(spark, sf).collect()
+    got = {r.doc_id: (r.kept_sha256, r.n_spans) for r in rows}
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed and (r.n_removed or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256) for r in rows)
     assert got == want and sum(n > 0 for _, n in want.values()) > 5
 
 
