@@ -56,7 +56,14 @@ def doc_key(page_id: Column) -> Column:
 
 
 def page_no(page_id: Column) -> Column:
-    return F.when(page_id.rlike(PAGE_ID), F.regexp_extract(page_id, PAGE_ID, 2).cast("int"))
+    """The number of a page id; null if it has none. A number of more than 38 digits is null, too (see ``page_order``)."""
+    return F.when(page_id.rlike(PAGE_ID), F.regexp_extract(page_id, PAGE_ID, 2).try_cast("decimal(38,0)"))
+
+
+def page_order(page_id: Column) -> Column:
+    """Orders as the numbers of page ids do, whatever their size: digits without leading zeros, shorter ones first."""
+    digits = F.regexp_replace(F.regexp_extract(page_id, PAGE_ID, 2), "^0+(?=.)", "")
+    return F.struct(F.length(digits).alias("n"), digits.alias("digits"))
 
 
 def title(page_id: Column) -> Column:
@@ -102,11 +109,27 @@ def without_abstention(answer: Column, least: int = 40, phrase: str = ABSTAIN) -
 def degenerate(c: Column) -> Column:
     """Whether an output of eight characters or more is two characters or mostly one, repeated."""
     s = strip(c)
-    chars = F.filter(F.split(s, ""), lambda x: x != "")
-    kinds = F.array_distinct(chars)
-    top = F.array_max(F.transform(kinds, lambda k: F.size(F.filter(chars, lambda x: x == k))))
+    kinds = F.array_distinct(F.filter(F.split(s, ""), lambda x: x != ""))
+    top = F.array_max(F.transform(kinds, lambda k: F.length(s) - F.length(F.replace(s, k, F.lit("")))))
     return F.when(F.length(s) < 8, F.lit(False)).otherwise((F.size(kinds) <= 2) | (top / F.length(s) > 0.8))
 
 
+def result_url(image_path: Column, root: str = "/pages/") -> Column:
+    """Where the image of a result is served; null without one."""
+    return F.when(F.coalesce(image_path, F.lit("")) != "", F.concat(F.lit(root), F.element_at(F.split(image_path, "/"), -1)))
+
+
+def fitted(width: Column, height: Column, longest: int = 1280) -> Column:
+    """The size of an image whose longer side has ``longest`` pixels at most, sides of at least one pixel."""
+    scale = F.lit(float(longest)) / F.greatest(width, height)
+    side = lambda x: F.when(F.greatest(width, height) <= longest, x.cast("long")).otherwise(F.greatest(F.bround(x * scale).cast("long"), F.lit(1)))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def encoded(content: Column) -> Column:
+    """Base64 of an image, on one line."""
+    return F.regexp_replace(F.base64(content), r"\s", "")
+
+
 def looks_like_pdf(content: Column) -> Column:
     return F.substring(content, 1, 4) == F.lit(b"%PDF")

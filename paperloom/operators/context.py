@@ -16,16 +16,21 @@ def text_budget(images: Column, p: Params = DEFAULT) -> Column:
 
 
 def choose_images(ranked: DataFrame, neighbors: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
-    """``qid, images``: paths among the first ranks, then the neighbour's, ``image_most`` at most.
+    """``qid, images``: paths among the first ranks, ``image_most`` at most, then the neighbour's as one of ``image_extra`` more.
 
-    ``ranked``: qid, rank, image_path; ``neighbors``: qid, image_path. The model takes no more images
-    than that, so one that it would drop isn't chosen, and its page's text stays in the context.
+    ``ranked``: qid, rank, image_path; ``neighbors``: qid, image_path. The pages of all of these are
+    passed over as text, and their number sets the text budget.
     """
-    own = ranked.filter((F.col("rank") <= p.image_rank) & F.col("image_path").isNotNull()).select("qid", "rank", "image_path")
-    if neighbors is not None and p.neighbor:
-        own = own.unionByName(neighbors.filter("image_path IS NOT NULL").select("qid", F.lit(1 << 30).alias("rank"), "image_path"))
+    own = ranked.filter((F.col("rank") <= p.image_rank) & F.col("image_path").isNotNull())
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "image_path"))), lambda s: s.image_path)
-    return own.groupBy("qid").agg(F.slice(F.array_distinct(listed), 1, p.image_most).alias("images"))
+    out = own.groupBy("qid").agg(F.slice(listed, 1, p.image_most).alias("images"))
+    if neighbors is None or not p.neighbor:
+        return out
+    more = neighbors.filter("image_path IS NOT NULL").select("qid", F.col("image_path").alias("_more"))
+    none = F.array().cast("array<string>")
+    both = out.join(more, "qid", "full").withColumn("images", F.coalesce("images", none))
+    fits = F.col("_more").isNotNull() & ~F.array_contains("images", F.coalesce("_more", F.lit(""))) & (F.size("images") < p.image_most + p.image_extra)
+    return both.select("qid", F.when(fits, F.array_append("images", F.col("_more"))).otherwise(F.col("images")).alias("images"))
 
 
 def pack(chunks: DataFrame, images: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -50,3 +55,9 @@ def pack(chunks: DataFrame, images: DataFrame, p: Params = DEFAULT) -> DataFrame
     start = F.struct(F.col("budget"), F.array().cast("array<string>").alias("parts"))
     out = rows.withColumn("packed", F.aggregate("c", start, step))
     return out.select("qid", F.array_join("packed.parts", "\n\n").alias("context"), F.transform("c", lambda c: c.source).alias("sources"), F.col("packed.budget").alias("budget_left"))
+
+
+def with_neighbor(ranked: DataFrame, following: DataFrame) -> DataFrame:
+    """``ranked`` (qid, rank, page_id, ...) and, after its last row, each query's neighbour (qid, page_id, ...)."""
+    last = ranked.groupBy("qid").agg((F.max("rank") + 1).alias("rank"))
+    return ranked.unionByName(following.join(last, "qid"), allowMissingColumns=True)

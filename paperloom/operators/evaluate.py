@@ -38,6 +38,12 @@ def pool(ranked: DataFrame, id: str, k: int = 5) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).groupBy("qid", id).agg(F.min_by("system", F.struct("rank", "system")).alias("first_system"), F.map_from_entries(entries).alias("ranks"))
 
 
+def pool_entries(pooled: DataFrame, documents: DataFrame, gold: DataFrame, id: str, text: str = "text", size: int = 1500) -> DataFrame:
+    """``pooled`` with ``snippet`` (what a judge reads: the first ``size`` characters of a page) and ``is_gold``."""
+    full = pooled.join(documents.select(id, F.substring(text, 1, size).alias("snippet")), id, "left").join(gold.select("qid", F.col("gold").alias("_gold")), "qid", "left")
+    return full.withColumn("is_gold", F.col(id).eqNullSafe(F.col("_gold")) & F.col(id).isNotNull()).drop("_gold")
+
+
 def merge_grades(old: DataFrame, pooled: DataFrame, id: str) -> DataFrame:
     """Grades of all pages graded before or pooled now; what was graded stays, what is new is null."""
     return old.join(pooled.select("qid", id).distinct(), ["qid", id], "full").select("qid", id, "grade")
@@ -96,18 +102,32 @@ def abstain_signals(ranked: DataFrame, grades: DataFrame, id: str, document: str
     )
 
 
+#: Bins of a key's values, of which only those that hold a wanted place are sorted.
+BINS = 4096
+
+
 def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """The value at place floor(n * share), from 0 and at most the last, for each key; exact at any size.
 
-    A key's values are counted by value first, so neither a large group nor a frequent value is
-    gathered; places come from running counts over the distinct values.
+    A key's range is cut into ``BINS`` equal bins and counted, which takes one row a bin and task;
+    running counts over the bins tell which one holds a place. Only the values of those bins are
+    counted one by one and sorted, so no task sees all rows of a key.
     """
-    per = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    upto = per.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    at = lambda share: F.least(F.floor(F.col("_all") * share), F.col("_all") - 1)
-    found = [F.min(F.when(F.col("_upto") > at(s), F.col(value))).alias(n) for n, s in shares.items()]
-    return upto.groupBy(*keys).agg(F.max("_all").alias("n"), *found)
+    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = known.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)
+    at = F.floor((F.col("_v") - F.col("_low")).cast("double") / F.nullif((F.col("_high") - F.col("_low")).cast("double"), F.lit(0.0)) * BINS)
+    binned = known.alias("r").join(F.broadcast(ends.alias("e")) if not keys else ends.alias("e"), same("r", "e")).select("r.*", "_all", F.least(F.coalesce(at, F.lit(0)), F.lit(BINS - 1)).alias("_bin"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")))  # BINS rows a key
+    wanted = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.least(F.floor(F.col("_all") * s), F.col("_all") - 1).alias("place")) for n, s in shares.items()))).alias("w")
+    holds = (F.col("w.place") < F.col("_upto")) & (F.col("w.place") >= F.col("_upto") - F.col("_n"))
+    bins = upto.select(*keys, "_bin", "_all", "_upto", "_n", wanted).filter(holds).select(*keys, "_bin", "_all", "w.name", (F.col("w.place") - F.col("_upto") + F.col("_n")).alias("_place"))
+    few = binned.alias("r").join(bins.alias("b"), [*(same("r", "b") if keys else []), F.col("r._bin") == F.col("b._bin")]).select("b.*", "r._v")
+    per = few.groupBy(*keys, "name", "_place", "_all", "_v").agg(F.count("*").alias("_n"))
+    place = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "name").orderBy("_v"))).filter(F.col("_upto") > F.col("_place"))
+    found = place.groupBy(*keys, "name").agg(F.min("_v").alias("_v"), F.first("_all").alias("_all"))
+    return found.groupBy(*keys).agg(F.max("_all").alias("n"), *(F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in shares))
 
 
 def latency_summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -135,3 +155,34 @@ def usable_queries(queries: DataFrame, stop_phrases: list[str], query: str = "qu
     """Queries that say something and don't point at a page that the reader can't see."""
     said = F.length(F.trim(query)) > 0
     return queries.filter(said & ~F.exists(F.array(*map(F.lit, stop_phrases)), lambda s: F.contains(F.col(query), s)))
+
+
+def numbered(rows: DataFrame, *order: str, prefix: str = "J") -> DataFrame:
+    """A sample's rows with ``sample_id``: J01, J02, ... in the order of the columns; few rows, one task."""
+    at = F.row_number().over(Window.orderBy(*order))
+    return rows.withColumn("sample_id", F.concat(F.lit(prefix), F.when(at < 10, F.concat(F.lit("0"), at.cast("string"))).otherwise(at.cast("string"))))
+
+
+def judge_sample(qa: DataFrame, synthetic: DataFrame, manual: DataFrame, each: int = 5, made: int = 15, seed: int = 20260917) -> DataFrame:
+    """``sample_id, corpus, source, type, query, gold, expect_answer``: ``each`` questions of every type of ``qa`` (id,
+    type, query), ``made`` of ``synthetic`` (page_id, query), and all of ``manual`` (query, expect_answer), numbered in that order."""
+    asked = stratified_sample(qa.select("id", "type", "query"), "type", "id", each, seed)
+    drawn = stratified_sample(synthetic.select("page_id", "query", F.lit("image").alias("type")), "type", "page_id", made, seed)
+    own = lambda n, corpus, source, rows, gold, expect: rows.select(F.lit(n).alias("part"), F.lit(corpus).alias("corpus"), F.lit(source).alias("source"), "type", "query", gold.cast("string").alias("gold"), expect.alias("expect_answer"), "place")
+    rest = manual.select("query", "expect_answer", F.lit("manual").alias("type")).withColumn("place", F.row_number().over(Window.orderBy("query")))
+    parts = [own(1, "pages", "qa", asked, F.col("id"), F.lit(True)), own(2, "pages", "synthetic", drawn, F.col("page_id"), F.lit(True)), own(3, "filings", "manual", rest, F.lit(None), F.col("expect_answer"))]
+    out = numbered(parts[0].unionByName(parts[1]).unionByName(parts[2]), "part", "type", "place")
+    return out.select("sample_id", "corpus", "source", "type", "query", "gold", "expect_answer")
+
+
+def caption_report(log: DataFrame, elapsed: str = "elapsed_sec", caption: str = "caption") -> DataFrame:
+    """One row: captions made and failed, mean and 95th percentile of the seconds of those made."""
+    made = log.filter(F.coalesce(caption, F.lit("")) != "")
+    counts = log.agg(F.count_if(F.coalesce(caption, F.lit("")) != "").alias("captioned"), F.count_if(F.coalesce(caption, F.lit("")) == "").alias("failed"))
+    times = made.agg(F.round(F.avg(elapsed), 6).alias("mean_sec"))
+    return counts.crossJoin(times).join(percentile(made, elapsed, {"p95_sec": 0.95}).drop("n"), F.lit(True), "left")  # one row each
+
+
+def report_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a report in ascending order, those without a value last."""
+    return rows.orderBy(*(F.col(c).asc_nulls_last() for c in columns))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.functions.text import ABSTAIN
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -21,7 +23,9 @@ def nfkc(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def ink(pixels: pd.Series) -> pd.Series:
     """Share of dark pixels in 8-bit grey images; 0 for none."""
-    return pixels.map(lambda b: 0.0 if not b else sum(x < 200 for x in b) / len(b))
+    import numpy as np
+
+    return pixels.map(lambda b: float((np.frombuffer(b, np.uint8) < 200).mean()) if b else 0.0)
 
 
 def dark_share(histogram: Column) -> Column:
@@ -69,8 +73,27 @@ def caption(images: DataFrame, load, retries: int = 1, wait: float = 2.0) -> Dat
     return images.select("page_id", "content").mapInArrow(run, "page_id string, caption string, elapsed_sec double, error string")
 
 
-def answer(prompts: DataFrame, load, least: int = 40) -> DataFrame:
-    """``qid, answer, retried`` for prompts (qid, prompt, images): a degenerate output is asked for once more."""
+#: What an answer model is told, in our own words; an adapter may send another text.
+SYSTEM = f"아래 문서만 근거로 답한다. 근거가 없으면 '{ABSTAIN}.' 한 문장으로 답하고, 근거가 있으면 그 문장을 쓰지 않는다. 끝에 출처를 적는다."
+
+
+def prompts(packed: DataFrame, queries: DataFrame) -> DataFrame:
+    """``qid, prompt, images, sources`` for all queries (qid, query) from packed contexts (qid, context, images, sources);
+    the prompt of a query without any chunk is null."""
+    user = F.concat(F.lit("질문: "), nfkc("query"), F.lit("\n\n참고 문서:\n"), nfkc("context"))
+    none = F.array().cast("array<string>")
+    joined = queries.select("qid", "query").join(packed.select("qid", "context", "images", "sources"), "qid", "left")
+    return joined.select("qid", F.when(F.size(F.coalesce("sources", none)) > 0, user).alias("prompt"), F.coalesce("images", none).alias("images"), F.coalesce("sources", none).alias("sources"))
+
+
+def answer(prompts: DataFrame, load, least: int = 40, attempts: int = 2, strict: bool = False, image_most: int = 2) -> DataFrame:
+    """``qid, answer, retried, error, degenerate`` for prompts (qid, prompt, images).
+
+    ``load()`` gives a callable on a prompt and ``image_most`` images at most; where it has a method
+    ``restart``, that is called after a degenerate output, and the prompt is sent again, ``attempts``
+    times in all. If none is usable the answer is null with an error, or, if ``strict``, the job fails.
+    A null prompt isn't sent: nothing was found, and the answer says so.
+    """
     from paperloom.functions.text import degenerate, without_abstention
 
     def run(batches):
@@ -78,13 +101,33 @@ def answer(prompts: DataFrame, load, least: int = 40) -> DataFrame:
         for batch in batches:
             rows = []
             for qid, prompt, images in zip(*(batch.column(c).to_pylist() for c in ("qid", "prompt", "images"))):
-                text = model(prompt, images or [])
-                again = _degenerate(text)
-                rows.append({"qid": qid, "answer": model(prompt, images or []) if again else text, "retried": again})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("qid", pa.int64()), ("answer", pa.string()), ("retried", pa.bool_())]))
+                text, tries, error = f"{ABSTAIN}.", 0, None
+                while prompt is not None:
+                    text, tries = model(prompt, (images or [])[:image_most]), tries + 1
+                    if not _degenerate(text):
+                        break
+                    if hasattr(model, "restart"):
+                        model.restart()
+                    if tries == attempts:
+                        error = f"degenerate output after {attempts} attempts"
+                        if strict:
+                            raise RuntimeError(f"query {qid}: {error}")
+                        text = None
+                        break
+                rows.append({"qid": qid, "answer": text, "retried": tries > 1, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("qid", pa.int64()), ("answer", pa.string()), ("retried", pa.bool_()), ("error", pa.string())]))
+
+    out = prompts.select(F.col("qid").cast("long").alias("qid"), "prompt", "images").mapInArrow(run, "qid long, answer string, retried boolean, error string")
+    return out.withColumn("degenerate", F.coalesce(degenerate(F.col("answer")), F.lit(True))).withColumn("answer", without_abstention(F.col("answer"), least))
+
 
-    out = prompts.select(F.col("qid").cast("long").alias("qid"), "prompt", "images").mapInArrow(run, "qid long, answer string, retried boolean")
-    return out.withColumn("degenerate", degenerate(F.col("answer"))).withColumn("answer", without_abstention(F.col("answer"), least))
+def health(ping) -> bool:
+    """Whether a model's server answers; ``ping()`` may raise."""
+    try:
+        ping()
+        return True
+    except Exception:  # noqa: BLE001
+        return False
 
 
 def _degenerate(text: str) -> bool:

@@ -26,14 +26,16 @@ def route(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return pages.withColumn("route", kind)
 
 
-def cap_images(routed: DataFrame, cap: int, order: str = "seq") -> DataFrame:
-    """The first ``cap`` image pages by ``order`` stay ``image``; later ones become ``image_overflow``.
+def cap_images(routed: DataFrame, cap: int, order: str = "seq", id: str = "id") -> DataFrame:
+    """The first ``cap`` image pages by ``order``, then id, stay ``image``; later ones become ``image_overflow``.
 
-    The cut is the order value of the last page that stays: one number, found by a bounded top-k,
-    instead of a running count over all pages in one task.
+    The cut is the place of the last page that stays: one row, found by a bounded top-k, instead of
+    a running count over all pages in one task.
     """
-    last = routed.filter("route = 'image'").select(order).orderBy(order).limit(cap).agg(F.max(order).alias("_last"))
-    beyond = F.col("route").eqNullSafe("image") & (F.col("_last").isNull() | (F.col(order) > F.col("_last")))
+    keys = [c for c in (order, id) if c in routed.columns]
+    place = F.struct(*keys)
+    last = routed.filter("route = 'image'").select(*keys).orderBy(*keys).limit(cap).agg(F.max(place).alias("_last"))
+    beyond = F.col("route").eqNullSafe("image") & (F.col("_last").isNull() | (place > F.col("_last")))
     return routed.crossJoin(F.broadcast(last)).withColumn("route", F.when(beyond, "image_overflow").otherwise(F.col("route"))).drop("_last")
 
 
@@ -83,8 +85,8 @@ def section_map(records: DataFrame) -> DataFrame:
 
     A title holds until the next one in page order; before the first it is empty.
     """
-    pages = records.select("id", X.doc_key(F.col("id")).alias("doc_key"), X.page_no(F.col("id")).alias("page_no"), S.no_content(F.col("document"), F.col("route")).alias("no_content"), S.section_title(F.col("document")).alias("own_title")).filter("page_no IS NOT NULL")
-    order = Window.partitionBy("doc_key").orderBy("page_no", "id")
+    pages = records.select("id", X.doc_key(F.col("id")).alias("doc_key"), X.page_order(F.col("id")).alias("page_order"), S.no_content(F.col("document"), F.col("route")).alias("no_content"), S.section_title(F.col("document")).alias("own_title")).filter("doc_key IS NOT NULL")
+    order = Window.partitionBy("doc_key").orderBy("page_order", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     title = F.coalesce(F.last("own_title", ignorenulls=True).over(upto), F.lit(""))
     return pages.select("id", "no_content", title.alias("section_title"), F.lag("id").over(order).alias("prev_id"), F.lead("id").over(order).alias("next_id"))
@@ -105,3 +107,22 @@ def section_stats(records: DataFrame, sections: DataFrame) -> DataFrame:
 def sparse_stats(pages: DataFrame, file: str = "file", text: str = "text", least: int = 100) -> DataFrame:
     """Pages and pages of little text for each file, and in total (file null)."""
     return pages.rollup(file).agg(F.count("*").alias("pages"), F.count_if(F.length(X.strip(F.coalesce(text, F.lit("")))) < least).alias("sparse_pages"))
+
+
+def variant_text(rows: DataFrame, captions: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """``rows`` (page_id, route, document) with the documents of image pages rewritten: caption, then what was
+    read (``read``: page_id, text) if given; a page that has neither keeps its document."""
+    joined = rows.join(captions.select("page_id", "caption"), "page_id", "left")
+    parts = [F.nullif(X.strip(F.col("caption")), F.lit(""))]
+    if read is not None:
+        joined = joined.join(read.select("page_id", F.col("text").alias("_read")), "page_id", "left")
+        parts.append(F.nullif(X.strip(F.col("_read")), F.lit("")))
+    new = F.nullif(F.concat_ws("\n", *parts), F.lit(""))
+    return joined.withColumn("document", F.when(F.col("route") == "image", F.coalesce(new, "document")).otherwise(F.col("document"))).drop("caption", "_read")
+
+
+def with_urls(results: DataFrame, images: DataFrame, image_path: str = "image_path") -> DataFrame:
+    """``results`` with ``image_url`` of those whose image exists (``images``: name)."""
+    named = results.withColumn("_name", F.element_at(F.split(F.nullif(F.col(image_path), F.lit("")), "/"), -1))
+    known = images.select(F.col("name").alias("_name"), F.lit(True).alias("_known")).distinct()
+    return named.join(known, "_name", "left").withColumn("image_url", F.when(F.col("_known"), X.result_url(F.col(image_path)))).drop("_name", "_known")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,12 @@ def lexical_top(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id",
     return top(found, k, id).select("qid", id, "score", "rank")
 
 
+def stored_top(index: DataFrame, queries: DataFrame, k: int, id: str = "doc_id") -> DataFrame:
+    """As ``lexical_top``, from stored postings (``id``, term, weight): only the queries' terms are joined."""
+    found = index.select(id, "term", "weight").join(query_terms(queries), "term").groupBy("qid", id).agg(F.sum("weight").alias("score"))
+    return top(found, k, id).select("qid", id, "score", "rank")
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", query: str = "query_vec") -> DataFrame:
     """``qid, id, score, rank`` of the ``k`` best vectors by inner product, in double precision.
 
@@ -92,22 +99,19 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id"
         def run(batches):
             qids, q = shared.value
             for batch in batches:
-                column = batch.column(1)
-                fits = np.array([x.is_valid and len(x) == size for x in column], bool)
-                if not size or not fits.any():
+                if not size or not batch.num_rows:
                     continue
-                batch = batch.filter(pa.array(fits))
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
                 scores = np.round(q @ x.T, 6)
-                own = np.array(batch.column(0).to_pylist(), object)
-                order = np.argsort(own, kind="stable")
+                order = pc.sort_indices(batch.column(0)).to_numpy()
                 best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
                 n = best.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(qids), n)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], names=["qid", id, "score"]
                 )
 
-        return vectors.filter(F.col(id).isNotNull()).select(id, vector).mapInArrow(run, f"qid long, `{id}` {kind}, score double")
+        fits = F.col(id).isNotNull() & (F.size(vector) == size)
+        return vectors.filter(fits).select(id, vector).mapInArrow(run, f"qid long, `{id}` {kind}, score double")
 
     return top(union([search(b) for b in blocks(queries)]), k, id).select("qid", id, "score", "rank")
 
@@ -141,9 +145,11 @@ def fuse(dense: DataFrame, lexical: DataFrame | None, id: str, k: int, p: Params
     return out.filter(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id: str, p: Params = DEFAULT, barred: DataFrame | None = None, vector_id: str | None = None) -> DataFrame:
+def search(docs: DataFrame | None, vectors: DataFrame, queries: DataFrame, id: str, p: Params = DEFAULT, barred: DataFrame | None = None, vector_id: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Hybrid search: ``qid, id, score, rank``. ``queries``: qid, query, query_vec.
 
+    The lexical side reads stored postings (``index``) if given, else ``docs``; with neither, search is dense only.
+
     With ``barred`` and ``p.filter_no_content``, a query that the first ``top_k`` of both lists leave
     short is answered from lists ``overfetch`` times as long, if that gives more. Both answers come
     from one pass: the longer lists hold the shorter ones.
@@ -151,7 +157,9 @@ def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, id: str, p:
     vid, filtered = vector_id or id, barred is not None and p.filter_no_content
     fetch = p.top_k * (p.overfetch if filtered else 1)
     dense = dense_top(vectors, queries, fetch, vid).withColumnRenamed(vid, id)
-    lexical = lexical_top(docs, queries, fetch, id, p=p) if p.hybrid else None
+    lexical = None
+    if p.hybrid and (index is not None or docs is not None):
+        lexical = stored_top(index, queries, fetch, id) if index is not None else lexical_top(docs, queries, fetch, id, p=p)
     if not filtered:
         return fuse(dense, lexical, id, p.top_k, p)
     ranks = _ranks(dense, lexical, id, barred)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,7 @@ class Params:
     neighbor: bool = True
     image_rank: int = 2
     image_most: int = 2
+    image_extra: int = 1
     context_tokens: int = 4096
     answer_tokens: int = 500
     reserved_tokens: int = 200
@@ -34,5 +36,16 @@ class Params:
     least_budget: int = 300
     least_answer_chars: int = 40
 
+    @classmethod
+    def from_environment(cls, values: dict[str, str] | None = None, prefix: str = "PAPERLOOM_") -> "Params":
+        """The defaults, each replaced by the variable of its name in capitals after ``prefix``, if that is set."""
+        values, own = os.environ if values is None else values, {}
+        for f in fields(cls):
+            given = values.get(prefix + f.name.upper())
+            if given is not None:
+                kind = type(f.default)
+                own[f.name] = given.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(given)
+        return cls(**own)
+
 
 DEFAULT = Params()

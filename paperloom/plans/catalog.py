@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,13 +10,14 @@ from paperloom.functions import sections as S
 from paperloom.functions import text as X
 from paperloom.operators import context as C
 from paperloom.operators import evaluate as E
+from paperloom.operators import index as I
 from paperloom.operators import pages as P
 from paperloom.operators import search as R
 from paperloom.operators.models import nfkc
 from paperloom.params import DEFAULT
 from paperloom.plans import corpus as D
 from paperloom.plans import sql
-from paperloom.session import table
+from paperloom.session import kept, shared_dir, table
 from paperloom.sources import readers
 from paperloom.streaming import latency
 
@@ -38,7 +40,7 @@ def chunk_text(spark, d):
 
 def doc_prefix(spark, d):
     docs = table(spark, d, "documents")
-    rows = docs.selectExpr("doc_id", f"CASE WHEN doc_id % 3 = 0 THEN {D.FILING_ID} ELSE {D.PAGE_ID} END AS page_id", "substring(text, 1, 40) AS document", "CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS section_title")
+    rows = docs.selectExpr("doc_id", f"CASE WHEN doc_id % 3 = 0 THEN {D.FILING_ID} ELSE {D.PAGE_ID} END AS page_id", "text AS document", "CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS section_title")
     manifest = docs.filter("doc_id % 6 = 0").selectExpr("lpad(cast(doc_id as string), 14, '0') AS rcept_no", "concat('Report ', doc_id % 10, ' (2023.12)') AS report_nm")
     return P.lexical_text(P.with_prefix(rows, manifest)).select("doc_id", "page_id", "prefix", "lexical_text")
 
@@ -104,16 +106,33 @@ def _page_ids(spark, d):
     return table(spark, d, "documents").selectExpr("doc_id", f"{D.PAGE_ID} AS page_id")
 
 
+def _ranked_pages(spark, d):
+    return kept(_reranked(spark, d).join(_page_ids(spark, d), "doc_id"), "ranked")
+
+
+def _chunks_of(spark, d, ids):
+    """Chunks of a few pages: only those are made."""
+    return P.chunks(P.route(D.pages(spark, d).join(ids.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi")), D.captions(spark, d))
+
+
+def _neighbors(spark, d, ranked):
+    sections = P.section_map(D.records(spark, d))
+    following = ranked.filter("rank = 1").select(F.col("page_id").alias("id")).join(sections, "id").select(F.col("next_id").alias("page_id"))
+    return R.add_neighbor(ranked, sections, _chunks_of(spark, d, following).select("page_id"))
+
+
 def neighbor_expand(spark, d):
-    ranked = _reranked(spark, d).join(_page_ids(spark, d), "doc_id")
-    kept = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d)).select("page_id")
-    return R.add_neighbor(ranked, P.section_map(D.records(spark, d)), kept)
+    return _neighbors(spark, d, _ranked_pages(spark, d))
 
 
 def context_pack(spark, d):
-    chunks = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d)).select("page_id", F.col("text_for_embedding").alias("text"), "source_file", "image_path")
-    ranked = _reranked(spark, d).join(_page_ids(spark, d), "doc_id").join(chunks, "page_id").select("qid", "rank", "text", "source_file", "image_path")
-    packed = C.pack(ranked, C.choose_images(ranked))
+    ranked = _ranked_pages(spark, d).select("qid", "rank", "page_id")
+    following = kept(_neighbors(spark, d, ranked).select("qid", "page_id"), "following")
+    both = C.with_neighbor(ranked, following)
+    texts = _chunks_of(spark, d, both).select("page_id", F.col("text_for_embedding").alias("text"), "source_file", "image_path")
+    rows = kept(both.join(texts, "page_id"), "packed-chunks")
+    own, more = rows.join(following, ["qid", "page_id"], "left_anti"), rows.join(following, ["qid", "page_id"], "left_semi")
+    packed = C.pack(rows.drop("page_id"), C.choose_images(own, more))
     return packed.select("qid", "context", F.array_join("sources", ",").alias("sources"), "budget_left")
 
 
@@ -124,7 +143,7 @@ def strip_abstention(spark, d):
 
 
 def degenerate_output(spark, d):
-    said = "CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN concat(repeat('a', 40), 'bcd') WHEN turn % 4 = 2 THEN substring(text, 1, 7) ELSE substring(text, 1, 300) END"
+    said = "CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN concat(repeat('a', 40), 'bcd') WHEN turn % 4 = 2 THEN concat(role, ' ', turn) ELSE text END"
     rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", f"{said} AS answer")
     return rows.select("conv_id", "turn", "role", X.degenerate(F.col("answer")).alias("degenerate"))
 
@@ -140,10 +159,10 @@ def ir_metrics_by_group(spark, d):
 
 def _systems(spark, d):
     docs, asked = D.documents(spark, d), D.queries(spark, d)
-    dense = R.dense_top(D.vectors(spark, d), asked, DEFAULT.top_k, "doc_id")
-    lexical = R.lexical_top(docs, asked, DEFAULT.top_k)
+    dense = kept(R.dense_top(D.vectors(spark, d), asked, DEFAULT.top_k, "doc_id"), "dense")
+    lexical = kept(R.lexical_top(docs, asked, DEFAULT.top_k), "lexical")
     fused = R.fuse(dense, lexical, "doc_id", DEFAULT.top_k)
-    return R.union([x.select("qid", F.lit(n).alias("system"), "doc_id", "rank", "score") for n, x in (("dense", dense), ("hybrid", fused), ("lexical", lexical))])
+    return kept(R.union([x.select("qid", F.lit(n).alias("system"), "doc_id", "rank", "score") for n, x in (("dense", dense), ("hybrid", fused), ("lexical", lexical))]), "systems")
 
 
 def judge_pool(spark, d):
@@ -164,6 +183,11 @@ def _judged(spark, d):
     return ranked, D.grades(spark, d, E.pool(ranked, "doc_id")), asked
 
 
+def pool_entries(spark, d):
+    pooled = E.pool(_systems(spark, d), "doc_id")
+    return E.pool_entries(pooled, D.documents(spark, d), D.gold(spark, d), "doc_id").select("qid", "doc_id", "snippet", "is_gold")
+
+
 def judge_metrics(spark, d):
     return E.judge_metrics(*_judged(spark, d), "doc_id")
 
@@ -227,7 +251,7 @@ def ocr_lookup(spark, d):
 
 
 def table_merge(spark, d):
-    rows = table(spark, d, "documents").selectExpr("doc_id", "substring(text, 1, 50) AS raw", "CASE WHEN doc_id % 2 = 0 THEN '| a | b |' ELSE '' END AS tables")
+    rows = table(spark, d, "documents").selectExpr("doc_id", "text AS raw", "CASE WHEN doc_id % 2 = 0 THEN '| a | b |' ELSE '' END AS tables")
     return rows.select("doc_id", X.with_tables(F.col("raw"), F.col("tables")).alias("text"), X.first_line(F.col("raw")).alias("first_line"))
 
 
@@ -235,6 +259,83 @@ def text_budget(spark, d):
     return spark.range(4).select(F.col("id").alias("images"), C.text_budget(F.col("id").cast("int")).alias("budget"))
 
 
+def image_cap_ties(spark, d):
+    return P.cap_images(P.route(D.pages(spark, d).withColumn("seq", F.expr("seq % 50"))), 20).select("id", "route")
+
+
+def section_map_long_ids(spark, d):
+    """Page numbers of up to 40 digits, as in names that end with a receipt number."""
+    number = "concat(seq * 1000003, lpad(cast(seq as string), 30, '0'))"
+    rows = P.route(D.pages(spark, d)).selectExpr(f"concat('long/d', cast(floor(seq / 400) as bigint), '_', {number}) AS id", "text AS document", "route")
+    return P.section_map(rows)
+
+
+def _written_index(spark, d, lexical):
+    store = D.documents(spark, d).join(D.vectors(spark, d), "doc_id")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    I.write(path, store, R.postings(D.documents(spark, d)) if lexical else None, P.section_map(D.records(spark, d)), partitions=16)
+    return I.load(spark, path)
+
+
+def stored_index_search(spark, d):
+    """Hybrid search from a stored index: vectors, postings and section data are written, then read back."""
+    return I.search(_written_index(spark, d, True), D.queries(spark, d), "doc_id")
+
+
+def dense_only_search(spark, d):
+    """The same without postings, as an index from before they were built."""
+    return I.search(_written_index(spark, d, False), D.queries(spark, d), "doc_id")
+
+
+def result_urls(spark, d):
+    made = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d))
+    there = D.pages(spark, d).filter("seq % 4 <> 1").select(X.safe_name(F.col("id")).alias("name"))
+    return P.with_urls(made.select("page_id", "image_path"), there).select("page_id", "image_url")
+
+
+def variant_text(spark, d):
+    rows = D.records(spark, d).selectExpr("id AS page_id", "route", "document")
+    read = ocr_lookup(spark, d).select(F.col("id").alias("page_id"), "text")
+    return P.variant_text(rows, D.captions(spark, d).filter("length(page_id) % 2 = 0"), read).select("page_id", "document")
+
+
+def judge_sample(spark, d):
+    qa = table(spark, d, "documents").selectExpr("doc_id AS id", "coalesce(lang, '-') AS type", "concat('q', doc_id) AS query")
+    synthetic = table(spark, d, "documents").filter("doc_id % 2 = 0").selectExpr(f"{D.PAGE_ID} AS page_id", "concat('s', doc_id) AS query")
+    manual = spark.range(3).selectExpr("concat('m', id) AS query", "id > 0 AS expect_answer")
+    return E.judge_sample(qa, synthetic, manual)
+
+
+def caption_report(spark, d):
+    log = table(spark, d, "events").selectExpr("CASE WHEN user_id % 5 = 0 THEN '' ELSE event_type END AS caption", "value AS elapsed_sec")
+    return E.caption_report(log)
+
+
+def filing_window(spark, d):
+    listed = table(spark, d, "pages").selectExpr("page_id", "concat('c', page_id % 5) AS corp", "date_add(date'2022-01-01', cast(page_id % 900 as int)) AS filed")
+    wanted = spark.range(12).selectExpr("concat('c', id % 4) AS corp", "cast(2021 + id % 3 as int) AS year")
+    return readers.in_window(listed, wanted).select("page_id", "corp", "year", F.col("filed").cast("string").alias("filed"))
+
+
+def receipt_dates(spark, d):
+    number = "concat(2020 + doc_id % 5, lpad(cast(doc_id % 14 as string), 2, '0'), lpad(cast(doc_id % 31 + 1 as string), 2, '0'), lpad(cast(doc_id % 1000000 as string), 6, '0'))"
+    return table(spark, d, "documents").select("doc_id", readers.receipt_date(F.expr(number)).cast("string").alias("received"))
+
+
+def encoded_images(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return rows.select("doc_id", X.encoded(F.col("content")).alias("content"))
+
+
+def fitted_sizes(spark, d):
+    size = X.fitted(F.col("w"), F.col("h"))
+    return table(spark, d, "documents").selectExpr("doc_id", "doc_id * 37 % 4000 + 1 AS w", "doc_id * 91 % 5000 + 1 AS h").select("doc_id", size.alias("s")).select("doc_id", "s.width", "s.height")
+
+
+def latency_window_percentiles(spark, d):
+    return latency.window_percentiles(table(spark, d, "events"))
+
+
 def nfkc_context(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("ＡＢＣ１２３ ﬁ "), "text").alias("text"))
     return rows.select("doc_id", nfkc("text").alias("text"))
@@ -244,7 +345,8 @@ QUERIES = [
     route_pages, route_stats, image_cap_overflow, chunk_text, doc_prefix, page_no_content, section_title, section_map, section_stats, term_frequencies, document_frequencies,
     bm25_weights, bm25_topk, vector_topk, hybrid_rrf, hybrid_filtered_two_phase, rerank_topn, neighbor_expand, context_pack, strip_abstention, degenerate_output, ir_metrics_by_group,
     judge_pool, grade_upsert, judge_metrics, no_answer_fp, win_loss_tie, abstain_signals, latency_percentiles, latency_windows, sparse_page_stats, stratified_sample, resume_worklist,
-    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context,
+    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context, image_cap_ties, section_map_long_ids, stored_index_search, dense_only_search,
+    pool_entries, result_urls, variant_text, judge_sample, caption_report, filing_window, receipt_dates, encoded_images, fitted_sizes, latency_window_percentiles,
 ]
 
 

@@ -22,13 +22,13 @@ FILING_ID = "concat('dart/Corp_2023_', lpad(cast(doc_id as string), 14, '0'), '_
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.selectExpr(
-        "doc_id AS seq", f"{PAGE_ID} AS id", f"CASE WHEN doc_id % 5 = 0 THEN concat({HEAD}, substring(text, 1, 60)) ELSE concat({HEAD}, text) END AS text",
-        "CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 400) ELSE '' END AS ocr", "doc_id % 4 <> 3 AS has_image", "(doc_id * 37 % 1000) / 100000D AS ink", f"concat(source, '/d', cast(floor(doc_id / 400) as bigint)) AS file",
+        "doc_id AS seq", f"{PAGE_ID} AS id", f"CASE WHEN doc_id % 5 = 0 THEN concat({HEAD}, coalesce(lang, '-'), ' ', coalesce(source, '-')) ELSE concat({HEAD}, text) END AS text",
+        "CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS ocr", "doc_id % 4 <> 3 AS has_image", "(doc_id * 37 % 1000) / 100000D AS ink", f"concat(source, '/d', cast(floor(doc_id / 400) as bigint)) AS file",
     )
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").selectExpr(f"{PAGE_ID} AS page_id", "concat('caption ', substring(text, 1, 80)) AS caption")
+    return table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").selectExpr(f"{PAGE_ID} AS page_id", "concat('caption ', text) AS caption")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +47,32 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``qid, query, query_vec, item``: the first eight words of each benchmark item, with a vector of the same number."""
-    items = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", r"array_join(slice(split(trim(text), '\\s+'), 1, 8), ' ') AS query", "text AS item")
+    """``qid, query, query_vec``: the words of each benchmark item, with a vector of the same number."""
+    items = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", r"array_join(split(trim(text), '\\s+'), ' ') AS query")
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vec"))
     return items.join(own, "qid")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``qid, gold``: the first document that contains an item's text; null if there is none."""
+    """``qid, gold``: the first document that contains an item's text; null if there is none.
+
+    A text that contains an item has the item's inner words whole. So candidates share its longest inner
+    word, by an equi-join, and the text itself is compared with those few only. An item without an
+    inner word is looked for in all texts, if there is one.
+    """
     from paperloom.operators.search import blocks, union
 
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
+    inner = "filter(slice(split(item, ' '), 2, greatest(size(split(item, ' ')) - 2, 0)), x -> x <> '')"
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item")).withColumn("word", F.expr(f"array_max(transform({inner}, x -> struct(length(x) AS n, x AS word))).word"))
     docs = documents(spark, sf_dir)
-    hits = union([docs.join(F.broadcast(b), F.contains("text", "item")).groupBy("qid").agg(F.min("doc_id").alias("gold")) for b in blocks(items)])  # a block of items at a time
-    return items.select("qid").join(hits, "qid", "left")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    near = words.join(items.filter("word IS NOT NULL"), "word").select("doc_id", "qid", "item")
+    hits = [near.join(docs, "doc_id").filter(F.contains("text", "item"))]
+    short = items.filter("word IS NULL AND item IS NOT NULL").select("qid", "item")
+    if short.limit(1).count():
+        hits += [docs.join(F.broadcast(b), F.contains("text", "item")) for b in blocks(short)]
+    found = union([h.select("qid", "doc_id") for h in hits]).groupBy("qid").agg(F.min("doc_id").alias("gold"))
+    return items.select("qid").join(found, "qid", "left")
 
 
 def grades(spark: SparkSession, sf_dir: str, pooled: DataFrame) -> DataFrame:

@@ -21,13 +21,13 @@ def tokens(x: str) -> str:
     return f"flatten(list_transform(regexp_extract_all(lower({x}), '[0-9a-z가-힣]+'), lambda r: CASE WHEN regexp_full_match(r, '[0-9]+[가-힣]+') THEN [r, regexp_extract(r, '^[0-9]+')] ELSE flatten({parts}) END))"
 
 
-PAGES = f"""pages_ AS (SELECT doc_id AS seq, doc_id, {PAGE_ID} AS id, CASE WHEN doc_id % 5 = 0 THEN {HEAD} || substr(text, 1, 60) ELSE {HEAD} || text END AS text,
-  CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 400) ELSE '' END AS ocr, doc_id % 4 <> 3 AS has_image, (doc_id * 37 % 1000) / 100000.0 AS ink, {KEY} AS file FROM documents)"""
+PAGES = f"""pages_ AS (SELECT doc_id AS seq, doc_id, {PAGE_ID} AS id, CASE WHEN doc_id % 5 = 0 THEN {HEAD} || coalesce(lang, '-') || ' ' || coalesce(source, '-') ELSE {HEAD} || text END AS text,
+  CASE WHEN doc_id % 3 = 0 THEN documents.text ELSE '' END AS ocr, doc_id % 4 <> 3 AS has_image, (doc_id * 37 % 1000) / 100000.0 AS ink, {KEY} AS file FROM documents)"""
 ROUTED = f"""{PAGES}, routed AS (SELECT *, CASE WHEN length({strip("text")}) >= 100 THEN 'text' WHEN length({strip("ocr")}) >= 100 THEN 'ocr' WHEN NOT has_image THEN 'blank'
   WHEN ink < 0.002 THEN 'blank' ELSE 'image' END AS route FROM pages_)"""
 CAPPED = f"""{ROUTED}, capped AS (SELECT * REPLACE (CASE WHEN route = 'image' AND sum(CASE WHEN route = 'image' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) > 20
   THEN 'image_overflow' ELSE route END AS route) FROM routed)"""
-CAPTIONS = f"captions AS (SELECT {PAGE_ID} AS page_id, 'caption ' || substr(text, 1, 80) AS caption FROM documents WHERE doc_id % 2 = 0)"
+CAPTIONS = f"captions AS (SELECT {PAGE_ID} AS page_id, 'caption ' || text AS caption FROM documents WHERE doc_id % 2 = 0)"
 
 
 def chunk_rows(source: str) -> str:
@@ -55,7 +55,7 @@ TF = f"listed AS (SELECT doc_id, {tokens('text')} AS t FROM documents), tf AS (S
 WEIGHTS = f"""{TF}, whole AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM listed), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 weights AS (SELECT tf.doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) AS weight
   FROM tf JOIN df USING (term) JOIN listed USING (doc_id), whole)"""
-QUERIES = rf"""asked AS (SELECT item_id AS qid, array_to_string(regexp_split_to_array(trim(b.text), '\s+')[1:8], ' ') AS query, CAST(embedding AS DOUBLE[]) AS v
+QUERIES = rf"""asked AS (SELECT item_id AS qid, array_to_string(regexp_split_to_array(trim(b.text), '\s+'), ' ') AS query, CAST(embedding AS DOUBLE[]) AS v
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
 LEXICAL = f"""{WEIGHTS}, {QUERIES}, qterms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({tokens("query")}) AS term FROM asked)),
 lexical_all AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
@@ -83,6 +83,16 @@ grades AS (SELECT qid, doc_id, grade FROM pooled LEFT JOIN best_label USING (doc
 JUDGED = f"""{SYSTEMS}, {GRADES}, {GOLD}, wanted AS (SELECT qid, 'c' || CAST(qid % 2 AS VARCHAR) AS corpus, 't' || CAST(qid % 3 AS VARCHAR) AS type, gold, gold IS NOT NULL AS expect_answer FROM gold_)"""
 
 
+FOLLOWING = """pid AS (SELECT doc_id, id FROM pages_), following_ AS (SELECT r.qid, s.next_id AS page_id FROM reranked r JOIN pid USING (doc_id) JOIN sections_ s ON s.id = pid.id
+  LEFT JOIN sections_ n ON n.id = s.next_id WHERE r.rank = 1 AND s.next_id IN (SELECT page_id FROM chunks_) AND NOT coalesce(n.no_content, false)
+  AND NOT EXISTS (SELECT 1 FROM reranked o JOIN pid p USING (doc_id) WHERE o.qid = r.qid AND p.id = s.next_id))"""
+
+
+def drawn(rows: str, key: str) -> str:
+    """Rows of (type, ``key``, query) with their places in the order of the seeded hash."""
+    return f"SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5('20260917:' || CAST({key} AS VARCHAR)), {key}) AS place FROM ({rows})"
+
+
 def ranks(source: str) -> str:
     return f"(SELECT g.qid, gold, 't' || CAST(g.qid % 3 AS VARCHAR) AS type, 'd' || CAST(g.qid % 4 AS VARCHAR) AS domain, r.rank FROM gold_ g LEFT JOIN {source} r ON r.qid = g.qid AND r.doc_id = g.gold WHERE gold IS NOT NULL)"
 
@@ -95,6 +105,10 @@ def place(values: str, share: float) -> str:
     return f"round({values}[CAST(least(floor(len({values}) * {share}), len({values}) - 1) AS BIGINT) + 1], 3)"
 
 
+def raw_place(values: str, share: float) -> str:
+    return f"{values}[CAST(least(floor(len({values}) * {share}), len({values}) - 1) AS BIGINT) + 1]"
+
+
 def oracles() -> dict[str, str]:
     filing = "'dart/Corp_2023_' || lpad(CAST(doc_id AS VARCHAR), 14, '0') || '_' || CASE WHEN doc_id % 2 = 0 THEN '[Company' || CAST(doc_id % 7 AS VARCHAR) || ']' ELSE 'x' END || 'Report_' || CAST(doc_id % 400 + 1 AS VARCHAR)"
     title = "substr(string_split(regexp_replace(page_id, '_[0-9]+$', ''), '/')[-1], 1, 80)"
@@ -112,7 +126,7 @@ def oracles() -> dict[str, str]:
   count(*) FILTER (route = 'blank') AS blank_skipped, count(*) FILTER (route = 'image_overflow') AS image_overflow_route FROM capped""",
         "image_cap_overflow": f"WITH {CAPPED} SELECT id, route FROM capped",
         "chunk_text": f"WITH {CAPPED}, {chunk_rows('capped')} SELECT page_id, route, text_for_embedding, source_file, image_path FROM chunks_",
-        "doc_prefix": rf"""WITH rows_ AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {filing} ELSE {PAGE_ID} END AS page_id, substr(text, 1, 40) AS document, CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS title FROM documents),
+        "doc_prefix": rf"""WITH rows_ AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {filing} ELSE {PAGE_ID} END AS page_id, text AS document, CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS title FROM documents),
 known AS (SELECT lpad(CAST(doc_id AS VARCHAR), 14, '0') AS r, 'Report ' || CAST(doc_id % 10 AS VARCHAR) || ' (2023.12)' AS nm FROM documents WHERE doc_id % 6 = 0),
 named AS (SELECT rows_.*, CASE WHEN page_id LIKE 'dart/%' THEN coalesce(nullif(concat_ws(' ', nullif(regexp_extract(page_id, '(\[[^\]]+\])', 1), ''), nm), ''), {title}) ELSE {title} END AS prefix
   FROM rows_ LEFT JOIN known ON r = regexp_extract(page_id, '^dart/.+?_[0-9]{{4}}_([0-9]{{14}})_', 1))
@@ -134,13 +148,13 @@ SELECT *, coalesce(round(no_content_pages / nullif(pages, 0), 4), 0.0) AS no_con
 {fused("wide_", 30, barred, "qid IN (SELECT qid FROM sizes WHERE n < 10)")}, longer AS (SELECT w.qid FROM wide_ w JOIN sizes USING (qid) GROUP BY w.qid, n HAVING count(*) > n)
 SELECT qid, doc_id, score, rank FROM near_ WHERE rank <= 10 AND qid NOT IN (SELECT qid FROM longer) UNION ALL SELECT qid, doc_id, score, rank FROM wide_ WHERE rank <= 10 AND qid IN (SELECT qid FROM longer)""",
         "rerank_topn": f"WITH {RERANKED} SELECT qid, doc_id, score, rank, fused_rank FROM reranked",
-        "neighbor_expand": f"""WITH {RERANKED}, {SECTIONS}, {chunk_rows("routed")}, pid AS (SELECT doc_id, id FROM pages_)
-SELECT r.qid, s.next_id AS page_id FROM reranked r JOIN pid USING (doc_id) JOIN sections_ s ON s.id = pid.id LEFT JOIN sections_ n ON n.id = s.next_id
-WHERE r.rank = 1 AND s.next_id IN (SELECT page_id FROM chunks_) AND NOT coalesce(n.no_content, false)
-  AND NOT EXISTS (SELECT 1 FROM reranked o JOIN pid p USING (doc_id) WHERE o.qid = r.qid AND p.id = s.next_id)""",
-        "context_pack": f"""WITH RECURSIVE {RERANKED}, {ROUTED}, {chunk_rows("routed")},
-ranked AS (SELECT qid, rank, text_for_embedding AS text, source_file, image_path, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM reranked JOIN chunks_ USING (doc_id)),
-shown AS (SELECT q.qid, coalesce(list(r.image_path ORDER BY r.rank) FILTER (r.image_path IS NOT NULL AND r.rank <= 2), []) AS images FROM (SELECT DISTINCT qid FROM ranked) q JOIN ranked r USING (qid) GROUP BY q.qid),
+        "neighbor_expand": f"WITH {RERANKED}, {SECTIONS}, {chunk_rows('routed')}, {FOLLOWING} SELECT * FROM following_",
+        "context_pack": f"""WITH RECURSIVE {RERANKED}, {SECTIONS}, {chunk_rows("routed")}, {FOLLOWING},
+given AS (SELECT qid, rank, doc_id FROM reranked UNION ALL SELECT f.qid, 99, p.doc_id FROM following_ f JOIN pid p ON p.id = f.page_id),
+ranked AS (SELECT qid, rank, text_for_embedding AS text, source_file, image_path, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM given JOIN chunks_ USING (doc_id)),
+own_ AS (SELECT qid, coalesce(list(image_path ORDER BY rank) FILTER (image_path IS NOT NULL AND rank <= 2), []) AS images FROM ranked GROUP BY qid),
+shown AS (SELECT o.qid, CASE WHEN r.image_path IS NOT NULL AND NOT list_contains(o.images, r.image_path) AND len(o.images) < 3 THEN list_append(o.images, r.image_path) ELSE o.images END AS images
+  FROM own_ o LEFT JOIN ranked r ON r.qid = o.qid AND r.rank = 99),
 packed AS (SELECT qid, CAST(0 AS BIGINT) AS n, images, CAST(greatest(CAST(trunc((3396 - 1500 * len(images)) * 1.5) AS BIGINT), 300) AS BIGINT) AS budget, CAST([] AS VARCHAR[]) AS parts FROM shown
   UNION ALL SELECT p.qid, c.n, p.images, CASE WHEN {skip} THEN p.budget ELSE p.budget - length({cut}) END,
     CASE WHEN {skip} THEN p.parts ELSE list_append(p.parts, '[출처: ' || c.source_file || ']' || chr(10) || {cut}) END FROM packed p JOIN ranked c ON c.qid = p.qid AND c.n = p.n + 1)
@@ -148,7 +162,7 @@ SELECT qid, array_to_string(parts, chr(10) || chr(10)) AS context, (SELECT strin
 FROM packed p WHERE n = (SELECT max(n) FROM packed m WHERE m.qid = p.qid)""",
         "strip_abstention": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN text || ' {ABSTAIN}.' WHEN turn % 4 = 1 THEN text || chr(10) || '{ABSTAIN}' WHEN turn % 4 = 2 THEN '{ABSTAIN}.' ELSE text END AS answer FROM conversations)
 SELECT conv_id, turn, role, CASE WHEN contains(answer, '{ABSTAIN}') AND length({kept}) >= 40 THEN {kept} ELSE answer END AS answer FROM said""",
-        "degenerate_output": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN repeat('a', 40) || 'bcd' WHEN turn % 4 = 2 THEN substr(text, 1, 7) ELSE substr(text, 1, 300) END AS answer FROM conversations),
+        "degenerate_output": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN repeat('a', 40) || 'bcd' WHEN turn % 4 = 2 THEN role || ' ' || CAST(turn AS VARCHAR) ELSE text END AS answer FROM conversations),
 cut AS (SELECT *, {strip("answer")} AS s, {chars} AS c FROM said)
 SELECT conv_id, turn, role, CASE WHEN length(s) < 8 THEN false ELSE len(list_distinct(c)) <= 2 OR list_max(list_transform(list_distinct(c), lambda k: len(list_filter(c, lambda x: x = k)))) / length(s) > 0.8 END AS degenerate FROM cut""",
         "ir_metrics_by_group": f"""WITH {LEXICAL}, {GOLD}, r AS {ranks("(SELECT * FROM lexical_all WHERE rank <= 10)")}
@@ -184,7 +198,38 @@ SELECT qid, arg_min(doc_id, rank) AS top_page, arg_min(round(score, 4), rank) AS
 few AS (SELECT *, row_number() OVER (PARTITION BY rcept_no ORDER BY name, url) AS place FROM listed WHERE contains(report_nm, 'annual') AND lower(name) LIKE '%.pdf')
 SELECT url, rcept_no, report_nm, name, place, regexp_extract(url, 'dcm_no=([0-9]+)', 1) AS dcm_no FROM few WHERE place <= 3 AND url NOT IN (SELECT url FROM listed WHERE name LIKE 'f1%')""",
         "ocr_lookup": f"WITH {PAGES} SELECT id, {strip('coalesce(nullif(ocr, $q$$q$), text)')} AS text FROM pages_ WHERE doc_id % 2 = 0".replace("$q$$q$", "''"),
-        "table_merge": rf"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) || chr(10) || chr(10) || '{TABLE_MARK}' || chr(10) || '| a | b |' ELSE substr(text, 1, 50) END AS text,
-  string_split({strip("substr(text, 1, 50)")}, chr(10))[1] AS first_line FROM documents""",
+        "table_merge": rf"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || chr(10) || '{TABLE_MARK}' || chr(10) || '| a | b |' ELSE text END AS text,
+  string_split({strip("documents.text")}, chr(10))[1] AS first_line FROM documents""",
         "text_budget": "SELECT i AS images, CAST(greatest(trunc((3396 - 1500 * i) * 1.5), 300) AS BIGINT) AS budget FROM range(4) t(i)",
+        "image_cap_ties": f"""WITH {ROUTED} SELECT id, CASE WHEN route = 'image' AND sum(CASE WHEN route = 'image' THEN 1 ELSE 0 END) OVER (ORDER BY seq % 50, id ROWS UNBOUNDED PRECEDING) > 20
+  THEN 'image_overflow' ELSE route END AS route FROM routed""",
+        "section_map_long_ids": f"""WITH {ROUTED}, marked_ AS (SELECT 'long/d' || CAST(seq // 400 AS VARCHAR) AS file, CAST(seq * 1000003 AS VARCHAR) || lpad(CAST(seq AS VARCHAR), 30, '0') AS number, {EMPTY} AS no_content, {TITLE} AS own FROM routed),
+sized AS (SELECT *, file || '_' || number AS id, regexp_replace(number, '^0+(.)', '\\1') AS digits FROM marked_)
+SELECT id, no_content, coalesce(last_value(own IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), '') AS section_title, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM sized
+WINDOW w AS (PARTITION BY file ORDER BY length(digits), digits, id)""",
+        "stored_index_search": f"WITH {HYBRID} SELECT qid, doc_id, score, rank FROM hybrid",
+        "dense_only_search": f"WITH {QUERIES}, {DENSE} SELECT qid, doc_id, round(1.0 / CAST(60 + rank AS DOUBLE), 9) AS score, rank FROM dense_all WHERE rank <= 10",
+        "pool_entries": f"""WITH {SYSTEMS}, {GOLD}, pooled AS (SELECT DISTINCT qid, doc_id FROM systems WHERE rank <= 5)
+SELECT qid, p.doc_id, substr(d.text, 1, 1500) AS snippet, coalesce(p.doc_id = gold, false) AS is_gold FROM pooled p LEFT JOIN documents d ON d.doc_id = p.doc_id LEFT JOIN gold_ USING (qid)""",
+        "result_urls": f"WITH {ROUTED}, {chunk_rows('routed')} SELECT page_id, CASE WHEN doc_id % 4 <> 1 THEN '/pages/' || image_path END AS image_url FROM chunks_",
+        "variant_text": f"""WITH {ROUTED}, {CAPTIONS}, read_ AS (SELECT id, {strip("coalesce(nullif(ocr, $q$$q$), text)")} AS text FROM pages_ WHERE doc_id % 2 = 0)
+SELECT r.id AS page_id, CASE WHEN route = 'image' THEN coalesce(nullif(concat_ws(chr(10), nullif({strip("caption")}, $q$$q$), nullif(read_.text, $q$$q$)), $q$$q$), r.text) ELSE r.text END AS document
+FROM routed r LEFT JOIN captions ON captions.page_id = r.id AND length(captions.page_id) % 2 = 0 LEFT JOIN read_ ON read_.id = r.id""".replace("$q$$q$", "''"),
+        "judge_sample": f"""WITH qa AS ({drawn("SELECT doc_id AS id, coalesce(lang, '-') AS type, 'q' || CAST(doc_id AS VARCHAR) AS query FROM documents", "id")}),
+made AS ({drawn(f"SELECT {PAGE_ID} AS page_id, 'image' AS type, 's' || CAST(doc_id AS VARCHAR) AS query FROM documents WHERE doc_id % 2 = 0", "page_id")}),
+every AS (SELECT 1 AS part, 'pages' AS corpus, 'qa' AS source, type, query, CAST(id AS VARCHAR) AS gold, true AS expect_answer, place FROM qa WHERE place <= 5
+  UNION ALL SELECT 2, 'pages', 'synthetic', type, query, page_id, true, place FROM made WHERE place <= 15 UNION ALL SELECT 3, 'filings', 'manual', 'manual', 'm' || CAST(i AS VARCHAR), NULL, i > 0, i FROM range(3) t(i))
+SELECT CASE WHEN n < 10 THEN 'J0' ELSE 'J' END || CAST(n AS VARCHAR) AS sample_id, corpus, source, type, query, gold, expect_answer
+FROM (SELECT *, row_number() OVER (ORDER BY part, type, place) AS n FROM every)""",
+        "caption_report": f"""WITH log_ AS (SELECT CASE WHEN user_id % 5 = 0 THEN '' ELSE event_type END AS caption, value FROM events), made AS (SELECT value FROM log_ WHERE coalesce(caption, '') <> '')
+SELECT (SELECT count(*) FROM made) AS captioned, (SELECT count(*) FROM log_ WHERE coalesce(caption, '') = '') AS failed, round(avg(value), 6) AS mean_sec, {sorted_values}[CAST(least(floor(len({sorted_values}) * 0.95), len({sorted_values}) - 1) AS BIGINT) + 1] AS p95_sec FROM made WHERE value IS NOT NULL""",
+        "filing_window": """WITH listed AS (SELECT page_id, 'c' || CAST(page_id % 5 AS VARCHAR) AS corp, DATE '2022-01-01' + CAST(page_id % 900 AS INTEGER) AS filed FROM pages),
+wanted AS (SELECT 'c' || CAST(i % 4 AS VARCHAR) AS corp, 2021 + i % 3 AS year FROM range(12) t(i))
+SELECT page_id, corp, CAST(year AS BIGINT) AS year, CAST(CAST(filed AS DATE) AS VARCHAR) AS filed FROM listed JOIN wanted USING (corp) WHERE filed BETWEEN make_date(year + 1, 1, 1) AND make_date(year + 1, 6, 30)""",
+        "receipt_dates": """SELECT doc_id, CAST(CAST(try_strptime(CAST(2020 + doc_id % 5 AS VARCHAR) || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || lpad(CAST(doc_id % 31 + 1 AS VARCHAR), 2, '0'), '%Y%m%d') AS DATE) AS VARCHAR) AS received FROM documents""",
+        "encoded_images": "SELECT doc_id, base64(encode(text)) AS content FROM documents",
+        "fitted_sizes": f"""WITH s AS (SELECT doc_id, doc_id * 37 % 4000 + 1 AS w, doc_id * 91 % 5000 + 1 AS h, CAST(1280 AS DOUBLE) / greatest(doc_id * 37 % 4000 + 1, doc_id * 91 % 5000 + 1) AS k FROM documents)
+SELECT doc_id, {", ".join(f"CASE WHEN greatest(w, h) <= 1280 THEN {x} ELSE greatest(CAST(round_even({x} * k, 0) AS BIGINT), 1) END AS {n}" for x, n in (("w", "width"), ("h", "height")))} FROM s""",
+        "latency_window_percentiles": f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(value) AS n, {raw_place(sorted_values, 0.5)} AS p50, {raw_place(sorted_values, 0.95)} AS p95
+FROM events WHERE value IS NOT NULL GROUP BY ALL""",
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine, one of our own if it is unset."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for a result that a plan needs more than once."""
+    path = f"{shared_dir(df.sparkSession)}/paperloom-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

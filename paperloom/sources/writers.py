@@ -28,3 +28,25 @@ def append_captions(rows: DataFrame, path: str) -> None:
 def report(row: DataFrame, path: str) -> None:
     """A summary as JSON lines, non-ASCII characters kept."""
     row.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_manifest(rows: DataFrame, path: str) -> None:
+    """Newly fetched filings, added to the log."""
+    rows.write.mode("append").json(path)
+
+
+def images(rows: DataFrame, root: str, write) -> DataFrame:
+    """``name, written`` after ``write(path, content)`` of each image (name, content) that isn't there yet.
+
+    ``root`` is a folder that all executors share; ``write`` gives False if the file exists.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            done = [bool(write(f"{root}/{n}", c)) for n, c in zip(names, batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"name": names, "written": done})
+
+    return rows.select("name", "content").mapInArrow(run, "name string, written boolean")

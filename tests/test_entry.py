@@ -33,7 +33,7 @@ def test_sql_twins_agree(spark):
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
     for f in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in ("chunk_text", "section_map", "hybrid_filtered_two_phase", "context_pack", "judge_metrics"):
+    for name in ("chunk_text", "section_map", "hybrid_filtered_two_phase", "context_pack", "judge_metrics", "section_map_long_ids", "image_cap_ties", "stored_index_search", "dense_only_search", "judge_sample", "latency_window_percentiles"):
         a, b = entry.queries()[name](spark, sf).toPandas(), con.execute(entry.oracle_sql()[name]).df()
         columns = sorted(a.columns)
         assert columns == sorted(b.columns)

@@ -1,5 +1,8 @@
+import base64
+
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as X
 from paperloom.functions.text import CUT_MARK
 from paperloom.operators import context as C
 from paperloom.operators import pages as P
@@ -74,4 +77,51 @@ def test_packing(spark):
 def test_images_are_capped(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x"), (2, 2, None)], "qid long, rank int, image_path string")
     neighbors = spark.createDataFrame([(1, "n"), (2, "n")], "qid long, image_path string")
-    assert {r.qid: r.images for r in C.choose_images(df, neighbors).collect()} == {1: ["a", "b"], 2: ["x", "n"]}
+    assert {r.qid: r.images for r in C.choose_images(df, neighbors).collect()} == {1: ["a", "b", "n"], 2: ["x", "n"]}
+    assert {r.qid: r.images for r in C.choose_images(df).collect()} == {1: ["a", "b"], 2: ["x"]}
+    same = spark.createDataFrame([(1, "b"), (3, "only")], "qid long, image_path string")
+    assert {r.qid: r.images for r in C.choose_images(df, same).collect()} == {1: ["a", "b"], 2: ["x"], 3: ["only"]}
+
+
+def test_neighbor_comes_last(spark):
+    ranked = spark.createDataFrame([(1, 1, "p"), (1, 2, "q"), (2, 1, "r")], "qid long, rank int, page_id string")
+    following = spark.createDataFrame([(1, "n")], "qid long, page_id string")
+    assert {tuple(r) for r in C.with_neighbor(ranked, following).collect()} == {(1, 1, "p"), (1, 2, "q"), (1, 3, "n"), (2, 1, "r")}
+
+
+def test_cap_is_strict_on_ties(spark):
+    df = spark.createDataFrame([(7, f"p{k}", "image") for k in range(5)] + [(7, "t", "text")], "seq int, id string, route string")
+    got = {r.id: r.route for r in P.cap_images(df, 2).collect()}
+    assert got == {"p0": "image", "p1": "image", "p2": "image_overflow", "p3": "image_overflow", "p4": "image_overflow", "t": "text"}
+
+
+def test_long_page_numbers(spark):
+    ids = ["dart/a_20230315000123", "dart/a_9", "dart/a_" + "9" * 50, "dart/a_0010", "dart/b"]
+    df = spark.createDataFrame([(i, "1. Intro" if i == "dart/a_9" else "text", "text") for i in ids], "id string, document string, route string")
+    got = {r.id: r for r in P.section_map(df).collect()}
+    assert len(got) == 4 and got["dart/a_9"].next_id == "dart/a_0010" and got["dart/a_0010"].next_id == "dart/a_20230315000123"
+    assert got["dart/a_20230315000123"].next_id == "dart/a_" + "9" * 50 and {r.section_title for r in got.values()} == {"1. Intro"}
+    assert [str(r.n) for r in df.select(X.page_no(F.col("id")).alias("n")).collect()] == ["20230315000123", "9", "None", "10", "None"]
+
+
+def test_variants_and_urls(spark):
+    rows = spark.createDataFrame([("a", "image", "old a"), ("b", "image", "old b"), ("c", "image", "old c"), ("t", "text", "old t")], "page_id string, route string, document string")
+    captions = spark.createDataFrame([("a", " cap "), ("b", ""), ("t", "cap t")], "page_id string, caption string")
+    read = spark.createDataFrame([("a", "read a"), ("b", "read b")], "page_id string, text string")
+    both = {r.page_id: r.document for r in P.variant_text(rows, captions, read).collect()}
+    assert both == {"a": "cap\nread a", "b": "read b", "c": "old c", "t": "old t"}
+    assert {r.page_id: r.document for r in P.variant_text(rows, captions).collect()} == {"a": "cap", "b": "old b", "c": "old c", "t": "old t"}
+    results = spark.createDataFrame([("a", "x/y/a.png"), ("b", "b.png"), ("c", None)], "page_id string, image_path string")
+    there = spark.createDataFrame([("a.png",), ("z.png",)], "name string")
+    assert {r.page_id: r.image_url for r in P.with_urls(results, there).collect()} == {"a": "/pages/a.png", "b": None, "c": None}
+
+
+def test_sizes_and_base64(spark):
+    df = spark.createDataFrame([(2480, 3505), (1280, 100), (1, 9000)], "w int, h int")
+    assert [tuple(r.s) for r in df.select(X.fitted(F.col("w"), F.col("h")).alias("s")).collect()] == [(906, 1280), (1280, 100), (1, 1280)]
+    raw = bytes(range(256)) * 3
+    assert spark.createDataFrame([(bytearray(raw),)], "b binary").select(X.encoded(F.col("b")).alias("x")).first().x == base64.b64encode(raw).decode()
+
+
+def test_parameters_from_the_environment():
+    assert Params.from_environment({"PAPERLOOM_TOP_K": "7", "PAPERLOOM_HYBRID": "false", "PAPERLOOM_B": "0.5", "OTHER": "1"}) == Params(top_k=7, hybrid=False, b=0.5)

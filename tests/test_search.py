@@ -1,3 +1,4 @@
+import random
 import math
 
 import numpy as np
@@ -119,6 +120,53 @@ def test_percentile_place(spark, n, place):
     assert r.n == n and r.p95 == float(place // 2)
 
 
+def test_percentiles_by_bins(spark, monkeypatch):
+    monkeypatch.setattr(E, "BINS", 8)
+    rng = random.Random(3)
+    rows = [(rng.choice([0.5, 0.5, 1e6, rng.expovariate(1), -rng.random()]), rng.choice(["a", "b", None])) for _ in range(500)] + [(7.0, "one"), (3.0, "same"), (3.0, "same"), (None, "none")]
+    df = spark.createDataFrame(rows, "v double, k string").repartition(3)
+    got = {r.k: (r.n, r.p50, r.p95) for r in E.percentile(df, "v", {"p50": 0.5, "p95": 0.95}, "k").collect()}
+    want = {}
+    for k in {k for _, k in rows} - {"none"}:
+        own = sorted(v for v, x in rows if x == k)
+        want[k] = (len(own), *(own[min(int(len(own) * s), len(own) - 1)] for s in (0.5, 0.95)))
+    assert got == want
+    everyone = sorted(v for v, _ in rows if v is not None)
+    r = E.percentile(df, "v", {"p50": 0.5}).first()
+    assert (r.n, r.p50) == (len(everyone), everyone[len(everyone) // 2])
+    assert tuple(E.percentile(df.limit(0), "v", {"p50": 0.5}).first()) == (None, None) and E.percentile(df.limit(0), "v", {"p50": 0.5}, "k").count() == 0
+
+
+def test_samples_and_reports(spark):
+    qa = spark.createDataFrame([(i, "t%d" % (i % 2), f"q{i}") for i in range(20)], "id long, type string, query string")
+    made = spark.createDataFrame([(f"p{i}", f"s{i}") for i in range(20)], "page_id string, query string")
+    manual = spark.createDataFrame([("m", False)], "query string, expect_answer boolean")
+    out = E.judge_sample(qa, made, manual).orderBy("sample_id").collect()
+    assert [r.sample_id for r in out] == ["J%02d" % k for k in range(1, 27)] and [r.source for r in out] == ["qa"] * 10 + ["synthetic"] * 15 + ["manual"]
+    log = spark.createDataFrame([("x", 1.0), ("", 9.0), ("y", 3.0), (None, None)], "caption string, elapsed_sec double")
+    assert tuple(E.caption_report(log).first()) == (2, 2, 2.0, 3.0)
+    assert tuple(E.caption_report(log.filter("caption = ''")).first()) == (0, 1, None, None)
+    rows = spark.createDataFrame([(1, None), (2, 0.5), (3, 0.1)], "qid long, score double")
+    assert [r.qid for r in E.report_order(rows, "score").collect()] == [3, 2, 1]
+    pooled = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "qid long, doc_id long")
+    gold = spark.createDataFrame([(1, 6), (2, None)], "qid long, gold long")
+    docs = spark.createDataFrame([(5, "x" * 2000)], "doc_id long, text string")
+    got = {(r.qid, r.doc_id): (len(r.snippet or ""), r.is_gold) for r in E.pool_entries(pooled, docs, gold, "doc_id").collect()}
+    assert got == {(1, 5): (1500, False), (1, 6): (0, True), (2, 5): (1500, False)}
+
+
+def test_gold_by_inner_words(spark, tmp_path):
+    from paperloom.plans import corpus
+
+    items = [(1, "alpha beta gamma"), (2, "lone"), (3, "two words"), (4, None), (5, "absent middle word here"), (6, " a b "), (7, "")]
+    docs = [(10, "x alpha beta gammax"), (11, "xalpha beta gamma"), (12, "alone"), (13, "two  words two wordsy"), (14, None), (15, "c a b d"), (9, "alpha beta  gamma")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.qid: r.gold for r in corpus.gold(spark, str(tmp_path)).collect()}
+    want = {q: min((d for d, t in docs if x is not None and t is not None and x in t), default=None) for q, x in items}
+    assert got == want
+
+
 def test_logs_and_samples(spark):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, ""), ("b", 1, None)], "k string, at int, v string")
     assert [tuple(r) for r in E.latest(log, "k", "at", "v").collect()] == [("a", "y")]
