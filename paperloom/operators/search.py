@@ -29,8 +29,9 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, term, tf``."""
-    return docs.select(id, F.explode(X.tokens(text)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+    """``id, term, tf``. Texts are dealt by id, so that their terms are counted where they are split and
+    no row a term is shuffled."""
+    return docs.select(id, text).repartition(id).select(id, F.explode(X.tokens(text)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import pages as P
 from paperloom.params import Params
-from paperloom.session import table
+from paperloom.session import spread, table
 
 HEAD = """CASE WHEN doc_id % 11 = 1 THEN concat('제 ', doc_id % 9 + 1, ' 장 개요', chr(10)) WHEN doc_id % 13 = 1 THEN concat('1. 개요', chr(10), '2. 범위', chr(10))
  WHEN doc_id % 17 = 1 THEN concat('a..... 1', chr(10), 'b..... 2', chr(10), 'c..... 3', chr(10)) WHEN doc_id % 19 = 1 THEN concat('매출 30명을', chr(10)) ELSE '' END"""
@@ -20,7 +20,7 @@ FILING_ID = "concat('dart/Corp_2023_', lpad(cast(doc_id as string), 14, '0'), '_
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return docs.selectExpr(
         "doc_id AS seq", f"{PAGE_ID} AS id", f"CASE WHEN doc_id % 5 = 0 THEN concat({HEAD}, coalesce(lang, '-'), ' ', coalesce(source, '-')) ELSE concat({HEAD}, text) END AS text",
         "CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS ocr", "doc_id % 4 <> 3 AS has_image", "(doc_id * 37 % 1000) / 100000D AS ink", f"concat(source, '/d', cast(floor(doc_id / 400) as bigint)) AS file",
@@ -37,7 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
