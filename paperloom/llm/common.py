@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import shared_dir
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -16,21 +17,13 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, which cuts its lineage."""
+    """``df`` written as Parquet to the shared folder and read back, which cuts its lineage.
+
+    All tables of a run lie in one folder, named by its application id; what is left can go after it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/paperloom-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -59,6 +52,19 @@ def with_row(df: DataFrame, row: str = "_row") -> DataFrame:
     return df.withColumn(row, F.monotonically_increasing_id())
 
 
+def blocks(rows: DataFrame, keys: list[str], item: str, size: int, crossed: bool) -> DataFrame:
+    """``rows`` of groups (equal ``keys``) with more than ``size`` items, dealt into blocks: with ``x`` and ``y`` both the
+    row's block ``own``, or, if ``crossed``, a copy for each pair (x, y) of blocks that has it. Every two items of
+    a group then meet in some pair, and no pair has many more than twice ``size``."""
+    many = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > size)
+    count = F.ceil(F.col("n") / size).cast("int")
+    own = rows.join(many, keys).withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64(item, *keys), F.col("blocks")).cast("int"))
+    if not crossed:
+        return own.withColumns({"x": F.col("own"), "y": F.col("own")}).drop("n", "blocks")
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("n", "blocks", "other")
+
+
 def text_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of each value (None for null), without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

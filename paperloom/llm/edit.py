@@ -20,8 +20,8 @@ MOST, FEW, CELLS = 2048, 48, 1 << 22
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance of one pair, bit-parallel over the shorter string after equal ends are cut off."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance of one pair, bit-parallel over the shorter string after equal ends are cut off; ``most + 1`` if it exceeds ``most``."""
     a, b = trimmed(a, b)
     if not a:
         return len(b)
@@ -30,7 +30,9 @@ def distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
-    for c in b:
+    for left_over, c in zip(range(len(b) - 1, -1, -1), b):
+        if most is not None and not left_over & 31 and score - left_over - 1 > most:
+            return most + 1
         eq = places.get(c, 0)
         upright = eq | down
         level = ((((eq & up) + up) ^ up) | eq) & full
@@ -221,7 +223,7 @@ def within(pairs: list[tuple[Form, Form]], least: float) -> np.ndarray:
             stop += 1
         part = todo[at:stop]
         if len(part) < FEW:
-            got = [distance(t[3], t[4]) <= t[5] for t in part]
+            got = [distance(t[3], t[4], t[5]) <= t[5] for t in part]
         else:
             got = _table([t[3] for t in part], [t[4] for t in part], np.array([t[5] for t in part]))
         out[[t[2] for t in part]] = got

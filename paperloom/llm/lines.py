@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import dropped, list_array, slices, stored, text_bytes
+from paperloom.llm.common import blocks, dropped, list_array, slices, stored, text_bytes
 from paperloom.llm.components import Forest, components
 from paperloom.llm.decontaminate import NORMAL
 from paperloom.llm.edit import Form, told, within
@@ -52,7 +52,7 @@ BANDS, ROWS = 10, 4
 #: Bits that may differ in a band: in lines of SHORT characters or more, and in shorter ones, where each word weighs more.
 WIDE, WIDER, SHORT = 17, 25, 100
 #: Lines of one key that meet at once: by their hashes, and by their texts.
-HASHES, TEXTS = 4096, 512
+HASHES, TEXTS = 8192, 2048
 #: Distances that are taken before it is looked up again which pairs still need one.
 DISTANCES = 2048
 #: Lengths are told apart by the power of 1.05 that they reach; the last bits of a line's number.
@@ -141,17 +141,6 @@ def _runs(batches, names: list[str], rows: int):
         yield pa.Table.from_batches(held)
 
 
-def _dealt(rows: DataFrame, size: int, crossed: bool) -> DataFrame:
-    """``rows`` of keys with more than ``size`` lines, in blocks: a copy for each pair (x, y) of blocks that has the row's block."""
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > size)
-    blocks = F.ceil(F.col("n") / size).cast("int")
-    own = rows.join(many, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("d", "key"), F.col("blocks")).cast("int"))
-    if not crossed:
-        return own.withColumns({"x": F.col("own"), "y": F.col("own")})
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-
-
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, bands: int = 0) -> DataFrame:
     """``docs`` with its repeated lines cut, and ``n_lines``, ``n_cut`` and ``cut_lines`` (their places, from 0)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -205,7 +194,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     met = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(hint, "key long, d long, sim long, crowd boolean"), "met")
     hinted = met.filter("NOT crowd").drop("crowd")
     if met.filter("crowd").limit(1).count():
-        crowds = _dealt(met.filter("crowd").drop("crowd"), HASHES, True)
+        crowds = blocks(met.filter("crowd").drop("crowd"), ["key"], "d", HASHES, True)
         by_block = crowds.select("key", "x", "y", "own", "d", "sim").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
         hinted = stored(hinted.unionByName(by_block.mapInArrow(hint_blocks, "key long, d long, sim long").distinct()), "hinted")
 
@@ -274,7 +263,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     check = lambda rows: rows.join(texts, "d").select(*columns).repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(verify, "a long, b long")
     many = hinted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TEXTS)
     alone = hinted.join(many, "key", "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})
-    inside = alone.unionByName(_dealt(hinted, TEXTS, False).select("key", "d", "sim", "x", "y", "own")).withColumn("c", F.col("d"))
+    inside = alone.unionByName(blocks(hinted, ["key"], "d", TEXTS, False).select("key", "d", "sim", "x", "y", "own")).withColumn("c", F.col("d"))
     links = stored(check(inside), "links-within")
     joined = components(links)
     if many.limit(1).count():
@@ -282,8 +271,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
         named = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "d")
         rest = hinted.join(many.select("key"), "key", "left_semi").join(named, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
         several = rest.groupBy("key").agg((F.min("c") != F.max("c")).alias("open")).filter("open").select("key")
-        across = _dealt(rest.join(several, "key", "left_semi"), TEXTS, True).filter("x <> y")
+        across = blocks(rest.join(several, "key", "left_semi"), ["key"], "d", TEXTS, True).filter("x <> y")
         joined = components(links.unionByName(check(across)))
+    for table in (met, texts, links):
+        dropped(table)
     nodes = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
     of = nodes.join(distinct.select(F.col("d").alias("node"), "first"), "node")
     chosen = of.groupBy("component").agg(F.min("first").alias("group_first"))

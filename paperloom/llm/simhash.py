@@ -10,12 +10,15 @@ inner branch also takes what lies within the half's radius beyond the boundary,
 branch what lies outside. By the triangle inequality every linked pair shares a shard of one tree
 at least. (One tree on all 64 bits is right, too, but its overlap grows as the input to the power
 1.6; on halves it is 1.2.) Shards are searched on their own, by smaller trees of the same kind and
-exact 64-bit distances in the last cells. A shard gives a spanning forest of its links only, and
+exact 64-bit distances in the last cells; a shard that stays large is searched a pair of blocks at
+a time, in as many tasks. A shard gives a spanning forest of its links only, and
 the groups are the connected components over all shards.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; repeated rows each come out; a null id is never the
-smallest id of a group; an empty table gives an empty result; further columns pass through.
+smallest id of a group; an empty table gives an empty result. ``fingerprints`` passes further columns
+through, ``near_duplicates`` returns its own three only. The shingles of a very long text are hashed
+65,536 at a time; the text and its list of words are held whole.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import LOWER, slices, stored, text_bytes
+from paperloom.llm.common import LOWER, blocks, slices, stored, text_bytes
 from paperloom.llm.components import components, spanning
 
 SEED = 42
 #: Distinct fingerprints that a shard should hold, and the bounds of the driver's sample.
 SHARD, SAMPLE_EACH, SAMPLE_MOST = 1500, 48, 200_000
+#: Fingerprints that one task searches at once.
+CROWD = 16_384
 #: The parts of a fingerprint, each with a tree of its own.
 HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 
@@ -173,7 +178,12 @@ def fingerprint_links(distinct: DataFrame, count: int, radius: int = 3) -> DataF
         ends = x.view(np.int64)
         return pa.table({"a": ends[pairs[:, 0]], "b": ends[pairs[:, 1]]})
 
-    return distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = stored(distinct.select("fp").mapInArrow(deal, "shard int, fp long"), "shards")
+    # Shards that no vantage point divides (near copies in great number) are searched a pair of blocks at a time.
+    crowded = dealt.groupBy("shard").count().filter(F.col("count") > CROWD).select("shard")
+    whole = dealt.join(crowded, "shard", "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0)})
+    parts = whole.unionByName(blocks(dealt, ["shard"], "fp", CROWD, True).drop("own"))
+    return parts.groupBy("shard", "x", "y").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -103,3 +103,46 @@ def test_repeated_rows_keep_bound_and_labels(spark):
     labels = [r[0] for r in seen[0]]
     assert len(labels) <= 60 and labels.count("de") == 1 and labels.count("es") == 1 and labels.count("en") == 20
     assert model["labels"] == ["de", "en", "es"]
+
+
+@pytest.mark.parametrize("text", ["Straße 12, naïve!", "a", " x  y ", "日本 語", "ab" * 50, "Ünï-ç 9 ß"])
+def test_features_match_a_plain_version(text):
+    mask, spaced = (1 << 32) - 1, " "
+    for c in text.lower():
+        c = c if c.isalpha() else " "
+        spaced += c if c != " " or spaced[-1] != " " else ""
+    spaced = spaced if spaced[-1] == " " else spaced + " "
+    want = {}
+
+    def add(gram):
+        mixed = ((gram ^ (gram >> 16)) * 0x7FEB352D) & mask
+        want[mixed >> (32 - L.BUCKET_BITS)] = want.get(mixed >> (32 - L.BUCKET_BITS), 0) + 1
+
+    one = [ord(c) * 2654435761 & mask for c in spaced]
+    two = [((a ^ (a >> 15)) * 2246822519 + b) & mask for a, b in zip(one, one[1:])]
+    three = [((a ^ (a >> 13)) * 3266489917 + b) & mask for a, b in zip(two, one[2:])]
+    for c, a in zip(spaced, one):
+        if c != " ":
+            add(a)
+    for a in two:
+        add((a + 0x9E3779B1) & mask)
+    for a in three:
+        add((a + 0x85EBCA77) & mask)
+    own, counts = L.features(text.encode())
+    assert dict(zip(own.tolist(), counts.tolist())) == want
+
+
+def test_query_predicts_as_a_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = L.train(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang", fold != 2, fold == 3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(spark.createDataFrame(docs), model).collect()}
+    for r in docs[:60]:
+        own, counts = L.features((r.text or "").encode())
+        z = model["w"][L.BUCKETS].astype(float)
+        x = (1 + np.log(counts)) * model["idf"][own]
+        for k, v in zip(own, x / np.sqrt((x * x).sum())):
+            z = z + v * model["w"][k]
+        p = np.exp(z / model["t"]) / np.exp(z / model["t"]).sum()
+        assert got[r.doc_id][0] == model["labels"][int(p.argmax())] and got[r.doc_id][1] == pytest.approx(p.max(), abs=1e-4)

@@ -104,7 +104,7 @@ def test_simhashes():
     assert simhashes(lines) == [plain_simhash(x) for x in lines]
 
 
-def brute(docs, hashes):
+def brute(docs, hashes, bands=0):
     """Cut lines by document, straight from the rules."""
     spots = []
     for d, t in set(docs):
@@ -121,11 +121,19 @@ def brute(docs, hashes):
         return x
 
     sims = [plain_simhash(f) for f in forms]
+    keys = sketches(b"".join(b" ".join(f) + b"\n" for f in forms), bands, L.ROWS)["bands"] if forms and bands else None
+    bits, sizes = np.array(sims, np.uint64), np.array([len(b" ".join(f).decode()) for f in forms])
+    step = np.floor(np.log(np.maximum(sizes, 1)) / np.log(L.CLASS_STEP))
     for i in range(len(forms)):
-        for j in range(i):
-            if min(len(forms[i]), len(forms[j])) >= L.FUZZY_WORDS and (sims[i] ^ sims[j]).bit_count() <= 3:
+        far = np.bitwise_count(bits[:i] ^ bits[i])
+        may = far <= 3
+        if bands:
+            wide = np.where(np.minimum(step[:i], step[i]) < int(np.log(L.SHORT) / np.log(L.CLASS_STEP)), L.WIDER, L.WIDE)
+            may |= (keys[:i] == keys[i]).any(axis=1) & (far <= wide)
+        for j in np.flatnonzero(may).tolist():
+            if min(len(forms[i]), len(forms[j])) >= L.FUZZY_WORDS:
                 a, b = b" ".join(forms[i]).decode(), b" ".join(forms[j]).decode()
-                if plain_distance(a, b) <= 0.2 * max(len(a), len(b)):
+                if (edit.distance if bands else plain_distance)(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
                     group[max(root(i), root(j))] = min(root(i), root(j))
     first = {}
     for place, f in sorted(spots, key=lambda s: s[0]):
@@ -238,3 +246,16 @@ def test_columns_of_the_working_tables_pass_through(spark):
     df = spark.createDataFrame([(1, "one two three four five six", *names), (2, "one two three four five six", *names)], ["doc_id", "text", *names])
     out = {r.doc_id: r for r in L.dedup_lines(df, bands=L.BANDS).collect()}
     assert out[1].text and out[2].text == "" and all(out[1][n] == n for n in names[:-2]) and out[2].n_lines == 1 and out[2].cut_lines == [0]
+
+
+def test_query_matches_brute_force(spark):
+    from paperloom.llm.queries import q_lines
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    hashes = {r.text: r.h for r in docs}
+    want = brute([(r.doc_id, r.text) for r in docs], hashes, L.BANDS)
+    got = {r.doc_id: r.cut_lines for r in q_lines.query(spark, sf).collect()}
+    assert got == {r.doc_id: want.get((False, r.doc_id, r.h), []) for r in docs}
+    plain = brute([(r.doc_id, r.text) for r in docs], hashes)
+    assert sum(map(len, want.values())) > sum(map(len, plain.values())) > 100

@@ -74,8 +74,10 @@ def test_shards_share_every_link():
     assert classes(got) == classes(near)
 
 
-def test_groups_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [10**6, 7])
+def test_groups_match_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(S, "SHARD", 20)
+    monkeypatch.setattr(S, "CROWD", crowd)
     rng = random.Random(1)
     words = ["w%d" % i for i in range(300)]
     docs, texts = [], [" ".join(rng.choices(words, k=60)) for _ in range(40)]
@@ -102,3 +104,19 @@ def test_groups_match_brute_force(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0
+
+
+def test_query_matches_brute_force(spark):
+    from paperloom.llm.queries import q_simhash
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    fps = [plain_fingerprint(r.text) for r in docs]
+    want = brute_components([r.doc_id for r in docs], fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in q_simhash.query(spark, sf).collect()}
+    assert got == {r.doc_id: (f"{fp:016x}", want[r.doc_id]) for r, fp in zip(docs, fps)}
+
+
+def test_long_texts_in_chunks():
+    text = " ".join(f"w{k % 977}" for k in range(70_000))
+    assert S.fingerprint(text.encode()) == plain_fingerprint(text)
