@@ -11,7 +11,7 @@ from the bits and the recall wanted at the threshold itself; closer pairs are fo
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
 vectors without a label, link with nothing; vectors of different lengths never link; repeated
 rows are vectors like any other; a null id is never the smallest id of a component; further
-columns don't matter.
+columns don't matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations

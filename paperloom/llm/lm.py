@@ -15,7 +15,9 @@ others are joined with the word counts.
 
 Defined cases: a null text is an empty one, of one token; rows with a null id are scored, but
 teach nothing and aren't held out; without any training row every word is unseen; repeated
-rows each get a score; other columns don't matter.
+rows each get a score; other columns don't matter; an empty table gives an empty one. Of words of
+equal count the first in order of their bytes is the more frequent one. A very long text is held
+whole, with its list of words.
 """
 
 from __future__ import annotations

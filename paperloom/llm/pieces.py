@@ -5,6 +5,9 @@ where no piece of the vocabulary reaches across (which is checked for each model
 encoding nor any segmentation does, and each distinct unit is worked out once.
 The model's scores are ranks, not probabilities: a piece of rank r weighs 1 / (r + 10), Zipf's
 law, and a byte of the fallback weighs as much as the last rank.
+
+Defined cases: a null or empty text has no units; characters outside the vocabulary are byte pieces;
+a model of another kind than the package reads, or a path that isn't there, is an error.
 """
 
 from __future__ import annotations

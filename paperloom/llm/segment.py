@@ -16,7 +16,9 @@ neither on the order of rows nor on batches.
 Defined cases: a null or empty text has no tokens and no samples; a text with fewer than ``k``
 segmentations gives them all, with inclusion one; characters outside the vocabulary are UTF-8 byte
 pieces; U+2581 decodes to a space; rows with equal keys and texts draw equal samples; columns of
-the new names are replaced.
+the new names are replaced; an empty table gives an empty one. Of equally good segmentations the model's
+own choice is the encoding. A very long text is worked on as a part of its own, with about 100 bytes
+for each of its characters.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ class Lattices:
         room = self.kept + (1 << 20)
         self._last, self._sizes = Pool(np.int64, room // 4), Pool(np.int32, room // 4)  # of each unit: its last place, its characters
         self._edge_from = Pool(np.int64, room, [0])
-        self._back, self._piece = Pool(np.int8, 4 * room), Pool(np.int32, 4 * room)
+        self._back, self._piece = Pool(np.int16, 4 * room), Pool(np.int32, 4 * room)
         self._log_p, self._upto = Pool(np.float64, 4 * room), Pool(np.float32, 4 * room)
         self._best, self._best_from = Pool(np.int32, room), Pool(np.int64, room // 4, [0])
         self._look()

@@ -22,7 +22,11 @@ equi-joins only, which adaptive execution can split.
 
 Defined cases: a null text is an empty one; texts shorter than a window keep all bytes; repeated
 rows are copies of each other; rows are told apart by id and text, null ids included; further
-columns don't matter.
+columns don't matter; an empty table gives an empty one.
+
+What the suffix array does not decide: windows whose anchor is unique (they can't repeat), runs of
+equal bytes (they repeat as a whole, found by their hashes), and cores of more than ``CROWD``
+different strings (counted window by window). All other windows are decided by it.
 """
 
 from __future__ import annotations

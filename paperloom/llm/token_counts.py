@@ -9,7 +9,8 @@ again. Of equally good segmentations the one of fewest pieces counts.
 Counts of pre-tokens are kept for the next rows, up to ``KEPT`` of them.
 
 Defined cases: a null or empty text has no tokens; characters outside the vocabulary count as
-their UTF-8 bytes; repeated rows each get their count; columns of the new names are replaced.
+their UTF-8 bytes; repeated rows each get their count; columns of the new names are replaced; an
+empty table gives an empty one. A very long text is held whole, with its list of pre-tokens.
 """
 
 from __future__ import annotations

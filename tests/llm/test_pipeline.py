@@ -84,6 +84,28 @@ def test_reused_ids_are_decided_by_text(spark):
     assert sorted(((r.doc_id or 0, r.text) for r in got)) == sorted((d or 0, t) for d, t in rows if (d, t) != rows[1])
 
 
-@pytest.mark.parametrize("module", [langid, segment])
+@pytest.mark.parametrize("module", [langid, segment, P])
 def test_docstrings_state_the_cases(module):
     assert "Defined cases" in module.__doc__
+
+
+def test_other_columns_pass_through(spark):
+    names = ["score", "n_cut", "spans", "_hash", "row", "n_hit", "lang_pred", "a b"]
+    rows = [(1, "the first text about houses and trees", "en", "s", 5, *names), (1, "quite another text about cars", "en", "s", 5, *names), (2, "a b", "de", "s", 3, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) == 3 and all(r[n] == n for r in got for n in names)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{k % 5000}" for k in range(150_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + "\n" + "x" * 200_000, "en", "s", 1), (3, "a short text of its own", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r for r in P.distinct_lines(spark, docs, SF).collect()}
+    assert cut[1].text == long and cut[2].text == "x" * 200_000 and cut[2].n_chars == 200_000
+    assert {r.doc_id for r in P.one_of_each_group(spark, docs, SF).collect()} == {1, 3}
+    assert {r.doc_id for r in P.known_language(spark, docs, SF).collect()} == {1, 2, 3}
+    assert P.clean_of_benchmark(spark, docs, SF).count() == 3
