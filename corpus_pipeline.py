@@ -3,10 +3,18 @@
 Languages are identified and what can't be told goes; repeated lines are cut; of near-duplicate
 documents one stays; contaminated documents go; what remains is tokenised. All stages but the last
 return the columns of ``documents``, with ``n_chars`` brought up to date where the text changed.
+
+Defined cases: a text that is null or has no letter goes with the first stage; a document may become
+empty with its lines, and an empty one is a near-duplicate of other empty ones; of repeated rows one
+stays; texts of one id are decided apart; rows without an id stay unless their own text is rejected;
+further columns pass through whatever their names, to the last stage; empty tables give empty ones.
+Very long texts are handled as the operators state.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +30,26 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Below this probability a prediction doesn't count.
 LEAST_SCORE = 0.3
 
+#: What the stages know of a document; its other columns travel as one.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def others_apart(stage):
+    """``stage`` without sight of the other columns of ``docs``, so that none clashes with a name of its own."""
+
+    @wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in OWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        own = [F.col(c) for c in docs.columns if c in OWN]
+        out = stage(spark, docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in others)).alias("_others")), sf_dir)
+        return out.select(*(F.col(f"_others.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns))
+
+    return run_apart
+
 
+@others_apart
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, by a model learned from the labelled ones."""
     model = train(docs, "doc_id", "text", "lang", F.lit(True), id_mod("doc_id", 4) == 3)
@@ -30,6 +57,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+@others_apart
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that others have; a document may end up empty."""
     found = dedup_lines(docs)
@@ -38,6 +66,7 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select(docs.columns)
 
 
+@others_apart
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id; rows without an id stay.
 
@@ -54,6 +83,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(docs.columns)
 
 
+@others_apart
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(docs.columns)
