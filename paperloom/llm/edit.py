@@ -15,8 +15,8 @@ from collections import Counter
 
 import numpy as np
 
-#: Pairs of a block (fewer than FEW go one by one), and cells of their table of characters.
-MOST, FEW, CELLS = 2048, 48, 1 << 22
+#: Pairs of a table: at most, so many that they are enough, and so few that each goes alone; cells of its characters.
+MOST, MANY, FEW, CELLS = 2048, 256, 48, 1 << 22
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 
@@ -81,6 +81,7 @@ def _table(shorter: list[str], longer: list[str], bound: np.ndarray) -> np.ndarr
     alive, out = np.arange(len(m)), np.zeros(len(m), bool)
     up, down = np.full((width, len(m)), ~np.uint64(0)), np.zeros((width, len(m)), np.uint64)
     score, last, shift = m.copy(), (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64)
+    ends_in = [np.flatnonzero(last == w) for w in range(width)]
     for step in range(int(n.max())):
         codes = read[step, alive] + alive * size
         carry_right, carry_left, carry = _ONE, np.uint64(0), np.uint64(0)
@@ -94,7 +95,7 @@ def _table(shorter: list[str], longer: list[str], bound: np.ndarray) -> np.ndarr
             carry = (over | (total < carry)).astype(np.uint64)
             level = (total ^ p) | x
             right, left = q | ~(level | p), p & level
-            ends = np.flatnonzero(last == w)
+            ends = ends_in[w]
             if len(ends):
                 score[ends] += ((right[ends] >> shift[ends]) & _ONE).astype(np.int64) - ((left[ends] >> shift[ends]) & _ONE).astype(np.int64)
             next_right, next_left = right >> _TOP, left >> _TOP
@@ -104,7 +105,7 @@ def _table(shorter: list[str], longer: list[str], bound: np.ndarray) -> np.ndarr
             up[w], down[w] = left | ~(upright | right), right & upright
         ready = n[alive] == step + 1
         done = ready
-        if step & 15 == 15 or ready.any():
+        if step & 15 == 15:
             done = ready | (score - (n[alive] - step - 1) > bound[alive])
         if done.any():
             out[alive[ready]] = score[ready] <= bound[alive[ready]]
@@ -112,6 +113,8 @@ def _table(shorter: list[str], longer: list[str], bound: np.ndarray) -> np.ndarr
             alive, up, down, score, last, shift = alive[stay], up[:, stay], down[:, stay], score[stay], last[stay], shift[stay]
             if not len(alive):
                 break
+            width = int(last.max()) + 1
+            ends_in = [np.flatnonzero(last == w) for w in range(width)]
     return out
 
 
@@ -167,13 +170,6 @@ def at_most(a: Form, b: Form, most: int) -> bool:
     return True
 
 
-def _class(length: int) -> int:
-    """How many words of 64 bits a string of that length gets; of near values the largest, so that few tables arise."""
-    width = -(-length // 64)
-    step = max(1, (1 << width.bit_length()) >> 3)
-    return -(-width // step) * step
-
-
 def bound(f: Form, g: Form, least: float) -> int:
     """The most edits that a pair of edit similarity ``least`` (one less the distance by the longer length) takes."""
     return int((1 - least) * max(len(f.text), len(g.text)) + 1e-9)
@@ -212,14 +208,13 @@ def within(pairs: list[tuple[Form, Form]], least: float) -> np.ndarray:
         if not a:
             out[k] = len(b) <= most
         elif len(b) - len(a) <= most:
-            todo.append((_class(len(a)), len(b), k, a, b, most))
+            todo.append((-(-len(a) // 64), len(b), k, a, b, most))
     todo.sort(key=lambda t: t[:3])
     at = 0
     while at < len(todo):
-        width = todo[at][0]
-        most = max(FEW, min(MOST, CELLS // (64 * width)))
-        stop = at
-        while stop < len(todo) and stop - at < most and todo[stop][0] == width:
+        width, stop = todo[at][0], at
+        # Pairs of near lengths share a table: of one width, or, while they are few, of up to twice the width.
+        while stop < len(todo) and stop - at < MOST and (todo[stop][0] == width or stop - at < MANY and todo[stop][0] <= 2 * width) and (stop - at) * 64 * todo[stop][0] < CELLS:
             stop += 1
         part = todo[at:stop]
         if len(part) < FEW:

@@ -53,6 +53,8 @@ BANDS, ROWS = 10, 4
 WIDE, WIDER, SHORT = 17, 25, 100
 #: Lines of one key that meet at once: by their hashes, and by their texts.
 HASHES, TEXTS = 8192, 2048
+#: Groups whose pairs are looked at side by side, and pairs of a larger group that are looked at together.
+FEW, PAIRS = 64, 1 << 17
 #: Distances that are taken before it is looked up again which pairs still need one.
 DISTANCES = 2048
 #: Lengths are told apart by the power of 1.05 that they reach; the last bits of a line's number.
@@ -116,6 +118,23 @@ def _shifts(key: np.ndarray):
         i = i[key[i] == key[i + shift]]
 
 
+def _pairs(key: np.ndarray):
+    """As ``_shifts`` for groups of up to ``FEW`` members; a larger group's members come a few at a time, with all after them."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    for i, j in _shifts(key[few]):
+        yield few[i], few[j]
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        at, step = 0, 1
+        while at < size - 1:
+            step = min(step, size - 1 - at)
+            i = np.repeat(np.arange(at, at + step), np.arange(size - 1 - at, size - 1 - at - step, -1))
+            j = np.concatenate([np.arange(k + 1, size) for k in range(at, at + step)])
+            yield start + i, start + j
+            at, step = at + step, min(2 * step, max(1, PAIRS // size))
+
+
 def _runs(batches, names: list[str], rows: int):
     """Tables of whole groups (equal in the columns ``names``), of few more than ``rows`` rows unless a group alone has more."""
     held, count = [], 0
@@ -171,13 +190,15 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(starts, len(key)))
             crowd = np.repeat(sizes > HASHES, sizes)
-            meet = np.zeros(len(key), bool)
             few = np.flatnonzero(~crowd & np.repeat(sizes > 1, sizes))
             k, n, s, most = key[few], d[few], sims[few], bounds[key[few] & 127]
+            found = np.zeros(len(few), bool)
             for i, j in _shifts(k):
+                new = ~(found[i] & found[j])
+                i, j = i[new], j[new]
                 hit = _meets(n, s, i, j, most)
-                meet[few[i[hit]]] = meet[few[j[hit]]] = True
-            out = np.flatnonzero(meet | crowd)
+                found[i[hit]] = found[j[hit]] = True
+            out = np.sort(np.concatenate((few[found], np.flatnonzero(crowd))))
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(d[out]), pa.array(sims[out]), pa.array(crowd[out])], names=["key", "d", "sim", "crowd"])
 
     def hint_blocks(batches):
@@ -186,6 +207,8 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
             group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
             meet, most = np.zeros(len(key), bool), bounds[key & 127]
             for i, j in _shifts(group):
+                new = ~(meet[i] & meet[j])
+                i, j = i[new], j[new]
                 hit = _meets(d, sims, i, j, most) & ((own[i] != own[j]) | (x[i] == y[i]))
                 meet[i[hit]] = meet[j[hit]] = True
             out = np.flatnonzero(meet)
@@ -237,17 +260,26 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
                         move[a] = forest.root(a)
                     up = move[up]
 
-            for i, j in _shifts(group):
-                hit = _meets(d, sims, i, j, most) & ((own[i] != own[j]) | (x[i] == y[i])) & (up[node[i]] != up[node[j]])
+            for i, j in _pairs(group):
+                apart = up[node[i]] != up[node[j]]
+                i, j = i[apart], j[apart]
+                hit = _meets(d, sims, i, j, most) & ((own[i] != own[j]) | (x[i] == y[i]))
                 i, j = i[hit], j[hit]
                 differ = sims[i] ^ sims[j]
                 by_bits = ((differ[:, None] & blocks_of) == 0) & (np.bitwise_count(differ) <= radius)[:, None]
                 shared = np.concatenate((by_bits, least[i] == least[j]), axis=1)
                 here = shared[np.arange(len(i)), number[i]] & (shared.argmax(axis=1) == number[i])
-                pairs = list(zip(i[here].tolist(), j[here].tolist()))
-                known = [told(forms[a], forms[b], similarity) for a, b in pairs]
-                open_pairs += [p for p, good in zip(pairs, known) if good is None]
-                join([a for (a, _), good in zip(pairs, known) if good], [b for (_, b), good in zip(pairs, known) if good])
+                i, j = i[here], j[here]
+                while len(i):  # a line meets one other at a time, and none that it has come together with by then
+                    _, one = np.unique(j, return_index=True)
+                    pairs = list(zip(i[one].tolist(), j[one].tolist()))
+                    known = [told(forms[a], forms[b], similarity) for a, b in pairs]
+                    open_pairs += [p for p, good in zip(pairs, known) if good is None]
+                    join([a for (a, _), good in zip(pairs, known) if good], [b for (_, b), good in zip(pairs, known) if good])
+                    rest = np.ones(len(i), bool)
+                    rest[one] = False
+                    rest &= up[node[i]] != up[node[j]]
+                    i, j = i[rest], j[rest]
             # Only now the pairs that need their distance, for by now others have brought most of them together.
             while open_pairs:
                 left = np.array(open_pairs)
