@@ -1,16 +1,17 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
 Tokens are the words of the lower-cased text (A-Z only), then one end token. The model's symbols
-are the end, the ``WORDS`` most frequent training words, and ``KINDS`` kinds of other words, told
-apart by a hash of their last three bytes. A token's probability is the model's probability of
+are the end, the most frequent training words, and kinds of other words, told apart by a hash of
+their last three bytes. There are ``WORDS`` times the fifth root of the training tokens of words, and
+a quarter as many kinds, so what is learned of pairs grows with the input. A token's probability is the model's probability of
 its symbol after the symbol before, times, for a kind, the smoothed share of the word within its
 kind (with one unseen word in each kind), so the probabilities of all words sum to one.
 
 Learning reads all training rows: word counts (one row a word, never gathered), and counts of
 symbol pairs, which are as many as the model has cells. On these pairs the parameters (one vector
 a symbol, a context matrix, biases) are trained in numpy by noise-contrastive estimation, with
-unigram noise taken in expectation and a Gaussian prior on the vectors. One batched matrix product then gives the normalised table of
-log-probabilities. While scoring, the ``KNOWN`` most frequent words are looked up on the spot; all
+unigram noise taken in expectation and a Gaussian prior on the vectors. Batched matrix products then give each symbol's
+normaliser; a score is a product of two vectors less that. The driver holds all cells, the tasks vectors only. While scoring, the ``KNOWN`` most frequent words are looked up on the spot; all
 others are joined with the word counts.
 
 Defined cases: a null text is an empty one, of one token; rows with a null id are scored, but
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import LOWER, list_array, slices, stored, text_bytes, with_row
 
-WORDS, KINDS, KNOWN, SIZE = 1024, 256, 100_000, 32
+WORDS, KNOWN, SIZE = 49, 100_000, 32
 #: Words that a task counts before it hands its counts on.
 HELD = 400_000
+#: Tokens whose pairs a task counts at once, and tokens scored at once.
+PAIRS, SCORED = 1 << 22, 1 << 14
 SMOOTH = 0.1
 
 
@@ -61,6 +64,12 @@ class Numbers(dict):
         return n
 
 
+def symbols(n_tokens: int) -> tuple[int, int]:
+    """How many words and kinds the model tells apart, by the number of training tokens."""
+    n = round(WORDS * n_tokens**0.2)
+    return n, max(1, n // 4)
+
+
 def count_words(docs: DataFrame, text: str, held_most: int = HELD) -> DataFrame:
     """``word, c``; the end token is the empty word."""
 
@@ -84,10 +93,15 @@ def count_words(docs: DataFrame, text: str, held_most: int = HELD) -> DataFrame:
 def count_pairs(docs: DataFrame, text: str, words: list[bytes], kinds: int) -> np.ndarray:
     """How often each symbol follows each symbol, over all rows."""
     size = 1 + len(words) + kinds
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # a fixed number of words
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # as many as the model has
 
     def run(batches):
-        numbers, total = Numbers([b"", *shared.value], 1 + len(shared.value), kinds), np.zeros(size * size, np.int64)
+        numbers, held, n = Numbers([b"", *shared.value], 1 + len(shared.value), kinds), [], 0
+
+        def counted():
+            cells, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times.astype(np.int64))], names=["cell", "n"])
+
         for batch in batches:
             for part in slices(batch):
                 line = [0]
@@ -95,11 +109,15 @@ def count_pairs(docs: DataFrame, text: str, words: list[bytes], kinds: int) -> n
                     line += map(numbers.__getitem__, tokens(x))
                     line.append(0)
                 line = np.array(line, np.int64)
-                total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+                held.append(line[:-1] * size + line[1:])
+                n += len(line)
+                if n >= PAIRS:
+                    yield counted()
+                    held, n = [], 0
+        if held:
+            yield counted()
 
-    got = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
+    got = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
     out = np.zeros(size * size, np.int64)
     for part in got.to_batches():
         out[part.column(0).to_numpy()] = part.column(1).to_numpy()
@@ -142,7 +160,9 @@ def train(pairs: np.ndarray, size: int = SIZE, noise: int = 25, steps: int = 200
 
 def table(p: dict) -> np.ndarray:
     """log10 probability of each symbol after each symbol; every row's probabilities sum to one."""
-    out = (p["r"] @ p["c"] @ p["r"].T + p["b"]).astype(np.float64)
+    r, c = p["r"].astype(np.float64), p["c"].astype(np.float64)
+    out = r @ c @ r.T
+    out += p["b"]
     for at in range(0, len(out), 256):
         rows = out[at : at + 256]
         rows -= rows.max(axis=1, keepdims=True)
@@ -151,6 +171,17 @@ def table(p: dict) -> np.ndarray:
     return out
 
 
+def vectors(p: dict, of_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol what it says as the one before and as the one after: their product is the table's cell.
+
+    Two more places hold the bias and the normaliser.
+    """
+    said = (p["r"].astype(np.float64) @ p["c"].astype(np.float64)) / np.log(10)
+    after = np.column_stack((p["r"].astype(np.float64), p["b"].astype(np.float64) / np.log(10), np.ones(len(said))))
+    norm = of_pairs[:, 0] - said @ after[0, :-2] - after[0, -2] if len(said) else np.zeros(0)
+    return np.column_stack((said, np.ones(len(said)), norm)), after
+
+
 def _most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     """The words of the highest counts, ``most`` at most, in descending order, and their counts.
 
@@ -171,11 +202,16 @@ def _most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarra
     return got.column("word").to_pylist(), got.column("c").to_numpy()
 
 
-def learn(docs: DataFrame, text: str = "text", n_words: int = WORDS, n_kinds: int = KINDS, n_known: int = KNOWN, held_most: int = HELD) -> dict:
-    """The model from all rows of ``docs``. ``counts`` is the stored table of word counts."""
+def learn(docs: DataFrame, text: str = "text", n_words: int | None = None, n_kinds: int | None = None, n_known: int = KNOWN, held_most: int = HELD) -> dict:
+    """The model from all rows of ``docs``. ``counts`` is the stored table of word counts.
+
+    Words and kinds are as many as ``symbols`` says where their numbers aren't given.
+    """
     counts = stored(count_words(docs, text, held_most), "words")
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    known, c = _most_frequent(counts.filter(F.length("word") > 0), n_known)
+    by_size = symbols(int(sums["n"] or 0))
+    n_words, n_kinds = (own if given is None else given for own, given in zip(by_size, (n_words, n_kinds)))
+    known, c = _most_frequent(counts.filter(F.length("word") > 0), max(n_known, n_words))
     words = known[:n_words]
     rest = counts.filter(F.length("word") > 0)
     if words:
@@ -188,23 +224,24 @@ def learn(docs: DataFrame, text: str = "text", n_words: int = WORDS, n_kinds: in
         share[r["kind"]] = r["n"] + SMOOTH * (r["v"] + 1)
     end = counts.filter(F.length("word") == 0).select("c").first()
     pairs = count_pairs(docs, text, words, n_kinds)
+    p = train(pairs)
     return {
         "counts": counts, "n": int(sums["n"] or 0), "v": sums["v"], "end": int(end["c"]) if end else 0,
-        "known": known, "c": c, "words": words, "share": share, "pairs": pairs, "table": table(train(pairs)),
+        "known": known, "c": c, "words": words, "share": share, "pairs": pairs, "table": (of_pairs := table(p)), "vectors": vectors(p, of_pairs),
     }
 
 
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` for each row; scores are log10."""
-    sent = {k: model[k] for k in ("known", "c", "share", "table", "end")} | {"words": len(model["words"])}
-    shared = docs.sparkSession.sparkContext.broadcast(sent)  # a fixed number of words and a table of the model's size
+    sent = {k: model[k] for k in ("known", "c", "share", "vectors", "end")} | {"words": len(model["words"])}
+    shared = docs.sparkSession.sparkContext.broadcast(sent)  # words and vectors, a few a symbol
     rows = with_row(docs.select(F.col(id).alias("id"), F.col(text).alias("text")))
 
     def run(batches):
         m = shared.value
-        known, first, size, n_kinds = len(m["known"]) + 1, 1 + m["words"], len(m["table"]), len(m["share"])
+        known, first, n_kinds = len(m["known"]) + 1, 1 + m["words"], len(m["share"])
         numbers = Numbers([b"", *m["known"]], known, n_kinds)
-        flat, base = m["table"].ravel(), np.log10(np.concatenate(([m["end"]], m["c"])) + SMOOTH)
+        (before, after), base = m["vectors"], np.log10(np.concatenate(([m["end"]], m["c"])) + SMOOTH)
         there = np.concatenate(([m["end"]], m["c"])) > 0
         kinds = np.array([kind(w, n_kinds) for w in m["known"][m["words"] :]], np.int64)
         symbol = np.concatenate((np.arange(min(first, known)), first + kinds, first + np.arange(n_kinds)))
@@ -225,7 +262,8 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text")
                     others += [words[i] for i in more.tolist()]
                     lengths.append(len(more))
                     came = np.concatenate(([0], s[:-1]))
-                    out.append((len(at), int(there[at[here]].sum()), float(base[at[here]].sum()), float(flat[came * size + s].sum() + within[at].sum())))
+                    said = sum(float(np.vdot(before[came[i : i + SCORED]], after[s[i : i + SCORED]])) for i in range(0, len(s), SCORED))
+                    out.append((len(at), int(there[at[here]].sum()), float(base[at[here]].sum()), said + float(within[at].sum())))
                 cols = list(zip(*out)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), part.column("id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))), list_array(lengths, pa.array(others, pa.binary()))],

@@ -112,3 +112,30 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "hello")], "doc_id long, text string")
     r = L.score_held_out(one, F.lit(False), F.lit(True)).first()
     assert r.n_known == 0 and r.train_tokens == 0 and r.base_score == pytest.approx(0)
+
+
+def test_symbols_grow_with_the_training_tokens():
+    sizes = [L.symbols(n) for n in (0, 1, 10**4, 4 * 10**6, 10**8, 10**13)]
+    assert sizes[0] == (0, 1)
+    assert all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_vectors_give_the_table():
+    pairs = np.random.default_rng(2).integers(0, 50, (40, 40))
+    p = L.train(pairs, steps=50)
+    before, after = L.vectors(p, L.table(p))
+    assert np.allclose(before @ after.T, L.table(p), atol=1e-9)
+
+
+def test_pairs_counted_in_parts(spark, monkeypatch):
+    texts = ["a b a", "b b", None, "c a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter()
+    number = {b"a": 1, b"b": 2}
+    for t in texts:
+        line = [0, *(number.get(w.encode(), 3) for w in words_of(t)), 0]
+        want.update(zip(line, line[1:]))
+    for most in (1, 1 << 22):
+        monkeypatch.setattr(L, "PAIRS", most)
+        got = L.count_pairs(df, "text", [b"a", b"b"], 1)
+        assert {(i, j): got[i, j] for i, j in np.argwhere(got).tolist()} == dict(want)
