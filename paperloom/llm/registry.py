@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": "q_token_counts",
     "op6_sentencepiece": "q_segment",
     "op7_surrogates": "q_private",
+    "op11_resample": "q_resample",
 }
 
 
