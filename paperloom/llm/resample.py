@@ -41,65 +41,98 @@ from paperloom.llm.common import list_array, slices, stored, text_bytes, with_ro
 from paperloom.llm.decontaminate import NORMAL
 
 PIECE, CHUNK = 1 << 20, 1024
-#: Features that a task keeps the buckets of, and the longest of them in bytes.
-CACHE, SHORT = 1 << 18, 64
+#: Longest feature in bytes that is hashed with all others.
+SHORT = 64
 #: Most ranges, rows of a range (while there are fewer), sampled keys of a range.
 RANGES, ROWS, SAMPLE = 4096, 10_000, 64
 MEASURES = ("n_features", "weight", "score", "rank")
 
 
-class Buckets(dict):
-    """The bucket of a feature; short features are remembered, and all forgotten when there are ``CACHE``."""
-
-    def __init__(self, buckets: int):
-        super().__init__()
-        self.buckets = buckets
-
-    def __missing__(self, feature: bytes) -> int:
-        found = zlib.crc32(feature) % self.buckets
-        if len(feature) <= SHORT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[feature] = found
-        return found
-
-
-def word_lists(text: bytes | None):
-    """The words of a text, a piece at a time."""
-    if not text:
-        return
-    at, data = 0, text.translate(NORMAL)
-    while at < len(data):
-        stop = at + PIECE
-        if stop < len(data) and (stop := data.find(b" ", stop)) < 0:
-            stop = len(data)
-        yield data[at:stop].split()
-        at = stop
-
-
-def features(text: bytes | None, longest: int, known: Buckets):
-    """Of each piece of a text its number of words and the buckets of the runs that end in it."""
-    before: list[bytes] = []
-    for words in word_lists(text):
-        line = before + words
-        found = [known[w] for w in words]
-        for n in range(2, longest + 1):
-            first = max(0, len(before) - n + 1)
-            found += [known[b" ".join(line[i : i + n])] for i in range(first, len(line) - n + 1)]
-        yield len(words), np.array(found, np.int64)
-        before = line[len(line) - longest + 1 :] if longest > 1 else []
+def crc_table() -> np.ndarray:
+    """CRC-32 of each byte: eight steps of the reflected polynomial."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = crc_table()
+
+
+def crc32(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of each ``data[start : start + size]``, a byte of all strings at a time, the longest one by one."""
+    raw, out = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint32)
+    order = np.argsort(-sizes.astype(np.int32), kind="stable")
+    far = int(np.count_nonzero(sizes > SHORT))
+    for k in order[:far].tolist():
+        out[k] = zlib.crc32(data[starts[k] : starts[k] + sizes[k]])
+    order = order[far:]
+    at, left = starts[order], sizes[order]
+    crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    longer = len(order) - np.cumsum(np.bincount(left, minlength=SHORT + 1))  # strings of more than k bytes come first
+    for k in range(int(left[0]) if len(left) else 0):
+        n = int(longer[k])
+        own = crc[:n]
+        crc[:n] = CRC[(own ^ raw[at[:n] + k]) & 0xFF] ^ (own >> np.uint32(8))
+    out[order] = ~crc
+    return out
+
+
+def lines(texts: list, longest: int):
+    """(buffer, numbers of texts, carried words): texts in normal form, one a line, about ``PIECE`` bytes a buffer.
+
+    A longer text makes several lines; each repeats the last ``longest - 1`` words before it.
+    """
+    held, who, carried, total = [], [], [], 0
+    for number, text in enumerate(texts):
+        data, at, before = (text or b"").translate(NORMAL), 0, b""
+        while at < len(data):
+            stop = at + PIECE
+            if stop < len(data) and (stop := data.find(b" ", stop)) < 0:
+                stop = len(data)
+            words = data[at:stop].split()
+            line = b" ".join([before, *words] if before else words)
+            if total and total + len(line) > PIECE:
+                yield b"\n".join(held) + b"\n", np.array(who), np.array(carried)
+                held, who, carried, total = [], [], [], 0
+            held.append(line), who.append(number), carried.append(before.count(b" ") + bool(before))
+            total += len(line) + 1
+            if stop < len(data) and longest > 1:
+                before = b" ".join(line.rsplit(b" ", longest - 1)[-(longest - 1) :])
+            at = stop
+    if held:
+        yield b"\n".join(held) + b"\n", np.array(who), np.array(carried)
+
+
+def features(texts: list, longest: int, buckets: int):
+    """(number of the text, words or 0, bucket) of the runs of all texts, as arrays; a run counts where it ends,
+    and ``words`` is 1 for a run of one word."""
+    for data, who, carried in lines(texts, longest):
+        body = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero((body == 32) | (body == 10))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        full = ends > starts  # an empty line has no word
+        line = np.cumsum(body[ends] == 10) - (body[ends] == 10)
+        starts, ends, line = starts[full], ends[full], line[full]
+        if not len(starts):
+            continue
+        place = np.arange(len(line)) - np.searchsorted(line, line)
+        for n in range(1, min(longest, len(line)) + 1):
+            first, last = slice(0, len(line) - n + 1), slice(n - 1, None)
+            own = (line[first] == line[last]) & (place[last] >= carried[line[last]])
+            a, b, of = starts[first][own], ends[last][own], line[first][own]
+            yield who[of], n == 1, (crc32(data, a, b - a) % np.uint32(buckets)).astype(np.int64)
 
 
 def bucket_counts(rows: DataFrame, text: str, buckets: int, longest: int) -> np.ndarray:
     """How many features of all rows each bucket has."""
 
     def count(batches):
-        known, total = Buckets(buckets), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for part in slices(batch):
-                for x in text_bytes(part.column(0)):
-                    for _, own in features(x, longest, known):
-                        total += np.bincount(own, minlength=buckets)
+                for _, _, own in features(text_bytes(part.column(0)), longest, buckets):
+                    total += np.bincount(own, minlength=buckets)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["bucket", "n"])
 
@@ -128,13 +161,15 @@ def scored(rows: DataFrame, id: str, text: str, gain: np.ndarray, longest: int,
     schema = T.StructType([T.StructField("id", kind), T.StructField("_row", T.LongType()), *(T.StructField(n, T.LongType()) for n in MEASURES[:3]), T.StructField("eligible", T.BooleanType())])
 
     def run(batches):
-        gain, known = shared.value, Buckets(buckets)
+        gain = shared.value
         for batch in batches:
             for part in slices(batch):
-                measures = np.zeros((part.num_rows, 3), np.int64)
-                for i, x in enumerate(text_bytes(part.column("text"))):
-                    for words, own in features(x, longest, known):
-                        measures[i] += (words, len(own), int(gain[own].sum()))
+                n, measures = part.num_rows, np.zeros((part.num_rows, 3), np.int64)
+                for who, words, own in features(text_bytes(part.column("text")), longest, buckets):
+                    each = np.bincount(who, minlength=n)
+                    measures[:, 0] += each * words
+                    measures[:, 1] += each
+                    measures[:, 2] += np.bincount(who, weights=gain[own], minlength=n).astype(np.int64)  # whole numbers below 2^53
                 drawn = np.array([noise(seed, x or "") for x in part.column("key").to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("_row"), pa.array(measures[:, 1]), pa.array(measures[:, 2]), pa.array(measures[:, 2] + drawn), pa.array(measures[:, 0] >= least)],

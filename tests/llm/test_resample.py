@@ -66,12 +66,12 @@ def test_text_ids_and_pieces(spark, monkeypatch):
     target = spark.createDataFrame([(x,) for x in texts(rng, 5)], "body string")
     got = {r.name: tuple(r)[1:] for r in R.resample(frame, target, "name", "body", share=(1, 3)).select("name", "n_features", "weight", "score", "rank").collect()}
     assert [got[n] for n, _ in docs] == brute(docs, [r.body for r in target.collect()], share=(1, 3))
-    whole = texts(rng, 1, 400)[0].encode() + b" end" * 50
-    known = R.Buckets(1000)
-    one = [b for _, own in R.features(whole, 3, known) for b in own.tolist()]
+    whole = [t.encode() for t in texts(rng, 3, 400)] + [None, b"", b"end" * 40 + b" " + b"x" * 70]
+    found = lambda: sorted((int(w), int(b)) for who, _, own in R.features(whole, 3, 1000) for w, b in zip(who, own))
+    one = found()
     monkeypatch.setattr(R, "PIECE", 37)
-    many = [b for _, own in R.features(whole, 3, known) for b in own.tolist()]
-    assert sorted(one) == sorted(many) and sum(n for n, _ in R.features(whole, 3, known)) == len(whole.split())
+    assert found() == one
+    assert sum(len(own) for _, words, own in R.features(whole, 3, 1000) if words) == sum(len((t or b"").split()) for t in whole)
 
 
 @pytest.mark.parametrize("docs,target", [([], ["a b"]), ([(1, "a " * 30)], []), ([], [])])
