@@ -17,6 +17,7 @@ QUERIES = {
     "op6_sentencepiece": "q_segment",
     "op7_surrogates": "q_private",
     "op11_resample": "q_resample",
+    "op12_url_filter": "q_url",
 }
 
 
