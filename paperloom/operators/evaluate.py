@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.search import blocks, union
+
 CUTS = (1, 3, 5, 10)
 #: The rank of a missing page where two systems are compared.
 MISSING = 1_000_000
@@ -16,6 +18,25 @@ def gold_ranks(queries: DataFrame, ranked: DataFrame, id: str) -> DataFrame:
     return queries.join(hits, ["qid", "gold"], "left")
 
 
+def first_containing(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``qid, gold``: the first document that contains the text of an item (qid, item); null if there is none.
+
+    A text that contains an item has the item's inner words whole. So candidates share its longest inner
+    word, by an equi-join, and the text itself is compared with those few only. An item without an
+    inner word is looked for in all texts, if there is one.
+    """
+    inner = "filter(slice(split(item, ' '), 2, greatest(size(split(item, ' ')) - 2, 0)), x -> x <> '')"
+    keyed = items.withColumn("word", F.expr(f"array_max(transform({inner}, x -> struct(length(x) AS n, x AS word))).word"))
+    words = docs.select(id, F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
+    near = words.join(keyed.filter("word IS NOT NULL"), "word").select(id, "qid", "item")
+    hits = [near.join(docs, id).filter(F.contains(text, "item"))]
+    short = keyed.filter("word IS NULL AND item IS NOT NULL").select("qid", "item")
+    if short.limit(1).count():
+        hits += [docs.join(F.broadcast(b), F.contains(text, "item")) for b in blocks(short)]
+    found = union([h.select("qid", id) for h in hits]).groupBy("qid").agg(F.min(id).alias("gold"))
+    return items.select("qid").join(found, "qid", "left")
+
+
 def metric_columns(rank: Column, cuts=CUTS) -> list[Column]:
     at = lambda k: F.coalesce(rank <= k, F.lit(False))
     recall = [F.round(F.avg(F.when(at(k), 1.0).otherwise(0.0)), 6).alias(f"recall_{k}") for k in cuts]

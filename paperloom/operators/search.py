@@ -51,7 +51,11 @@ def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", terms: Dat
     if terms is not None:
         flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
     tf = flat.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return weighted(tf, document_frequencies(tf), whole, id, p)
+
+
+def weighted(tf: DataFrame, df: DataFrame, whole: DataFrame, id: str, p: Params = DEFAULT) -> DataFrame:
+    """``id, term, tf, weight`` from counts (id, term, tf, dl), document counts (term, df) and one row (n, avgdl)."""
     joined = tf.join(df, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - p.b + p.b * F.col("dl") / F.col("avgdl")

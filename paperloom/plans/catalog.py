@@ -10,6 +10,7 @@ from paperloom.functions import sections as S
 from paperloom.functions import text as X
 from paperloom.operators import context as C
 from paperloom.operators import evaluate as E
+from paperloom.operators import growing as G
 from paperloom.operators import index as I
 from paperloom.operators import pages as P
 from paperloom.operators import search as R
@@ -287,6 +288,15 @@ def dense_only_search(spark, d):
     return I.search(_written_index(spark, d, False), D.queries(spark, d), "doc_id")
 
 
+def grown_index_search(spark, d):
+    """Lexical search over an index that grew by three segments, the last of which also replaces documents of the first."""
+    path, docs = f"{shared_dir(spark)}/grown-{uuid.uuid4().hex}", D.documents(spark, d)
+    first = docs.filter("doc_id % 3 = 0").withColumn("text", F.expr("CASE WHEN doc_id % 2 = 0 THEN text ELSE concat('old ', reverse(text)) END"))
+    for number, part in enumerate((first, docs.filter("doc_id % 3 = 1"), docs.filter("doc_id % 3 = 2 OR (doc_id % 3 = 0 AND doc_id % 2 <> 0)"))):
+        G.write_segment(part, path, number)
+    return G.search(G.load(spark, path), D.queries(spark, d), DEFAULT.top_k)
+
+
 def result_urls(spark, d):
     made = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d))
     there = D.pages(spark, d).filter("seq % 4 <> 1").select(X.safe_name(F.col("id")).alias("name"))
@@ -345,7 +355,7 @@ QUERIES = [
     route_pages, route_stats, image_cap_overflow, chunk_text, doc_prefix, page_no_content, section_title, section_map, section_stats, term_frequencies, document_frequencies,
     bm25_weights, bm25_topk, vector_topk, hybrid_rrf, hybrid_filtered_two_phase, rerank_topn, neighbor_expand, context_pack, strip_abstention, degenerate_output, ir_metrics_by_group,
     judge_pool, grade_upsert, judge_metrics, no_answer_fp, win_loss_tie, abstain_signals, latency_percentiles, latency_windows, sparse_page_stats, stratified_sample, resume_worklist,
-    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context, image_cap_ties, section_map_long_ids, stored_index_search, dense_only_search,
+    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context, image_cap_ties, section_map_long_ids, stored_index_search, dense_only_search, grown_index_search,
     pool_entries, result_urls, variant_text, judge_sample, caption_report, filing_window, receipt_dates, encoded_images, fitted_sizes, latency_window_percentiles,
 ]
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators import evaluate as E
 from paperloom.operators import pages as P
 from paperloom.params import Params
 from paperloom.session import spread, table
@@ -54,25 +55,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``qid, gold``: the first document that contains an item's text; null if there is none.
-
-    A text that contains an item has the item's inner words whole. So candidates share its longest inner
-    word, by an equi-join, and the text itself is compared with those few only. An item without an
-    inner word is looked for in all texts, if there is one.
-    """
-    from paperloom.operators.search import blocks, union
-
-    inner = "filter(slice(split(item, ' '), 2, greatest(size(split(item, ' ')) - 2, 0)), x -> x <> '')"
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item")).withColumn("word", F.expr(f"array_max(transform({inner}, x -> struct(length(x) AS n, x AS word))).word"))
-    docs = documents(spark, sf_dir)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    near = words.join(items.filter("word IS NOT NULL"), "word").select("doc_id", "qid", "item")
-    hits = [near.join(docs, "doc_id").filter(F.contains("text", "item"))]
-    short = items.filter("word IS NULL AND item IS NOT NULL").select("qid", "item")
-    if short.limit(1).count():
-        hits += [docs.join(F.broadcast(b), F.contains("text", "item")) for b in blocks(short)]
-    found = union([h.select("qid", "doc_id") for h in hits]).groupBy("qid").agg(F.min("doc_id").alias("gold"))
-    return items.select("qid").join(found, "qid", "left")
+    """``qid, gold``: the first document that contains an item's text; null if there is none."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
+    return E.first_containing(documents(spark, sf_dir), items)
 
 
 def grades(spark: SparkSession, sf_dir: str, pooled: DataFrame) -> DataFrame:

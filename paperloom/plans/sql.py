@@ -208,6 +208,7 @@ sized AS (SELECT *, file || '_' || number AS id, regexp_replace(number, '^0+(.)'
 SELECT id, no_content, coalesce(last_value(own IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), '') AS section_title, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM sized
 WINDOW w AS (PARTITION BY file ORDER BY length(digits), digits, id)""",
         "stored_index_search": f"WITH {HYBRID} SELECT qid, doc_id, score, rank FROM hybrid",
+        "grown_index_search": f"WITH {LEXICAL} SELECT qid, doc_id, score, rank FROM lexical_all WHERE rank <= 10",
         "dense_only_search": f"WITH {QUERIES}, {DENSE} SELECT qid, doc_id, round(1.0 / CAST(60 + rank AS DOUBLE), 9) AS score, rank FROM dense_all WHERE rank <= 10",
         "pool_entries": f"""WITH {SYSTEMS}, {GOLD}, pooled AS (SELECT DISTINCT qid, doc_id FROM systems WHERE rank <= 5)
 SELECT qid, p.doc_id, substr(d.text, 1, 1500) AS snippet, coalesce(p.doc_id = gold, false) AS is_gold FROM pooled p LEFT JOIN documents d ON d.doc_id = p.doc_id LEFT JOIN gold_ USING (qid)""",
