@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators import blocks as B
 from paperloom.operators import pages as P
 from paperloom.operators import search as R
 from paperloom.params import DEFAULT, Params
@@ -15,32 +17,37 @@ from paperloom.sources import readers, writers
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index; ``postings`` is None where none were written, and search is dense only then."""
+    """Tables of an index; without ``postings`` and ``blocks`` (either does) search is dense only."""
 
     store: DataFrame
     postings: DataFrame | None
     sections: DataFrame
+    blocks: DataFrame | None = None
 
     def __len__(self) -> int:
         return self.store.count()
 
 
-def write(path: str, store: DataFrame, postings: DataFrame | None = None, sections: DataFrame | None = None, partitions: int = 200) -> None:
+def write(path: str, store: DataFrame, postings: DataFrame | None = None, sections: DataFrame | None = None, partitions: int = 200, blocks: DataFrame | None = None) -> None:
     writers.store(store, f"{path}/store")
     if postings is not None:
         writers.postings(postings, f"{path}/postings", partitions)
+    if blocks is not None:
+        B.write(blocks, f"{path}/blocks", partitions)
     if sections is not None:
         writers.sections(sections, f"{path}/sections")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(readers.store(spark, f"{path}/store"), readers.postings(spark, f"{path}/postings"), readers.section_entries(spark, f"{path}/sections"))
+    blocks = B.load(spark, f"{path}/blocks") if readers.exists(spark, f"{path}/blocks") else None
+    return Index(readers.store(spark, f"{path}/store"), readers.postings(spark, f"{path}/postings"), readers.section_entries(spark, f"{path}/sections"), blocks)
 
 
 def search(index: Index, queries: DataFrame, id: str = "page_id", p: Params = DEFAULT) -> DataFrame:
-    """``qid, id, score, rank`` of hybrid search over a loaded index."""
+    """``qid, id, score, rank`` of hybrid search over a loaded index; blocks of postings are read in preference."""
     barred = index.sections.filter("no_content").select(F.col("id").alias(id)) if p.filter_no_content else None
-    return R.search(None, index.store, queries, id, p, barred, index=index.postings)
+    stored = partial(B.search, index.blocks) if index.blocks is not None else partial(R.stored_top, index.postings) if index.postings is not None else None
+    return R.search(None, index.store, queries, id, p, barred, stored=stored)
 
 
 def run(spark: SparkSession, pages: DataFrame, captions: DataFrame, embed, path: str, manifest: DataFrame | None = None, p: Params = DEFAULT, partitions: int = 200) -> DataFrame:

@@ -87,38 +87,91 @@ def stored_top(index: DataFrame, queries: DataFrame, k: int, id: str = "doc_id")
     return top(found, k, id).select("qid", id, "score", "rank")
 
 
+#: Bytes of a block of vectors, most rows of one, and results that a task holds before it hands them on.
+BLOCK_BYTES, BLOCK_ROWS, HELD = 1 << 20, 4096, 1 << 20
+
+
+def _packed(rows: DataFrame, id: str, vector: str, name: str) -> DataFrame:
+    """``rows`` as blocks: ``{name}_ids`` and ``{name}`` (the vectors, one after the other), of one ``size`` each.
+
+    A row with a null id or vector, or a null in it, is in no block.
+    """
+    kind, part = rows.schema[id].dataType.simpleString(), np.float32 if rows.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == size))
+                most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(1, size * part().itemsize)))
+                for at in range(0, own.num_rows, most):
+                    some = own.slice(at, most)
+                    flat = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(part)
+                    ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(size)]), ids, pa.array([flat.tobytes()])], names=["size", f"{name}_ids", name])
+
+    whole = F.col(id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    return rows.filter(whole).select(id, vector).mapInArrow(run, f"size long, {name}_ids array<{kind}>, {name} binary")
+
+
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row: highest score, then smallest id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows = rows[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], scores[order][kept], ids[order][kept]
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", query: str = "query_vec") -> DataFrame:
     """``qid, id, score, rank`` of the ``k`` best vectors by inner product, in double precision.
 
-    Exact: every vector meets every query, a block of queries at a time as one matrix product. A
-    task hands on its ``k`` best rows a query and batch only.
+    Exact: both sides are packed into blocks, every block of vectors meets every block of queries of its size in
+    one matrix product, and a task hands on its ``k`` best a query. Blocks of vectors are dealt over as many
+    shards as there are shuffle partitions, blocks of queries go to each shard; the plan has one form,
+    whatever the number of queries, and Spark broadcasts the queries where they are small.
     """
-    kind = vectors.schema[id].dataType.simpleString()
-
-    def search(part: DataFrame) -> DataFrame:
-        rows = part.select("qid", query).collect()  # a block of queries
-        ids = [r["qid"] for r in rows]
-        size = max((len(r[query]) for r in rows), default=0)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r[query] for r in rows], np.float64).reshape(len(rows), size)))
-
-        def run(batches):
-            qids, q = shared.value
-            for batch in batches:
-                if not size or not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
-                scores = np.round(q @ x.T, 6)
-                order = pc.sort_indices(batch.column(0)).to_numpy()
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(qids), n)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], names=["qid", id, "score"]
-                )
-
-        fits = F.col(id).isNotNull() & (F.size(vector) == size)
-        return vectors.filter(fits).select(id, vector).mapInArrow(run, f"qid long, `{id}` {kind}, score double")
-
-    return top(union([search(b) for b in blocks(queries)]), k, id).select("qid", id, "score", "rank")
+    spark, kind = vectors.sparkSession, vectors.schema[id].dataType.simpleString()
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = [np.float32 if df.schema[c].dataType.elementType.simpleString() == "float" else np.float64 for df, c in ((vectors, vector), (queries, query))]
+
+    def product(batches):
+        held: dict = {}
+
+        def flush():
+            for qids, rows, scores, ids in held.values():
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), pa.array(ids.tolist(), id_type), pa.array(scores)], names=["qid", id, "score"])
+            held.clear()
+
+        id_type = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, qids, ids = batch.column("size")[i].as_py(), batch.column("q_ids")[i].values, batch.column("v_ids")[i].values
+                id_type = ids.type
+                x = np.frombuffer(batch.column("v")[i].as_buffer(), parts[0]).reshape(-1, size).astype(np.float64)
+                q = np.frombuffer(batch.column("q")[i].as_buffer(), parts[1]).reshape(-1, size).astype(np.float64)
+                scores, names = np.round(q @ x.T, 6), np.array(ids.to_pylist())
+                key = batch.column("q_block")[i].as_py()
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                old = held.get(key)
+                if old is not None:  # a query with k results so far takes better or equal ones only
+                    full = np.bincount(old[1], minlength=len(scores)) == k
+                    worst = np.full(len(scores), np.inf)
+                    np.minimum.at(worst, old[1], old[2])
+                    least = np.where(full, np.maximum(least, worst), least)
+                rows, columns = np.nonzero(scores >= least[:, None])
+                found = rows, scores[rows, columns], names[columns]
+                if old is not None:
+                    found = tuple(np.concatenate(pair) for pair in zip(old[1:], found))
+                held[key] = (qids, *_best(*found, k))
+                if sum(len(h[1]) for h in held.values()) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    asked = _packed(queries, "qid", query, "q").withColumn("q_block", F.xxhash64("q_ids", "size"))
+    left = _packed(vectors, id, vector, "v").withColumn("shard", F.pmod(F.xxhash64("v_ids"), F.lit(shards)).cast("int"))
+    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = left.join(right, ["shard", "size"]).select("size", "v_ids", "v", "q_ids", "q", "q_block").mapInArrow(product, f"qid {queries.schema['qid'].dataType.simpleString()}, `{id}` {kind}, score double")
+    return top(found, k, id).select("qid", id, "score", "rank")
 
 
 def _ranks(dense: DataFrame, lexical: DataFrame | None, id: str, barred: DataFrame | None) -> DataFrame:
@@ -150,10 +203,11 @@ def fuse(dense: DataFrame, lexical: DataFrame | None, id: str, k: int, p: Params
     return out.filter(F.col("rank") <= k)
 
 
-def search(docs: DataFrame | None, vectors: DataFrame, queries: DataFrame, id: str, p: Params = DEFAULT, barred: DataFrame | None = None, vector_id: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame | None, vectors: DataFrame, queries: DataFrame, id: str, p: Params = DEFAULT, barred: DataFrame | None = None, vector_id: str | None = None, stored=None) -> DataFrame:
     """Hybrid search: ``qid, id, score, rank``. ``queries``: qid, query, query_vec.
 
-    The lexical side reads stored postings (``index``) if given, else ``docs``; with neither, search is dense only.
+    The lexical side is ``stored(queries, k, id)`` (a search of a stored index) if given, else made from ``docs``; with
+    neither, search is dense only.
 
     With ``barred`` and ``p.filter_no_content``, a query that the first ``top_k`` of both lists leave
     short is answered from lists ``overfetch`` times as long, if that gives more. Both answers come
@@ -163,8 +217,8 @@ def search(docs: DataFrame | None, vectors: DataFrame, queries: DataFrame, id: s
     fetch = p.top_k * (p.overfetch if filtered else 1)
     dense = dense_top(vectors, queries, fetch, vid).withColumnRenamed(vid, id)
     lexical = None
-    if p.hybrid and (index is not None or docs is not None):
-        lexical = stored_top(index, queries, fetch, id) if index is not None else lexical_top(docs, queries, fetch, id, p=p)
+    if p.hybrid and (stored is not None or docs is not None):
+        lexical = stored(queries, fetch, id) if stored is not None else lexical_top(docs, queries, fetch, id, p=p)
     if not filtered:
         return fuse(dense, lexical, id, p.top_k, p)
     ranks = _ranks(dense, lexical, id, barred)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import sections as S
 from paperloom.functions import text as X
+from paperloom.operators import blocks as B
 from paperloom.operators import context as C
 from paperloom.operators import evaluate as E
 from paperloom.operators import growing as G
@@ -297,6 +298,23 @@ def grown_index_search(spark, d):
     return G.search(G.load(spark, path), D.queries(spark, d), DEFAULT.top_k)
 
 
+def block_postings_search(spark, d):
+    """Lexical search over stored blocks of postings, most of which aren't read."""
+    docs, path = D.documents(spark, d), f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    B.write(B.blocked(R.postings(docs), max(1, docs.count() // 64)), path, partitions=16)
+    return B.search(B.load(spark, path), D.queries(spark, d), DEFAULT.top_k)
+
+
+def stored_filtered_search(spark, d):
+    """Hybrid search by page id from a stored index of blocks, without the pages that the stored section data call empty."""
+    paged = _page_ids(spark, d)
+    docs, path = D.documents(spark, d).join(paged, "doc_id"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    store = D.vectors(spark, d).join(paged, "doc_id").drop("doc_id")
+    postings = R.postings(docs, "page_id")
+    I.write(path, store, sections=P.section_map(D.records(spark, d)), partitions=16, blocks=B.blocked(postings, max(1, docs.count() // 64), "page_id"))
+    return I.search(I.load(spark, path), D.queries(spark, d), "page_id", D.FILTERED)
+
+
 def result_urls(spark, d):
     made = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d))
     there = D.pages(spark, d).filter("seq % 4 <> 1").select(X.safe_name(F.col("id")).alias("name"))
@@ -355,7 +373,7 @@ QUERIES = [
     route_pages, route_stats, image_cap_overflow, chunk_text, doc_prefix, page_no_content, section_title, section_map, section_stats, term_frequencies, document_frequencies,
     bm25_weights, bm25_topk, vector_topk, hybrid_rrf, hybrid_filtered_two_phase, rerank_topn, neighbor_expand, context_pack, strip_abstention, degenerate_output, ir_metrics_by_group,
     judge_pool, grade_upsert, judge_metrics, no_answer_fp, win_loss_tie, abstain_signals, latency_percentiles, latency_windows, sparse_page_stats, stratified_sample, resume_worklist,
-    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context, image_cap_ties, section_map_long_ids, stored_index_search, dense_only_search, grown_index_search,
+    dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context, image_cap_ties, section_map_long_ids, stored_index_search, dense_only_search, grown_index_search, block_postings_search, stored_filtered_search,
     pool_entries, result_urls, variant_text, judge_sample, caption_report, filing_window, receipt_dates, encoded_images, fitted_sizes, latency_window_percentiles,
 ]
 

@@ -109,6 +109,13 @@ def raw_place(values: str, share: float) -> str:
     return f"{values}[CAST(least(floor(len({values}) * {share}), len({values}) - 1) AS BIGINT) + 1]"
 
 
+def filtered_search(lexical: str, dense: str, keep: str) -> str:
+    """Fusion of ten ranks of each list, or of thirty where that leaves a query short, over pages where ``keep`` holds; follows WITH."""
+    return f"""{lexical}, {dense}, {fused("near_", 10, keep)}, sizes AS (SELECT qid, count(n.doc_id) AS n FROM asked LEFT JOIN near_ n USING (qid) GROUP BY qid),
+{fused("wide_", 30, keep, "qid IN (SELECT qid FROM sizes WHERE n < 10)")}, longer AS (SELECT w.qid FROM wide_ w JOIN sizes USING (qid) GROUP BY w.qid, n HAVING count(*) > n)
+SELECT qid, doc_id, score, rank FROM near_ WHERE rank <= 10 AND qid NOT IN (SELECT qid FROM longer) UNION ALL SELECT qid, doc_id, score, rank FROM wide_ WHERE rank <= 10 AND qid IN (SELECT qid FROM longer)"""
+
+
 def oracles() -> dict[str, str]:
     filing = "'dart/Corp_2023_' || lpad(CAST(doc_id AS VARCHAR), 14, '0') || '_' || CASE WHEN doc_id % 2 = 0 THEN '[Company' || CAST(doc_id % 7 AS VARCHAR) || ']' ELSE 'x' END || 'Report_' || CAST(doc_id % 400 + 1 AS VARCHAR)"
     title = "substr(string_split(regexp_replace(page_id, '_[0-9]+$', ''), '/')[-1], 1, 80)"
@@ -144,9 +151,7 @@ SELECT *, coalesce(round(no_content_pages / nullif(pages, 0), 4), 0.0) AS no_con
         "vector_topk": """SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank
   FROM (SELECT q.vec_id AS qid, e.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
         "hybrid_rrf": f"WITH {HYBRID} SELECT qid, doc_id, score, rank FROM hybrid",
-        "hybrid_filtered_two_phase": f"""WITH {LEXICAL}, {DENSE}, {fused("near_", 10, barred)}, sizes AS (SELECT qid, count(n.doc_id) AS n FROM asked LEFT JOIN near_ n USING (qid) GROUP BY qid),
-{fused("wide_", 30, barred, "qid IN (SELECT qid FROM sizes WHERE n < 10)")}, longer AS (SELECT w.qid FROM wide_ w JOIN sizes USING (qid) GROUP BY w.qid, n HAVING count(*) > n)
-SELECT qid, doc_id, score, rank FROM near_ WHERE rank <= 10 AND qid NOT IN (SELECT qid FROM longer) UNION ALL SELECT qid, doc_id, score, rank FROM wide_ WHERE rank <= 10 AND qid IN (SELECT qid FROM longer)""",
+        "hybrid_filtered_two_phase": "WITH " + filtered_search(LEXICAL, DENSE, barred),
         "rerank_topn": f"WITH {RERANKED} SELECT qid, doc_id, score, rank, fused_rank FROM reranked",
         "neighbor_expand": f"WITH {RERANKED}, {SECTIONS}, {chunk_rows('routed')}, {FOLLOWING} SELECT * FROM following_",
         "context_pack": f"""WITH RECURSIVE {RERANKED}, {SECTIONS}, {chunk_rows("routed")}, {FOLLOWING},
@@ -208,6 +213,9 @@ sized AS (SELECT *, file || '_' || number AS id, regexp_replace(number, '^0+(.)'
 SELECT id, no_content, coalesce(last_value(own IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), '') AS section_title, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM sized
 WINDOW w AS (PARTITION BY file ORDER BY length(digits), digits, id)""",
         "stored_index_search": f"WITH {HYBRID} SELECT qid, doc_id, score, rank FROM hybrid",
+        "block_postings_search": f"WITH {LEXICAL} SELECT qid, doc_id, score, rank FROM lexical_all WHERE rank <= 10",
+        "stored_filtered_search": f"""WITH paged AS (SELECT {PAGE_ID} AS doc_id, doc_id AS number, text FROM documents), pvec AS (SELECT p.doc_id AS vec_id, embedding FROM embeddings e JOIN paged p ON p.number = e.vec_id),
+{filtered_search(LEXICAL.replace("FROM documents", "FROM paged"), DENSE.replace("embeddings WHERE vec_id IN (SELECT doc_id FROM documents)", "pvec") + f", {SECTIONS}", "doc_id NOT IN (SELECT id FROM sections_ WHERE no_content)").replace("SELECT qid, doc_id, score, rank", "SELECT qid, doc_id AS page_id, score, rank")}""",
         "grown_index_search": f"WITH {LEXICAL} SELECT qid, doc_id, score, rank FROM lexical_all WHERE rank <= 10",
         "dense_only_search": f"WITH {QUERIES}, {DENSE} SELECT qid, doc_id, round(1.0 / CAST(60 + rank AS DOUBLE), 9) AS score, rank FROM dense_all WHERE rank <= 10",
         "pool_entries": f"""WITH {SYSTEMS}, {GOLD}, pooled AS (SELECT DISTINCT qid, doc_id FROM systems WHERE rank <= 5)
