@@ -127,35 +127,48 @@ def abstain_signals(ranked: DataFrame, grades: DataFrame, id: str, document: str
 ACCURACY, STEPS = 10_000, (0.0003, 0.003, 0.03)
 
 
-def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
-    """The value at place floor(n * share), from 0 and at most the last, for each key; exact at any size.
+def _same(a: str, b: str, keys) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or [F.lit(True)]
+
+
+def _beside(rows: DataFrame, name: str, keys) -> DataFrame:
+    """The small side of a join: without keys it is a row a share at most."""
+    return rows.alias(name) if keys else F.broadcast(rows.alias(name))
+
+
+def brackets(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """For each key and share ``name, _all, _low, _high, _place``: values between which the place lies, and where among them.
 
-    A mergeable sketch of a key's values proposes splitters close to each wanted share, whatever the values' spread. Exact
+    A mergeable sketch of a key's values proposes splitters close to each share, whatever the values' spread. Exact
     counts below and up to each splitter, made in one pass, tell the narrowest pair that has the
-    place between them, least and greatest value at worst. Only values between them are counted one by one and sorted: about a
-    thousandth of a key, or one row for a value that occurs very often.
+    place between them, least and greatest value at worst.
     """
     known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     near = sorted({round(min(max(s + sign * step, 0.0), 1.0), 6) for s in shares.values() for step in STEPS for sign in (-1, 1)})
     sketch = known.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     split = sketch.select(*keys, F.array_distinct(F.concat(F.array("_low"), F.col("_s"), F.array("_high"))).alias("_s"))
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)
-    beside = lambda x, n: F.broadcast(x.alias(n)) if not keys else x.alias(n)  # noqa: E731  without keys it is one row
-    both = known.alias("r").join(beside(split, "e"), same("r", "e")).select("r.*", "e._s")
+    both = known.alias("r").join(_beside(split, "e", keys), _same("r", "e", keys)).select("r.*", "e._s")
     at = range(len(near) + 2)
     counts = both.groupBy(*keys).agg(
         F.count("*").alias("_all"), F.first("_s").alias("_s"), F.array(*(F.count_if(F.col("_v") < F.get("_s", F.lit(i))) for i in at)).alias("_below"), F.array(*(F.count_if(F.col("_v") <= F.get("_s", F.lit(i))) for i in at)).alias("_upto")
     )
     place = lambda s: F.least(F.floor(F.col("_all") * s), F.col("_all") - 1)
     wanted = counts.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), place(s).alias("place")) for n, s in shares.items()))).alias("w"))
-    cells = F.expr("arrays_zip(_s, slice(_below, 1, size(_s)), slice(_upto, 1, size(_s)))")
-    field = lambda c, n: c[n]
-    zipped = wanted.withColumn("_c", F.transform(cells, lambda c: F.struct(field(c, "_s").alias("v"), field(c, "1").alias("below"), field(c, "2").alias("upto"))))
+    zipped = wanted.withColumn("_c", F.expr("transform(_s, (v, i) -> struct(v AS v, _below[i] AS below, _upto[i] AS upto))"))
     low = F.array_max(F.filter("_c", lambda c: c["below"] <= F.col("w.place")))
     high = F.array_min(F.filter("_c", lambda c: c["upto"] > F.col("w.place")))
-    bounds = zipped.select(*keys, "_all", F.col("w.name").alias("name"), low.alias("_l"), high.alias("_h"), F.col("w.place").alias("_at")).select(*keys, "_all", "name", F.col("_l.v").alias("_low"), F.col("_h.v").alias("_high"), (F.col("_at") - F.col("_l.below")).alias("_place"))
+    return zipped.select(*keys, "_all", F.col("w.name").alias("name"), low.alias("_l"), high.alias("_h"), F.col("w.place").alias("_at")).select(*keys, "_all", "name", F.col("_l.v").alias("_low"), F.col("_h.v").alias("_high"), (F.col("_at") - F.col("_l.below")).alias("_place"))
+
+
+def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """The value at place floor(n * share), from 0 and at most the last, for each key; exact at any size.
+
+    Only values within ``brackets`` are counted one by one and sorted: about a thousandth of a key, or one
+    row for a value that occurs very often.
+    """
+    known, bounds = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), brackets(rows, value, shares, *keys)
     inside = F.col("r._v").between(F.col("b._low"), F.col("b._high"))
-    few = known.alias("r").join(beside(bounds, "b"), [*same("r", "b"), inside] if keys else inside).select("b.*", "r._v")
+    few = known.alias("r").join(_beside(bounds, "b", keys), [*_same("r", "b", keys), inside]).select("b.*", "r._v")
     per = few.groupBy(*keys, "name", "_place", "_all", "_v").agg(F.count("*").alias("_n"))
     reached = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "name").orderBy("_v"))).filter(F.col("_upto") > F.col("_place"))
     found = reached.groupBy(*keys, "name").agg(F.min("_v").alias("_v"), F.first("_all").alias("_all"))

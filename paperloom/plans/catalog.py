@@ -25,24 +25,25 @@ from paperloom.streaming import latency
 
 
 def route_pages(spark, d):
-    return P.route(D.pages(spark, d)).select("id", "route")
+    return D.routed(spark, d).select("id", "route")
 
 
 def route_stats(spark, d):
-    return P.route_stats(P.cap_images(P.route(D.pages(spark, d)), 20))
+    return P.route_stats(P.cap_images(D.routed(spark, d), 20))
 
 
 def image_cap_overflow(spark, d):
-    return P.cap_images(P.route(D.pages(spark, d)), 20).select("id", "route")
+    return P.cap_images(D.routed(spark, d), 20).select("id", "route")
 
 
 def chunk_text(spark, d):
-    return P.chunks(P.cap_images(P.route(D.pages(spark, d)), 20), D.captions(spark, d))
+    return P.chunks(P.cap_images(D.routed(spark, d), 20), D.captions(spark, d))
 
 
 def doc_prefix(spark, d):
     docs = table(spark, d, "documents")
-    rows = docs.selectExpr("doc_id", f"CASE WHEN doc_id % 3 = 0 THEN {D.FILING_ID} ELSE {D.PAGE_ID} END AS page_id", "text AS document", "CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS section_title")
+    titles = P.section_map(D.records(spark, d)).select("id", "section_title")
+    rows = docs.selectExpr("doc_id", f"{D.PAGE_ID} AS id", f"CASE WHEN doc_id % 3 = 0 THEN {D.FILING_ID} ELSE {D.PAGE_ID} END AS page_id", "text AS document").join(titles, "id", "left")
     manifest = docs.filter("doc_id % 6 = 0").selectExpr("lpad(cast(doc_id as string), 14, '0') AS rcept_no", "concat('Report ', doc_id % 10, ' (2023.12)') AS report_nm")
     return P.lexical_text(P.with_prefix(rows, manifest)).select("doc_id", "page_id", "prefix", "lexical_text")
 
@@ -114,7 +115,7 @@ def _ranked_pages(spark, d):
 
 def _chunks_of(spark, d, ids):
     """Chunks of a few pages: only those are made."""
-    return P.chunks(P.route(D.pages(spark, d).join(ids.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi")), D.captions(spark, d))
+    return P.chunks(P.route(D.pages(spark, d).join(ids.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi"), D.LONG), D.captions(spark, d))
 
 
 def _neighbors(spark, d, ranked):
@@ -139,13 +140,13 @@ def context_pack(spark, d):
 
 
 def strip_abstention(spark, d):
-    said = f"CASE WHEN turn % 4 = 0 THEN concat(text, ' {X.ABSTAIN}.') WHEN turn % 4 = 1 THEN concat(text, chr(10), '{X.ABSTAIN}') WHEN turn % 4 = 2 THEN '{X.ABSTAIN}.' ELSE text END"
+    said = f"CASE WHEN turn % 4 = 0 THEN concat(text, ' {X.ABSTAIN}.') WHEN turn % 4 = 1 THEN concat(text, chr(10), '{X.ABSTAIN}') WHEN turn % 4 = 2 THEN concat('{X.ABSTAIN}. ', text) ELSE text END"
     rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", f"{said} AS answer")
     return rows.select("conv_id", "turn", "role", X.without_abstention(F.col("answer")).alias("answer"))
 
 
 def degenerate_output(spark, d):
-    said = "CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN concat(repeat('a', 40), 'bcd') WHEN turn % 4 = 2 THEN concat(role, ' ', turn) ELSE text END"
+    said = "CASE WHEN turn % 4 = 0 THEN concat(text, repeat('@', 5 * length(text) + 8)) WHEN turn % 4 = 1 THEN concat(repeat('a', 3 * length(text)), text) ELSE text END"
     rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", f"{said} AS answer")
     return rows.select("conv_id", "turn", "role", X.degenerate(F.col("answer")).alias("degenerate"))
 
@@ -236,7 +237,7 @@ def dedupe_latest(spark, d):
 
 
 def stop_phrase_filter(spark, d):
-    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 3 = 0 THEN concat('이 표 ', text) WHEN turn % 3 = 1 THEN '  ' ELSE text END AS query")
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 3 = 0 THEN concat('이 표 ', text) WHEN turn % 3 = 1 THEN concat('  ', text) ELSE text END AS query")
     return E.usable_queries(rows, readers.STOP_PHRASES).select("conv_id", "turn", F.length("query").alias("n_chars"))
 
 
@@ -258,17 +259,18 @@ def table_merge(spark, d):
 
 
 def text_budget(spark, d):
-    return spark.range(4).select(F.col("id").alias("images"), C.text_budget(F.col("id").cast("int")).alias("budget"))
+    shown = table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<(img|a) ")).alias("images"))
+    return shown.select("page_id", "images", C.text_budget(F.col("images")).alias("budget"))
 
 
 def image_cap_ties(spark, d):
-    return P.cap_images(P.route(D.pages(spark, d).withColumn("seq", F.expr("seq % 50"))), 20).select("id", "route")
+    return P.cap_images(D.routed(spark, d).withColumn("seq", F.expr("seq % 50")), 20).select("id", "route")
 
 
 def section_map_long_ids(spark, d):
     """Page numbers of up to 40 digits, as in names that end with a receipt number."""
     number = "concat(seq * 1000003, lpad(cast(seq as string), 30, '0'))"
-    rows = P.route(D.pages(spark, d)).selectExpr(f"concat('long/d', cast(floor(seq / 400) as bigint), '_', {number}) AS id", "text AS document", "route")
+    rows = D.routed(spark, d).selectExpr(f"concat('long/d', cast(floor(seq / 400) as bigint), '_', {number}) AS id", "text AS document", "route")
     return P.section_map(rows)
 
 
@@ -316,7 +318,7 @@ def stored_filtered_search(spark, d):
 
 
 def result_urls(spark, d):
-    made = P.chunks(P.route(D.pages(spark, d)), D.captions(spark, d))
+    made = P.chunks(D.routed(spark, d), D.captions(spark, d))
     there = D.pages(spark, d).filter("seq % 4 <> 1").select(X.safe_name(F.col("id")).alias("name"))
     return P.with_urls(made.select("page_id", "image_path"), there).select("page_id", "image_url")
 
@@ -328,8 +330,8 @@ def variant_text(spark, d):
 
 
 def judge_sample(spark, d):
-    qa = table(spark, d, "documents").selectExpr("doc_id AS id", "coalesce(lang, '-') AS type", "concat('q', doc_id) AS query")
-    synthetic = table(spark, d, "documents").filter("doc_id % 2 = 0").selectExpr(f"{D.PAGE_ID} AS page_id", "concat('s', doc_id) AS query")
+    qa = table(spark, d, "documents").selectExpr("doc_id AS id", "coalesce(lang, '-') AS type", "text AS query")
+    synthetic = table(spark, d, "documents").filter("doc_id % 2 = 0").selectExpr(f"{D.PAGE_ID} AS page_id", "concat('about ', text) AS query")
     manual = spark.range(3).selectExpr("concat('m', id) AS query", "id > 0 AS expect_answer")
     return E.judge_sample(qa, synthetic, manual)
 
@@ -357,7 +359,7 @@ def encoded_images(spark, d):
 
 def fitted_sizes(spark, d):
     size = X.fitted(F.col("w"), F.col("h"))
-    return table(spark, d, "documents").selectExpr("doc_id", "doc_id * 37 % 4000 + 1 AS w", "doc_id * 91 % 5000 + 1 AS h").select("doc_id", size.alias("s")).select("doc_id", "s.width", "s.height")
+    return table(spark, d, "documents").selectExpr("doc_id", "length(text) * 37 % 4000 + 1 AS w", "length(text) * 91 % 5000 + 1 AS h").select("doc_id", size.alias("s")).select("doc_id", "s.width", "s.height")
 
 
 def latency_window_percentiles(spark, d):

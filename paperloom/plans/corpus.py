@@ -21,20 +21,24 @@ FILING_ID = "concat('dart/Corp_2023_', lpad(cast(doc_id as string), 14, '0'), '_
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.selectExpr(
-        "doc_id AS seq", f"{PAGE_ID} AS id", f"CASE WHEN doc_id % 5 = 0 THEN concat({HEAD}, coalesce(lang, '-'), ' ', coalesce(source, '-')) ELSE concat({HEAD}, text) END AS text",
+        "doc_id AS seq", f"{PAGE_ID} AS id", f"concat({HEAD}, text) AS text",
         "CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS ocr", "doc_id % 4 <> 3 AS has_image", "(doc_id * 37 % 1000) / 100000D AS ink", f"concat(source, '/d', cast(floor(doc_id / 400) as bigint)) AS file",
     )
 
 
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.route(pages(spark, sf_dir), LONG)
+
+
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").selectExpr(f"{PAGE_ID} AS page_id", "concat('caption ', text) AS caption")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages: id, document, route."""
-    return P.route(pages(spark, sf_dir)).select("id", F.col("text").alias("document"), "route", "seq")
+    return routed(spark, sf_dir).select("id", F.col("text").alias("document"), "route", "seq")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +75,6 @@ def wide(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").cast("bigint").alias(n) if k in ("int", "smallint") else F.col(f"`{n}`") for n, k in df.dtypes))
 
 
+#: Texts here are longer than those of scanned pages, so longer ones count as too short.
+LONG = Params(min_text_chars=1500, min_ocr_chars=1000)
 FILTERED = Params(filter_no_content=True)

@@ -21,9 +21,9 @@ def tokens(x: str) -> str:
     return f"flatten(list_transform(regexp_extract_all(lower({x}), '[0-9a-z가-힣]+'), lambda r: CASE WHEN regexp_full_match(r, '[0-9]+[가-힣]+') THEN [r, regexp_extract(r, '^[0-9]+')] ELSE flatten({parts}) END))"
 
 
-PAGES = f"""pages_ AS (SELECT doc_id AS seq, doc_id, {PAGE_ID} AS id, CASE WHEN doc_id % 5 = 0 THEN {HEAD} || coalesce(lang, '-') || ' ' || coalesce(source, '-') ELSE {HEAD} || text END AS text,
+PAGES = f"""pages_ AS (SELECT doc_id AS seq, doc_id, {PAGE_ID} AS id, {HEAD} || text AS text,
   CASE WHEN doc_id % 3 = 0 THEN documents.text ELSE '' END AS ocr, doc_id % 4 <> 3 AS has_image, (doc_id * 37 % 1000) / 100000.0 AS ink, {KEY} AS file FROM documents)"""
-ROUTED = f"""{PAGES}, routed AS (SELECT *, CASE WHEN length({strip("text")}) >= 100 THEN 'text' WHEN length({strip("ocr")}) >= 100 THEN 'ocr' WHEN NOT has_image THEN 'blank'
+ROUTED = f"""{PAGES}, routed AS (SELECT *, CASE WHEN length({strip("text")}) >= 1500 THEN 'text' WHEN length({strip("ocr")}) >= 1000 THEN 'ocr' WHEN NOT has_image THEN 'blank'
   WHEN ink < 0.002 THEN 'blank' ELSE 'image' END AS route FROM pages_)"""
 CAPPED = f"""{ROUTED}, capped AS (SELECT * REPLACE (CASE WHEN route = 'image' AND sum(CASE WHEN route = 'image' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) > 20
   THEN 'image_overflow' ELSE route END AS route) FROM routed)"""
@@ -133,7 +133,7 @@ def oracles() -> dict[str, str]:
   count(*) FILTER (route = 'blank') AS blank_skipped, count(*) FILTER (route = 'image_overflow') AS image_overflow_route FROM capped""",
         "image_cap_overflow": f"WITH {CAPPED} SELECT id, route FROM capped",
         "chunk_text": f"WITH {CAPPED}, {chunk_rows('capped')} SELECT page_id, route, text_for_embedding, source_file, image_path FROM chunks_",
-        "doc_prefix": rf"""WITH rows_ AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {filing} ELSE {PAGE_ID} END AS page_id, text AS document, CASE WHEN doc_id % 4 = 0 THEN '제 1 장' END AS title FROM documents),
+        "doc_prefix": rf"""WITH {SECTIONS}, rows_ AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {filing} ELSE {PAGE_ID} END AS page_id, text AS document, nullif(s.section_title, '') AS title FROM documents LEFT JOIN sections_ s ON s.id = {PAGE_ID}),
 known AS (SELECT lpad(CAST(doc_id AS VARCHAR), 14, '0') AS r, 'Report ' || CAST(doc_id % 10 AS VARCHAR) || ' (2023.12)' AS nm FROM documents WHERE doc_id % 6 = 0),
 named AS (SELECT rows_.*, CASE WHEN page_id LIKE 'dart/%' THEN coalesce(nullif(concat_ws(' ', nullif(regexp_extract(page_id, '(\[[^\]]+\])', 1), ''), nm), ''), {title}) ELSE {title} END AS prefix
   FROM rows_ LEFT JOIN known ON r = regexp_extract(page_id, '^dart/.+?_[0-9]{{4}}_([0-9]{{14}})_', 1))
@@ -165,9 +165,9 @@ packed AS (SELECT qid, CAST(0 AS BIGINT) AS n, images, CAST(greatest(CAST(trunc(
     CASE WHEN {skip} THEN p.parts ELSE list_append(p.parts, '[출처: ' || c.source_file || ']' || chr(10) || {cut}) END FROM packed p JOIN ranked c ON c.qid = p.qid AND c.n = p.n + 1)
 SELECT qid, array_to_string(parts, chr(10) || chr(10)) AS context, (SELECT string_agg(source_file, ',' ORDER BY n) FROM ranked r WHERE r.qid = p.qid) AS sources, budget AS budget_left
 FROM packed p WHERE n = (SELECT max(n) FROM packed m WHERE m.qid = p.qid)""",
-        "strip_abstention": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN text || ' {ABSTAIN}.' WHEN turn % 4 = 1 THEN text || chr(10) || '{ABSTAIN}' WHEN turn % 4 = 2 THEN '{ABSTAIN}.' ELSE text END AS answer FROM conversations)
+        "strip_abstention": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN text || ' {ABSTAIN}.' WHEN turn % 4 = 1 THEN text || chr(10) || '{ABSTAIN}' WHEN turn % 4 = 2 THEN '{ABSTAIN}. ' || text ELSE text END AS answer FROM conversations)
 SELECT conv_id, turn, role, CASE WHEN contains(answer, '{ABSTAIN}') AND length({kept}) >= 40 THEN {kept} ELSE answer END AS answer FROM said""",
-        "degenerate_output": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN repeat('@', 31) WHEN turn % 4 = 1 THEN repeat('a', 40) || 'bcd' WHEN turn % 4 = 2 THEN role || ' ' || CAST(turn AS VARCHAR) ELSE text END AS answer FROM conversations),
+        "degenerate_output": f"""WITH said AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN text || repeat('@', 5 * length(text) + 8) WHEN turn % 4 = 1 THEN repeat('a', 3 * length(text)) || text ELSE text END AS answer FROM conversations),
 cut AS (SELECT *, {strip("answer")} AS s, {chars} AS c FROM said)
 SELECT conv_id, turn, role, CASE WHEN length(s) < 8 THEN false ELSE len(list_distinct(c)) <= 2 OR list_max(list_transform(list_distinct(c), lambda k: len(list_filter(c, lambda x: x = k)))) / length(s) > 0.8 END AS degenerate FROM cut""",
         "ir_metrics_by_group": f"""WITH {LEXICAL}, {GOLD}, r AS {ranks("(SELECT * FROM lexical_all WHERE rank <= 10)")}
@@ -197,7 +197,7 @@ SELECT qid, arg_min(doc_id, rank) AS top_page, arg_min(round(score, 4), rank) AS
         "stratified_sample": "SELECT doc_id, lang, place FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('20260917:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents) WHERE place <= 5",
         "resume_worklist": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "dedupe_latest": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE event_type <> '' GROUP BY user_id",
-        "stop_phrase_filter": f"""SELECT conv_id, turn, length(query) AS n_chars FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '이 표 ' || text WHEN turn % 3 = 1 THEN '  ' ELSE text END AS query FROM conversations) WHERE length(trim(query)) > 0 AND NOT ({stop})""",
+        "stop_phrase_filter": f"""SELECT conv_id, turn, length(query) AS n_chars FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '이 표 ' || text WHEN turn % 3 = 1 THEN '  ' || text ELSE text END AS query FROM conversations) WHERE length(trim(query)) > 0 AND NOT ({stop})""",
         "new_filings": """WITH listed AS (SELECT CAST(page_id % 50 AS VARCHAR) AS rcept_no, CASE WHEN page_id % 4 = 0 THEN 'other' ELSE 'annual report' END AS report_nm, 'f' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '.xls' END AS name,
   'https://x.example/a?rcp=' || CAST(page_id % 50 AS VARCHAR) || '&dcm_no=' || CAST(page_id AS VARCHAR) AS url FROM pages),
 few AS (SELECT *, row_number() OVER (PARTITION BY rcept_no ORDER BY name, url) AS place FROM listed WHERE contains(report_nm, 'annual') AND lower(name) LIKE '%.pdf')
@@ -205,7 +205,7 @@ SELECT url, rcept_no, report_nm, name, place, regexp_extract(url, 'dcm_no=([0-9]
         "ocr_lookup": f"WITH {PAGES} SELECT id, {strip('coalesce(nullif(ocr, $q$$q$), text)')} AS text FROM pages_ WHERE doc_id % 2 = 0".replace("$q$$q$", "''"),
         "table_merge": rf"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || chr(10) || '{TABLE_MARK}' || chr(10) || '| a | b |' ELSE text END AS text,
   string_split({strip("documents.text")}, chr(10))[1] AS first_line FROM documents""",
-        "text_budget": "SELECT i AS images, CAST(greatest(trunc((3396 - 1500 * i) * 1.5), 300) AS BIGINT) AS budget FROM range(4) t(i)",
+        "text_budget": "SELECT page_id, i AS images, CAST(greatest(trunc((3396 - 1500 * i) * 1.5), 300) AS BIGINT) AS budget FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<(img|a) ')) AS BIGINT) AS i FROM pages)",
         "image_cap_ties": f"""WITH {ROUTED} SELECT id, CASE WHEN route = 'image' AND sum(CASE WHEN route = 'image' THEN 1 ELSE 0 END) OVER (ORDER BY seq % 50, id ROWS UNBOUNDED PRECEDING) > 20
   THEN 'image_overflow' ELSE route END AS route FROM routed""",
         "section_map_long_ids": f"""WITH {ROUTED}, marked_ AS (SELECT 'long/d' || CAST(seq // 400 AS VARCHAR) AS file, CAST(seq * 1000003 AS VARCHAR) || lpad(CAST(seq AS VARCHAR), 30, '0') AS number, {EMPTY} AS no_content, {TITLE} AS own FROM routed),
@@ -224,8 +224,8 @@ SELECT qid, p.doc_id, substr(d.text, 1, 1500) AS snippet, coalesce(p.doc_id = go
         "variant_text": f"""WITH {ROUTED}, {CAPTIONS}, read_ AS (SELECT id, {strip("coalesce(nullif(ocr, $q$$q$), text)")} AS text FROM pages_ WHERE doc_id % 2 = 0)
 SELECT r.id AS page_id, CASE WHEN route = 'image' THEN coalesce(nullif(concat_ws(chr(10), nullif({strip("caption")}, $q$$q$), nullif(read_.text, $q$$q$)), $q$$q$), r.text) ELSE r.text END AS document
 FROM routed r LEFT JOIN captions ON captions.page_id = r.id AND length(captions.page_id) % 2 = 0 LEFT JOIN read_ ON read_.id = r.id""".replace("$q$$q$", "''"),
-        "judge_sample": f"""WITH qa AS ({drawn("SELECT doc_id AS id, coalesce(lang, '-') AS type, 'q' || CAST(doc_id AS VARCHAR) AS query FROM documents", "id")}),
-made AS ({drawn(f"SELECT {PAGE_ID} AS page_id, 'image' AS type, 's' || CAST(doc_id AS VARCHAR) AS query FROM documents WHERE doc_id % 2 = 0", "page_id")}),
+        "judge_sample": f"""WITH qa AS ({drawn("SELECT doc_id AS id, coalesce(lang, '-') AS type, text AS query FROM documents", "id")}),
+made AS ({drawn(f"SELECT {PAGE_ID} AS page_id, 'image' AS type, 'about ' || text AS query FROM documents WHERE doc_id % 2 = 0", "page_id")}),
 every AS (SELECT 1 AS part, 'pages' AS corpus, 'qa' AS source, type, query, CAST(id AS VARCHAR) AS gold, true AS expect_answer, place FROM qa WHERE place <= 5
   UNION ALL SELECT 2, 'pages', 'synthetic', type, query, page_id, true, place FROM made WHERE place <= 15 UNION ALL SELECT 3, 'filings', 'manual', 'manual', 'm' || CAST(i AS VARCHAR), NULL, i > 0, i FROM range(3) t(i))
 SELECT CASE WHEN n < 10 THEN 'J0' ELSE 'J' END || CAST(n AS VARCHAR) AS sample_id, corpus, source, type, query, gold, expect_answer
@@ -237,7 +237,7 @@ wanted AS (SELECT 'c' || CAST(i % 4 AS VARCHAR) AS corp, 2021 + i % 3 AS year FR
 SELECT page_id, corp, CAST(year AS BIGINT) AS year, CAST(CAST(filed AS DATE) AS VARCHAR) AS filed FROM listed JOIN wanted USING (corp) WHERE filed BETWEEN make_date(year + 1, 1, 1) AND make_date(year + 1, 6, 30)""",
         "receipt_dates": """SELECT doc_id, CAST(CAST(try_strptime(CAST(2020 + doc_id % 5 AS VARCHAR) || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || lpad(CAST(doc_id % 31 + 1 AS VARCHAR), 2, '0'), '%Y%m%d') AS DATE) AS VARCHAR) AS received FROM documents""",
         "encoded_images": "SELECT doc_id, base64(encode(text)) AS content FROM documents",
-        "fitted_sizes": f"""WITH s AS (SELECT doc_id, doc_id * 37 % 4000 + 1 AS w, doc_id * 91 % 5000 + 1 AS h, CAST(1280 AS DOUBLE) / greatest(doc_id * 37 % 4000 + 1, doc_id * 91 % 5000 + 1) AS k FROM documents)
+        "fitted_sizes": f"""WITH s AS (SELECT doc_id, length(text) * 37 % 4000 + 1 AS w, length(text) * 91 % 5000 + 1 AS h, CAST(1280 AS DOUBLE) / greatest(length(text) * 37 % 4000 + 1, length(text) * 91 % 5000 + 1) AS k FROM documents)
 SELECT doc_id, {", ".join(f"CASE WHEN greatest(w, h) <= 1280 THEN {x} ELSE greatest(CAST(round_even({x} * k, 0) AS BIGINT), 1) END AS {n}" for x, n in (("w", "width"), ("h", "height")))} FROM s""",
         "latency_window_percentiles": f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(value) AS n, {raw_place(sorted_values, 0.5)} AS p50, {raw_place(sorted_values, 0.95)} AS p95
 FROM events WHERE value IS NOT NULL GROUP BY ALL""",
