@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.search import blocks, union
@@ -65,6 +65,36 @@ def pool_entries(pooled: DataFrame, documents: DataFrame, gold: DataFrame, id: s
     return full.withColumn("is_gold", F.col(id).eqNullSafe(F.col("_gold")) & F.col(id).isNotNull()).drop("_gold")
 
 
+def upsert_grades(spark: SparkSession, path: str, pooled: DataFrame, id: str, parts: int = 64) -> None:
+    """Merge pooled pages (qid, id) into the stored grades (qid, id, grade): what is graded stays, new pages come without a grade.
+
+    The table is partitioned by a hash of the query. Only partitions with a pooled query are read, merged and replaced, the
+    others stay as they are; a write that fails leaves the old partitions, and running again gives the same table.
+    """
+    from paperloom.sources import readers
+
+    part = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")
+    new = pooled.select("qid", id).distinct().withColumn("part", part)
+    if readers.exists(spark, path):
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # parts at most
+        old = spark.read.parquet(path).filter(F.col("part").isin(touched))
+        new = merge_grades(old.select("qid", id, "grade"), new, id).withColumn("part", part)
+    else:
+        new = new.withColumn("grade", F.lit(None).cast("int"))
+    new.select("qid", id, F.col("grade").cast("int").alias("grade"), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def set_grades(spark: SparkSession, path: str, given: DataFrame, id: str, parts: int = 64) -> None:
+    """Store grades (qid, id, grade) that a judge gave to pages of the table at ``path``; others keep theirs. As ``upsert_grades`` it
+    replaces only the partitions it touches."""
+    part = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")
+    new = given.filter("grade IS NOT NULL").groupBy("qid", id).agg(F.max("grade").alias("_new")).withColumn("part", part)
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # parts at most
+    old = spark.read.parquet(path).filter(F.col("part").isin(touched))
+    out = old.join(new.drop("part"), ["qid", id], "left").select("qid", id, F.coalesce("_new", "grade").cast("int").alias("grade"), "part")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def merge_grades(old: DataFrame, pooled: DataFrame, id: str) -> DataFrame:
     """Grades of all pages graded before or pooled now; what was graded stays, what is new is null."""
     return old.join(pooled.select("qid", id).distinct(), ["qid", id], "full").select("qid", id, "grade")
@@ -136,21 +166,22 @@ def _beside(rows: DataFrame, name: str, keys) -> DataFrame:
     return rows.alias(name) if keys else F.broadcast(rows.alias(name))
 
 
-def brackets(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+def brackets(rows: DataFrame, value: str, shares: dict[str, float], *keys: str, weight: Column | None = None) -> DataFrame:
     """For each key and share ``name, _all, _low, _high, _place``: values between which the place lies, and where among them.
 
     A mergeable sketch of a key's values proposes splitters close to each share, whatever the values' spread. Exact
     counts below and up to each splitter, made in one pass, tell the narrowest pair that has the
-    place between them, least and greatest value at worst.
+    place between them, least and greatest value at worst. A row counts ``weight`` times, once if none is given.
     """
-    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
     near = sorted({round(min(max(s + sign * step, 0.0), 1.0), 6) for s in shares.values() for step in STEPS for sign in (-1, 1)})
     sketch = known.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     split = sketch.select(*keys, F.array_distinct(F.concat(F.array("_low"), F.col("_s"), F.array("_high"))).alias("_s"))
     both = known.alias("r").join(_beside(split, "e", keys), _same("r", "e", keys)).select("r.*", "e._s")
     at = range(len(near) + 2)
+    count = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
     counts = both.groupBy(*keys).agg(
-        F.count("*").alias("_all"), F.first("_s").alias("_s"), F.array(*(F.count_if(F.col("_v") < F.get("_s", F.lit(i))) for i in at)).alias("_below"), F.array(*(F.count_if(F.col("_v") <= F.get("_s", F.lit(i))) for i in at)).alias("_upto")
+        F.sum("_w").alias("_all"), F.first("_s").alias("_s"), F.array(*(count(F.col("_v") < F.get("_s", F.lit(i))) for i in at)).alias("_below"), F.array(*(count(F.col("_v") <= F.get("_s", F.lit(i))) for i in at)).alias("_upto")
     )
     place = lambda s: F.least(F.floor(F.col("_all") * s), F.col("_all") - 1)
     wanted = counts.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), place(s).alias("place")) for n, s in shares.items()))).alias("w"))
@@ -160,16 +191,17 @@ def brackets(rows: DataFrame, value: str, shares: dict[str, float], *keys: str)
     return zipped.select(*keys, "_all", F.col("w.name").alias("name"), low.alias("_l"), high.alias("_h"), F.col("w.place").alias("_at")).select(*keys, "_all", "name", F.col("_l.v").alias("_low"), F.col("_h.v").alias("_high"), (F.col("_at") - F.col("_l.below")).alias("_place"))
 
 
-def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str, weight: Column | None = None) -> DataFrame:
     """The value at place floor(n * share), from 0 and at most the last, for each key; exact at any size.
 
     Only values within ``brackets`` are counted one by one and sorted: about a thousandth of a key, or one
-    row for a value that occurs very often.
+    row for a value that occurs very often. With ``weight`` a row counts that many times.
     """
-    known, bounds = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), brackets(rows, value, shares, *keys)
+    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
+    bounds = brackets(rows, value, shares, *keys, weight=weight)
     inside = F.col("r._v").between(F.col("b._low"), F.col("b._high"))
-    few = known.alias("r").join(_beside(bounds, "b", keys), [*_same("r", "b", keys), inside]).select("b.*", "r._v")
-    per = few.groupBy(*keys, "name", "_place", "_all", "_v").agg(F.count("*").alias("_n"))
+    few = known.alias("r").join(_beside(bounds, "b", keys), [*_same("r", "b", keys), inside]).select("b.*", "r._v", "r._w")
+    per = few.groupBy(*keys, "name", "_place", "_all", "_v").agg(F.sum("_w").alias("_n"))
     reached = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "name").orderBy("_v"))).filter(F.col("_upto") > F.col("_place"))
     found = reached.groupBy(*keys, "name").agg(F.min("_v").alias("_v"), F.first("_all").alias("_all"))
     return found.groupBy(*keys).agg(F.max("_all").alias("n"), *(F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in shares))

@@ -73,6 +73,24 @@ def caption(images: DataFrame, load, retries: int = 1, wait: float = 2.0) -> Dat
     return images.select("page_id", "content").mapInArrow(run, "page_id string, caption string, elapsed_sec double, error string")
 
 
+def caption_missing(spark, pages: DataFrame, log: str, load, parts: int = 16, **options) -> DataFrame:
+    """Caption the image pages (id, route, image) that the log at ``log`` has no caption of, and log what was made; the report of this call.
+
+    Each call takes only what is missing, so a call that was cut off, or pages whose model call failed, are taken up by the
+    next one. The images of pages that are done aren't read. The report: pages wanted, captioned, failed, mean and 95th percentile of seconds.
+    """
+    from paperloom.operators.evaluate import caption_report, not_done
+    from paperloom.session import kept
+    from paperloom.sources import readers, writers
+
+    wanted = pages.filter("route = 'image'").select(F.col("id").alias("page_id"), F.col("image").alias("content"))
+    if readers.exists(spark, log):
+        wanted = not_done(wanted, readers.captions(spark, log), "page_id")
+    made = kept(caption(wanted.repartition(parts), load, **options), "captioned")  # a model call isn't made twice
+    writers.append_captions(made.select("page_id", "caption", "elapsed_sec"), log)
+    return caption_report(made)
+
+
 #: What an answer model is told, in our own words; an adapter may send another text.
 SYSTEM = f"아래 문서만 근거로 답한다. 근거가 없으면 '{ABSTAIN}.' 한 문장으로 답하고, 근거가 있으면 그 문장을 쓰지 않는다. 끝에 출처를 적는다."
 

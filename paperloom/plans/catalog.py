@@ -175,9 +175,24 @@ def judge_pool(spark, d):
 
 
 def grade_upsert(spark, d):
-    pooled = E.pool(_systems(spark, d), "doc_id")
+    """A stored table of grades, merged with the pool: what it had stays, what is new has no grade."""
+    pooled, path = E.pool(_systems(spark, d), "doc_id"), f"{shared_dir(spark)}/grades-{uuid.uuid4().hex}"
     old = D.grades(spark, d, pooled).filter("doc_id % 2 = 0")
-    return E.merge_grades(old, pooled, "doc_id").select("qid", "doc_id", F.coalesce("grade", F.lit(-1)).alias("grade"))
+    E.upsert_grades(spark, path, old, "doc_id")
+    E.set_grades(spark, path, old, "doc_id")
+    E.upsert_grades(spark, path, pooled, "doc_id")
+    return spark.read.parquet(path).select("qid", "doc_id", F.coalesce("grade", F.lit(-1)).alias("grade"))
+
+
+def windows_of_counts(spark, d):
+    """Percentiles of windows from counters, as a stream leaves them."""
+    counts = kept(latency.value_counts(table(spark, d, "events")), "counters")
+    return latency.percentiles_of_counts(counts)
+
+
+def first_documents(spark, d):
+    """The first 100 documents in scan order."""
+    return readers.head(table(spark, d, "documents"), 100).select("doc_id", F.length("text").alias("n"))
 
 
 def _judged(spark, d):
@@ -376,7 +391,7 @@ QUERIES = [
     bm25_weights, bm25_topk, vector_topk, hybrid_rrf, hybrid_filtered_two_phase, rerank_topn, neighbor_expand, context_pack, strip_abstention, degenerate_output, ir_metrics_by_group,
     judge_pool, grade_upsert, judge_metrics, no_answer_fp, win_loss_tie, abstain_signals, latency_percentiles, latency_windows, sparse_page_stats, stratified_sample, resume_worklist,
     dedupe_latest, stop_phrase_filter, new_filings, ocr_lookup, table_merge, text_budget, nfkc_context, image_cap_ties, section_map_long_ids, stored_index_search, dense_only_search, grown_index_search, block_postings_search, stored_filtered_search,
-    pool_entries, result_urls, variant_text, judge_sample, caption_report, filing_window, receipt_dates, encoded_images, fitted_sizes, latency_window_percentiles,
+    pool_entries, result_urls, variant_text, judge_sample, caption_report, filing_window, receipt_dates, encoded_images, fitted_sizes, latency_window_percentiles, windows_of_counts, first_documents,
 ]
 
 

@@ -239,6 +239,9 @@ SELECT page_id, corp, CAST(year AS BIGINT) AS year, CAST(CAST(filed AS DATE) AS
         "encoded_images": "SELECT doc_id, base64(encode(text)) AS content FROM documents",
         "fitted_sizes": f"""WITH s AS (SELECT doc_id, length(text) * 37 % 4000 + 1 AS w, length(text) * 91 % 5000 + 1 AS h, CAST(1280 AS DOUBLE) / greatest(length(text) * 37 % 4000 + 1, length(text) * 91 % 5000 + 1) AS k FROM documents)
 SELECT doc_id, {", ".join(f"CASE WHEN greatest(w, h) <= 1280 THEN {x} ELSE greatest(CAST(round_even({x} * k, 0) AS BIGINT), 1) END AS {n}" for x, n in (("w", "width"), ("h", "height")))} FROM s""",
+        "first_documents": "SELECT doc_id, length(text) AS n FROM documents ORDER BY doc_id LIMIT 100",
+        "windows_of_counts": f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(value) AS n, {raw_place(sorted_values, 0.5)} AS p50, {raw_place(sorted_values, 0.95)} AS p95
+FROM events WHERE value IS NOT NULL GROUP BY ALL""",
         "latency_window_percentiles": f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(value) AS n, {raw_place(sorted_values, 0.5)} AS p50, {raw_place(sorted_values, 0.95)} AS p95
 FROM events WHERE value IS NOT NULL GROUP BY ALL""",
     }

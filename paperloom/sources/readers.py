@@ -24,8 +24,21 @@ def pages(spark: SparkSession, path: str, limit: int | None = None, with_image:
     if with_image:
         kind = df.schema["image"].dataType
         full.append((F.col("image.bytes") if isinstance(kind, T.StructType) else F.col("image")).alias("image"))
-    out = df.select(*full)
-    return out if limit is None else out.orderBy("id").limit(limit)
+    return head(df, limit).select(*full) if limit is not None else df.select(*full)
+
+
+def head(df: DataFrame, limit: int) -> DataFrame:
+    """The first rows of a Parquet scan in scan order: files by path, rows as they lie in the file.
+
+    The key of the last row is found from file names and row numbers, for which no column is read; then only
+    files up to it are listed and scanned.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    last = df.select(at.alias("at")).orderBy("at").limit(limit).agg(F.max("at").alias("at")).first()["at"]  # one row
+    if last is None:
+        return df.limit(0)
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return df.filter((path <= last["path"]) & ((path < last["path"]) | (row <= last["row"])))
 
 
 def count_pages(spark: SparkSession, path: str) -> int:
@@ -142,7 +155,7 @@ def captions(spark: SparkSession, path: str, order: Column | None = None) -> Dat
 
 def qa(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     out = spark.read.schema(QA).parquet(path)
-    return out if limit is None else out.orderBy("id").limit(limit)
+    return out if limit is None else head(out, limit)
 
 
 def new_filings(listed: DataFrame, known: DataFrame, keyword: str, most: int = 3) -> DataFrame:

@@ -26,6 +26,24 @@ def window_percentiles(rows: DataFrame, time: str = "ts", key: str = "event_type
     return percentile(keyed, value, {"p50": 0.5, "p95": 0.95}, "window_start", key)
 
 
+def value_counts(rows: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", length: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """How often each value occurs in a window and key. The state of a stream is a counter a value, spread over all tasks, so a
+    large window is no single group; a window's counters leave it once, when it can get no more rows."""
+    timed = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if rows.isStreaming else rows
+    counted = timed.filter(F.col(value).isNotNull()).groupBy(F.window(time, length), key, value).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("window_start"), key, value, "n")
+
+
+def append_value_counts(rows: DataFrame, path: str, checkpoint: str, **options):
+    """Write the counters of closed windows of a stream, going on after a restart where it stopped; each is written once."""
+    return value_counts(rows, **options).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def percentiles_of_counts(counts: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
+    """Exact median and 95th percentile of each window and key from ``value_counts``: those that ``window_percentiles`` gives for a batch."""
+    return percentile(counts, value, {"p50": 0.5, "p95": 0.95}, "window_start", key, weight=F.col("n"))
+
+
 def append_log(rows: DataFrame, path: str, checkpoint: str, key: str = "page_id", late: str = "1 day", time: str = "ts"):
     """Write each key of a stream once, and go on after a restart where it stopped."""
     once = rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
