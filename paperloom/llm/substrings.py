@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
 
     whole = runs_.join(distinct.filter("n > 1").select("h", "s1", "s2"), ["h", "s1", "s2"], "left_semi").select("id", "th", "i", "j")
     gone = whole.unionByName(sure).unionByName(by_array).unionByName(by_count)
-    per_row = gone.groupBy("id", "th").agg(F.collect_list(F.struct("i", "j")).alias("gone"))  # the windows of one text
+    per_row = gone.groupBy("id", "th").agg(F.collect_set(F.struct("i", "j")).alias("gone"))  # the windows of one text, once however often it is repeated
     todo = rows.alias("d").join(per_row.hint("shuffle_hash").alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left").select("d.id", "d.text", "g.gone")
 
     def finish(batches):

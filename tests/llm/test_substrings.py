@@ -69,6 +69,15 @@ def test_query_matches_brute_force(spark):
     assert got == want and sum(n > 0 for _, n in want.values()) > 5
 
 
+def test_many_copies_of_one_row(spark):
+    """The windows of a text travel once, not once for each of its copies."""
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(120))
+    rows = spark.range(20_000).selectExpr("7L AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(8, text + " end"), (9, "alone " * 5)], "doc_id long, text string"))
+    got = S.remove_repeats(rows).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert sorted(tuple(r) for r in got) == [(7, len(text), 1, 20_000), (8, len(text), 1, 1), (9, 0, 0, 1)]
+
+
 def test_windows_are_dealt_once():
     rng = random.Random(5)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"a" * 500
