@@ -2,7 +2,7 @@
 
 Tokens are the words of the lower-cased text (A-Z only), then one end token. The model's symbols
 are the end, the most frequent training words, and kinds of other words, told apart by a hash of
-their last three bytes. There are ``WORDS`` times the fifth root of the training tokens of words, and
+their last three bytes. There are ``WORDS`` times the fifth root of the training tokens of words, ``LEAST`` at least, and
 a quarter as many kinds, so what is learned of pairs grows with the input. A token's probability is the model's probability of
 its symbol after the symbol before, times, for a kind, the smoothed share of the word within its
 kind (with one unseen word in each kind), so the probabilities of all words sum to one.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import LOWER, list_array, slices, stored, text_bytes, with_row
 
-WORDS, KNOWN, SIZE = 49, 100_000, 32
+WORDS, LEAST, KNOWN, SIZE = 49, 1024, 100_000, 32
 #: Words that a task counts before it hands its counts on.
 HELD = 400_000
 #: Tokens whose pairs a task counts at once, and tokens scored at once.
@@ -66,8 +66,8 @@ class Numbers(dict):
 
 def symbols(n_tokens: int) -> tuple[int, int]:
     """How many words and kinds the model tells apart, by the number of training tokens."""
-    n = round(WORDS * n_tokens**0.2)
-    return n, max(1, n // 4)
+    n = max(LEAST, round(WORDS * n_tokens**0.2))
+    return n, n // 4
 
 
 def count_words(docs: DataFrame, text: str, held_most: int = HELD) -> DataFrame:
