@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import id_mod, stored
 from paperloom.llm.decontaminate import decontaminate
 from paperloom.llm.langid import UNKNOWN, identify, train
-from paperloom.llm.lines import dedup_lines
+from paperloom.llm.lines import BANDS, dedup_lines
 from paperloom.llm.segment import encode
 from paperloom.llm.simhash import near_duplicates
 from paperloom.session import table
@@ -59,8 +59,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @others_apart
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that others have; a document may end up empty."""
-    found = dedup_lines(docs)
+    """All documents, without the lines that others have or nearly have, as op10 finds them; a document may end up empty."""
+    found = dedup_lines(docs, bands=BANDS)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
