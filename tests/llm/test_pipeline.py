@@ -3,7 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
-from paperloom.llm import langid, segment
+from paperloom.llm import langid, lines, segment
 from paperloom.llm.pieces import Vocabulary
 import test_lines
 import test_simhash
@@ -42,7 +42,7 @@ def test_stages_match_plain_versions(spark):
 
     rows = outs["language_id"].collect()
     hashes = {r.text: r.h for r in outs["language_id"].selectExpr("text", "xxhash64(text) h").collect()}
-    cut = test_lines.brute([(r.doc_id, r.text) for r in rows], hashes)
+    cut = test_lines.brute([(r.doc_id, r.text) for r in rows], hashes, lines.BANDS)
     want = {}
     for r in rows:
         gone = cut.get((False, r.doc_id, hashes[r.text]), [])
