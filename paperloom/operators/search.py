@@ -42,15 +42,17 @@ def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", terms: Dat
     """``id, term, tf, weight``: BM25 weights of all terms, or of ``terms`` (a column of that name) only.
 
     Document lengths and their mean come from all tokens; a term's document count comes from all
-    documents. With ``terms``, no other token is shuffled.
+    documents. Texts are split once: tokens that aren't asked for fall together in one row a document, in the task
+    that has its text, and with a mark a document they give its length. Rows of one id are one document.
     """
-    listed = docs.select(id, X.tokens(text).alias("_tokens"))
-    sized = listed.select(id, "_tokens", F.size("_tokens").cast("long").alias("dl"))
-    whole = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    flat = sized.select(id, "dl", F.explode("_tokens").alias("term"))
-    if terms is not None:
-        flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
-    tf = flat.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    flat = docs.select(id, F.explode(F.concat(X.tokens(text), F.array(F.lit(None).cast("string")))).alias("_token"))
+    term = F.col("_token")
+    if terms is not None:  # null for other tokens
+        flat, term = flat.join(terms.select(F.col("term").alias("_token"), F.col("term").alias("_term")).distinct(), "_token", "left"), F.col("_term")
+    counted = flat.groupBy(id, term.alias("term")).agg(F.count("_token").alias("tf"))
+    sized = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(id)))
+    whole = sized.filter("term IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    tf = sized.filter("term IS NOT NULL").select(id, "term", "tf", "dl")
     return weighted(tf, document_frequencies(tf), whole, id, p)
 
 
