@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import compare_variants, grow_index
-from paperloom.plans import sql
+from paperloom.plans import corpus, sql
 from paperloom.session import shared_dir
 
 
@@ -26,7 +26,7 @@ def job2_compare_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark, "job2_compare_variants")
     for _ in range(2):
         compare_variants.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", out)
-    return compare_variants.result(spark, out)
+    return corpus.wide(compare_variants.result(spark, out))
 
 
 def queries() -> dict:
