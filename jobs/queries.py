@@ -63,7 +63,7 @@ def oracle_sql() -> dict[str, str]:
     rows = " UNION ALL ".join(f"SELECT '{v}' AS variant, qid, doc_id, score, rank, NULL AS type, NULL AS metric, NULL AS value FROM {v}_ranked" for v in ("plain", "headed"))
     return {
         "job1_grow_index": f"""WITH listed AS (SELECT doc_id, coalesce({sql.tokens("coalesce(text, '')")}, []) AS t FROM documents)
-SELECT doc_id, CAST(len(t) AS BIGINT) AS dl, term, count(term) AS tf FROM (SELECT doc_id, t, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS term FROM listed) GROUP BY doc_id, t, term""",
+SELECT doc_id, dl, term, count(term) AS tf FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS dl, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS term FROM listed) GROUP BY ALL""",
         "job2_compare_variants": f"""WITH {TITLED}, qterms AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({sql.tokens("text")}) AS term FROM benchmark)), {sql.GOLD},
 {_ranked("plain", "given")}, {_ranked("headed", "headed")}, report AS ({_report("plain")} UNION ALL {_report("headed")} UNION ALL {versus})
 {rows} UNION ALL SELECT variant, NULL, NULL, NULL, NULL, type, metric, value FROM report""",
