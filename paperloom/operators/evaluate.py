@@ -154,7 +154,7 @@ def abstain_signals(ranked: DataFrame, grades: DataFrame, id: str, document: str
 
 
 #: Accuracy of the sketch that proposes splitters, and how far from a share they are, in shares.
-ACCURACY, STEPS = 10_000, (0.0003, 0.003, 0.03)
+ACCURACY, STEPS = 10_000, (0.0004, 0.01)
 
 
 def _same(a: str, b: str, keys) -> list[Column]:
@@ -167,28 +167,25 @@ def _beside(rows: DataFrame, name: str, keys) -> DataFrame:
 
 
 def brackets(rows: DataFrame, value: str, shares: dict[str, float], *keys: str, weight: Column | None = None) -> DataFrame:
-    """For each key and share ``name, _all, _low, _high, _place``: values between which the place lies, and where among them.
+    """For each key and share ``name, _all, _low, _high, _place``: the place lies above ``_low`` (null: no bound) and up to ``_high``, and where among those values.
 
     A mergeable sketch of a key's values proposes splitters close to each share, whatever the values' spread. Exact
-    counts below and up to each splitter, made in one pass, tell the narrowest pair that has the
-    place between them, least and greatest value at worst. A row counts ``weight`` times, once if none is given.
+    counts up to each splitter, made in one pass, tell the narrowest pair that has the
+    place between them, no bound and the greatest value at worst. A row counts ``weight`` times, once if none is given.
     """
     known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
     near = sorted({round(min(max(s + sign * step, 0.0), 1.0), 6) for s in shares.values() for step in STEPS for sign in (-1, 1)})
-    sketch = known.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    split = sketch.select(*keys, F.array_distinct(F.concat(F.array("_low"), F.col("_s"), F.array("_high"))).alias("_s"))
+    sketch = known.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_s"), F.max("_v").alias("_high"))
+    split = sketch.select(*keys, F.array_distinct(F.concat(F.col("_s"), F.array("_high"))).alias("_s"))
     both = known.alias("r").join(_beside(split, "e", keys), _same("r", "e", keys)).select("r.*", "e._s")
-    at = range(len(near) + 2)
-    count = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
-    counts = both.groupBy(*keys).agg(
-        F.sum("_w").alias("_all"), F.first("_s").alias("_s"), F.array(*(count(F.col("_v") < F.get("_s", F.lit(i))) for i in at)).alias("_below"), F.array(*(count(F.col("_v") <= F.get("_s", F.lit(i))) for i in at)).alias("_upto")
-    )
+    upto = [F.sum(F.when(F.col("_v") <= F.get("_s", F.lit(i)), F.col("_w")).otherwise(0)) for i in range(len(near) + 1)]
+    counts = both.groupBy(*keys).agg(F.sum("_w").alias("_all"), F.first("_s").alias("_s"), F.array(*upto).alias("_upto"))
     place = lambda s: F.least(F.floor(F.col("_all") * s), F.col("_all") - 1)
     wanted = counts.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), place(s).alias("place")) for n, s in shares.items()))).alias("w"))
-    zipped = wanted.withColumn("_c", F.expr("transform(_s, (v, i) -> struct(v AS v, _below[i] AS below, _upto[i] AS upto))"))
-    low = F.array_max(F.filter("_c", lambda c: c["below"] <= F.col("w.place")))
+    zipped = wanted.withColumn("_c", F.expr("transform(_s, (v, i) -> struct(v AS v, _upto[i] AS upto))"))
+    low = F.array_max(F.filter("_c", lambda c: c["upto"] <= F.col("w.place")))
     high = F.array_min(F.filter("_c", lambda c: c["upto"] > F.col("w.place")))
-    return zipped.select(*keys, "_all", F.col("w.name").alias("name"), low.alias("_l"), high.alias("_h"), F.col("w.place").alias("_at")).select(*keys, "_all", "name", F.col("_l.v").alias("_low"), F.col("_h.v").alias("_high"), (F.col("_at") - F.col("_l.below")).alias("_place"))
+    return zipped.select(*keys, "_all", F.col("w.name").alias("name"), low.alias("_l"), high.alias("_h"), F.col("w.place").alias("_at")).select(*keys, "_all", "name", F.col("_l.v").alias("_low"), F.col("_h.v").alias("_high"), (F.col("_at") - F.coalesce(F.col("_l.upto"), F.lit(0))).alias("_place"))
 
 
 def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str, weight: Column | None = None) -> DataFrame:
@@ -199,7 +196,7 @@ def percentile(rows: DataFrame, value: str, shares: dict[str, float], *keys: str
     """
     known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
     bounds = brackets(rows, value, shares, *keys, weight=weight)
-    inside = F.col("r._v").between(F.col("b._low"), F.col("b._high"))
+    inside = (F.col("b._low").isNull() | (F.col("r._v") > F.col("b._low"))) & (F.col("r._v") <= F.col("b._high"))
     few = known.alias("r").join(_beside(bounds, "b", keys), [*_same("r", "b", keys), inside]).select("b.*", "r._v", "r._w")
     per = few.groupBy(*keys, "name", "_place", "_all", "_v").agg(F.sum("_w").alias("_n"))
     reached = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "name").orderBy("_v"))).filter(F.col("_upto") > F.col("_place"))
