@@ -166,3 +166,62 @@ def test_a_collision_takes_the_next_surrogate(s, monkeypatch):
     monkeypatch.setattr(D.Surrogates, "of", lambda self, kind, x, gender="": real(self, kind, x if x != "b@one.org" else "a@one.org", gender) if x != "b@one.org" else ("b@one.org", real(self, kind, "a@one.org")[1]))
     new, found, same = D.replace("a@one.org b@one.org", s)
     assert same == 1 and found[0][3] != found[1][3]
+
+
+def test_one_digit_is_permuted_by_the_key():
+    got = {tuple(D.Keyed(bytes([key])).permuted("f", [x], [9])[0] for x in range(9)) for key in range(20)}
+    assert len(got) == 20 and all(sorted(g) == list(range(9)) and all(a != b for a, b in enumerate(g)) for g in got)
+    assert len({D.Surrogates(bytes([key])).of("name", "Anna")[1] for key in range(20)}) > 8
+
+
+def test_lists_don_t_overlap():
+    assert not set(D._FAMILY) & set(D._GIVEN) and len(D._FAMILY) == sum(map(len, D.FAMILY.values())) and len(D._GIVEN) == sum(map(len, D.GIVEN.values()))
+
+
+def test_names_keep_what_tells_the_gender(s):
+    he, she = s.of("name", "Иван Петров")[1].split(), s.of("name", "Анна Петрова")[1].split()
+    assert he[0] in D.GIVEN["cyrillic", "m"] and she[0] in D.GIVEN["cyrillic", "f"] and she[1] == he[1] + "а" and he[1] in D.FAMILY["cyrillic"]
+    first, last = s.of("name", "Deborah Walker")[1].split()
+    assert first in D.GIVEN["latin", "f"] and last in D.FAMILY["latin"] and s.of("name", "Ivan Petrov")[1].split()[0] in D.GIVEN["latin", "m"]
+    names = ["Zorina", "Zorin", "Kvanta", "Blenda", "Blend", "Fraska", "Frask", "Elkin", "Elkina", "Smitha"]
+    got = [s.of("name", x)[1] for x in names]
+    assert [x[-1] == "a" for x in names] == [x[-1] == "a" for x in got] and len(set(got)) == len(names) and not set(got) & set(names)
+
+
+def test_unlisted_words_stay_distinct(s):
+    """All words of a small alphabet, pairs of consonants included, against each other and the lists."""
+    words = ["".join(x) for n in (1, 2, 3, 4, 5) for x in itertools.product("asht", repeat=n)] + list(D._FAMILY) + list(D._GIVEN) + [x + "a" for x in D._FAMILY] + [x + "а" for x in D._FAMILY]
+    got = {}
+    for w in set(words):
+        got.setdefault(s._word(w), []).append(w)
+    assert all(len(x) == 1 for x in got.values())
+    assert "".join(k[0] if len(k) == 2 else "" for k, _ in D._units("clarke")) == ""
+    assert [len(x[n]) for x, n in D._units("clarke")] == [2, 1, 2, 1]
+
+
+def test_births_passports_streets_and_labels(s):
+    text = "Born on 12 March 1980, DOB: 1980-03-12, date of birth 25/03/1980, born 03/25/1980, Passport no. X1234567. 22 Baker Street. Contact: Sanjay Gupta. Contact: Customer Support. mary smith, grace hill. born 31/31/1980, on 1980-03-12"
+    assert [(k, text[a:b]) for a, b, k, _ in D.find(text)] == [
+        ("birth", "12 March 1980"), ("birth", "1980-03-12"), ("birth", "25/03/1980"), ("birth", "03/25/1980"), ("passport", "X1234567"), ("street", "22 Baker Street"),
+        ("name", "Sanjay Gupta"), ("name", "mary smith"),
+    ]
+    of = lambda x: s.of("birth", x)
+    assert of("12 March 1980")[0] == of("1980-03-12")[0] == "1980-03-12" and of("25/03/1980")[0] == of("03/25/1980")[0]
+    d, m, y = of("25/03/1980")[1].split("/")
+    assert of("03/25/1980")[1] == f"{m}/{d}/{y}" and of("1980-03-25")[1] == f"{y}-{m}-{d}" and abs(int(y) - 1980) <= 10
+    days = [f"{y}-{m:02d}-{d:02d}" for y in range(1970, 1990) for m in range(1, 13) for d in range(1, 29)]
+    new = [of(x)[1] for x in days]
+    assert len(set(new)) == len(days) and all(a != b for a, b in zip(days, new)) and of("9999-12-31")[1] != "9999-12-31" and of("0001-01-01")[1]
+    assert s.of("street", "22 Baker Street")[1].endswith(" Street") and re.fullmatch(r"[A-Z]\d{7}", s.of("passport", "X1234567")[1])
+    assert len({s.of("street", f"{n} Baker Road")[1] for n in range(1, 1200)}) == 1199
+
+
+def test_values_of_a_table_stay_distinct(spark, s):
+    """Every value of the whole table has one surrogate of its own."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    forward, back = {}, {}
+    for r in q_private.query(spark, SF).collect():
+        for e in r.entities:
+            value, new = s.of(e.kind, texts[r.doc_id][e.start : e.end])[0], s.of(e.kind, e.surrogate)[0]
+            assert forward.setdefault((e.kind, value), new) == new and back.setdefault((e.kind, new), value) == value and value != new
+    assert len(forward) > 50
