@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.params import DEFAULT, Params
+from paperloom.session import kept
 
 #: Queries whose terms or vectors are sent to all tasks at once.
 BLOCK = 2000
@@ -44,6 +45,8 @@ def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", terms: Dat
     Document lengths and their mean come from all tokens; a term's document count comes from all
     documents. Texts are split once: tokens that aren't asked for fall together in one row a document, in the task
     that has its text, and with a mark a document they give its length. Rows of one id are one document.
+    With ``terms`` these counts are written once and read for weights, document counts and mean, so texts are read
+    and split once, too, and only counts of asked terms remain.
     """
     flat = docs.select(id, F.explode(F.concat(X.tokens(text), F.array(F.lit(None).cast("string")))).alias("_token"))
     term = F.col("_token")
@@ -51,6 +54,8 @@ def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", terms: Dat
         flat, term = flat.join(terms.select(F.col("term").alias("_token"), F.col("term").alias("_term")).distinct(), "_token", "left"), F.col("_term")
     counted = flat.groupBy(id, term.alias("term")).agg(F.count("_token").alias("tf"))
     sized = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(id)))
+    if terms is not None:
+        sized = kept(sized, "counts")
     whole = sized.filter("term IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     tf = sized.filter("term IS NOT NULL").select(id, "term", "tf", "dl")
     return weighted(tf, document_frequencies(tf), whole, id, p)
@@ -77,8 +82,11 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
 
 
 def lexical_top(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", p: Params = DEFAULT) -> DataFrame:
-    """``qid, id, score, rank`` of the ``k`` best documents by the sum of the weights of the query's terms."""
-    terms = query_terms(queries)
+    """``qid, id, score, rank`` of the ``k`` best documents by the sum of the weights of the query's terms.
+
+    The queries' terms are written first: Spark then knows their size, and sends them to all tasks only if they are small.
+    """
+    terms = kept(query_terms(queries), "terms")
     found = postings(docs, id, text, terms, p).join(terms, "term").groupBy("qid", id).agg(F.sum("weight").alias("score"))
     return top(found, k, id).select("qid", id, "score", "rank")
 

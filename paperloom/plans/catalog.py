@@ -97,8 +97,8 @@ def hybrid_filtered_two_phase(spark, d):
 
 
 def _reranked(spark, d):
-    found = hybrid_rrf(spark, d).drop("score").join(D.queries(spark, d).select("qid", "query"), "qid").join(D.documents(spark, d), "doc_id")
-    return R.rerank(found, "doc_id")
+    found = kept(hybrid_rrf(spark, d).drop("score"), "found")  # of known size: texts stay where they are
+    return R.rerank(D.documents(spark, d).join(found, "doc_id").join(D.queries(spark, d).select("qid", "query"), "qid"), "doc_id")
 
 
 def rerank_topn(spark, d):
