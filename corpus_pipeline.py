@@ -27,8 +27,9 @@ from paperloom.llm.simhash import near_duplicates
 from paperloom.session import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Below this probability a prediction doesn't count.
-LEAST_SCORE = 0.3
+#: A language is told if it is this many times as likely as the least likely one. So texts in two known languages
+#: stay, and texts in none go, however many labels there are. A model that tells its own rows no better asks for less.
+LEAST_LEAD = 2.0
 
 #: What the stages know of a document; its other columns travel as one.
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -53,8 +54,8 @@ def others_apart(stage):
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, by a model learned from the labelled ones."""
     model = train(docs, "doc_id", "text", "lang", F.lit(True), id_mod("doc_id", 4) == 3)
-    found = identify(docs, model)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found, least = identify(docs, model), min(LEAST_LEAD, model.get("lead", LEAST_LEAD))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least * F.col("least_score"))).select(docs.columns)
 
 
 @others_apart

@@ -120,7 +120,11 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], epochs: int = 4, seed: int = 5) -> dict:
-    """A model from (label, calibrate, buckets, counts) rows."""
+    """A model from (label, calibrate, buckets, counts) rows.
+
+    ``lead`` is how many times the likeliest label is as likely as the least likely one in all but the hundredth of the rows
+    with the smallest leads: what the model can't tell better than these, it can't tell.
+    """
     labels = sorted({r[0] for r in rows if len(r[2])})
     rows = [r for r in rows if len(r[2])]
     teach, hold = [r for r in rows if not r[1]], [r for r in rows if r[1]]
@@ -137,17 +141,25 @@ def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], epochs: int = 4, s
             learner.learn(*ready[i])
     w = learner.weights(np.arange(BUCKETS + 1))
     logits = np.array([weighted(r[2], r[3], idf) @ w[r[2]] + w[BUCKETS] for r in hold]).reshape(-1, max(1, len(labels)))
-    return {"labels": labels, "w": w.astype(np.float32), "idf": idf.astype(np.float32), "t": temperature(logits, np.array([number[r[0]] for r in hold], np.int64))}
+    model = {"labels": labels, "w": w.astype(np.float32), "idf": idf.astype(np.float32), "t": temperature(logits, np.array([number[r[0]] for r in hold], np.int64))}
+    leads = [float(p.max() / p.min()) for p in (probabilities(r[2], r[3], model) for r in rows)]
+    return model | {"lead": sorted(leads)[len(leads) // 100] if leads else 1.0}
+
+
+def probabilities(own: np.ndarray, counts: np.ndarray, model: dict) -> np.ndarray:
+    """Of each label, for a text of these features."""
+    w = model["w"]
+    return softmax((weighted(own, counts, model["idf"]) @ w[own] + w[BUCKETS]).astype(np.float64) / model["t"])
 
 
-def predict(text: bytes | None, model: dict) -> tuple[str, float]:
+def predict(text: bytes | None, model: dict) -> tuple[str, float, float]:
+    """The likeliest label, its probability, and that of the least likely (0 if there is but one label)."""
     own, counts = features(text)
     if not len(own) or not model["labels"]:
-        return UNKNOWN, 0.0
-    w = model["w"]
-    p = softmax((weighted(own, counts, model["idf"]) @ w[own] + w[BUCKETS]).astype(np.float64) / model["t"])
+        return UNKNOWN, 0.0, 0.0
+    p = probabilities(own, counts, model)
     best = int(p.argmax())
-    return model["labels"][best], float(p[best])
+    return model["labels"][best], float(p[best]), float(p.min()) if len(p) > 1 else 0.0
 
 
 def train(docs: DataFrame, id: str, text: str, label: str, teach: Column, calibrate: Column, sample: int = 3000) -> dict:
@@ -180,11 +192,15 @@ def train(docs: DataFrame, id: str, text: str, label: str, teach: Column, calibr
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    """``docs`` with ``lang_pred``, ``score`` and ``least_score``, the probability of the least likely label.
+
+    A text of known languages, even of two at once, rules others out; one that the model knows nothing of leaves all
+    labels near each other, however many there are.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType(docs.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.drop("lang_pred", "score", "least_score")
+    schema = T.StructType(docs.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("least_score", T.DoubleType())])
     names, shared = to_arrow_schema(schema).names, docs.sparkSession.sparkContext.broadcast(model)  # buckets times labels
 
     def run(batches):
@@ -192,6 +208,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 found = [predict(x, model) for x in text_bytes(part.column(text))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
+                label, score, least = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64())], names=names)
 
     return docs.mapInArrow(run, schema)

@@ -62,7 +62,7 @@ def test_odd_rows(spark):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = L.train(df, "doc_id", "text", "lang", fold != 2, fold == 3)
     out = L.identify(df, model)
-    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "least_score"]
     got = out.collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got if r.doc_id is not None}

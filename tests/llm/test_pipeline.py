@@ -109,3 +109,16 @@ def test_very_long_texts(spark):
     assert {r.doc_id for r in P.one_of_each_group(spark, docs, SF).collect()} == {1, 3}
     assert {r.doc_id for r in P.known_language(spark, docs, SF).collect()} == {1, 2, 3}
     assert P.clean_of_benchmark(spark, docs, SF).count() == 3
+
+
+def test_texts_in_no_known_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    one = {r.lang: r.text for r in docs.filter("lang IS NOT NULL AND length(text) BETWEEN 300 AND 600").collect()}
+    strange = ["Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "Съешь же ещё этих мягких французских булок", "日本語の文章です", "한국어로 쓴 글입니다"]
+    told = [one["de"] + "\n" + one["en"], one["fr"] + " " + strange[0], one["es"][:40]]
+    more = spark.createDataFrame([(k, t, None, "s", len(t)) for k, t in enumerate(strange + told, 1_000_000)], docs.schema)
+    for labels in (("de", "en", "es", "fr"), ("de", "en")):
+        own = docs.filter(docs.lang.isin(*labels))
+        kept = {r.doc_id for r in P.known_language(spark, own.unionByName(more), SF).collect()}
+        assert kept >= {r.doc_id for r in own.collect() if r.text and any(c.isalpha() for c in r.text)}
+        assert not kept & set(range(1_000_000, 1_000_004)) and (len(labels) == 2 or kept >= {1_000_004, 1_000_005, 1_000_006})
