@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from paperloom.operators import blocks as B
 from paperloom.operators import search as R
 
 
@@ -42,3 +43,12 @@ def test_no_pair_of_query_and_document_is_shuffled(spark, corpus):
     docs, asked = corpus
     assert not pairs_shuffled(R.lexical_top(docs, asked, 5))
     assert not pairs_shuffled(R.stored_top(R.postings(docs), asked, 5))
+
+
+def test_read_blocks_are_scored_without_shuffling_pairs(spark, corpus, tmp_path):
+    """Blocks whose bounds let them in meet all queries in products; only results are dealt by query and document."""
+    docs, asked = corpus
+    B.write(B.blocked(R.postings(docs), 20), str(tmp_path / "b"), partitions=2)
+    found = B.search(B.load(spark, str(tmp_path / "b")), asked, 5)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == rows(R.lexical_top(docs, asked, 5))
