@@ -4,6 +4,7 @@ import re
 import pytest
 
 from paperloom.operators import blocks as B
+from paperloom.operators import growing as G
 from paperloom.operators import search as R
 
 
@@ -39,10 +40,12 @@ def test_products_give_what_a_join_gives(spark, monkeypatch, corpus, kind, k):
     assert k == 300 or any(len({r[2] for r in want if r[0] == q}) < k for q in range(30))  # ties
 
 
-def test_no_pair_of_query_and_document_is_shuffled(spark, corpus):
+def test_no_pair_of_query_and_document_is_shuffled(spark, corpus, tmp_path):
     docs, asked = corpus
     assert not pairs_shuffled(R.lexical_top(docs, asked, 5))
     assert not pairs_shuffled(R.stored_top(R.postings(docs), asked, 5))
+    G.write_segment(docs, str(tmp_path / "grown"), 0)
+    assert not pairs_shuffled(G.search(G.load(spark, str(tmp_path / "grown")), asked, 5))
 
 
 def test_read_blocks_are_scored_without_shuffling_pairs(spark, corpus, tmp_path):
@@ -52,3 +55,12 @@ def test_read_blocks_are_scored_without_shuffling_pairs(spark, corpus, tmp_path)
     found = B.search(B.load(spark, str(tmp_path / "b")), asked, 5)
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert rows(found) == rows(R.lexical_top(docs, asked, 5))
+
+
+def test_texts_are_split_once_for_a_segment(spark, corpus, tmp_path):
+    """Both tables of a segment come from counts written once, whatever sampling the ranges of terms take."""
+    docs, _ = corpus
+    path = str(tmp_path / "grown")
+    G.write_segment(docs, path, 0)
+    counts = spark.read.parquet(f"{path}/_counts")
+    assert sorted(map(str, counts.select("doc_id", "term", "tf").collect())) == sorted(map(str, spark.read.parquet(f"{path}/postings").select("doc_id", "term", "tf").collect()))
