@@ -48,6 +48,12 @@ def test_no_pair_of_query_and_document_is_shuffled(spark, corpus, tmp_path):
     assert not pairs_shuffled(G.search(G.load(spark, str(tmp_path / "grown")), asked, 5))
 
 
+def test_counts_are_not_dealt_by_term_to_be_weighed(spark, corpus):
+    """Document counts of known, small size go to the counts; the other way round all counts would be shuffled."""
+    plan = R.postings(corpus[0])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(term", plan)
+
+
 def test_read_blocks_are_scored_without_shuffling_pairs(spark, corpus, tmp_path):
     """Blocks whose bounds let them in meet all queries in products; only results are dealt by query and document."""
     docs, asked = corpus
