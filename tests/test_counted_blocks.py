@@ -75,7 +75,7 @@ def test_an_index_without_tokens_or_documents(spark, tmp_path):
         assert B.search(B.load(spark, str(tmp_path / str(n))), asked, 5).count() == 0
 
 
-@pytest.mark.parametrize("query", [catalog.block_postings_search])
+@pytest.mark.parametrize("query", [catalog.block_postings_search, catalog.stored_filtered_search])
 def test_no_posting_is_shuffled_to_be_stored(spark, query):
     """Texts are dealt once; before, postings were dealt by term and block, and their rows by range, and by block once more."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
