@@ -41,8 +41,8 @@ def corpus(spark):
 
 @pytest.mark.parametrize("kind,count,k,docs_at_once,size", [("long", 1, 5, 2048, 1 << 23), ("string", 40, 7, 3, 200), ("long", 40, 300, 30, 1 << 23), ("long", 5000, 3, 50, 500)])
 def test_counted_blocks_give_what_texts_give(spark, monkeypatch, corpus, tmp_path, kind, count, k, docs_at_once, size):
-    monkeypatch.setattr(R, "BLOCK_DOCS", docs_at_once)
-    monkeypatch.setattr(R, "TEXT_BYTES", size)
+    monkeypatch.setattr(B, "TEXTS", docs_at_once)
+    monkeypatch.setattr(B, "TEXT_BYTES", size)
     docs, asked = corpus
     docs = docs.withColumn("doc_id", docs.doc_id.cast(kind))
     B.write(B.counted(docs, count), str(tmp_path / "b"))
